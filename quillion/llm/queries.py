@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from quillion.llm.decontaminate import decontaminate_query
+from quillion.llm.quality import QUALITY_SQL, quality_query
 from quillion.llm.simhash import simhash_query
 
 QUERIES = {
+    "op3_quality": quality_query,
+    "op5_decontaminate": decontaminate_query,
     "op7_simhash": simhash_query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quality": QUALITY_SQL,
+}
