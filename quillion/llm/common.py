@@ -51,3 +51,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = kept.select("v").distinct()
     return kept.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))
+
+
+def join_by_size(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", max_rows: int = 200_000) -> DataFrame:
+    """big joined with small; small is broadcast only if it is counted and has max_rows at most.
+
+    small should be materialized and its rows narrow (keys and a few numbers: tens of MB at
+    the bound). Beyond the bound both sides are shuffled by the key.
+    """
+    narrow = small.limit(max_rows + 1).count() <= max_rows
+    return big.join(F.broadcast(small) if narrow else small, on, how)

@@ -144,20 +144,20 @@ QUALITY_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents),
 g AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
       FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 k AS (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM g),
 p AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM k WHERE c > 1) GROUP BY r),
 c AS (
-  SELECT d.r, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT d.r, doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
          coalesce(n, 0)::BIGINT AS n_repeat_words,
-         len(list_filter(w, x -> lower(x) IN ({", ".join(f"'{s}'" for s in STOP_WORDS)}))) AS n_stop,
+         len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{s}'" for s in STOP_WORDS)}))) AS n_stop,
          len(regexp_extract_all(t, '[!?…]')) AS n_marks, len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper,
-         len(l) AS n_lines, len(list_filter(l, x -> regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet,
-         len(list_filter(l, x -> regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis
+         len(l) AS n_lines, len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) AS n_bullet,
+         len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_ellipsis
   FROM d LEFT JOIN p ON d.r = p.r),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from quillion.llm.decontaminate import decontaminate_query
+from quillion.llm.linededup import LINE_DEDUP_SQL, line_dedup_query
 from quillion.llm.quality import QUALITY_SQL, quality_query
 from quillion.llm.simhash import simhash_query
+from quillion.llm.substring import substring_query
 
 QUERIES = {
+    "op2_substring": substring_query,
     "op3_quality": quality_query,
     "op5_decontaminate": decontaminate_query,
     "op7_simhash": simhash_query,
+    "op10_linededup": line_dedup_query,
 }
 ORACLES: dict[str, str] = {
     "op3_quality": QUALITY_SQL,
+    "op10_linededup": LINE_DEDUP_SQL,
 }
