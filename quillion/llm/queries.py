@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillion.llm.decontaminate import decontaminate_query
 from quillion.llm.linededup import LINE_DEDUP_SQL, line_dedup_query
+from quillion.llm.mixing import mix_query
 from quillion.llm.quality import QUALITY_SQL, quality_query
 from quillion.llm.simhash import simhash_query
 from quillion.llm.substring import substring_query
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_substring": substring_query,
     "op3_quality": quality_query,
     "op5_decontaminate": decontaminate_query,
+    "op6_mixing": mix_query,
     "op7_simhash": simhash_query,
     "op10_linededup": line_dedup_query,
 }
