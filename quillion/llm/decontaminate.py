@@ -12,6 +12,8 @@ tasks, and all documents are scanned against each block without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -94,27 +96,46 @@ class PassageIndex:
         start = ((found & 0xFFFFFFFF) - (1 << 31)) * (self.edits[item] + 1)
         return list(zip(item.tolist(), start.tolist(), strict=True))
 
-    def hits(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, end, edits) of the best occurrence in each run of overlapping bands."""
-        points = code_points(text)
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for k, diagonal in self.regions(points):
-            size, e = len(self.passages[k]), int(self.edits[k])
-            low, high = max(0, diagonal - e), min(len(points), diagonal + 2 * (e + 1) + size + e)
-            best = align(self.passages[k], points[low:high], max(0, -(diagonal - e)), 4 * e + 3)
-            if best and best[2] <= e:
-                found.setdefault(k, []).append((low + best[0], low + best[1], best[2]))
-        for k in self.short:
-            body, one = points.astype("<u4").tobytes(), self.passages[k].astype("<u4").tobytes()
-            at = body.find(one)
-            while at >= 0:
-                if at % 4 == 0:
-                    found.setdefault(k, []).append((at // 4, at // 4 + len(self.passages[k]), 0))
-                at = body.find(one, at + 4 - at % 4)
+    def hits(self, texts: Iterable[str | None]) -> list[list[tuple[int, int, int, int]]]:
+        """For each text (item_id, start, end, edits) of the best occurrence in each run of overlapping bands."""
+        spans: list[dict[int, list[tuple[int, int, int]]]] = []
+        waiting: list[tuple[int, int, int, np.ndarray, int]] = []
+        for number, text in enumerate(texts):
+            points = code_points(text)
+            spans.append({})
+            for k, diagonal in self.regions(points):
+                size, e = len(self.passages[k]), int(self.edits[k])
+                low, high = max(0, diagonal - e), min(len(points), diagonal + 2 * (e + 1) + size + e)
+                waiting.append((number, k, low, points[low:high].copy(), low - (diagonal - e)))
+            for k in self.short:
+                for at in places(points, self.passages[k]):
+                    spans[-1].setdefault(k, []).append((at, at + len(self.passages[k]), 0))
+            if len(waiting) >= 1024:
+                self._verify(waiting, spans)
+                waiting = []
+        self._verify(waiting, spans)
+        return [self._best(found) for found in spans]
+
+    def _verify(self, waiting: list[tuple[int, int, int, np.ndarray, int]], spans: list[dict]) -> None:
+        unsure = []
+        for number, k, low, region, skip in waiting:
+            if at := places(region, self.passages[k])[:1]:
+                spans[number].setdefault(k, []).append((low + at[0], low + at[0] + len(self.passages[k]), 0))
+            elif self.edits[k]:
+                unsure.append((number, k, low, region, skip))
+        unsure.sort(key=lambda x: -len(self.passages[x[1]]))
+        for i in range(0, len(unsure), 128):
+            part = unsure[i : i + 128]
+            found = align([self.passages[x[1]] for x in part], [x[3] for x in part], [x[4] for x in part], [int(self.edits[x[1]]) for x in part])
+            for (number, k, low, _, _), best in zip(part, found, strict=True):
+                if best:
+                    spans[number].setdefault(k, []).append((low + best[0], low + best[1], best[2]))
+
+    def _best(self, found: dict[int, list[tuple[int, int, int]]]) -> list[tuple[int, int, int, int]]:
         result = []
         for k, spans in found.items():
             last: tuple[int, int, int] | None = None
-            for span in sorted(spans):
+            for span in sorted(set(spans)):
                 if last and span[0] < last[1]:
                     last = min(last, span, key=lambda s: (s[2], s[0]))
                     continue
@@ -125,30 +146,58 @@ class PassageIndex:
         return sorted(result, key=lambda x: (x[1], x[0]))
 
 
-def align(passage: np.ndarray, region: np.ndarray, skip: int, width: int) -> tuple[int, int, int] | None:
-    """(start, end, edits) of the passage's best match in the region, within a band of diagonals.
+def places(points: np.ndarray, passage: np.ndarray) -> list[int]:
+    """Offsets at which the passage occurs without edits, overlapping ones included."""
+    body, one, found = points.astype("<u4").tobytes(), passage.astype("<u4").tobytes(), []
+    at = body.find(one)
+    while at >= 0:
+        if at % 4 == 0:
+            found.append(at // 4)
+        at = body.find(one, at + 1)
+    return found
+
+
+def align(passages: list[np.ndarray], regions: list[np.ndarray], skips: list[int], edits: list[int]) -> list[tuple[int, int, int] | None]:
+    """(start, end, edits) of each passage's best match in its region within a band, or None.
 
     Cell k of row i stands for the passage's first i characters ending at region offset
-    i + k - skip; a row has `width` cells. Starts are free. A cell holds edits * 2**24 + start.
+    i + k - skip; a band has 4 e + 3 cells. Starts are free. All pairs advance together, a row
+    at a time, and one whose band is over its edit budget is dropped. Longest passages come
+    first. A cell holds edits * 2**32 + start.
     """
-    exact = bytes(region.astype("<u4")).find(bytes(passage.astype("<u4")))
-    if exact >= 0 and exact % 4 == 0:
-        return exact // 4, exact // 4 + len(passage), 0
-    unit, none, cells = 1 << 24, 1 << 56, np.arange(width)
-    padded = np.full(len(passage) + width + skip, -1, np.int64)
-    padded[skip : skip + len(region)] = region[: len(padded) - skip]
-    inside = len(region)
-    row = np.where((cells - skip >= 0) & (cells - skip <= inside), np.maximum(cells - skip, 0), none)
+    unit, none = 1 << 32, 1 << 60
+    sizes, budget = np.array([len(p) for p in passages]), np.array(edits)
+    width, most = 4 * int(budget.max()) + 3, int(sizes.max())
+    text = np.full((len(passages), most + width), -1, np.int64)
+    words = np.full((len(passages), most), -2, np.int64)
+    for c, (passage, region, skip) in enumerate(zip(passages, regions, skips, strict=True)):
+        room = region[: text.shape[1] - skip]
+        text[c, skip : skip + len(room)] = room
+        words[c, : len(passage)] = passage
+    cells, skip, inside = np.arange(width), np.array(skips)[:, None], np.array([len(r) for r in regions])[:, None]
+    outside = (cells - skip < 0) | (cells - skip > inside) | (cells >= 4 * budget[:, None] + 3)
+    row = np.where(outside, none, np.maximum(cells - skip, 0))
     gain = cells * unit
-    for i, c in enumerate(passage.tolist(), 1):
-        changed = row + np.where(padded[i - 1 : i - 1 + width] == c, 0, unit)
-        dropped = np.append(row[1:], none) + unit
-        row = np.minimum(changed, dropped)
-        row = np.minimum.accumulate(row - gain) + gain
-        row[(cells + i - skip < 0) | (cells + i - skip > inside)] = none
-    k = int(np.argmin(row))
-    value = int(row[k])
-    return None if value >= none else (value % unit, len(passage) + k - skip, value // unit)
+    alive = np.arange(len(passages))
+    result: list[tuple[int, int, int] | None] = [None] * len(passages)
+    for i in range(1, most + 1):
+        dropped = np.full_like(row, none)
+        dropped[:, :-1] = row[:, 1:] + unit
+        row = np.minimum(row + np.where(text[:, i - 1 : i - 1 + width] == words[:, i - 1 : i], 0, unit), dropped)
+        row = np.minimum.accumulate(row - gain, axis=1) + gain
+        row[(cells + i - skip < 0) | (cells + i - skip > inside) | (cells >= 4 * budget[:, None] + 3)] = none
+        if i % 8 and i != most and not (sizes == i).any():
+            continue
+        best = row.min(axis=1)
+        for c in np.flatnonzero((sizes == i) & (best < (budget + 1) * unit)).tolist():
+            k = int(np.argmin(row[c]))
+            result[alive[c]] = (int(best[c] % unit), i + k - int(skip[c, 0]), int(best[c] // unit))
+        stay = (sizes > i) & (best < (budget + 1) * unit)
+        if not stay.any():
+            break
+        if not stay.all():
+            row, text, words, sizes, budget, skip, inside, alive = (x[stay] for x in (row, text, words, sizes, budget, skip, inside, alive))
+    return result
 
 
 def passage_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = 4_000_000) -> list[list[tuple[int, str]]]:
@@ -164,7 +213,8 @@ def passage_hits(spark, text: Column, benchmark: DataFrame, edit_rate: float = 0
 
     def scanner(index):
         def scan(texts: pd.Series) -> pd.Series:
-            return pd.Series([[dict(zip(("item_id", "start", "end", "distance"), h, strict=True)) for h in index.value.hits(t)] for t in texts], dtype=object)
+            names = ("item_id", "start", "end", "distance")
+            return pd.Series([[dict(zip(names, h, strict=True)) for h in found] for found in index.value.hits(texts)], dtype=object)
 
         return F.pandas_udf(scan, HIT)
 
