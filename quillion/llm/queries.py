@@ -8,6 +8,7 @@ from quillion.llm.mixing import mix_query
 from quillion.llm.quality import QUALITY_SQL, quality_query
 from quillion.llm.simhash import simhash_query
 from quillion.llm.substring import substring_query
+from quillion.llm.toxicity import toxicity_query
 
 QUERIES = {
     "op2_substring": substring_query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate_query,
     "op6_mixing": mix_query,
     "op7_simhash": simhash_query,
+    "op8_toxicity": toxicity_query,
     "op10_linededup": line_dedup_query,
 }
 ORACLES: dict[str, str] = {
