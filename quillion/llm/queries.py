@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillion.llm.decontaminate import decontaminate_query
+from quillion.llm.extract import extract_query
 from quillion.llm.linededup import LINE_DEDUP_SQL, line_dedup_query
 from quillion.llm.mixing import mix_query
 from quillion.llm.quality import QUALITY_SQL, quality_query
@@ -13,6 +14,7 @@ from quillion.llm.toxicity import toxicity_query
 QUERIES = {
     "op2_substring": substring_query,
     "op3_quality": quality_query,
+    "op4_extract": extract_query,
     "op5_decontaminate": decontaminate_query,
     "op6_mixing": mix_query,
     "op7_simhash": simhash_query,
