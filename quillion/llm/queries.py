@@ -10,8 +10,10 @@ from quillion.llm.quality import QUALITY_SQL, quality_query
 from quillion.llm.simhash import simhash_query
 from quillion.llm.substring import substring_query
 from quillion.llm.toxicity import toxicity_query
+from quillion.llm.warc import warc_query
 
 QUERIES = {
+    "op1_warc": warc_query,
     "op2_substring": substring_query,
     "op3_quality": quality_query,
     "op4_extract": extract_query,
