@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillion.llm.common import materialize
+from quillion.llm.common import bind, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCALE = float(2**53)
@@ -71,6 +71,21 @@ def permuted(sizes: DataFrame, seed: int, bucket_rows: int) -> DataFrame:
     return joined.withColumn("start", F.col("base") + F.col("inner")).drop("place", "bucket", "base", "inner", "_source", "_bucket")
 
 
+def draw_left(seed: int, level: int):
+    """A fold over a node's counts that draws, block by block, how many of each go left."""
+
+    def one_block(state, _):
+        left = uniform(F.lit(seed), F.lit(level), F.col("low"), state["rest"]) * state["rest"] < state["want"]
+        return F.struct((state["rest"] - 1).alias("rest"), (state["want"] - left.cast("long")).alias("want"))
+
+    def source(acc, count):
+        blocks = F.when(count > 0, F.sequence(F.lit(1).cast("long"), count)).otherwise(F.array().cast("array<long>"))
+        after = F.aggregate(blocks, F.struct(acc["rest"].alias("rest"), acc["want"].alias("want")), one_block)
+        return bind(after, lambda s: F.struct(s["rest"].alias("rest"), s["want"].alias("want"), F.concat(acc["left"], F.array(acc["want"] - s["want"])).alias("left")))
+
+    return source
+
+
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """(source, shard, first, last): each shard's blocks of each source, as places in its permuted blocks.
 
@@ -92,19 +107,8 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
         want = edge(middle) - edge(F.col("low"))
 
-        def draw(acc, count, level=level):
-            def one_block(state, i):
-                left = uniform(F.lit(seed), F.lit(level), F.col("low"), state["rest"]) * state["rest"] < state["want"]
-                return F.struct((state["rest"] - 1).alias("rest"), (state["want"] - left.cast("long")).alias("want"))
-
-            after = F.aggregate(F.when(count > 0, F.sequence(F.lit(1).cast("long"), count)).otherwise(F.array().cast("array<long>")), F.struct(acc["rest"].alias("rest"), acc["want"].alias("want")), one_block)
-            return F.transform(
-                F.array(after),
-                lambda s: F.struct(s["rest"].alias("rest"), s["want"].alias("want"), F.concat(acc["left"], F.array(acc["want"] - s["want"])).alias("left")),
-            )[0]
-
         start = F.struct(total.alias("rest"), want.cast("long").alias("want"), F.array().cast("array<long>").alias("left"))
-        halves = nodes.withColumn("left", F.aggregate("counts", start, draw, lambda acc: acc["left"]))
+        halves = nodes.withColumn("left", F.aggregate("counts", start, draw_left(seed, level), lambda acc: acc["left"]))
         right = F.zip_with("counts", "left", lambda c, x: c - x)
         whole = F.array(F.struct(F.col("low").alias("low"), F.col("high").alias("high"), F.col("counts").alias("counts")))
         both = F.array(F.struct(F.col("low").alias("low"), middle.alias("high"), F.col("left").alias("counts")), F.struct(middle.alias("low"), F.col("high").alias("high"), right.alias("counts")))
