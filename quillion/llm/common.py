@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,3 +62,8 @@ def join_by_size(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
     """
     narrow = small.limit(max_rows + 1).count() <= max_rows
     return big.join(F.broadcast(small) if narrow else small, on, how)
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillion.llm.common import bind
+
 SPACE = r"[\x20\x09-\x0D]+"
 
 # Frequent function words of English, German, French and Spanish.
@@ -30,11 +30,6 @@ RULES: list[tuple[str, float | None, float | None]] = [
 ]
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value computed once, however often the body reads it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def repeated_words(words: Column) -> Column:
     """Words in 3-word windows that the text holds twice or more, the first included.
 

@@ -6,6 +6,7 @@ from quillion.llm.decontaminate import decontaminate_query
 from quillion.llm.extract import extract_query
 from quillion.llm.linededup import LINE_DEDUP_SQL, line_dedup_query
 from quillion.llm.mixing import mix_query
+from quillion.llm.pii import pii_query
 from quillion.llm.quality import QUALITY_SQL, quality_query
 from quillion.llm.simhash import simhash_query
 from quillion.llm.substring import substring_query
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_mixing": mix_query,
     "op7_simhash": simhash_query,
     "op8_toxicity": toxicity_query,
+    "op9_pii": pii_query,
     "op10_linededup": line_dedup_query,
 }
 ORACLES: dict[str, str] = {
