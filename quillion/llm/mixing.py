@@ -197,3 +197,15 @@ def mix_query(spark, sf_dir: str) -> DataFrame:
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     taken = (F.col("size") * F.size("copies")).alias("taken")
     return mixed.select("doc_id", "size", "source_size", "target", taken, F.transform("copies", lambda c: c["shard"]).alias("shards"))
+
+
+def mixed_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with size, source_size, target, taken and shards (one entry for each copy); untaken ones too.
+
+    Rows that repeat an id get the copies of one of them.
+    """
+    added = mixed.select(
+        F.col("doc_id").alias("_id"), "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), F.transform("copies", lambda c: c["shard"]).alias("shards")
+    ).dropDuplicates(["_id"])
+    rows = docs.drop("size", "source_size", "target", "taken", "shards")
+    return rows.join(added, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
