@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: One 16-bit gear value for each byte, by rule.
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([c]), 7) & 0xFFFF for c in range(256)], np.uint16)
+LONGEST = 2048
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -26,7 +27,8 @@ def cuts(data: bytes, mean: int = 24) -> np.ndarray:
     """Offsets at which chunks start or end: 0, the content-defined ones, and the length.
 
     The gear hash h = 2 h + gear[byte] in 16 bits depends on the last 16 bytes; it is built by
-    doubling the window four times. A chunk has about `mean` bytes.
+    doubling the window four times. A chunk has about `mean` bytes, and LONGEST at most: without
+    a cut in so many bytes one is made every LONGEST bytes after the last.
     """
     n = len(data)
     h = GEAR[np.frombuffer(data, np.uint8)]
@@ -35,7 +37,11 @@ def cuts(data: bytes, mean: int = 24) -> np.ndarray:
         longer[width:] += h[:-width] << np.uint16(width) if n > width else h[:0]
         h = longer
     inner = np.flatnonzero(h < np.uint16(65536 // mean)) + 1
-    return np.unique(np.concatenate(([0], inner[(inner >= 16) & (inner < n)], [n])))
+    at = np.unique(np.concatenate(([0], inner[(inner >= 16) & (inner < n)], [n])))
+    long = np.flatnonzero(np.diff(at) > LONGEST)
+    if len(long):
+        at = np.unique(np.concatenate([at, *[np.arange(at[k], at[k + 1], LONGEST) for k in long]]))
+    return at
 
 
 def pairs(text: str | None, mean: int = 24) -> tuple[np.ndarray, np.ndarray]:
@@ -54,11 +60,13 @@ def pairs(text: str | None, mean: int = 24) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunk_pairs(docs: DataFrame, id_col: str, text_col: str, mean: int) -> DataFrame:
-    """(key, id, i, before, start, end, after) of each pair of neighbouring chunks.
+    """(key, id, at, extent) of each pair of neighbouring chunks.
 
-    start and end number the words of the pair, before and after those of the chunks around it.
+    at: the pair's number in the text, and the number of its first word, in 32 bits each.
+    extent: words of the chunk before, of the pair, and of the chunk after, in 16 bits each (a
+    pair has 4096 bytes at most).
     """
-    names = ["key", "id", "i", "before", "start", "end", "after"]
+    names = ["key", "id", "at", "extent"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,10 +77,10 @@ def chunk_pairs(docs: DataFrame, id_col: str, text_col: str, mean: int) -> DataF
                 n = len(key)
                 if not n or number is None:
                     continue
-                one = n == 1 and len(w) == 2
                 i = np.arange(n)
-                end = i + (1 if one else 2)
-                parts.append([key, np.full(n, number), i, w[np.maximum(i - 1, 0)], w[i], w[end], w[np.minimum(end + 1, len(w) - 1)]])
+                end = i + (1 if n == 1 and len(w) == 2 else 2)
+                before, after = w[i] - w[np.maximum(i - 1, 0)], w[np.minimum(end + 1, len(w) - 1)] - w[end]
+                parts.append([key, np.full(n, number), i << 32 | w[i], before << 32 | (w[end] - w[i]) << 16 | after])
                 rows += n
                 if rows > 50_000:
                     yield pack(parts)
@@ -81,11 +89,10 @@ def chunk_pairs(docs: DataFrame, id_col: str, text_col: str, mean: int) -> DataF
                 yield pack(parts)
 
     def pack(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(columns)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)], names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "key long, id long, i int, before int, start int, end int, after int")
+    return rows.mapInArrow(run, "key long, id long, at long, extent long")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, least_words: int = 20, mean: int = 24) -> DataFrame:
@@ -105,6 +112,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     emitted = chunk_pairs(docs, id_col, text_col, mean)
     seen = emitted.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
     repeats = emitted.join(seen, "key").drop("key")
+    start = F.col("at").bitwiseAND(0xFFFFFFFF).cast("int")
+    end = start + F.shiftright("extent", 16).bitwiseAND(0xFFFF).cast("int")
+    before, after = start - F.shiftright("extent", 32).cast("int"), end + F.col("extent").bitwiseAND(0xFFFF).cast("int")
+    repeats = repeats.select("id", "first", F.shiftright("at", 32).cast("int").alias("i"), start.alias("start"), end.alias("end"), before.alias("before"), after.alias("after"))
     order = Window.partitionBy("id").orderBy("i")
     run = F.col("i") - F.dense_rank().over(order)
     runs = repeats.withColumn("run", run).groupBy("id", "run").agg(
