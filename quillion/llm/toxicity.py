@@ -50,11 +50,18 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds - score, -700, 700)))
 
 
-def choose_terms(counts: list[Counter], toxic: np.ndarray, most: int, least_df: int = 4, least_z: float = 4.0) -> list[str]:
-    """Terms whose document frequencies differ between the classes, by log-odds z-score."""
+def choose_terms(texts: list[str | None], toxic: np.ndarray, most: int, least_df: int = 4, least_z: float = 4.0) -> list[str]:
+    """Terms whose document frequencies differ between the classes, by log-odds z-score.
+
+    A table of hashed counts tells the terms that fewer than least_df texts hold, so that only
+    the others are kept in memory.
+    """
+    slots = np.zeros(1 << 22, np.int32)
+    for text in texts:
+        slots[np.unique(np.fromiter((hash(t) & 0x3FFFFF for t in terms(text)), np.int64))] += 1
     bad, good = Counter(), Counter()
-    for c, t in zip(counts, toxic.tolist(), strict=True):
-        (bad if t else good).update(c.keys())
+    for text, t in zip(texts, toxic.tolist(), strict=True):
+        (bad if t else good).update(x for x in terms(text) if slots[hash(x) & 0x3FFFFF] >= least_df)
     nb, ng = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     scored = []
     for term in bad.keys() | good.keys():
@@ -107,9 +114,8 @@ def fit(texts: list[str | None], toxic: list[int], weights: list[float], most_te
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         return OrdinalModel()
-    counts = [terms(t) for t in texts]
-    vocabulary = {t: k for k, t in enumerate(choose_terms(counts, y, most_terms))}
-    entries = [(r, vocabulary[t], 1 + np.log(c[t])) for r, c in enumerate(counts) for t in sorted(c.keys() & vocabulary.keys())]
+    vocabulary = {t: k for k, t in enumerate(choose_terms(texts, y, most_terms))}
+    entries = [(r, vocabulary[t], 1 + np.log(c[t])) for r, c in enumerate(map(terms, texts)) for t in sorted(c.keys() & vocabulary.keys())]
     row, col = np.array([e[0] for e in entries], int), np.array([e[1] for e in entries], int)
     value, share = np.array([e[2] for e in entries], float), np.array(weights, float) / np.sum(weights)
     w, _ = descend(row, col, value, y.astype(int), share, 1, np.zeros(len(vocabulary)), rounds, ridge)
@@ -133,7 +139,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> list:
     return rows
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> OrdinalModel:
     """The model of a sample of labelled documents, per_class of each class at most."""
     rows = labelled_sample(docs, labels, per_class)
     return fit([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]) if rows else OrdinalModel()
@@ -150,7 +156,7 @@ def severity(spark, text: Column, model: OrdinalModel) -> Column:
     return F.pandas_udf(score, "severity double, p_toxic double, grade int")(text)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4000, model: OrdinalModel | None = None) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, model: OrdinalModel | None = None) -> DataFrame:
     """docs with severity (expected grade, 0 to 3), grade (the largest that is more likely than not) and toxic (grade >= 1).
 
     Columns of docs with these names are replaced. Null and empty texts have no features and
