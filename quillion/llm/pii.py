@@ -112,6 +112,13 @@ def contexts(docs: DataFrame, window: int, reach: int = 160) -> DataFrame:
     return hits.select("doc_id", entity.alias("entity"), F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(whole), F.lit(TERM), F.lit(0)))).alias("terms"))
 
 
+def term_counts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(term, n_t): documents that hold each term of pairs."""
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    wanted = materialize(pairs.select("term").distinct())
+    return join_by_size(words, wanted, ["term"], "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float, min_support: int, min_chars: int) -> DataFrame:
     """(entity, term, pmi, ic) of the terms whose PMI with a protected entity is alpha * IC or more.
 
@@ -122,13 +129,19 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float, min_suppor
     of_entity = distinct.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_support)
     pairs = distinct.select("entity", F.explode("terms").alias("term")).where(F.length("term") >= min_chars)
     pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= min_support).join(of_entity, "entity")
-    pairs = materialize(pairs)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    wanted = materialize(pairs.select("term").distinct())
-    in_corpus = join_by_size(words, wanted, ["term"], "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    pmi = F.log2((F.col("n_te") / F.col("n_e")) / (F.greatest("n_t", F.lit(1)) / F.lit(float(n))))
     ic = F.log2(F.lit(float(n)) / F.col("n_e"))
-    scored = pairs.join(in_corpus, "term").select("entity", "term", pmi.alias("pmi"), ic.alias("ic"))
+
+    def pmi(n_t: str) -> Column:
+        return F.log2((F.col("n_te") / F.col("n_e")) / (F.greatest(n_t, F.lit(1)) / F.lit(float(n))))
+
+    # A term is in as many documents as have it in a context, at least: what that rules out isn't counted in the corpus.
+    in_contexts = found.select("doc_id", F.explode("terms").alias("term")).groupBy("term").agg(F.count_distinct("doc_id").alias("n_low"))
+    pairs = materialize(pairs.join(in_contexts, "term").where(pmi("n_low") >= alpha * ic).drop("n_low"))
+    # So it is with the documents of any kind; those with a sign of an address or number are few.
+    few = term_counts(docs.where(F.col("text").contains("@") | F.col("text").contains("+")), pairs).withColumnRenamed("n_t", "n_low")
+    pairs = materialize(pairs.join(few, "term", "left").where(pmi("n_low") >= alpha * ic).drop("n_low"))
+    in_corpus = term_counts(docs, pairs)
+    scored = pairs.join(in_corpus, "term").select("entity", "term", pmi("n_t").alias("pmi"), ic.alias("ic"))
     return scored.where(F.col("pmi") >= alpha * F.col("ic"))
 
 
