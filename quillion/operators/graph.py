@@ -20,7 +20,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 def oriented(edges: DataFrame) -> DataFrame:
     """(a, b, weight) of each edge both ways; a self-loop once."""
-    rows = edges.select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b"), F.col("weight") if "weight" in edges.columns else F.lit(1.0).alias("weight"))
+    rows = edges.select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b"), (F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)).alias("weight"))
     return rows.unionAll(rows.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
 
 
@@ -160,7 +160,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 def louvain(edges: DataFrame, by: str | None = None, resolution: float = 1.0, passes: int = 10) -> DataFrame:
     """(id, community) by local moves of modularity, for each workspace's graph (one graph fits a task) or the whole table."""
     key = by or "_all"
-    rows = edges.withColumn("_all", F.lit(1)).select(key, F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b"), (F.col("weight") if "weight" in edges.columns else F.lit(1.0)).alias("w"))
+    rows = edges.withColumn("_all", F.lit(1)).select(key, F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b"), (F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)).alias("w"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         names, codes = np.unique(np.concatenate([pdf["a"], pdf["b"]]).astype(str), return_inverse=True)

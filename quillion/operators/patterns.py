@@ -33,6 +33,22 @@ def co_occurrence(df: DataFrame, items: Column, least: int = 2, k: int | None =
     return out.orderBy(F.desc("n"), "a", "b").limit(k) if k is not None else out
 
 
+def top_co_occurrence(df: DataFrame, items: Column, k: int) -> DataFrame:
+    """co_occurrence's k best pairs, exactly, without forming the pairs of rare items.
+
+    Pairs of the most common items give a count that k pairs reach; items that fewer rows
+    hold can't be in a better pair.
+    """
+    rows = df.select(F.array_distinct(items).alias("x"))
+    counts = rows.select(F.explode("x").alias("i")).groupBy("i").agg(F.count("*").alias("df"))
+    common = [r["i"] for r in counts.orderBy(F.desc("df"), "i").limit(max(20, 2 * k)).collect()]
+    among = co_occurrence(rows, F.array_intersect(F.col("x"), text.strings(common)), k=k).select("n").collect()
+    bound = among[-1]["n"] if len(among) == k else 2
+    frequent = counts.where(F.col("df") >= bound).select("i")
+    spread = rows.withColumn("r", F.monotonically_increasing_id()).select("r", F.explode("x").alias("i")).join(frequent, "i")
+    return co_occurrence(spread.groupBy("r").agg(F.collect_list("i").alias("x")), F.col("x"), k=k).select("a", "b", "n")
+
+
 def topics(df: DataFrame, text_col: str = "content", k: int = 15, least: int = 2, terms_each: int = 5) -> DataFrame:
     """(topic, n, mean_confidence, top_terms) of the k most common terms: what rows that hold one are about."""
     rows = with_tokens(df, text_col).select("id", "confidence", "tokens", "terms")

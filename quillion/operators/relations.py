@@ -91,7 +91,7 @@ def near_duplicates(df: DataFrame, text_col: str = "content", created: str = "cr
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))).where(earlier & (F.col("a.id") != F.col("b.id")))
     ids = pairs.select(F.col("a.id").alias("older"), F.col("b.id").alias("newer"), F.col("a.text").alias("x"), F.col("b.text").alias("y")).dropDuplicates(["older", "newer"])
     close = F.least(F.length("x"), F.length("y")) >= (1 - most) * F.greatest(F.length("x"), F.length("y"))
-    return ids.where(close).select("older", "newer", text.edit_ratio(F.col("x"), F.col("y")).alias("ratio")).where(F.col("ratio") <= most)
+    return ids.where(close).select("older", "newer", F.when(F.col("x") == F.col("y"), 0.0).otherwise(text.edit_ratio(F.col("x"), F.col("y"))).alias("ratio")).where(F.col("ratio") <= most)
 
 
 def _least_hash(seed: int) -> Column:

@@ -1 +1,414 @@
-"""Queries."""
+"""Queries: patterns, text, graphs, entities and event windows, over the driver tables."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quillion.functions import text
+from quillion.operators import entities, filters, graph, notes, patterns, relations
+from quillion.plans.registry import Tables, query
+from quillion.plans.retrieval import rounded
+from quillion.sources import io
+from quillion.streaming import changes
+
+PT = "list_filter(regexp_extract_all(lower({c}), '[a-z0-9_]+'), lambda t: length(t) >= 3)"
+PTOK = PT.format(c="content")
+NODE_EDGE = ("kg_node", "kg_edge")
+BOTH = "o AS (SELECT source_node_id AS a, target_node_id AS b FROM kg_edge UNION SELECT target_node_id, source_node_id FROM kg_edge)"
+
+
+@query(f"SELECT unnest(list_distinct({PTOK})) AS term, count(*) AS df FROM memory GROUP BY 1 HAVING count(*) >= 2 ORDER BY df DESC, term LIMIT 20", "memory")
+def term_df_top(t: Tables) -> DataFrame:
+    return patterns.term_df(t.memory)
+
+
+@query("""
+  WITH e AS (SELECT DISTINCT user_id, event_type || '_' || CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS x FROM events),
+  p AS (SELECT a.x AS a, b.x AS b, count(*) AS n FROM e a JOIN e b ON a.user_id = b.user_id AND a.x < b.x GROUP BY 1, 2 HAVING count(*) >= 2)
+  SELECT a, b, n, round(n / (SELECT count(DISTINCT user_id) FROM events), 3) AS strength FROM p""")
+def entity_cooccurrence(t: Tables) -> DataFrame:
+    name = F.concat("event_type", F.lit("_"), (F.get_json_object("props", "$.k").cast("long") % 10).cast("string"))
+    rows = t.events.groupBy("user_id").agg(F.collect_set(name).alias("names"))
+    return patterns.co_occurrence(rows, F.col("names"))
+
+
+@query(f"""
+  WITH w AS (SELECT id, unnest(list_distinct({PTOK})) AS x FROM memory), p AS (SELECT a.x AS a, b.x AS b, count(*) AS n FROM w a JOIN w b ON a.id = b.id AND a.x < b.x GROUP BY 1, 2 HAVING count(*) >= 2)
+  SELECT a, b, n FROM p ORDER BY n DESC, a, b LIMIT 30""", "memory")
+def term_cooccurrence(t: Tables) -> DataFrame:
+    return patterns.top_co_occurrence(t.memory, text.pattern_tokens("content"), 30)
+
+
+@query(f"""
+  WITH d AS (SELECT id, confidence, {PTOK} AS t FROM memory), b AS (SELECT unnest(list_distinct(t)) AS topic, count(*) AS df FROM d GROUP BY 1 HAVING count(*) >= 2 ORDER BY df DESC, topic LIMIT 15),
+  h AS (SELECT topic, id, confidence, t FROM d JOIN b ON list_contains(t, topic)), c AS (SELECT topic, w, count(*) AS tf FROM (SELECT topic, unnest(t) AS w FROM h) GROUP BY 1, 2),
+  r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY tf DESC, w) AS k FROM c), l AS (SELECT topic, list(w ORDER BY k) AS top_terms FROM r WHERE k <= 5 GROUP BY topic)
+  SELECT topic, count(*) AS n, round(avg(confidence), 3) AS mean_confidence, any_value(top_terms) AS top_terms FROM h JOIN l USING (topic) GROUP BY topic""", "memory")
+def topic_clusters(t: Tables) -> DataFrame:
+    return patterns.topics(t.memory)
+
+
+@query(f"""
+  WITH d AS (SELECT id, created_at // 1800000000 AS bucket, list_distinct({PTOK}) AS t FROM memory), s AS (SELECT bucket, count(*) AS n, min(id) AS first_id FROM d GROUP BY bucket HAVING count(*) >= 2),
+  c AS (SELECT bucket, w, count(*) AS df FROM (SELECT bucket, unnest(t) AS w FROM d JOIN s USING (bucket)) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY df DESC, w) AS k FROM c)
+  SELECT bucket, n, first_id, l.top_terms FROM s LEFT JOIN (SELECT bucket, list(w ORDER BY k) AS top_terms FROM r WHERE k <= 5 GROUP BY bucket) l USING (bucket)""", "memory")
+def temporal_clusters_30m(t: Tables) -> DataFrame:
+    return patterns.time_clusters(t.memory)
+
+
+@query(f"""
+  WITH d AS (SELECT session_id, turn, list_distinct({PT.format(c='text')}) AS t FROM session_turn), l AS (SELECT *, lead(t, 1) OVER w AS t2, lead(t, 2) OVER w AS t3 FROM d WINDOW w AS (PARTITION BY session_id ORDER BY turn))
+  SELECT session_id, turn, list_sort(list_intersect(list_intersect(t, t2), t3)) AS shared FROM l WHERE len(list_intersect(list_intersect(t, t2), t3)) > 0""", "session_turn")
+def shared_sequences(t: Tables) -> DataFrame:
+    return patterns.shared_sequences(t.session_turn, "session_id", "turn", "text")
+
+
+@query("WITH h AS (SELECT created_at // 3600000000 % 24 AS hour, count(*) AS n FROM memory GROUP BY 1 ORDER BY n DESC, hour LIMIT 1) SELECT hour, CASE WHEN hour < 6 THEN 'night' WHEN hour < 12 THEN 'morning' WHEN hour < 18 THEN 'afternoon' ELSE 'evening' END AS part, n FROM h", "memory")
+def peak_hour(t: Tables) -> DataFrame:
+    return patterns.peak_hour(t.memory)
+
+
+EVENT_TEXT = "CASE turn % 4 WHEN 0 THEN 'We DECIDED it' WHEN 1 THEN 'todo: look?' WHEN 2 THEN 'what now?' ELSE 'fine' END"
+
+
+@query(f"""
+  WITH m AS (SELECT session_id, turn, {EVENT_TEXT} AS x FROM session_turn)
+  SELECT session_id, turn, 'question' AS event, 0.9 AS confidence FROM m WHERE x LIKE '%?%' UNION ALL SELECT session_id, turn, 'decision', 0.7 FROM m WHERE lower(x) LIKE '%decided%' UNION ALL SELECT session_id, turn, 'action_item', 0.6 FROM m WHERE lower(x) LIKE '%todo%'""", "session_turn")
+def message_events(t: Tables) -> DataFrame:
+    return patterns.message_events(t.session_turn.withColumn("x", F.expr(EVENT_TEXT)), "x").select("session_id", "turn", "event", "confidence")
+
+
+@query(r"""
+  WITH s AS (SELECT id, list_filter(list_transform(regexp_split_to_array(regexp_replace(content, '([.!?])\s+', concat('\1', chr(1)), 'g'), '[\n' || chr(1) || ']+'), lambda x: trim(x)), lambda x: x <> '') AS s FROM memory)
+  SELECT id, len(s) AS n, list_max(list_transform(s, lambda x: length(x))) AS longest FROM s WHERE len(s) > 0""", "memory")
+def sentence_stats(t: Tables) -> DataFrame:
+    rows = t.memory.select("id", text.sentences(F.col("content")).alias("s")).where(F.size("s") > 0)
+    return rows.select("id", F.size("s").alias("n"), F.array_max(F.transform("s", F.length)).alias("longest"))
+
+
+@query()
+def extractive_summary(t: Tables) -> DataFrame:
+    return patterns.extractive_summary(t.memory, most=3)
+
+
+@query("SELECT doc_id AS id, len(regexp_extract_all(text, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){2,}\\b')) > 0 AS named FROM documents")
+def quick_entities(t: Tables) -> DataFrame:
+    found = text.quick_entities(F.col("text"))
+    return t.documents.select(F.col("doc_id").alias("id"), F.exists(found, lambda e: e["type"] == "organization").alias("named"))
+
+
+@query()
+def entity_mentions(t: Tables) -> DataFrame:
+    return entities.mentions(t.memory).groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("name").alias("names"))
+
+
+WORDS_SQL = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
+
+
+@query(f"WITH w AS (SELECT doc_id AS id, {WORDS_SQL} AS w FROM documents), c AS (SELECT id, w, unnest(range(1, greatest(len(w) - 20, 1) + 1, 180)) AS s FROM w WHERE len(w) > 0) SELECT id, (s - 1) // 180 AS chunk, length(array_to_string(w[s:s + 199], ' ')) AS n FROM c")
+def word_chunks(t: Tables) -> DataFrame:
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.posexplode(text.word_chunks(F.col("text"))).alias("chunk", "c"))
+    return rows.select("id", "chunk", F.length("c").alias("n"))
+
+
+@query("WITH c AS (SELECT doc_id AS id, text, unnest(range(1, greatest(length(text) - 50, 1) + 1, 450)) AS s FROM documents WHERE length(text) > 0) SELECT id, (s - 1) // 450 AS chunk, sha256(substring(text, s, 500)) AS digest FROM c")
+def char_chunks(t: Tables) -> DataFrame:
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.posexplode(text.char_chunks(F.col("text"))).alias("chunk", "c"))
+    return rows.select("id", "chunk", F.sha2("c", 256).alias("digest"))
+
+
+@query()
+def document_chunks(t: Tables) -> DataFrame:
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.posexplode(text.document_chunks(F.col("text"))).alias("chunk", "c"))
+    return rows.groupBy("id").agg(F.count("*").alias("chunks"), F.max(F.length("c")).alias("longest"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '\\[\\[([^\\[\\]]+)\\]\\]')) AS links FROM pages")
+def wikilinks(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.size(text.wikilinks(F.col("html"))).alias("links"))
+
+
+@query()
+def note_blocks(t: Tables) -> DataFrame:
+    rows = t.documents.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("# Title\n\n- [x] done\n- item\n\n> quote\n\n"), F.substring("text", 1, 200)).alias("content"))
+    return notes.note_blocks(rows).groupBy("type", "state").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN instr(lower(text), 'idiot') > 0 THEN substring(text, greatest(instr(lower(text), 'idiot') - 60, 1), 125) ELSE substring(text, 1, 120) END AS snippet FROM documents")
+def snippets(t: Tables) -> DataFrame:
+    return t.documents.select(F.col("doc_id").alias("id"), text.snippet(F.col("text"), "idiot").alias("snippet"))
+
+
+@query("SELECT id, replace(replace(content, ' thand ', '&'), ' the ', '=') AS content FROM memory WHERE num % 3 = 0", "memory")
+def dialect_compression(t: Tables) -> DataFrame:
+    rules = {" the ": "=", " thand ": "&"}
+    return t.memory.where("num % 3 = 0").select("id", text.substitute(F.col("content"), rules).alias("content"))
+
+
+@query()
+def contradiction_scores(t: Tables) -> DataFrame:
+    a = t.session_turn.select("session_id", "turn", F.col("text").alias("a"))
+    b = t.session_turn.select("session_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    return a.join(b, ["session_id", "turn"]).select("session_id", "turn", F.round(text.contradiction_score(F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@query("SELECT id, count(*) AS degree FROM (SELECT DISTINCT unnest([source_node_id, target_node_id]) AS id, source_node_id, target_node_id, relation FROM kg_edge) GROUP BY id ORDER BY degree DESC, id LIMIT 10", "kg_edge")
+def degree_topk(t: Tables) -> DataFrame:
+    return graph.top_degrees(t.kg_edge)
+
+
+@query("""SELECT (SELECT count(*) FROM kg_node) AS nodes, (SELECT count(*) FROM kg_edge) AS edges, (SELECT count(DISTINCT community_id) FROM kg_node WHERE community_id > 0) AS communities,
+  (SELECT count(*) FROM kg_node WHERE community_id = 0) AS unassigned, (SELECT count(*) FROM kg_node WHERE id NOT IN (SELECT source_node_id FROM kg_edge UNION SELECT target_node_id FROM kg_edge)) AS orphans,
+  round(2.0 * (SELECT count(*) FROM kg_edge) / (SELECT count(*) FROM kg_node), 6) AS mean_degree""", *NODE_EDGE)
+def graph_stats(t: Tables) -> DataFrame:
+    return rounded(graph.graph_stats(t.kg_node, t.kg_edge), "mean_degree")
+
+
+@query("SELECT id, label FROM kg_node WHERE id NOT IN (SELECT source_node_id FROM kg_edge UNION SELECT target_node_id FROM kg_edge)", *NODE_EDGE)
+def orphan_nodes(t: Tables) -> DataFrame:
+    return graph.orphans(t.kg_node, t.kg_edge).select("id", "label")
+
+
+@query(f"WITH {BOTH}, m AS (SELECT a AS id, b FROM o UNION SELECT id, id FROM kg_node), c AS (SELECT m.id, count(DISTINCT n.community_id) AS communities FROM m JOIN kg_node n ON m.b = n.id GROUP BY m.id) SELECT id, communities, round((communities - 1) / ((SELECT count(DISTINCT community_id) FROM kg_node WHERE community_id > 0) - 1), 6) AS score FROM c WHERE communities >= 2 ORDER BY communities DESC, id LIMIT 20", *NODE_EDGE)
+def bridge_nodes(t: Tables) -> DataFrame:
+    return rounded(graph.bridges(t.kg_node, t.kg_edge), "score")
+
+
+@query(f"WITH {BOTH} SELECT b AS id FROM o WHERE a = 'n3' AND b <> 'n3'", "kg_edge")
+def neighbours_1hop(t: Tables) -> DataFrame:
+    return graph.neighbours(t.kg_edge, "n3")
+
+
+@query(f"WITH RECURSIVE {BOTH}, f(id, depth) AS (SELECT 'r0', 0 UNION SELECT b, depth + 1 FROM f JOIN o ON f.id = o.a WHERE depth < 3) SELECT id, min(depth) AS depth FROM f GROUP BY id", "kg_edge")
+def bfs_depth_n(t: Tables) -> DataFrame:
+    return graph.bfs(t.kg_edge, "r0", 3)
+
+
+@query(f"WITH RECURSIVE {BOTH}, f(id, depth) AS (SELECT 'n0', 0 UNION SELECT b, depth + 1 FROM f JOIN o ON f.id = o.a WHERE depth < 8) SELECT min(depth) + 1 AS nodes FROM f WHERE id = 'n10'", "kg_edge")
+def shortest_path(t: Tables) -> DataFrame:
+    return graph.shortest_path(t.kg_edge, "n0", "n10", 8).agg(F.count("*").alias("nodes"))
+
+
+PR_ROUND = """r{n} AS (SELECT i.id, 0.15 / c.n + 0.85 * (coalesce(g.got, 0) + c.loose / c.n) AS rank FROM ids i
+  LEFT JOIN (SELECT e.b AS id, sum(p.rank / d.out) AS got FROM e JOIN r{m} p ON e.a = p.id JOIN d ON e.a = d.a GROUP BY e.b) g ON i.id = g.id
+  CROSS JOIN (SELECT count(*) AS n, coalesce(sum(rank) FILTER (WHERE id NOT IN (SELECT a FROM d)), 0) AS loose FROM r{m}) c)"""
+
+
+@query(
+    "WITH e AS (SELECT source_node_id AS a, target_node_id AS b FROM kg_edge), ids AS (SELECT a AS id FROM e UNION SELECT b FROM e), d AS (SELECT a, count(*) AS out FROM e GROUP BY a), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM ids) AS rank FROM ids), "
+    + ", ".join(PR_ROUND.format(n=i + 1, m=i) for i in range(5)) + " SELECT id, round(rank / (SELECT sum(rank) FROM r5), 6) AS rank FROM r5", "kg_edge",
+)
+def pagerank(t: Tables) -> DataFrame:
+    return rounded(graph.pagerank(t.kg_edge, rounds=5, tolerance=0.0), "rank")
+
+
+@query()
+def label_propagation(t: Tables) -> DataFrame:
+    return graph.label_propagation(t.kg_edge, 5)
+
+
+@query()
+def louvain_communities(t: Tables) -> DataFrame:
+    return graph.louvain(t.kg_edge)
+
+
+@query()
+def community_modularity(t: Tables) -> DataFrame:
+    edges = t.kg_edge
+    return rounded(graph.modularity(edges, graph.louvain(edges)), "modularity")
+
+
+@query(f"WITH RECURSIVE {BOTH}, f(id, root) AS (SELECT a, a FROM o UNION SELECT o.b, f.root FROM f JOIN o ON f.id = o.a) SELECT id, min(root) AS component FROM f GROUP BY id", "kg_edge")
+def connected_components(t: Tables) -> DataFrame:
+    return graph.components(t.kg_edge)
+
+
+@query("""
+  WITH x AS (SELECT DISTINCT source_node_id, target_node_id, relation FROM supply_edge), a AS (SELECT a.source_node_id, a.target_node_id, a.relation AS relation_a, b.relation AS relation_b FROM x a JOIN x b ON a.source_node_id = b.source_node_id AND a.target_node_id = b.target_node_id AND a.relation < b.relation)
+  SELECT *, 'potential' AS kind FROM a""", "supply_edge")
+def contradictions(t: Tables) -> DataFrame:
+    return graph_contradictions(t.supply_edge)
+
+
+def graph_contradictions(edges: DataFrame) -> DataFrame:
+    return relations.edge_contradictions(edges)
+
+
+@query("SELECT source_node_id, target_node_id, relation, max(w) AS weight, count(*) AS n FROM (SELECT CAST(l_partkey AS VARCHAR) AS source_node_id, CAST(l_suppkey AS VARCHAR) AS target_node_id, l_returnflag AS relation, l_quantity AS w FROM lineitem) GROUP BY 1, 2, 3")
+def edge_dedup(t: Tables) -> DataFrame:
+    edges = t.lineitem.select(F.col("l_partkey").cast("string").alias("source_node_id"), F.col("l_suppkey").cast("string").alias("target_node_id"), F.col("l_returnflag").alias("relation"), F.col("l_quantity").alias("weight"), F.lit("EXTRACTED").alias("confidence"))
+    return relations.edge_dedup(edges).select("source_node_id", "target_node_id", "relation", "weight", "n")
+
+
+@query("SELECT source_node_id, s.label AS source_label, t.label AS target_label, relation FROM kg_edge e LEFT JOIN kg_node s ON e.source_node_id = s.id LEFT JOIN kg_node t ON e.target_node_id = t.id", *NODE_EDGE)
+def edges_with_ends(t: Tables) -> DataFrame:
+    return relations.edges_with_ends(t.kg_edge, t.kg_node).select("source_node_id", "source_label", "target_label", "relation")
+
+
+@query("SELECT DISTINCT least(a.l_partkey, b.l_partkey) AS a, greatest(a.l_partkey, b.l_partkey) AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey")
+def co_mention_edges(t: Tables) -> DataFrame:
+    mentions = t.lineitem.select(F.col("l_orderkey").alias("text_id"), F.col("l_partkey").alias("entity_id"))
+    none = t.spark.createDataFrame([], "source_node_id long, target_node_id long")
+    return graph.co_mention_edges(mentions, none).select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b"))
+
+
+@query("WITH RECURSIVE d AS (SELECT id, CASE WHEN id = 0 THEN NULL ELSE (id - 1) // 3 END AS parent_id FROM (SELECT unnest(range(0, 121)) AS id)), x(id, depth) AS (SELECT id, 0 FROM d WHERE id = 1 UNION ALL SELECT d.id, depth + 1 FROM x JOIN d ON d.parent_id = x.id WHERE depth < 10) SELECT CAST(id AS VARCHAR) AS id, depth FROM x")
+def directory_tree(t: Tables) -> DataFrame:
+    rows = t.spark.range(121).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") > 0, F.floor((F.col("id") - 1) / 3).cast("string")).alias("parent_id"), F.concat(F.lit("d"), F.col("id").cast("string")).alias("name"))
+    return graph.directory_tree(rows, "1").select("id", "depth")
+
+
+@query("""
+  WITH p AS (SELECT p_partkey AS id, lower(p_name) AS n FROM part), r AS (SELECT unnest(['RED Widget', 'Dr. blue bolt', 'hot gear Inc.', 'nothing']) AS name)
+  SELECT name, (SELECT min(id) FROM p WHERE n = CASE name WHEN 'RED Widget' THEN 'red widget' WHEN 'Dr. blue bolt' THEN 'blue bolt' WHEN 'hot gear Inc.' THEN 'hot gear' END) AS id FROM r""")
+def entity_resolution_exact(t: Tables) -> DataFrame:
+    names = t.spark.createDataFrame([("RED Widget",), ("Dr. blue bolt",), ("hot gear Inc.",), ("nothing",)], "name string")
+    known = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.array(F.upper("p_name")).alias("aliases"))
+    return entities.resolve_exact(names, known)
+
+
+def customers(t: Tables) -> DataFrame:
+    """Distinct part names as entities: few names, many rows of each, so names are made distinct first."""
+    return t.part.groupBy(F.col("p_name").alias("name")).agg(F.min(F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("id"), F.count("*").alias("mention_count"))
+
+
+@query()
+def entity_duplicates(t: Tables) -> DataFrame:
+    return rounded(entities.duplicate_pairs(customers(t), 0.5), "likeness")
+
+
+@query()
+def entity_merge(t: Tables) -> DataFrame:
+    known = customers(t).withColumns({"aliases": F.array("name"), "first_seen": F.lit(1), "last_seen": F.lit(2), "description": F.col("name")})
+    canonical = entities.canonical_ids(known, entities.duplicate_pairs(known, 0.6))
+    none = t.spark.createDataFrame([], "source_node_id string, target_node_id string, relation string")
+    return entities.merge_entities(known, none, canonical)[0].select("id", "name", "mention_count")
+
+
+@query()
+def near_duplicates(t: Tables) -> DataFrame:
+    """Conversation turns that are near copies of an earlier one."""
+    rows = t.conversations.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("content"), F.col("turn").alias("created_at"))
+    return rounded(relations.near_duplicates(rows), "ratio")
+
+
+@query(f"""
+  WITH d AS (SELECT id, list_distinct({PTOK}) AS t FROM memory)
+  SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) AS jaccard FROM d a JOIN d b ON a.id < b.id AND len(a.t) > 0 AND len(b.t) > 0
+    AND len(a.t) >= 0.7 * len(b.t) AND len(b.t) >= 0.7 * len(a.t) WHERE len(list_intersect(a.t, b.t)) >= 0.7 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))""", "memory")
+def jaccard_pairs(t: Tables) -> DataFrame:
+    return rounded(relations.jaccard_pairs(t.memory, 0.7), "jaccard")
+
+
+@query("SELECT a.p_partkey AS a, b.p_partkey AS b, round(levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6) AS ratio FROM (SELECT p_partkey, p_name, p_brand FROM part) a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) <= 0.3 AND a.p_name <> b.p_name")
+def near_duplicates_levenshtein(t: Tables) -> DataFrame:
+    a = t.part.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x"), "p_brand")
+    b = t.part.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("y"), "p_brand")
+    ratio = text.edit_ratio(F.col("x"), F.col("y"))
+    return rounded(a.join(b, "p_brand").where("a < b AND x <> y").select("a", "b", ratio.alias("ratio")).where("ratio <= 0.3"), "ratio")
+
+
+@query("SELECT source_id, target_id FROM (SELECT c_custkey AS source_id, c_custkey + 1 AS target_id FROM customer) WHERE target_id IN (SELECT c_custkey FROM customer)")
+def note_backlinks(t: Tables) -> DataFrame:
+    rows = t.customer.select(F.col("c_custkey").alias("id"), F.concat(F.lit("N"), F.col("c_custkey").cast("string")).alias("title"), F.concat(F.lit("see [[N"), (F.col("c_custkey") + 1).cast("string"), F.lit("|next]]")).alias("content"))
+    return relations.backlinks(rows).select("source_id", "target_id")
+
+
+@query("WITH c AS (SELECT * FROM (VALUES ('/', false, 1), ('/a', false, 2), ('a/b/', false, 3), ('/a/bc', false, 9), ('x', true, 0)) v(path, is_global, priority)) SELECT path FROM c WHERE is_global OR path IN ('/', '/a', 'a/b/')")
+def path_contexts(t: Tables) -> DataFrame:
+    rows = t.spark.createDataFrame([("/", False, 1), ("/a", False, 2), ("a/b/", False, 3), ("/a/bc", False, 9), ("x", True, 0)], "path string, is_global boolean, priority int")
+    return filters.path_contexts(rows, "/a/b/c").select("path")
+
+
+@query("SELECT * FROM (VALUES ('1', 'warning', 'unknown property z'), ('2', 'error', 'unknown type alien')) v(id, severity, issue)")
+def ontology_validation(t: Tables) -> DataFrame:
+    types = t.spark.createDataFrame([("thing", ["name"], None), ("person", ["age"], "thing")], "name string, properties array<string>, parent string")
+    rows = t.spark.createDataFrame([("1", "person", {"name": "a", "age": "1", "z": "2"}), ("2", "alien", {"q": "1"}), ("3", "thing", {"name": "x"})], "id string, node_type string, properties map<string,string>")
+    return filters.ontology_issues(rows, types)
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_windows(t: Tables) -> DataFrame:
+    return changes.windowed(t.events, "1 hour").select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT s AS start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS s FROM events) GROUP BY 1, 2")
+def sliding_windows(t: Tables) -> DataFrame:
+    return changes.windowed(t.events, "1 hour", "30 minutes").select("start", "event_type", "n")
+
+
+SESSION_SQL = "WITH l AS (SELECT *, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER w) {op} 7200000000)::INT, 0) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM l)"
+
+
+@query(SESSION_SQL.format(op=">") + " SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def gap_sessions(t: Tables) -> DataFrame:
+    return changes.sessions_by_gap(t.events, 7200).select("user_id", "start", "n")
+
+
+@query(SESSION_SQL.format(op=">=") + " SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def session_windows(t: Tables) -> DataFrame:
+    return changes.session_windows(t.events, "2 hours").select("user_id", "start", "n")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def streaming_windows(t: Tables) -> DataFrame:
+    """The daily window counts of a stream over the events file, run to its end."""
+    events = t.events
+    folder = tempfile.mkdtemp(prefix="quillion-stream-")
+    rows = t.spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(t._sf_dir)
+    found = changes.windowed(rows, "1 day", late="40 days").select("start", "event_type", "n")
+    name = f"windows_{abs(hash(folder))}"
+    found.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.table(name)
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS content FROM customer WHERE c_custkey < 50")
+def export_import(t: Tables) -> DataFrame:
+    """Memories written as JSON and read again."""
+    folder = tempfile.mkdtemp(prefix="quillion-export-") + "/out"
+    rows = t.customer.where("c_custkey < 50").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("content"))
+    io.export_memories(rows, folder)
+    return io.import_memories(t.spark, folder).select("id", "content")
+
+
+@query("SELECT id, bool_or(fresh) AS fresh FROM (SELECT c_custkey AS id, false AS fresh FROM customer WHERE c_custkey < 30 UNION ALL SELECT c_custkey, true FROM customer WHERE c_custkey BETWEEN 20 AND 39) GROUP BY id")
+def bundle_replace(t: Tables) -> DataFrame:
+    current = t.customer.where("c_custkey < 30").select(F.col("c_custkey").alias("id"), F.lit(False).alias("fresh"))
+    incoming = t.customer.where("c_custkey between 20 and 39").select(F.col("c_custkey").alias("id"), F.lit(True).alias("fresh"))
+    return io.merge_import(current, incoming, "replace")
+
+
+@query("SELECT page_id AS id, url AS title FROM pages")
+def rss_connector(t: Tables) -> DataFrame:
+    xml = F.concat(F.lit("<rss><item><title><![CDATA["), F.col("url"), F.lit("]]></title><link>"), F.col("page_id").cast("string"), F.lit("</link><description>x</description></item></rss>"))
+    return io.rss_items(t.pages.select(xml.alias("xml"))).select(F.col("link").cast("long").alias("id"), "title")
+
+
+@query("SELECT n_nationkey * 2 + k AS position, CASE WHEN k = 0 THEN n_name ELSE 'sub ' || n_name END AS title, k + 1 AS level FROM nation, (SELECT unnest([0, 1]) AS k)")
+def org_connector(t: Tables) -> DataFrame:
+    body = t.nation.select(F.concat(F.lit("* "), "n_name", F.lit(" :tag:\nbody\n** sub "), "n_name", F.lit("\nmore")).alias("value"), "n_nationkey")
+    rows = io.org_sections(body.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "value"))), lambda x: x["value"]), "\n").alias("value")))  # one text
+    return rows.select((F.col("position") - F.min("position").over(_all())).alias("position"), "title", "level")
+
+
+def _all():
+    from pyspark.sql import Window
+
+    return Window.orderBy("position").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+@query("SELECT id, sum(v) AS impacted FROM (SELECT n_nationkey AS id, 1 AS v FROM nation WHERE n_regionkey < 3 AND n_nationkey % 5 <> 0) GROUP BY id")
+def ripple_impact(t: Tables) -> DataFrame:
+    sources = t.nation.select(F.col("n_regionkey").alias("source_id"), F.col("n_nationkey").alias("node_id"))
+    changed = t.region.where("r_regionkey < 3").select(F.col("r_regionkey").alias("source_id"))
+    pending = t.nation.where("n_nationkey % 5 = 0").select(F.col("n_nationkey").alias("node_id"))
+    return graph.impact(changed, sources, pending).select(F.col("node_id").alias("id"), F.lit(1).cast("long").alias("impacted"))
+
+
+@query("SELECT count(*) AS n FROM memory WHERE is_active", "memory")
+def parameterised_sql(t: Tables) -> DataFrame:
+    t.memory.createOrReplaceTempView("memory_view")
+    return t.spark.sql("SELECT count(*) AS n FROM memory_view WHERE is_active = :active", args={"active": True})

@@ -121,9 +121,9 @@ VIEWS = {
         UNION ALL SELECT concat('s', CAST(s_suppkey AS VARCHAR(20))), 'supplier', s_name, '', s_suppkey % 5 FROM supplier
         UNION ALL SELECT concat('p', CAST(p_partkey AS VARCHAR(20))), 'part', p_name, p_type, 0 FROM part""",
     "kg_edge": """
-        SELECT concat('c', CAST(c_custkey AS VARCHAR(20))) AS source_node_id, concat('n', CAST(c_nationkey AS VARCHAR(20))) AS target_node_id, 'lives_in' AS relation, 1.0 AS weight FROM customer
-        UNION ALL SELECT concat('n', CAST(n_nationkey AS VARCHAR(20))), concat('r', CAST(n_regionkey AS VARCHAR(20))), 'part_of', 1.0 FROM nation
-        UNION ALL SELECT concat('s', CAST(s_suppkey AS VARCHAR(20))), concat('n', CAST(s_nationkey AS VARCHAR(20))), 'based_in', 1.0 FROM supplier""",
+        SELECT concat('c', CAST(c_custkey AS VARCHAR(20))) AS source_node_id, concat('n', CAST(c_nationkey AS VARCHAR(20))) AS target_node_id, 'lives_in' AS relation, CAST(1 AS DOUBLE) AS weight FROM customer
+        UNION ALL SELECT concat('n', CAST(n_nationkey AS VARCHAR(20))), concat('r', CAST(n_regionkey AS VARCHAR(20))), 'part_of', CAST(1 AS DOUBLE) FROM nation
+        UNION ALL SELECT concat('s', CAST(s_suppkey AS VARCHAR(20))), concat('n', CAST(s_nationkey AS VARCHAR(20))), 'based_in', CAST(1 AS DOUBLE) FROM supplier""",
     "supply_edge": """
         SELECT concat('p', CAST(l_partkey AS VARCHAR(20))) AS source_node_id, concat('s', CAST(l_suppkey AS VARCHAR(20))) AS target_node_id,
           CASE WHEN l_returnflag = 'R' THEN 'returned_to' ELSE 'supplied_by' END AS relation, CAST(count(*) AS DOUBLE) AS weight

@@ -124,13 +124,13 @@ def next_jobs(jobs: DataFrame, n: int) -> DataFrame:
 def windowed(events: DataFrame, size: str, slide: str | None = None, late: str = "1 hour", time: str = "ts") -> DataFrame:
     """(start, end, event_type, n, total) by event time; as a stream, rows later than `late` are dropped."""
     w = F.window(time, size, slide) if slide else F.window(time, size)
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     return rows.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("w.start", "w.end", "event_type", "n", "total")
 
 
 def session_windows(events: DataFrame, gap: str, by: str = "user_id", late: str = "1 hour", time: str = "ts") -> DataFrame:
     """(by, start, end, n) of runs of events without a gap; a stream drops rows later than `late`."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    rows = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
     return rows.groupBy(by, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n")).select(by, "w.start", "w.end", "n")
 
 
