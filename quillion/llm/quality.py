@@ -97,14 +97,14 @@ def verdict(rules=RULES) -> Column:
     n_words, n_lines = F.col("n_words"), F.col("n_lines")
     features = {
         "n_words": n_words,
-        "mean_word_chars": F.col("word_chars") / n_words,
-        "symbol_ratio": F.col("n_symbols") / n_words,
-        "mark_ratio": F.col("n_marks") / n_words,
-        "upper_ratio": F.col("n_upper") / F.col("word_chars"),
-        "stop_ratio": F.col("n_stop") / n_words,
-        "dup_line_ratio": F.col("n_dup_lines") / n_lines,
-        "bullet_line_ratio": F.col("n_bullet_lines") / n_lines,
-        "ellipsis_line_ratio": F.col("n_ellipsis_lines") / n_lines,
+        "mean_word_chars": F.try_divide("word_chars", n_words),
+        "symbol_ratio": F.try_divide("n_symbols", n_words),
+        "mark_ratio": F.try_divide("n_marks", n_words),
+        "upper_ratio": F.try_divide("n_upper", F.col("word_chars")),
+        "stop_ratio": F.try_divide("n_stop", n_words),
+        "dup_line_ratio": F.try_divide("n_dup_lines", n_lines),
+        "bullet_line_ratio": F.try_divide("n_bullet_lines", n_lines),
+        "ellipsis_line_ratio": F.try_divide("n_ellipsis_lines", n_lines),
     }
     passed = F.lit(True)
     for name, least, most in rules:
