@@ -67,3 +67,11 @@ def join_by_size(big: DataFrame, small: DataFrame, on: list[str], how: str = "in
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once, however often the body reads it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def unused(stem: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever its case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillion.llm.common import join_by_size, materialize
+from quillion.llm.common import join_by_size, materialize, unused
 
 BLOCK = 64
 
@@ -108,16 +108,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     has an empty text. Rows that repeat a doc_id count as one document and fare alike; a
     null doc_id sorts first. Columns of docs named n_lines or n_removed are replaced.
     """
-    kept = kept_lines(docs, id_col, text_col, min_near_chars).groupBy("doc_id").agg(F.collect_list("pos").alias("_kept"))
-    kept = kept.withColumnRenamed("doc_id", "_kept_id")
     rows = docs.drop("n_lines", "n_removed")
-    joined = rows.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left")
+    kept_id, kept_pos, lines, stay = (unused(name, rows) for name in ("_kept_id", "_kept", "_lines", "_stay"))
+    kept = kept_lines(docs, id_col, text_col, min_near_chars).groupBy(F.col("doc_id").alias(kept_id)).agg(F.collect_list("pos").alias(kept_pos))
+    joined = rows.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)), "left")
     blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
-    stays = F.filter(F.col("_all"), lambda x, i: blank(x) | F.coalesce(F.array_contains("_kept", i), F.lit(False)))
-    joined = joined.withColumn("_all", F.explode(F.array(F.split(F.coalesce(text_col, F.lit("")), "\n")))).withColumn("_stays", F.explode(F.array(stays)))
-    text = F.when(F.col(text_col).isNotNull(), F.array_join("_stays", "\n")).alias(text_col)
+    stays = F.filter(F.col(lines), lambda x, i: blank(x) | F.coalesce(F.array_contains(kept_pos, i), F.lit(False)))
+    joined = joined.withColumn(lines, F.explode(F.array(F.split(F.coalesce(text_col, F.lit("")), "\n")))).withColumn(stay, F.explode(F.array(stays)))
+    text = F.when(F.col(text_col).isNotNull(), F.array_join(stay, "\n")).alias(text_col)
     out = [text if c == text_col else F.col(c) for c in rows.columns]
-    return joined.select(*out, F.size("_all").cast("long").alias("n_lines"), (F.size("_all") - F.size("_stays")).cast("long").alias("n_removed"))
+    return joined.select(*out, F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(stay)).cast("long").alias("n_removed"))
 
 
 def line_dedup_query(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillion.llm.common import bind, materialize
+from quillion.llm.common import bind, materialize, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 SCALE = float(2**53)
@@ -188,9 +188,11 @@ def mix(
 
 def shards(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The mixed corpus: docs with a row for each copy, and its shard, sorted by place within it."""
-    placed = mixed.select(F.col("doc_id").alias("_id"), F.explode("copies").alias("_c"))
-    rows = docs.join(placed.select("_id", F.col("_c.shard").alias("shard"), F.col("_c.place").alias("_place")), F.col(id_col).eqNullSafe(F.col("_id")))
-    return rows.repartition("shard").sortWithinPartitions("shard", "_place").drop("_id", "_place")
+    rows = docs.drop("shard")
+    mixed_id, place = unused("_id", rows), unused("_place", rows)
+    placed = mixed.select(F.col("doc_id").alias(mixed_id), F.explode("copies").alias("c"))
+    rows = rows.join(placed.select(mixed_id, F.col("c.shard").alias("shard"), F.col("c.place").alias(place)), F.col(id_col).eqNullSafe(F.col(mixed_id)))
+    return rows.repartition("shard").sortWithinPartitions("shard", place).drop(mixed_id, place)
 
 
 def mix_query(spark, sf_dir: str) -> DataFrame:
@@ -204,8 +206,9 @@ def mixed_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -
 
     Rows that repeat an id get the copies of one of them.
     """
-    added = mixed.select(
-        F.col("doc_id").alias("_id"), "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), F.transform("copies", lambda c: c["shard"]).alias("shards")
-    ).dropDuplicates(["_id"])
     rows = docs.drop("size", "source_size", "target", "taken", "shards")
-    return rows.join(added, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id")
+    mixed_id = unused("_id", rows)
+    added = mixed.select(
+        F.col("doc_id").alias(mixed_id), "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), F.transform("copies", lambda c: c["shard"]).alias("shards")
+    ).dropDuplicates([mixed_id])
+    return rows.join(added, F.col(id_col).eqNullSafe(F.col(mixed_id))).drop(mixed_id)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillion.llm.common import connected_components, materialize
+from quillion.llm.common import connected_components, materialize, unused
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LANES = np.uint64(0x0101010101010101)
@@ -176,8 +176,9 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     Rows that repeat the kept id all stay. Rows without an id stay only in components in which
     no row has one.
     """
-    found = near_duplicates(docs, **options).where("id <=> component_id").select(F.col("id").alias("_kept_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept_id = unused("_kept_id", docs)
+    found = near_duplicates(docs, **options).where("id <=> component_id").select(F.col("id").alias(kept_id)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
 
 
 def simhash_query(spark, sf_dir: str) -> DataFrame:
