@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillion.llm.common import unused
+
 WORD = re.compile(r"[^\W\d_]+")
 GRADES = 4
 PREFIXES = (4, 5, 6, 7)
@@ -44,14 +46,25 @@ class OrdinalModel:
 
     def probabilities(self, text: str | None) -> np.ndarray:
         """P(grade >= 1), P(grade >= 2), ... of one text."""
+        if not self.vocabulary:
+            return np.zeros(len(self.thresholds))
         counts, score = terms(text), 0.0
         for term in counts.keys() & self.vocabulary.keys():
             score += self.weights[self.vocabulary[term]] * (1 + np.log(counts[term]))
         return 1 / (1 + np.exp(np.clip(self.thresholds - score, -700, 700)))
 
 
-def choose_terms(texts: list[str | None], toxic: np.ndarray, most: int, least_df: int = 4, least_z: float = 4.0) -> list[str]:
-    """Terms whose document frequencies differ between the classes, by log-odds z-score.
+def root_ratio(b: int, g: int, nb: int, ng: int) -> float:
+    """Square root of the likelihood ratio statistic for a term in b of nb and g of ng texts; it holds for rare terms too."""
+    n, total = nb + ng, 0.0
+    for seen, row, col in ((b, nb, b + g), (g, ng, b + g), (nb - b, nb, n - b - g), (ng - g, ng, n - b - g)):
+        if seen:
+            total += seen * np.log(seen * n / (row * col))
+    return float(np.sqrt(max(0.0, 2 * total)))
+
+
+def choose_terms(texts: list[str | None], toxic: np.ndarray, most: int, least_df: int = 4, least_root: float = 4.0) -> list[str]:
+    """Terms whose document frequencies differ between the classes, by likelihood ratio.
 
     A table of hashed counts tells the terms that fewer than least_df texts hold, so that only
     the others are kept in memory.
@@ -68,10 +81,8 @@ def choose_terms(texts: list[str | None], toxic: np.ndarray, most: int, least_df
         b, g = bad[term], good[term]
         if b + g < least_df:
             continue
-        odds = np.log((b + 0.5) / (nb - b + 0.5)) - np.log((g + 0.5) / (ng - g + 0.5))
-        z = odds / np.sqrt(1 / (b + 0.5) + 1 / (g + 0.5))
-        if abs(z) >= least_z:
-            scored.append((-abs(z), term, (term[: PREFIXES[0]], b, g)))
+        if (z := root_ratio(b, g, nb, ng)) >= least_root:
+            scored.append((-z, term, (term[: PREFIXES[0]], b, g)))
     kept, seen = [], set()
     for _, term, same in sorted(scored):  # a word and its beginnings with the same counts are one feature
         if same not in seen:
@@ -164,14 +175,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 3000, model: O
     both classes every severity is 0; repeated rows are each scored; an empty table gives none.
     """
     model = model or train(docs, labels, per_class)
-    rows = docs.select("*", severity(docs.sparkSession, F.col("text"), model).alias("_scored"))
+    scored = unused("_scored", docs)
+    rows = docs.select("*", severity(docs.sparkSession, F.col("text"), model).alias(scored))
     kept = [c for c in docs.columns if c not in ("severity", "grade", "toxic")]
-    return rows.select(*kept, "_scored.severity", "_scored.grade", (F.col("_scored.grade") >= 1).alias("toxic"))
+    return rows.select(*kept, f"{scored}.severity", f"{scored}.grade", (F.col(f"{scored}.grade") >= 1).alias("toxic"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without those found toxic; same columns."""
-    return toxicity(docs.select("*", F.lit(1).alias("_one")), labels, **options).where("not toxic").select(*docs.columns)
+def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 3000, model: OrdinalModel | None = None) -> DataFrame:
+    """docs without those found toxic; same columns, with their own values."""
+    model = model or train(docs, labels, per_class)
+    return docs.where(severity(docs.sparkSession, F.col("text"), model)["grade"] < 1)
 
 
 def toxicity_query(spark, sf_dir: str) -> DataFrame:
