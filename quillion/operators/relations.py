@@ -75,23 +75,29 @@ def sessions_by_shared_peers(hits: DataFrame, participants: DataFrame, factor: f
     return hits.select("session_id", "score").unionByName(hop).groupBy("session_id").agg(F.max("score").alias("score"))
 
 
-def near_duplicates(df: DataFrame, text_col: str = "content", created: str = "created_at", most: float = 0.3, prefix: int = 12) -> DataFrame:
-    """(older, newer, ratio): pairs within an edit ratio, blocked by MinHash bands.
-
-    Candidates share one of 8 bands of 3 minima over their 5-character shingles and differ in
-    length by the ratio at most; pairs without a shared band aren't compared.
+def near_duplicates(df: DataFrame, text_col: str = "content", created: str = "created_at", most: float = 0.3) -> DataFrame:
+    """(older, newer, ratio): rows within an edit ratio of an earlier text, blocked by MinHash bands.
+
+    Rows of one text form a class, which its earliest row stands for: other rows of the class
+    are linked to that one (ratio 0), and only classes are compared, so that copies aren't
+    expanded into all pairs. Candidates share one of 8 bands of 3 minima over their
+    5-character shingles and differ in length by the ratio at most; pairs without a shared
+    band aren't compared.
     """
-    grams = F.transform(text.shingles(F.lower(F.col(text_col)), 5), lambda g: F.xxhash64(g))
-    rows = df.select("id", F.col(created).alias("created"), F.col(text_col).alias("text"), grams.alias("g")).where(F.size("g") > 0)
+    rows = df.select("id", F.col(created).alias("created"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    classes = rows.groupBy("text").agg(F.min(F.struct("created", "id")).alias("first"))
+    copies = rows.join(classes, "text").where(F.struct("created", "id") != F.col("first")).select(F.col("first.id").alias("older"), F.col("id").alias("newer"), F.lit(0.0).alias("ratio"))
+    grams = F.transform(text.shingles(F.lower(F.col("text")), 5), lambda g: F.xxhash64(g))
     mins = [_least_hash(i) for i in range(24)]
     bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*mins[3 * b : 3 * b + 3]).alias("key")) for b in range(8)])
-    keyed = rows.select("id", "created", "text", F.explode(bands).alias("b")).select("id", "created", "text", "b.band", "b.key")
+    keyed = classes.select("first", F.length("text").alias("n"), grams.alias("g")).where(F.size("g") > 0).select("first", "n", F.explode(bands).alias("b")).select("first", "n", "b.band", "b.key")
     a, b = keyed.alias("a"), keyed.alias("b")
-    earlier = (F.col("a.created") < F.col("b.created")) | ((F.col("a.created") == F.col("b.created")) & (F.col("a.id") < F.col("b.id")))
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))).where(earlier & (F.col("a.id") != F.col("b.id")))
-    ids = pairs.select(F.col("a.id").alias("older"), F.col("b.id").alias("newer"), F.col("a.text").alias("x"), F.col("b.text").alias("y")).dropDuplicates(["older", "newer"])
-    close = F.least(F.length("x"), F.length("y")) >= (1 - most) * F.greatest(F.length("x"), F.length("y"))
-    return ids.where(close).select("older", "newer", F.when(F.col("x") == F.col("y"), 0.0).otherwise(text.edit_ratio(F.col("x"), F.col("y"))).alias("ratio")).where(F.col("ratio") <= most)
+    close = F.least("a.n", "b.n") >= (1 - most) * F.greatest("a.n", "b.n")
+    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.first") < F.col("b.first"))).where(close)
+    pairs = met.select(F.col("a.first").alias("x"), F.col("b.first").alias("y")).distinct()
+    pairs = pairs.join(classes.select(F.col("first").alias("x"), F.col("text").alias("s")), "x").join(classes.select(F.col("first").alias("y"), F.col("text").alias("t")), "y")
+    near = pairs.select(F.col("x.id").alias("older"), F.col("y.id").alias("newer"), text.edit_ratio(F.col("s"), F.col("t")).alias("ratio"))
+    return near.where(F.col("ratio") <= most).unionByName(copies)
 
 
 def _least_hash(seed: int) -> Column:
