@@ -133,7 +133,7 @@ def wikilinks(t: Tables) -> DataFrame:
 
 @query()
 def note_blocks(t: Tables) -> DataFrame:
-    rows = t.documents.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("# Title\n\n- [x] done\n- item\n\n> quote\n\n"), F.substring("text", 1, 200)).alias("content"))
+    rows = t.documents.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("# Title\n\n- [x] done\n- item\n\n> quote\n\n"), F.col("text")).alias("content"))
     return notes.note_blocks(rows).groupBy("type", "state").agg(F.count("*").alias("n"))
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillion.operators import graph, relations, search, textquery
+from quillion.plans import registry
 from quillion.streaming import changes
 
 
@@ -69,3 +70,10 @@ def test_lost_updates_do_not_reappear(spark):
     log = [("memory", "insert", "a", '{"v": 1}', 1), ("memory", "update", "a", '{"v": 2}', 2), ("memory", "insert", "b", '{"v": 3}', 3), ("memory", "delete", "b", "{}", 4)]
     frame = spark.createDataFrame(log, "table_name string, operation string, record_id string, data_json string, created_at long").withColumn("id", F.monotonically_increasing_id().cast("string"))
     assert {r.record_id for r in changes.current_state(frame).collect()} == {"a"}
+
+
+def test_note_blocks_parses_whole_texts(spark, tmp_path):
+    """Lines after a document's first 200 characters are blocks of its note, too."""
+    spark.createDataFrame([(1, "a" * 300 + "\n- late item\n> late quote\n")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.type, r.state): r.n for r in registry.QUERIES["note_blocks"](spark, str(tmp_path)).collect()}
+    assert got["list_item", "none"] == 2 and got["quote", "none"] == 2
