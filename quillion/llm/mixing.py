@@ -14,6 +14,7 @@ and a join with the table of blocks, whose size max_blocks bounds.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -68,7 +69,44 @@ def permuted(sizes: DataFrame, seed: int, bucket_rows: int) -> DataFrame:
     within = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = rows.join(sums, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
-    return joined.withColumn("start", F.col("base") + F.col("inner")).drop("place", "bucket", "base", "inner", "_source", "_bucket")
+    return joined.withColumn("start", F.col("base") + F.col("inner")).drop("base", "inner", "_source", "_bucket")
+
+
+def filled(rows: DataFrame, most_epochs: int) -> DataFrame:
+    """rows (source, size, target, place, bucket, epochs, ...) with copies added until no document with an epoch left fits its source's gap.
+
+    epochs: an array of (epoch, at), `at` being the middle of the copy in the source's words. In
+    a round, the documents that fit take what is left in order: those with the fewest epochs
+    first, then those of half the gap or less, then the permuted order; the first always fits.
+    Where a document of half the gap or less crosses the target, the gap is halved; otherwise all of
+    those are taken, and a larger one that fits halves it. So rounds grow with the logarithm of
+    the gap. Windows hold a bucket, or a source's buckets.
+    """
+    same = lambda other: F.col("source").eqNullSafe(F.col(other))
+    words = rows.groupBy(F.col("source").alias("_source")).agg((F.max("target") - F.sum(F.col("size") * F.size("epochs"))).alias("gap"))
+    rows = rows.join(F.broadcast(materialize(words)), same("_source")).drop("_source")
+    fits = (F.col("size") > 0) & (F.size("epochs") < most_epochs) & (F.col("size") <= F.col("gap"))
+    columns, done, open_rows = rows.columns, [rows.where(~fits)], rows.where(fits)
+    while not open_rows.isEmpty():
+        open_rows = open_rows.withColumn("used", F.size("epochs")).withColumn("large", F.col("size") * 2 > F.col("gap"))
+        keys = ["source", "used", "large", "bucket"]
+        sums = open_rows.groupBy(*keys).agg(F.sum("size").alias("words"))
+        before = Window.partitionBy("source").orderBy("used", "large", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
+        based = open_rows.join(F.broadcast(materialize(sums)), same("_source") & (F.col("used") == F.col("_used")) & (F.col("large") == F.col("_large")) & (F.col("bucket") == F.col("_bucket")))
+        reached = F.col("base") < F.col("gap")
+        within = Window.partitionBy(*keys).orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+        near = based.where(reached).withColumn("first", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+        near = near.withColumn("added", F.when(F.col("first") + F.col("size") <= F.col("gap"), F.col("size")).otherwise(F.lit(0)))
+        copy = F.struct(F.col("used").alias("epoch"), (F.col("target") - F.col("gap") + F.col("first") + F.col("size") / 2).alias("at"))
+        near = near.withColumn("epochs", F.when(F.col("added") > 0, F.concat("epochs", F.array(copy))).otherwise(F.col("epochs")))
+        far = based.where(~reached).withColumn("added", F.lit(0).cast("long"))
+        moved = materialize(near.select(*columns, "added").unionByName(far.select(*columns, "added")))
+        gained = materialize(moved.groupBy(F.col("source").alias("_source")).agg(F.sum("added").alias("gained")))
+        moved = moved.join(F.broadcast(gained), same("_source")).withColumn("gap", F.col("gap") - F.col("gained")).select(*columns)
+        done.append(moved.where(~fits))
+        open_rows = moved.where(fits)
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def draw_left(seed: int, level: int):
@@ -129,15 +167,15 @@ def mix(
     block_words: int = 1 << 14,
     max_blocks: int = 1 << 16,
     bucket_rows: int = 20_000,
-    closing_rounds: int = 3,
     seed: int = 42,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies): what the mix takes of each document.
 
     size: the text's words, runs other than ASCII white space (null: 0). copies: an array of
     (epoch, shard, place), one for each time that the document is taken, empty if never; rows of
-    a shard in the order of place are the shuffled shard. A source's words stop
-    short of its target by less than what its smallest unused document would add; no document is taken more than most_epochs times.
+    a shard in the order of place are the shuffled shard. A source's words stop short of its
+    target by less than its smallest document with an epoch left (and words) would add; no
+    document is taken more than most_epochs times.
 
     A null source is one source, the last; null and empty texts have size 0 and are taken as
     often as their source's whole epochs, which adds no words; repeated rows are documents of
@@ -157,30 +195,24 @@ def mix(
     place = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("source", "block", F.lit(seed)), "block")) - 1
     dealt = numbered.withColumn("place", place).alias("n").join(ranges.alias("r"), F.col("n.source").eqNullSafe(F.col("r.source")) & (F.col("n.place") >= F.col("r.first")) & (F.col("n.place") < F.col("r.last")))
     blocks = dealt.groupBy(F.col("n.source").alias("_source")).agg(F.map_from_entries(F.collect_list(F.struct("block", "shard"))).alias("_shards"))  # max_blocks and the sources bound it
-    goal = targets.withColumnRenamed("source", "_source").join(blocks.withColumnRenamed("_source", "_source2"), F.col("_source").eqNullSafe(F.col("_source2")), "left").drop("_source2")
-    goal = materialize(goal)
+    blocks = materialize(blocks)
+    goal = targets.withColumnRenamed("source", "_source")
 
-    rows = materialize(permuted(sizes, seed, bucket_rows)).join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = permuted(sizes, seed, bucket_rows).join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     whole = lambda e: e * F.col("source_size") + F.col("start") + F.col("size") <= F.col("target")
     taken = lambda e: F.when(F.col("size") > 0, whole(e)).otherwise((e + 1) * F.col("source_size") <= F.col("target"))
-    rows = rows.withColumn("epochs", F.filter(F.sequence(F.lit(0), F.lit(most_epochs - 1)), taken))
-    # What is short of the target is filled by the largest document that fits and still has an epoch, a few times.
-    for _ in range(closing_rounds):
-        gap = rows.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.size("epochs"))).alias("gap"))
-        gap = gap.withColumnRenamed("source", "_source")
-        spare = rows.where((F.size("epochs") < most_epochs) & (F.col("size") > 0)).join(F.broadcast(gap), F.col("source").eqNullSafe(F.col("_source")))
-        closing = spare.where("size <= gap").groupBy("_source").agg(F.max(F.struct("size", F.xxhash64("doc_id", F.lit(seed)), "doc_id"))["doc_id"].alias("_closing"))
-        rows = rows.join(F.broadcast(materialize(closing)), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-        chosen = F.when(F.col("doc_id") == F.col("_closing"), F.concat("epochs", F.array(F.size("epochs")))).otherwise(F.col("epochs"))
-        rows = rows.withColumn("epochs", chosen).drop("_closing")
-    last_block = F.greatest(F.ceil(F.col("target") / block).cast("long") - 1, F.lit(0))
     middle = lambda e: e * F.col("source_size") + F.col("start") + F.col("size") / 2
+    epochs = F.filter(F.sequence(F.lit(0), F.lit(most_epochs - 1)), taken)
+    rows = materialize(rows.withColumn("epochs", F.transform(epochs, lambda e: F.struct(e.alias("epoch"), middle(e).cast("double").alias("at")))))
+    # A document that crosses the target leaves a gap before it, whatever its length; smaller ones fill it.
+    rows = filled(rows, most_epochs).join(F.broadcast(blocks), F.col("source").eqNullSafe(F.col("_source")), "left")
+    last_block = F.greatest(F.ceil(F.col("target") / block).cast("long") - 1, F.lit(0))
     copies = F.transform(
         "epochs",
         lambda e: F.struct(
-            e.alias("epoch"),
-            F.coalesce(F.element_at(F.col("_shards"), F.least(F.floor(middle(e) / block), last_block).cast("long")), F.lit(0)).alias("shard"),
-            F.xxhash64("doc_id", e, F.lit(seed + 2)).alias("place"),
+            e["epoch"].alias("epoch"),
+            F.coalesce(F.element_at(F.col("_shards"), F.least(F.floor(e["at"] / block), last_block).cast("long")), F.lit(0)).alias("shard"),
+            F.xxhash64("doc_id", e["epoch"], F.lit(seed + 2)).alias("place"),
         ),
     )
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))

@@ -54,3 +54,18 @@ def test_shards_and_empty(spark):
     copies = sum(len(r.copies) for r in mixed.collect())
     assert mixing.shards(docs, mixed).count() == copies
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"bucket_rows": 50}])
+def test_no_unused_document_fits_the_gap(spark, options):
+    """A very long document across the cut doesn't end a source; repeated ids and exact fits included."""
+    rows = [(i, "long", "w " * 10) for i in range(2000)] + [(5000 + i, "long", "w " * 20000) for i in range(2)]
+    rows += [(10000 + i, "odd", "x " * (1 + i * i % 977)) for i in range(300)] + [(10000, "odd", "x " * 3)] * 4 + [(20000, "huge", "y " * 90000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), **options).collect()
+    assert len(got) == len(rows)
+    for s in ("long", "odd", "huge"):
+        of = [r for r in got if r.source == s]
+        gap = of[0].target - sum(r.size * len(r.copies) for r in of)
+        assert gap >= -1e-6
+        assert all(r.size > gap for r in of if r.size and len(r.copies) < 3)
+        assert all(sorted(c.epoch for c in r.copies) == list(range(len(r.copies))) for r in of)
