@@ -64,14 +64,27 @@ def signature_likeness(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.size(a)
 
 
-def duplicate_pairs(entities: DataFrame, least: float = 0.85, hashes: int = 64, rows: int = 4) -> DataFrame:
-    """(a, b, likeness): entities with equal normalised names, or with likeness of `least` or more and a band of minima in common."""
-    signed = entities.select("id", text.normalise_name(F.col("name")).alias("key")).where("key <> ''").withColumn("s", signature(F.col("key"), hashes))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(hashes // rows - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(F.slice(F.col("s"), b * rows + 1, F.lit(rows))).alias("h")))
-    keyed = signed.select("id", "key", "s", F.explode(bands).alias("b"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    pairs = a.join(b, F.col("a.b") == F.col("b.b")).where(F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.when(F.col("a.key") == F.col("b.key"), 1.0).otherwise(signature_likeness(F.col("a.s"), F.col("b.s"))).alias("likeness"))
-    return pairs.where(F.col("likeness") >= least).distinct()
+def duplicate_pairs(entities: DataFrame, least: float = 0.85, n: int = 3) -> DataFrame:
+    """(a, b, likeness): entities with equal normalised names (1), and names whose character n-grams overlap (Jaccard) by `least` or more.
+
+    Names are compared, not entities: the smallest id stands for its normalised name, and the
+    others of the name are linked to it. Prefix filtering: a pair that reaches the bound shares
+    one of its rarest n-grams, so names meet on those only and no pair is missed.
+    """
+    keyed = entities.select("id", text.normalise_name(F.col("name")).alias("key")).where("key <> ''")
+    names = keyed.groupBy("key").agg(F.min("id").alias("first"))
+    copies = keyed.join(names, "key").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("likeness")).distinct()
+    spread = names.select("first", F.explode(text.shingles(F.col("key"), n)).alias("gram"))
+    counts = spread.groupBy("gram").agg(F.count("*").alias("df"))
+    ordered = spread.join(counts, "gram").groupBy("first").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: x["gram"]).alias("g"))
+    size = F.size("g")
+    # The margin covers rounding of the product; the likeness decides.
+    met = ordered.select("first", "g", F.explode(F.slice("g", F.lit(1), size - F.ceil(F.lit(least) * size - 1e-9).cast("int") + 1)).alias("gram"))
+    x, y = met.alias("x"), met.alias("y")
+    close = F.least(F.size("x.g"), F.size("y.g")) >= F.lit(least) * F.greatest(F.size("x.g"), F.size("y.g")) - 1e-9
+    pairs = x.join(y, F.col("x.gram") == F.col("y.gram")).where((F.col("x.first") < F.col("y.first")) & close)
+    pairs = pairs.select(F.col("x.first").alias("a"), F.col("y.first").alias("b"), text.jaccard(F.col("x.g"), F.col("y.g")).alias("likeness"))
+    return pairs.where(F.col("likeness") >= least).distinct().unionByName(copies)
 
 
 def canonical_ids(entities: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,33 +77,33 @@ def sessions_by_shared_peers(hits: DataFrame, participants: DataFrame, factor: f
     return hits.select("session_id", "score").unionByName(hop).groupBy("session_id").agg(F.max("score").alias("score"))
 
 
-def near_duplicates(df: DataFrame, text_col: str = "content", created: str = "created_at", most: float = 0.3) -> DataFrame:
-    """(older, newer, ratio): rows within an edit ratio of an earlier text, blocked by MinHash bands.
+def near_duplicates(df: DataFrame, text_col: str = "content", created: str = "created_at", most: float = 0.3, tile_rows: int = 2_000) -> DataFrame:
+    """(older, newer, ratio): all pairs of different texts within an edit ratio (`most`, under 1), and copies.
 
     Rows of one text form a class, which its earliest row stands for: other rows of the class
     are linked to that one (ratio 0), and only classes are compared, so that copies aren't
-    expanded into all pairs. Candidates share one of 8 bands of 3 minima over their
-    5-character shingles and differ in length by the ratio at most; pairs without a shared
-    band aren't compared.
+    expanded into all pairs. Every pair of classes whose lengths allow the ratio is verified;
+    at 0.3, q-grams rule out next to no pair of prose (of n characters, 0.1 n shared trigrams
+    do). Classes meet by level of length, in tiles of tile_rows or so, which are dealt out in pairs.
     """
     rows = df.select("id", F.col(created).alias("created"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     classes = rows.groupBy("text").agg(F.min(F.struct("created", "id")).alias("first"))
     copies = rows.join(classes, "text").where(F.struct("created", "id") != F.col("first")).select(F.col("first.id").alias("older"), F.col("id").alias("newer"), F.lit(0.0).alias("ratio"))
-    grams = F.transform(text.shingles(F.lower(F.col("text")), 5), lambda g: F.xxhash64(g))
-    mins = [_least_hash(i) for i in range(24)]
-    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*mins[3 * b : 3 * b + 3]).alias("key")) for b in range(8)])
-    keyed = classes.select("first", F.length("text").alias("n"), grams.alias("g")).where(F.size("g") > 0).select("first", "n", F.explode(bands).alias("b")).select("first", "n", "b.band", "b.key")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    close = F.least("a.n", "b.n") >= (1 - most) * F.greatest("a.n", "b.n")
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.first") < F.col("b.first"))).where(close)
-    pairs = met.select(F.col("a.first").alias("x"), F.col("b.first").alias("y")).distinct()
-    pairs = pairs.join(classes.select(F.col("first").alias("x"), F.col("text").alias("s")), "x").join(classes.select(F.col("first").alias("y"), F.col("text").alias("t")), "y")
-    near = pairs.select(F.col("x.id").alias("older"), F.col("y.id").alias("newer"), text.edit_ratio(F.col("s"), F.col("t")).alias("ratio"))
-    return near.where(F.col("ratio") <= most).unionByName(copies)
-
-
-def _least_hash(seed: int) -> Column:
-    return F.array_min(F.transform("g", lambda h: F.xxhash64(h, F.lit(seed))))
+    sized = classes.select("first", "text", F.length("text").alias("n")).where("n > 0")
+    tiles = max(1, math.ceil(sized.count() / tile_rows))
+    # A longer text that the ratio allows is of the same level or the next; the margin covers rounding.
+    level = F.floor(F.log("n") / F.lit(1e-9 - math.log(1 - most)))
+    sized = sized.withColumn("level", level).withColumn("tile", F.pmod(F.xxhash64("text"), F.lit(tiles)))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))
+    shorter = sized.select(F.col("first").alias("x"), F.col("text").alias("s"), F.col("n").alias("x_n"), "level", F.col("tile").alias("x_tile"), F.explode(every).alias("y_tile"))
+    longer = sized.withColumn("level", F.explode(F.array(F.col("level"), F.col("level") - 1)))
+    longer = longer.select(F.col("first").alias("y"), F.col("text").alias("t"), F.col("n").alias("y_n"), "level", F.explode(every).alias("x_tile"), F.col("tile").alias("y_tile"))
+    ordered = (F.col("x_n") < F.col("y_n")) | (F.col("x_n") == F.col("y_n")) & (F.col("x") < F.col("y"))
+    pairs = shorter.join(longer.hint("shuffle_hash"), ["level", "x_tile", "y_tile"]).where(ordered & (F.col("y_n") - F.col("x_n") <= F.ceil(F.lit(most) * F.col("y_n"))))
+    # -1: beyond the bound, which is rounded up; the ratio decides.
+    apart = pairs.select(F.least("x", "y")["id"].alias("older"), F.greatest("x", "y")["id"].alias("newer"), "y_n", F.expr(f"levenshtein(s, t, cast(ceil({most!r}D * y_n) as int))").alias("edits"))
+    near = apart.where((F.col("edits") >= 0) & (F.col("edits") / F.col("y_n") <= most)).select("older", "newer", (F.col("edits") / F.col("y_n")).alias("ratio"))
+    return near.unionByName(copies)
 
 
 def jaccard_pairs(df: DataFrame, least: float, text_col: str = "content", stop_share: float = 0.2) -> DataFrame:

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillion.operators import graph, relations, search, textquery
+from quillion.functions import text
+from quillion.operators import entities, graph, relations, search, textquery
 from quillion.plans import registry
 from quillion.streaming import changes
 
@@ -77,3 +78,52 @@ def test_note_blocks_parses_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "a" * 300 + "\n- late item\n> late quote\n")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.type, r.state): r.n for r in registry.QUERIES["note_blocks"](spark, str(tmp_path)).collect()}
     assert got["list_item", "none"] == 2 and got["quote", "none"] == 2
+
+
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_near_duplicates_find_every_pair(spark):
+    """Pairs whose edits are spread evenly, at ratios up to the bound itself, against all pairs."""
+    draw = random.Random(3)
+    texts = ["", "a"]
+    for n in (10, 20, 40, 61):
+        body = "".join(draw.choice("abcdefgh ") for _ in range(n))
+        texts.append(body)
+        for share in (0.1, 0.2, 0.3, 0.31):
+            texts.append("".join("X" if int((i + 1) * share + 1e-9) > int(i * share + 1e-9) else c for i, c in enumerate(body)))
+            texts.append("".join(c for i, c in enumerate(body) if int((i + 1) * share + 1e-9) == int(i * share + 1e-9)))
+    texts = list(dict.fromkeys(texts))
+    rows = [(f"m{i:03d}", t, i) for i, t in enumerate(texts)]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[2] < b[2] and edits(a[1], b[1]) / max(len(a[1]), len(b[1]), 1) <= 0.3}
+    frame = spark.createDataFrame(rows, "id string, content string, created_at long")
+    for tile_rows in (2000, 10):
+        got = [(r.older, r.newer) for r in relations.near_duplicates(frame, tile_rows=tile_rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("least", [0.5, 0.6, 0.85])
+def test_duplicate_pairs_find_every_pair(spark, least):
+    draw = random.Random(5)
+    stems = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(4, 14))) for _ in range(25)]
+    names = sorted({s[:i] + draw.choice("xyz") * k + s[i + k :] for s in stems for i in (0, len(s) // 2, len(s) - 1) for k in (0, 1, 2)})
+    frame = spark.createDataFrame([(f"e{i:03d}", x) for i, x in enumerate(names)] + [("z1", names[0].upper()), ("z2", "ab")], "id string, name string")
+    keys = {r.id: r.key for r in frame.select("id", text.normalise_name(F.col("name")).alias("key")).collect()}
+    of = {}
+    for i, key in sorted(keys.items()):
+        of.setdefault(key, []).append(i)
+    grams = {k: {k[i : i + 3] for i in range(len(k) - 2)} or {k} for k in of}
+    want = {(ids[0], other): 1.0 for ids in of.values() for other in ids[1:]}
+    for x in of:
+        for y in of:
+            likeness = len(grams[x] & grams[y]) / len(grams[x] | grams[y])
+            if of[x][0] < of[y][0] and likeness >= least:
+                want[of[x][0], of[y][0]] = likeness
+    got = entities.duplicate_pairs(frame, least).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.likeness for r in got} == pytest.approx(want)
