@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillion.functions import text
+from quillion.sources.shared import saved
 
 
 def versioned(df: DataFrame, key: str, start: str, *order: str) -> DataFrame:
@@ -106,23 +107,36 @@ def near_duplicates(df: DataFrame, text_col: str = "content", created: str = "cr
     return near.unionByName(copies)
 
 
-def jaccard_pairs(df: DataFrame, least: float, text_col: str = "content", stop_share: float = 0.2) -> DataFrame:
-    """(a, b, jaccard): pairs of rows whose distinct pattern tokens overlap by `least` or more.
+def jaccard_pairs(df: DataFrame, least: float, text_col: str = "content") -> DataFrame:
+    """(a, b, jaccard): pairs of rows whose distinct pattern tokens overlap by `least` or more; a < b.
 
-    Prefix filtering: a pair that reaches the bound shares one of its rarest tokens, so rows meet
-    on those only: of n tokens, the n - ceil(least n) + 1 rarest.
+    Rows of equal token sets form a class, which its smallest id stands for: the others are
+    linked to that one (1.0), and only classes are compared. Prefix filtering with places: of n
+    tokens, rarest first, a pair that reaches the bound shares one of the n - ceil(least n) + 1
+    first, and the tokens after a shared one must be enough for the overlap that the sizes ask
+    for. Candidates are ids and places only; the sets, as 64-bit hashes of their tokens, are
+    joined to the distinct ones. Rows without tokens match nothing.
     """
-    rows = df.select("id", F.array_distinct(text.pattern_tokens(text_col)).alias("t")).where(F.size("t") > 0)
-    counts = rows.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    spread = rows.select("id", F.explode("t").alias("term")).join(counts, "term")
-    ordered = spread.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "term"))), lambda x: x["term"]).alias("t"))
-    n = F.size("t")
-    keyed = ordered.select("id", "t", F.explode(F.slice("t", F.lit(1), n - F.ceil(F.lit(least) * n).cast("int") + 1)).alias("term"))
+    tokens = F.array_sort(F.array_distinct(F.transform(text.pattern_tokens(text_col), lambda w: F.xxhash64(w))))
+    rows = df.select("id", tokens.alias("t")).where(F.size("t") > 0).withColumn("key", F.sha2(F.to_json(F.struct("t")), 256))
+    rows = saved(rows)
+    classes = saved(rows.groupBy("key").agg(F.min("id").alias("id"), F.any_value("t").alias("t")))
+    copies = rows.select("key", F.col("id").alias("b")).join(classes.select("key", F.col("id").alias("a")), "key").where("a <> b").select("a", "b", F.lit(1.0).alias("jaccard"))
+    spread = classes.select("id", F.size("t").alias("n"), F.explode("t").alias("term"))
+    counts = spread.groupBy("term").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "term"))  # one text's tokens
+    kept = F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1
+    keyed = saved(spread.join(counts, "term").withColumn("place", place).where(kept & (F.col("df") > 1)).select("id", "n", "term", "place"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    like = (F.size("a.t") >= least * F.size("b.t")) & (F.size("b.t") >= least * F.size("a.t"))
-    pairs = a.join(b, F.col("a.term") == F.col("b.term")).where((F.col("a.id") < F.col("b.id")) & like)
-    scored = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), text.jaccard(F.col("a.t"), F.col("b.t")).alias("jaccard")).where(F.col("jaccard") >= least)
-    return scored.distinct()
+    size, other = F.col("a.n"), F.col("b.n")
+    most = F.least(size - F.col("a.place"), other - F.col("b.place")) + F.least("a.place", "b.place")  # shared tokens, if all before and after are
+    like = (size >= least * other) & (other >= least * size) & (most * (1 + least) >= least * (size + other) - 1e-9)
+    pairs = saved(a.join(b, F.col("a.term") == F.col("b.term")).where((F.col("a.id") < F.col("b.id")) & like).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+    sets = classes.select("id", "t")
+    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    near = joined.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("jaccard")).where(F.col("jaccard") >= least)
+    return near.unionByName(copies)
 
 
 def merge_suggestions(pairs: DataFrame) -> DataFrame:

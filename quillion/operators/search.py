@@ -32,14 +32,16 @@ def postings(df: DataFrame, text_col: str = "content", stop: list[str] = text.ST
 def bm25(df: DataFrame, terms: list[str], text_col: str = "content", avgdl_mode: str = "doc", stop: list[str] = text.STOP_WORDS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of the documents that hold a query term.
 
-    Only the query's terms are counted, in one pass over the texts: no index is shuffled.
+    Statistics need the length of every document, so one pass splits all texts, once each, and
+    keeps five or so numbers a row; texts without a query term in them are counted, not scored.
     avgdl_mode: mean length over documents, or ("posting") over the matched postings.
     """
     terms = list(dict.fromkeys(terms))
-    tokens = df.select("id", text.tokens(text_col, stop).alias("t"))
-    counts = [_count_of(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = tokens.select("id", F.size("t").cast("long").alias("doc_length"), *counts)
     hits = [F.col(f"tf{i}") for i in range(len(terms))]
+    counted = lambda t: F.struct(F.size(t).cast("long").alias("doc_length"), *[F.size(F.filter(t, _equals(x))).cast("long").alias(f"tf{i}") for i, x in enumerate(terms)])
+    # A one-element array binds the tokens: otherwise each count would split the text again.
+    rows = df.select("id", F.explode(F.transform(F.array(text.tokens(text_col, stop)), counted)).alias("c")).select("id", "c.*")
+    any_hit = sum((h for h in hits), F.lit(0)) > 0
     stats = rows.agg(
         F.count(F.when(F.col("doc_length") > 0, 1)).alias("n"),
         F.sum("doc_length").alias("words"),
@@ -51,14 +53,15 @@ def bm25(df: DataFrame, terms: list[str], text_col: str = "content", avgdl_mode:
         mean = F.try_divide(total, sum((F.col(f"df{i}") for i in range(len(terms))), F.lit(0)))
     else:
         mean = F.try_divide("words", "n")
-    scored = rows.crossJoin(F.broadcast(stats.withColumn("mean", F.coalesce(mean, F.lit(1.0)))))  # one row
+    found = df.where(F.exists(text.strings(terms), lambda x: F.contains(F.lower(F.col(text_col)), x)))
+    found = found.select("id", F.explode(F.transform(F.array(text.tokens(text_col, stop)), counted)).alias("c")).select("id", "c.*")
+    scored = found.crossJoin(F.broadcast(stats.withColumn("mean", F.coalesce(mean, F.lit(1.0)))))  # one row
     score = sum((scoring.bm25_idf(F.col(f"df{i}"), F.col("n")) * scoring.bm25_tf(h.cast("double"), F.col("doc_length"), F.col("mean"), k1, b) for i, h in enumerate(hits)), F.lit(0.0))
-    any_hit = sum((h for h in hits), F.lit(0)) > 0
     return scored.where(any_hit).select("id", score.alias("score"))
 
 
-def _count_of(term: str) -> Column:
-    return F.size(F.filter("t", lambda x: x == term)).cast("long")
+def _equals(term: str):
+    return lambda x: x == term
 
 
 def semantic(index: DataFrame, query: list[float], memories: DataFrame | None = None, now: int | None = None, least: float = 0.1) -> DataFrame:

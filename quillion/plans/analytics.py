@@ -296,9 +296,10 @@ def near_duplicates(t: Tables) -> DataFrame:
 
 
 @query(f"""
-  WITH d AS (SELECT id, list_distinct({PTOK}) AS t FROM memory)
-  SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) AS jaccard FROM d a JOIN d b ON a.id < b.id AND len(a.t) > 0 AND len(b.t) > 0
-    AND len(a.t) >= 0.7 * len(b.t) AND len(b.t) >= 0.7 * len(a.t) WHERE len(list_intersect(a.t, b.t)) >= 0.7 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))""", "memory")
+  WITH r AS (SELECT id, list_sort(list_distinct({PTOK})) AS t FROM memory), d AS (SELECT min(id) AS id, t FROM r WHERE len(t) > 0 GROUP BY t)
+  SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) AS jaccard FROM d a JOIN d b ON a.id < b.id
+    AND len(a.t) >= 0.7 * len(b.t) AND len(b.t) >= 0.7 * len(a.t) WHERE len(list_intersect(a.t, b.t)) >= 0.7 * (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))
+  UNION ALL SELECT d.id, r.id, 1.0 FROM d JOIN r USING (t) WHERE d.id <> r.id""", "memory")
 def jaccard_pairs(t: Tables) -> DataFrame:
     return rounded(relations.jaccard_pairs(t.memory, 0.7), "jaccard")
 
