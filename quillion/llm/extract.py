@@ -1,10 +1,12 @@
 """Main-text extraction by tree scoring.
 
-A page is read into a light tree. Parts that are page furniture by tag, role or name are cut.
-Each remaining block with some text of its own has points for its length and its commas; they
-go to the block's parent in full, to the grandparent by half and to the next ancestor by a
-third. An ancestor's score is discounted by its share of link text. The best container is
-kept, with those of its siblings that score or read like it.
+A page is read into a light tree. Parts that are page furniture by tag, role or name are cut;
+a name counts only if all its words tell of furniture ("cookie-notice", but not "market-share"),
+and nothing that holds the page's article or most of its text is cut. Each remaining block with
+some text of its own has points for its length and its commas; they go to the block's parent in
+full, to the grandparent by half and to the next ancestor by a third. An ancestor's score is
+discounted by its share of link text. The best container is kept whole, with those of its
+siblings that score or read like it.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql import functions as F
 
 # Fixed values of the HTML standard: elements by how they are parsed and laid out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math select".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
+SELECT = frozenset("select option optgroup".split())
 BLOCK = frozenset(
     """address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot
@@ -28,15 +31,26 @@ BLOCK = frozenset(
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tfoot"), "tfoot": ("thead", "tbody"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "tfoot": ("table",)}
 
-CUT_TAGS = frozenset("head nav footer aside form button fieldset dialog menu search object canvas audio video label".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+
+CUT_TAGS = frozenset("head nav footer aside form button fieldset dialog menu search object canvas audio video label select datalist".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tooltip".split())
-CUT_NAMES = frozenset(
-    """ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies
-    consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup signin login sidebar
-    side widget menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar header comment comments
-    commentlist disqus reply replies respond discussion share sharing social related recommended recommendations
+#: Words of names that tell of furniture, wherever it stands.
+FURNITURE = frozenset(
+    """ad ads adbox adsense advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos
+    promotion banner cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription
+    signup signin login sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar
+    comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations
     toolbar pager pagination search form skip tags taglist""".split()
 )
+#: Words that may stand beside those in a name.
+BESIDE = frozenset(
+    """site page main global top bottom left right primary secondary inner outer box bar area wrapper wrap container
+    block section list items item buttons button links link icons panel column col row unit slot zone group holder text
+    message posts stories articles news article post blog entry story reader readers user the thread js id tree nested
+    desktop mobile sticky fixed header menu""".split()
+)
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 KEPT_TAGS = frozenset("html body article main".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -53,7 +67,6 @@ class Node:
     score: float = 0.0
     text: int = 0
     linked: int = 0
-    links: int = 0
 
 
 def attributes(node: Node) -> dict[str, str]:
@@ -61,7 +74,11 @@ def attributes(node: Node) -> dict[str, str]:
 
 
 def parse(page: str) -> Node:
-    """The tree of a page; unclosed and stray tags are mended as browsers do in the plain cases."""
+    """The tree of a page; unclosed and stray tags are mended as browsers do in the plain cases.
+
+    An element of raw text ends at its end tag or with the page, an empty <svg/> at once, and
+    an open <select> at the first start tag that can't be in it.
+    """
     root = Node("#root", None)
     top, at, size = root, 0, len(page)
     while at < size:
@@ -78,18 +95,20 @@ def parse(page: str) -> Node:
         if m[1]:
             top = close(top, tag)
             continue
+        if top.tag in SELECT and tag not in SELECT and tag not in RAW and tag not in ("hr", "b", "i", "span"):
+            top = close(top, "select")
         if tag in BLOCK:
             top = close_paragraph(top)
         if tag in CLOSES:
             top = close_open(top, CLOSES[tag], SCOPE.get(tag, ()))
         node = Node(tag, top, m[3])
         top.children.append(node)
+        empty = m[3].endswith("/")
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else size
-        elif tag not in VOID and not m[3].endswith("/"):
-            top = node
-        elif tag not in VOID and tag in BLOCK:
+            if not (empty and tag == "svg"):
+                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                at = stop.end() if stop else size
+        elif tag not in VOID and (not empty or tag in BLOCK):
             top = node
     return root
 
@@ -123,17 +142,77 @@ def close_open(top: Node, tags: tuple[str, ...], scope: tuple[str, ...]) -> Node
     return last
 
 
-def furniture(node: Node) -> bool:
+def furniture_name(names: str) -> set[str]:
+    """The furniture words of class and id names that consist of such words and their companions."""
+    found: set[str] = set()
+    for name in names.split():
+        words = [w.lower() for w in NAME.findall(name) if not w.isdigit()]
+        if words and all(w in FURNITURE or w in BESIDE for w in words):
+            found.update(w for w in words if w in FURNITURE)
+            if "header" in words and all(w in ("header", "site", "page", "global", "main", "top") for w in words):
+                found.add("header")
+    return found
+
+
+@dataclass(slots=True)
+class Page:
+    """What decides whether a part may be cut: articles, headlines and text of each node before cutting."""
+
+    articles: int
+    text: int
+    of: dict[Node, tuple[int, int, int]]
+
+    def holds_article(self, node: Node, most: bool = True) -> bool:
+        """Whether a node holds the page's article or main element, its headline, or most of its text."""
+        articles, headlines, text = self.of[node]
+        if self.articles:
+            return articles > 0
+        return headlines > 0 or most and 2 * text > self.text
+
+
+def surveyed(root: Node) -> Page:
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if not isinstance(c, str))
+    of: dict[Node, list[int]] = {n: [0, 0, 0] for n in order}
+    for node in reversed(order):
+        mine = of[node]
+        if node.tag in ("article", "main"):
+            mine[0] += 1
+        elif node.tag == "h1":
+            mine[1] += 1
+        if node.tag not in RAW and node.tag != "a":
+            mine[2] += sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        else:
+            mine[2] = 0
+        if node.parent is not None:
+            of[node.parent] = [x + y for x, y in zip(of[node.parent], mine, strict=True)]
+    return Page(of[root][0], of[root][2], {n: tuple(x) for n, x in of.items()})
+
+
+def inside(node: Node, *tags: str) -> bool:
+    up = node.parent
+    while up is not None and up.tag not in tags:
+        up = up.parent
+    return up is not None
+
+
+def furniture(node: Node, page: Page) -> bool:
     """Whether a node is no part of the page's article, by its tag, role, state or names."""
     tag = node.tag
-    if tag in RAW or tag in CUT_TAGS:
+    if tag in RAW:
         return True
+    if tag in CUT_TAGS:
+        if tag == "footer" and inside(node, "blockquote"):
+            return False
+        return tag not in ("form", "fieldset", "label") or not page.holds_article(node)
     found = attributes(node)
     if tag == "header":
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        return up is None
+        if inside(node, "article", "main"):
+            return False
+        return bool(page.articles) or not page.of[node][1] or node.parent is None or node.parent.tag in ("body", "html", "#root")
     if not found or tag in ("html", "body"):
         return False
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
@@ -141,20 +220,23 @@ def furniture(node: Node) -> bool:
     if tag in KEPT_TAGS:
         return False
     if found.get("role", "").lower() in CUT_ROLES or found.get("itemprop", "") == "comment":
-        return True
-    if tag not in BLOCK and tag not in ("span", "ins"):
+        return not page.holds_article(node)
+    if tag not in BLOCK and tag not in ("span", "ins") or tag in HEADINGS or inside(node, "pre", "code"):
         return False
-    return any(x.lower() in CUT_NAMES for x in NAME.findall(f"{found.get('class', '')} {found.get('id', '')}"))
+    words = furniture_name(f"{found.get('class', '')} {found.get('id', '')}")
+    if "header" in words and len(words) == 1 and inside(node, "article", "main"):
+        return False
+    return bool(words) and not page.holds_article(node, most=not words & COMMENTS)
 
 
 def measured(root: Node) -> list[Node]:
     """Cut furniture, count text and link text, and give points; nodes in page order."""
     order: list[Node] = []
-    stack = [root]
+    stack, page = [root], surveyed(root)
     while stack:
         node = stack.pop()
         order.append(node)
-        node.children = [c for c in node.children if isinstance(c, str) or not furniture(c)]
+        node.children = [c for c in node.children if isinstance(c, str) or not furniture(c, page)]
         stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
     own: dict[Node, list[str]] = {}
     for node in order:
@@ -167,11 +249,10 @@ def measured(root: Node) -> list[Node]:
                 own.setdefault(block, []).append(child)
     for node in reversed(order):
         if node.tag == "a":
-            node.linked, node.links = node.text, 1
+            node.linked = node.text
         if node.parent is not None:
             node.parent.text += node.text
             node.parent.linked += node.linked
-            node.parent.links += node.links
     for block, parts in own.items():
         text = " ".join("".join(parts).split())
         if len(text) < 25 or block.tag == "#root":
@@ -207,23 +288,43 @@ def containers(root: Node) -> list[Node]:
     if best.parent is None or best.tag in ("body", "html"):
         return [best]
     least = max(10.0, 0.2 * final.get(best, 0.0))
+    family = runs(best.parent)
+    place = family.index(best)
     kept = []
-    for other in best.parent.children:
-        if isinstance(other, str):
-            continue
-        reads = other.tag == "p" and other.text > 80 and density(other) < 0.25
-        if other is best or final.get(other, 0.0) >= least or reads:
+    for k, other in enumerate(family):
+        scores = final.get(other, 0.0) >= least or other.tag == "p" and other.text > 80 and density(other) < 0.25
+        if up is not None:  # the page names its article: others must read like it, and a headline may stand before it
+            alike = scores or other.tag in HEADINGS and k + 1 == place
+        else:
+            alike = scores if other.tag == "article" else scores or other.tag in HEADINGS or density(other) < 0.5
+        if other is best or alike and other.text:
             kept.append(other)
     return kept
 
 
+def runs(parent: Node) -> list[Node]:
+    """A node's blocks, and its runs of text and inline elements between them as blocks of their own."""
+    found: list[Node] = []
+    for child in parent.children:
+        if not isinstance(child, str) and (child.tag in BLOCK or child.score > 0):
+            found.append(child)
+            continue
+        if not found or found[-1].tag != "#run":
+            found.append(Node("#run", parent))
+        run = found[-1]
+        run.children.append(child)
+        run.text += len(" ".join(child.split())) if isinstance(child, str) else child.text
+        run.linked += 0 if isinstance(child, str) else child.linked
+    return found
+
+
 def blocks_of(node: Node) -> list[str]:
-    """The texts of a container's blocks, white space single, in page order."""
+    """The texts of a container's blocks, character references decoded, white space single, in page order."""
     found: list[str] = []
     parts: list[str] = []
 
     def flush() -> None:
-        if text := " ".join(html.unescape("".join(parts)).split()):
+        if text := " ".join("".join(parts).split()):
             found.append(text)
         parts.clear()
 
@@ -233,11 +334,9 @@ def blocks_of(node: Node) -> list[str]:
         if item is None:
             flush()
         elif isinstance(item, str):
-            parts.append(item)
+            parts.append(html.unescape(item))
         elif item.tag in ("br", "wbr"):
             parts.append(" " if item.tag == "br" else "")
-        elif item.tag in BLOCK and item.links >= 3 and density(item) > 0.67 and item is not node and item.tag in ("ul", "ol", "div", "section", "table"):
-            flush()
         else:
             if item.tag in BLOCK:
                 flush()

@@ -31,3 +31,64 @@ def test_table(spark):
     text = "\n".join(ARTICLE)
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got.collect()) == [(0, "", 0), (1, text, len(text)), (1, text, len(text)), (2, "", 0)]
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+BODY = "A long paragraph of the article, with commas, that says a good deal more than any menu would, number {}."
+
+
+def article(inner: str, before: str = "", after: str = "") -> str:
+    return f"<html><body>{before}<nav><a href=/>Home</a></nav><article><h1>Headline</h1><p>{BODY.format(1)}</p>{inner}<p>{BODY.format(2)}</p></article>{after}</body></html>"
+
+
+KEPT = [
+    ("<div class='article-header'><h2>Sub</h2><p>The lead.</p></div>", ["Sub", "The lead."]),
+    ("<div class='market-share'><p>Shares rose.</p></div>", ["Shares rose."]),
+    ("<section id='side-effects'><p>Few are known.</p></section>", ["Few are known."]),
+    ("<div class='content has-sidebar'><p>Part of it.</p></div>", ["Part of it."]),
+    ("<ul><li><a href=1>Source one</a></li><li><a href=2>Source two</a></li><li><a href=3>Source three</a></li></ul>", ["Source one", "Source two", "Source three"]),
+    ("<p>a<svg/>b</p>", ["ab"]),
+    ("<p>x<svg><text>no</text></svg>y</p>", ["xy"]),
+    ("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p>", ["where x=2 holds"]),
+    ("<select><option>no<p>after</p>", ["after"]),
+    ("<div>loose <b>bold</b> words<div>inner</div></div>", ["loose bold words", "inner"]),
+    ("<pre>code <span class='comment'># kept</span></pre>", ["code # kept"]),
+    ("<blockquote>Said.<footer>An author</footer></blockquote>", ["Said.", "An author"]),
+    ("<p>1 &lt; 2 &am<b>p;</b> 3</p>", ["1 < 2 &amp; 3"]),
+    ("<table><tr><td>a<td>b<tr><td>c</table>", ["a", "b", "c"]),
+]
+CUT = [
+    "<div class='ad-box'><p>Buy, buy, buy: the best advert that was ever put between two paragraphs.</p></div>", "<aside>Teaser</aside>", "<div id=cookieNotice>Cookies</div>", "<div class='comments'><p>I disagree.</p></div>",
+    "<ul class='share-buttons'><li>Tweet</ul>", "<div class='newsletter-signup'>Subscribe</div>", "<form><input><label>Name</label></form>", "<script>var a = '<p>x</p>'</script>", "<style>p{}</style>", "<!-- <p>x</p> -->", "<div role=navigation>menu</div>",
+    "<nav class=breadcrumbs><a href=/>x</a></nav>", "<footer>By</footer>", "<section id='related-posts'><p>More, more, more of this, and of that, and what else there is to read.</p></section>", "<textarea>x</textarea>", "<div hidden>x</div>",
+]
+
+
+def test_what_stays_and_what_goes_inside_an_article():
+    """The expected blocks are stated by hand, part by part, and then all parts in one page."""
+    first, last = ["Headline", BODY.format(1)], [BODY.format(2)]
+    for inner, blocks in KEPT:
+        assert extract.main_text(article(inner)).split("\n") == first + blocks + last, inner
+    for inner in CUT:
+        assert extract.main_text(article(inner)).split("\n") == first + last, inner
+        assert extract.main_text(article("", before=inner, after=inner)).split("\n") == first + last, inner
+    every = "".join(inner + cut for (inner, _), cut in zip(KEPT, CUT, strict=False) if "<select>" not in inner)
+    want = [b for inner, blocks in KEPT[: len(CUT)] if "<select>" not in inner for b in blocks]
+    assert extract.main_text(article(every)).split("\n") == first + want + last
+
+
+def test_pages_without_an_article_element():
+    head = "<div class='site-header'>Site</div><div class=menu><a href=1>a</a></div>"
+    body = f"<div><p>{BODY.format(1)}</p><p>{BODY.format(2)}</p></div>"
+    short = "<div><p>A short one.</p></div>"
+    text = [BODY.format(1), BODY.format(2)]
+    assert extract.main_text(f"<body>{head}{body}{short}</body>").split("\n") == [*text, "A short one."]
+    assert extract.main_text(f"<body>{head}<h2>Part</h2>{body}<ul><li>x<li>y</ul></body>").split("\n") == ["Part", *text, "x", "y"]
+    assert extract.main_text(f"<body><form id=aspnet>{head}{body}</form></body>").split("\n") == text
+    assert extract.main_text(f"<body><div class='page-with-comments'>{body}<div class=comments><p>{BODY.format(3)}</p></div></div></body>").split("\n") == text
+    assert extract.main_text(f"<body><div class='sidebar'>{body}</div></body>").split("\n") == text
+    assert extract.main_text(f"<body><div id=content><header><h1>T</h1></header><p>{BODY.format(1)}</p></div></body>").split("\n") == ["T", BODY.format(1)]
+
+
+def test_very_long_page():
+    parts = [BODY.format(k) for k in range(40_000)]
+    assert extract.main_text(article("".join(f"<p>{p}</p>" for p in parts))).split("\n")[2:-1] == parts
