@@ -4,22 +4,27 @@ An occurrence of a passage of m characters with at most e edits shares at least
 m + 1 - q - e * q of its q-grams with the text, all on diagonals (text offset less passage
 offset) that lie within e of each other. Shared q-grams are counted in diagonal bands of
 2 (e + 1) with a stride of e + 1, so some band holds a whole occurrence; bands that reach the
-bound are verified by an alignment that stays within the band.
+bound are verified by an alignment that stays within the band. q is 8, or 4 for passages too
+short for their edit budget at 8. A q-gram that both sides repeat is counted once for each of
+its places in the passage and band, so that repetitive texts take linear memory.
 
 The benchmark is a stated query set: it is read in blocks of a bounded size, each sent to the
-tasks, and all documents are scanned against each block without a shuffle.
+tasks, and all documents are scanned against one block after the other without a shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Q = 8
+from quillion.llm.common import materialize
+
+Q, SHORT_Q = 8, 4
+SLICE = 1 << 20
 BITS = 20
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 HIT = "array<struct<item_id:long,start:int,end:int,distance:int>>"
@@ -46,6 +51,11 @@ def grams(points: np.ndarray, q: int) -> np.ndarray:
     return keys & np.uint64((1 << 8 * q) - 1) if q < 8 else keys
 
 
+def budget(size, edit_rate: float):
+    """The edits that a passage of so many characters may have."""
+    return (edit_rate * np.asarray(size) + 1e-9).astype(np.int64)
+
+
 class PassageIndex:
     """The q-grams of one block of passages: where each occurs, and each passage's bounds."""
 
@@ -55,7 +65,7 @@ class PassageIndex:
         self.ids = [i for i, _ in kept]
         self.passages = [p for _, p in kept]
         size = np.array([len(p) for p in self.passages], np.int64)
-        self.edits = np.maximum(0, np.minimum((edit_rate * size).astype(np.int64), (size - q) // q))
+        self.edits = np.maximum(0, np.minimum(budget(size, edit_rate), (size - q) // q))
         self.least = size + 1 - q - self.edits * q
         self.short = [k for k, p in enumerate(self.passages) if len(p) < q]
         keys = [grams(p, q) for p in self.passages]
@@ -83,19 +93,53 @@ class PassageIndex:
         at, where = at[same], where[same]
         if not len(at):
             return []
-        times = self.count[where]
-        total = int(times.sum())
-        step = np.arange(total) - np.repeat(np.cumsum(times) - times, times)
-        entry = np.repeat(self.first[where], times) + step
-        item = self.item[entry]
-        band = (np.repeat(at, times) - self.offset[entry]) // (self.edits[item] + 1)
-        code = item * (1 << 32) + band + (1 << 31)
-        bands, count = np.unique(np.concatenate([code, code - 1]), return_counts=True)
+        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for more in self._shared(at, where, len(points)):
+            new, times = np.unique(more, return_counts=True)
+            codes, back = np.unique(np.concatenate([codes, new]), return_inverse=True)
+            counts = np.bincount(back, weights=np.concatenate([counts, times])).astype(np.int64)
+        bands, back = np.unique(np.concatenate([codes, codes - 1]), return_inverse=True)
+        count = np.bincount(back, weights=np.concatenate([counts, counts]))
         found = bands[count >= self.least[bands >> 32]]
         item = found >> 32
         start = ((found & 0xFFFFFFFF) - (1 << 31)) * (self.edits[item] + 1)
         return list(zip(item.tolist(), start.tolist(), strict=True))
 
+    def _shared(self, at: np.ndarray, where: np.ndarray, size: int) -> Iterator[np.ndarray]:
+        """Codes (passage, band) of shared q-grams, in slices of bounded size.
+
+        at: text offsets whose gram is the index's gram `where`. A gram with many places on
+        both sides gives a code for each band that has a place in it, found by binary search.
+        """
+        times = self.count[where]
+        occurrences = np.bincount(where, minlength=len(self.keys))
+        heavy = occurrences * self.count > SLICE // 16
+        light = ~heavy[where]
+        some, its, n = at[light], where[light], times[light]
+        ends = np.cumsum(n)
+        low = 0
+        while low < len(n):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + SLICE, side="right")))
+            part, each = slice(low, high), n[low:high]
+            step = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+            entry = np.repeat(self.first[its[part]], each) + step
+            item = self.item[entry]
+            yield item * (1 << 32) + (np.repeat(some[part], each) - self.offset[entry]) // (self.edits[item] + 1) + (1 << 31)
+            low = high
+        for gram in np.flatnonzero(heavy).tolist():
+            spots = at[where == gram]
+            entries = np.arange(self.first[gram], self.first[gram] + self.count[gram])
+            for width in np.unique(self.edits[self.item[entries]] + 1).tolist():
+                own = entries[self.edits[self.item[entries]] + 1 == width]
+                n_bands = (int(spots[-1]) - int(spots[0])) // width + 3
+                for k in range(0, len(own), max(1, SLICE // n_bands)):
+                    part = own[k : k + max(1, SLICE // n_bands)]
+                    item, offset = self.item[part], self.offset[part]
+                    band = (spots[0] - offset)[:, None] // width + np.arange(n_bands)[None, :]
+                    edge = np.searchsorted(spots, (band * width + offset[:, None]).ravel()).reshape(band.shape)
+                    row, col = np.nonzero(np.diff(edge, axis=1))
+                    yield item[row] * (1 << 32) + band[row, col] + (1 << 31)
+
     def hits(self, texts: Iterable[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item_id, start, end, edits) of the best occurrence in each run of overlapping bands."""
         spans: list[dict[int, list[tuple[int, int, int]]]] = []
@@ -200,45 +244,65 @@ def align(passages: list[np.ndarray], regions: list[np.ndarray], skips: list[int
     return result
 
 
-def passage_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = 4_000_000) -> list[list[tuple[int, str]]]:
-    """The benchmark in blocks of about block_chars characters, by a hash of the id."""
+class Block:
+    """One block of passages: those whose edit budget fits q-grams of 8, and the others."""
+
+    def __init__(self, items: list[tuple[int, str]], edit_rate: float = 0.1):
+        sizes = np.array([len((t or "").strip()) for _, t in items], np.int64)
+        fits = budget(sizes, edit_rate) <= np.maximum(0, (sizes - Q) // Q)
+        self.parts = [PassageIndex([x for x, f in zip(items, fits.tolist(), strict=True) if f == long], edit_rate, q) for long, q in ((True, Q), (False, SHORT_Q))]
+
+    def hits(self, texts: pd.Series) -> list[list[tuple[int, int, int, int]]]:
+        both = [part.hits(texts) for part in self.parts if part.ids]
+        return [sorted(sum(found, []), key=lambda h: (h[1], h[0])) for found in zip(*both, strict=True)] if both else [[] for _ in texts]
+
+
+def passage_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = 4_000_000) -> list[DataFrame]:
+    """The benchmark in blocks of about block_chars characters, by a hash of id and text."""
     rows = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     total = rows.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     n = -(-total // block_chars)
-    return [[tuple(r) for r in rows.where(F.pmod(F.xxhash64("i", F.lit(5)), F.lit(n)) == k).sort("i", "t").collect()] for k in range(n)]
-
+    return [rows.where(F.pmod(F.xxhash64("i", "t", F.lit(5)), F.lit(n)) == k) for k in range(n)]
 
-def passage_hits(spark, text: Column, benchmark: DataFrame, edit_rate: float = 0.1, **blocks) -> Column:
-    """A Column of hits array<struct<item_id, start, end, distance>> for each text."""
 
-    def scanner(index):
-        def scan(texts: pd.Series) -> pd.Series:
-            names = ("item_id", "start", "end", "distance")
-            return pd.Series([[dict(zip(names, h, strict=True)) for h in found] for found in index.value.hits(texts)], dtype=object)
+def scanned(spark, text: Column, passages: DataFrame, edit_rate: float = 0.1) -> Column:
+    """A Column of hits array<struct<item_id, start, end, distance>> of one block's passages in each text."""
+    index = spark.sparkContext.broadcast(Block([tuple(r) for r in passages.sort("i", "t").collect()], edit_rate))  # block_chars bounds it
 
-        return F.pandas_udf(scan, HIT)
+    def scan(texts: pd.Series) -> pd.Series:
+        names = ("item_id", "start", "end", "distance")
+        return pd.Series([[dict(zip(names, h, strict=True)) for h in found] for found in index.value.hits(texts)], dtype=object)
 
-    parts = [scanner(spark.sparkContext.broadcast(PassageIndex(items, edit_rate)))(text) for items in passage_blocks(benchmark, **blocks)]
-    return F.concat(*parts) if parts else F.array().cast(HIT)
+    return F.pandas_udf(scan, HIT)(text)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit_rate: float = 0.1, **blocks) -> DataFrame:
     """One row for each benchmark passage found: (doc_id, item_id, start, end, distance).
 
     Offsets are code points of the text, end exclusive; distance counts edits after
     lower-casing and with each white-space character read as a space, up to edit_rate (0.1)
     of the passage's length. Null and empty texts and passages match nothing; repeated rows
     are each reported; an empty table of either kind gives no rows; other columns aren't read.
+    A benchmark of several blocks is scanned block by block, and each block's hits are written
+    to the shared folder.
     """
-    hits = passage_hits(docs.sparkSession, F.col(text_col), benchmark, **options)
-    rows = docs.select(F.col(id_col).alias("doc_id"), hits.alias("_hits"))
-    return rows.select("doc_id", F.explode("_hits").alias("h")).select("doc_id", "h.item_id", "h.start", "h.end", "h.distance")
+    found, parts = None, passage_blocks(benchmark, **blocks)
+    for passages in parts:
+        hits = scanned(docs.sparkSession, F.col(text_col), passages, edit_rate)
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(hits).alias("h")).select("doc_id", "h.item_id", "h.start", "h.end", "h.distance")
+        rows = rows if len(parts) == 1 else materialize(rows)
+        found = rows if found is None else found.union(rows)
+    none = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array().cast(HIT)).alias("h")).select("doc_id", "h.item_id", "h.start", "h.end", "h.distance")
+    return none if found is None else found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", edit_rate: float = 0.1, **blocks) -> DataFrame:
     """docs without the rows whose text holds a benchmark passage; same columns."""
-    hits = passage_hits(docs.sparkSession, F.col(text_col), benchmark, **options)
-    return docs.where(F.size(hits) == 0)
+    parts = passage_blocks(benchmark, **blocks)
+    for passages in parts:
+        docs = docs.where(F.size(scanned(docs.sparkSession, F.col(text_col), passages, edit_rate)) == 0)
+        docs = docs if len(parts) == 1 else materialize(docs)
+    return docs
 
 
 def decontaminate_query(spark, sf_dir: str) -> DataFrame:

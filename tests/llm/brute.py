@@ -88,12 +88,12 @@ def best_edits(text: str, passage: str) -> int:
     return min(row)
 
 
-def contaminated(text: str | None, passage: str | None, rate: float = 0.1, q: int = 8) -> bool:
+def contaminated(text: str | None, passage: str | None, rate: float = 0.1) -> bool:
+    """Whether the text holds the passage with edits of up to a tenth of its length."""
     passage = plain((passage or "").strip())
     if not passage or not text:
         return False
-    budget = max(0, min(int(rate * len(passage)), (len(passage) - q) // q))
-    return best_edits(plain(text), passage) <= budget
+    return best_edits(plain(text), passage) <= int(rate * len(passage) + 1e-9)
 
 
 def targets(sizes: dict, weights=(1, 2, 3), most: int = 3) -> dict:

@@ -1,11 +1,13 @@
 import random
+import time
+import tracemalloc
 
 import brute
 from conftest import changed, prose
 
 from quillion.llm import decontaminate
 
-PASSAGES = [(1, prose(101, 20)), (2, prose(102, 35)), (3, "tiny"), (4, "Σίσυφος rolls the stone up the hill again and again"), (5, None), (6, "")]
+PASSAGES = [(1, prose(101, 20)), (2, prose(102, 35)), (3, "tiny"), (4, "Σίσυφος rolls the stone up the hill again and again"), (5, None), (6, ""), (7, "short query"), (8, "a bit longer, of 22 ch"), (9, "this one is 31 characters long."), (10, "ab" * 40), (11, "zz " * 30)]
 
 
 def texts():
@@ -18,6 +20,12 @@ def texts():
             at = draw.randrange(len(item))
             item = draw.choice([changed(item, at, "#"), item[:at] + item[at + 1 :], item[:at] + "~" + item[at:]])
         rows.append((10 + k, body[:60] + " " + item.upper().lower() + " " + body[60:]))
+    for k, (_, item) in enumerate(PASSAGES[6:11]):
+        for n in range(4):
+            for _ in range(n):
+                at = draw.randrange(len(item))
+                item = draw.choice([changed(item, at, "#"), item[:at] + item[at + 1 :], item[:at] + "~" + item[at:]])
+            rows.append((50 + 4 * k + n, prose(k, 12) + item + prose(n, 9)))
     return rows + [(90 + k, prose(200 + k, 60)) for k in range(4)]
 
 
@@ -43,3 +51,17 @@ def test_empty_tables(spark):
     assert decontaminate.contamination(docs, none).count() == 0
     assert decontaminate.decontaminate(docs, none).count() == docs.count()
     assert decontaminate.contamination(docs.limit(0), spark.createDataFrame(PASSAGES, "item_id long, text string")).count() == 0
+
+
+def test_repetitive_texts_take_bounded_memory():
+    """A gram repeated on both sides: 60,000 places times 1,000, and a long text with one copy."""
+    block = decontaminate.Block([(1, "a " * 1000), (2, prose(5, 300))])
+    long = prose(77, 40_000)
+    tracemalloc.start()
+    began = time.monotonic()
+    found = block.hits(["a " * 60_000, long + prose(5, 300) + "b " * 50_000, "a " * 900 + "c" + "a " * 90])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {h[0] for h in found[0]} == {1} and {h[0] for h in found[1]} == {2} and {h[0] for h in found[2]} == {1}
+    assert found[1][0][1:] == (len(long), len(long) + len(prose(5, 300)), 0)
+    assert peak < 1 << 29 and time.monotonic() - began < 120
