@@ -93,8 +93,9 @@ class PassageIndex:
         at, where = at[same], where[same]
         if not len(at):
             return []
-        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for more in self._shared(at, where, len(points)):
+        parts = self._shared(at, where)
+        codes, counts = np.unique(next(parts), return_counts=True)
+        for more in parts:
             new, times = np.unique(more, return_counts=True)
             codes, back = np.unique(np.concatenate([codes, new]), return_inverse=True)
             counts = np.bincount(back, weights=np.concatenate([counts, times])).astype(np.int64)
@@ -105,16 +106,18 @@ class PassageIndex:
         start = ((found & 0xFFFFFFFF) - (1 << 31)) * (self.edits[item] + 1)
         return list(zip(item.tolist(), start.tolist(), strict=True))
 
-    def _shared(self, at: np.ndarray, where: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    def _shared(self, at: np.ndarray, where: np.ndarray) -> Iterator[np.ndarray]:
         """Codes (passage, band) of shared q-grams, in slices of bounded size.
 
         at: text offsets whose gram is the index's gram `where`. A gram with many places on
         both sides gives a code for each band that has a place in it, found by binary search.
         """
         times = self.count[where]
-        occurrences = np.bincount(where, minlength=len(self.keys))
-        heavy = occurrences * self.count > SLICE // 16
-        light = ~heavy[where]
+        heavy = np.zeros(0, bool)
+        light = np.ones(len(at), bool)
+        if int(times.sum()) > SLICE:
+            heavy = np.bincount(where, minlength=len(self.keys)) * self.count > SLICE // 16
+            light = ~heavy[where]
         some, its, n = at[light], where[light], times[light]
         ends = np.cumsum(n)
         low = 0
