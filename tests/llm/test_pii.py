@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 
 import brute
 
@@ -30,7 +31,7 @@ def test_driver_table_digests(spark):
 
 
 def test_disclosing_terms_match_brute_force(spark):
-    docs = [(i, f"plain words number {'abcdefgh'[i % 8]} about nothing much") for i in range(60)]
+    docs = [(i, f"plain words number {'abcdefgh'[i % 8]} ask at nothing much") for i in range(60)]
     docs += [(100 + i, f"ask {x} Zarathustra at zara@mail.example {x} today") for i, x in enumerate(["kindly", "please", "quickly"])]
     docs += [(200, "Zarathustra alone, without a sign")]
     got = result(spark, docs)
@@ -43,20 +44,40 @@ def test_disclosing_terms_match_brute_force(spark):
     holds = lambda term: sum(term in re.findall(r"[^\W\d_]+", t.lower()) for _, t in docs)
     told = {}
     for entity, seen in contexts.items():
-        for term in {x for c in seen for x in c if len(x) >= 4}:
+        for term in {x for c in seen for x in c}:
             n_te = sum(term in c for c in seen)
             if len(seen) >= 2 and n_te >= 2 and math.log2(n_te / len(seen) / (holds(term) / n)) >= 0.8 * math.log2(n / len(seen)):
                 told.setdefault(entity, set()).add(term)
     assert told == {("email", "zara@mail.example"): {"zarathustra", "today"}}
+    terms = {x for found in told.values() for x in found}
     for i, t in docs:
-        terms = {x for (k, v), found in told.items() if v in t.lower() for x in found}
         want = [("term", m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", t) if m[0].lower() in terms]
         assert [s for s in got[i] if s[0] == "term"] == want
     clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert clean[100] == "ask kindly [TERM] at [EMAIL] kindly [TERM]" and clean[200].startswith("Zarathustra") and clean[0] == docs[0][1]
+    assert clean[100] == "ask kindly [TERM] at [EMAIL] kindly [TERM]" and clean[200] == "[TERM] alone, without a sign" and clean[0] == docs[0][1]
 
 
 def test_odd_tables(spark):
     assert result(spark, []) == {}
     docs = spark.createDataFrame([(None, "a@b.cc", 1, 2), (None, "a@b.cc", 1, 2)], "doc_id long, text string, spans int, _id int")
     assert [len(r.spans) for r in pii.personal_data(docs).collect()] == [1, 1]
+
+
+def test_very_long_texts_with_many_matches(spark):
+    """Spans, contexts and sanitising of texts with tens of thousands of matches take linear time."""
+    many = " ".join(f"u{i}@host{i % 7}.example then 10.0.{i % 256}.{i % 99}" for i in range(4_000))
+    wide = "Zarathustra" + " " * 100_000 + "zara@mail.example" + "\t" * 5_000 + "today"
+    docs = [(1, many), (2, wide), (3, wide + " else"), (4, "x " * 300_000), *[(10 + i, f"plain {i}") for i in range(40)]]
+    began = time.monotonic()
+    got = result(spark, docs)
+    base = lambda t: [s for s in t if s[0] != "term"]
+    assert {i: base(s) for i, s in got.items()} == {i: brute.base_spans(t) for i, t in docs}
+    assert {wide[s:e] for k, s, e in got[2] if k == "term"} == {"Zarathustra", "today"}
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    out, at = [], 0
+    for kind, s, e in got[1]:
+        if s >= at:
+            out += [many[at:s], f"[{kind.upper()}]"]
+            at = e
+    assert clean[1] == "".join(out) + many[at:] and clean[4] == docs[3][1]
+    assert time.monotonic() - began < 90
