@@ -1,9 +1,17 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
-A text is cut wherever a gear hash of its last 16 bytes falls below a threshold, so cuts move
-with the content and an insertion changes the chunks around it only. Two neighbouring chunks
-make one digest; digests that occur in two documents or more mark both chunks as repeated, and
-runs of such pairs make up passages. Pairs keep short chance repeats from joining to passages.
+A gear hash of a text's last 16 bytes is taken at each word's end, and the text is cut where it
+is smallest within some run of WINDOW words. Cuts move with the content, an insertion changes the
+chunks around it only, and any two equal passages of least words have two equal chunks in a row.
+
+1. Two neighbouring chunks make one digest; digests that occur twice nominate their places.
+   Runs of such pairs make up regions.
+2. Within the regions, and as far around them as a passage can reach beyond the chunks that it
+   shares, digests of `least` words are compared: at every word in the first text that holds a
+   run; in later ones at the run's ends and cuts. So the passages' ends are exact to the word.
+
+Only digests and places are dealt between tasks, never texts; those that occur often are summed
+before they are, and joined in parts.
 """
 
 from __future__ import annotations
@@ -11,120 +19,254 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillion.llm.common import materialize, unused
+
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: One 16-bit gear value for each byte, by rule.
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([c]), 7) & 0xFFFF for c in range(256)], np.uint16)
-LONGEST = 2048
 MIX = np.uint64(0x9E3779B97F4A7C15)
+WINDOW = 9
+#: Words by which a passage may begin before, and end after, the chunk pairs that it shares: the
+#: hash sees 8 words at most, WINDOW - 1 words' cuts may depend on what is around, the next is a cut.
+BEFORE, AFTER = 8 + 2 * WINDOW - 1, 2 * WINDOW - 1
+#: Keys of rows without an id lie below this number.
+NO_ID = -(1 << 62)
+
+
+def words_of(text: str | None) -> tuple[bytes, np.ndarray]:
+    """The text's bytes with A-Z lower-cased and white space single, and the offset at which each word ends."""
+    data = b" ".join((text or "").encode("utf-8", "surrogatepass").translate(LOWER).split())
+    if not data:
+        return data, np.empty(0, np.int64)
+    return data, np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 32), len(data))
 
 
-def cuts(data: bytes, mean: int = 24) -> np.ndarray:
-    """Offsets at which chunks start or end: 0, the content-defined ones, and the length.
+def cuts(data: bytes, ends: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Word numbers at which chunks start or end: 0, the content-defined ones, and the number of words.
 
     The gear hash h = 2 h + gear[byte] in 16 bits depends on the last 16 bytes; it is built by
-    doubling the window four times. A chunk has about `mean` bytes, and LONGEST at most: without
-    a cut in so many bytes one is made every LONGEST bytes after the last.
+    doubling the window four times. Of equal hashes in a run of words the last one cuts.
     """
-    n = len(data)
+    n = len(ends)
     h = GEAR[np.frombuffer(data, np.uint8)]
     for width in (1, 2, 4, 8):
         longer = h.copy()
-        longer[width:] += h[:-width] << np.uint16(width) if n > width else h[:0]
+        longer[width:] += h[:-width] << np.uint16(width) if len(h) > width else h[:0]
         h = longer
-    inner = np.flatnonzero(h < np.uint16(65536 // mean)) + 1
-    at = np.unique(np.concatenate(([0], inner[(inner >= 16) & (inner < n)], [n])))
-    long = np.flatnonzero(np.diff(at) > LONGEST)
-    if len(long):
-        at = np.unique(np.concatenate([at, *[np.arange(at[k], at[k + 1], LONGEST) for k in long]]))
-    return at
+    at_ends = h[ends - 1]
+    if n <= window:
+        inner = np.array([n - 1 - int(at_ends[::-1].argmin())]) if n else np.empty(0, np.int64)
+    else:
+        view = np.lib.stride_tricks.sliding_window_view(at_ends, window)[:, ::-1]
+        inner = np.arange(len(view)) + window - 1 - view.argmin(axis=1)
+    return np.unique(np.concatenate(([0], inner + 1, [n])))
 
 
-def pairs(text: str | None, mean: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """(digests, word numbers at the cuts) of a text with A-Z lower-cased and white space single."""
-    data = b" ".join((text or "").encode("utf-8", "surrogatepass").translate(LOWER).split())
-    if not data:
-        return np.empty(0, np.int64), np.zeros(1, np.int64)
-    at = cuts(data, mean)
-    words = np.cumsum(np.frombuffer(data, np.uint8) == 32)
-    number = np.concatenate(([0], words[at[1:-1] - 1], [words[-1] + 1])) if len(at) > 1 else np.zeros(1)
-    spots = at.tolist()
+def pairs(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(digests of each two neighbouring chunks, word numbers of the cuts)."""
+    at = cuts(data, ends)
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    low, high = starts[at[:-1]].tolist(), ends[at[1:] - 1].tolist()
     digest = xxhash.xxh3_64_intdigest
-    each = np.array([digest(data[s:e]) for s, e in zip(spots, spots[1:], strict=False)], np.uint64)
-    both = (each[:-1] * MIX) ^ ((each[1:] << np.uint64(31)) | (each[1:] >> np.uint64(33))) if len(each) > 1 else each
-    return both.view(np.int64), number.astype(np.int64)
+    each = np.array([digest(data[s:e]) for s, e in zip(low, high, strict=True)], np.uint64)
+    both = (each[:-1] * MIX) ^ ((each[1:] << np.uint64(31)) | (each[1:] >> np.uint64(33)))
+    return both.view(np.int64), at
+
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text): rows without an id have one from their text, below NO_ID."""
+    text = F.col(text_col)
+    own = F.lit(NO_ID) - F.pmod(F.xxhash64(text), F.lit(1 << 61))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), own).alias("id"), text.alias("text"))
 
-def chunk_pairs(docs: DataFrame, id_col: str, text_col: str, mean: int) -> DataFrame:
-    """(key, id, at, extent) of each pair of neighbouring chunks.
 
-    at: the pair's number in the text, and the number of its first word, in 32 bits each.
-    extent: words of the chunk before, of the pair, and of the chunk after, in 16 bits each (a
-    pair has 4096 bytes at most).
+def chunk_pairs(rows: DataFrame, least: int) -> DataFrame:
+    """(key, id, at) of each pair of neighbouring chunks of the texts of `least` words or more.
+
+    at: the pair's number in the text in 27 bits, its first word's in 31, and its number of words in 5.
     """
-    names = ["key", "id", "at", "extent"]
+    names = ["key", "id", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[list[np.ndarray]] = []
-            rows = 0
+            n_rows = 0
             for number, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                key, w = pairs(text.as_py(), mean)
-                n = len(key)
-                if not n or number is None:
+                data, ends = words_of(text.as_py())
+                if len(ends) < least:
                     continue
-                i = np.arange(n)
-                end = i + (1 if n == 1 and len(w) == 2 else 2)
-                before, after = w[i] - w[np.maximum(i - 1, 0)], w[np.minimum(end + 1, len(w) - 1)] - w[end]
-                parts.append([key, np.full(n, number), i << 32 | w[i], before << 32 | (w[end] - w[i]) << 16 | after])
-                rows += n
-                if rows > 50_000:
+                key, at = pairs(data, ends)
+                i = np.arange(len(key))
+                parts.append([key, np.full(len(key), number), i << 36 | at[:-2] << 5 | (at[2:] - at[:-2])])
+                n_rows += len(key)
+                if n_rows > 50_000:
                     yield pack(parts)
-                    parts, rows = [], 0
+                    parts, n_rows = [], 0
             if parts:
                 yield pack(parts)
 
     def pack(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)], names=names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "key long, id long, at long, extent long")
+    return rows.mapInArrow(run, "key long, id long, at long")
+
+
+def regions(rows: DataFrame, least: int) -> DataFrame:
+    """(id, runs): each text's runs of repeated chunk pairs, array<struct<start, end, later>> in words, end exclusive.
+
+    A run's pairs follow one another, and so do their first places, in a text with a smaller id
+    (`later`); or they are the first places themselves.
+    """
+    emitted = chunk_pairs(rows, least)
+    place = F.struct("id", "at")
+    seen = emitted.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("key", "first")
+    repeats = emitted.join(seen, "key").select("id", "at", F.when(F.col("first.id") != F.col("id"), F.col("first")).alias("other"))
+    number = lambda at: F.shiftright(at, 36)
+    start = F.shiftright("at", 5).bitwiseAND((1 << 31) - 1).cast("int")
+    repeats = repeats.select("id", number("at").alias("i"), start.alias("start"), (start + F.col("at").bitwiseAND(31).cast("int")).alias("end"), F.col("other.id").alias("of"), (number("other.at") - number("at")).alias("shift"))
+    repeats = repeats.distinct()  # rows that repeat an id
+    order = Window.partitionBy("id").orderBy("i", "start", "of", "shift")
+    near = F.coalesce(F.col("i") - F.lag("i").over(order) <= 1, F.lit(False))
+    follows = near & F.col("of").eqNullSafe(F.lag("of").over(order)) & F.col("shift").eqNullSafe(F.lag("shift").over(order))
+    numbered = repeats.withColumn("part", F.sum((~near).cast("int")).over(order)).withColumn("run", F.sum((~follows).cast("int")).over(order))
+    runs = numbered.groupBy("id", "part", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(F.col("of").isNotNull()).alias("later"))
+    parts = runs.groupBy("id", "part").agg(F.min("start").alias("low"), F.max("end").alias("high"), F.collect_list(F.struct("start", "end", "later")).alias("runs"))
+    parts = parts.where(F.col("high") - F.col("low") >= least - BEFORE - AFTER)
+    return parts.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"))  # one text's runs
+
+
+def window_starts(n: int, runs: list[dict], at: np.ndarray, least: int) -> np.ndarray:
+    """Word numbers at which `least` words are to be compared.
 
+    Runs that overlap make up a part of the text; all words in and around it are asked about,
+    but of those within one run that follows an earlier text, its first, last and cuts alone:
+    the others are repeated for sure, and the first text that holds them asks about them all.
+    """
+    ask, cut = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    cut[at] = True
+    parts: list[list[int]] = []
+    for r in runs:
+        if parts and r["start"] < parts[-1][1]:
+            parts[-1][1] = max(parts[-1][1], r["end"])
+        else:
+            parts.append([r["start"], r["end"]])
+    for low, high in parts:
+        ask[max(0, low - BEFORE) : max(0, min(n, high + AFTER) - least + 1)] = True
+    for r in runs:
+        if r["later"] and r["end"] - least > r["start"]:
+            ask[r["start"] + 1 : r["end"] - least] &= cut[r["start"] + 1 : r["end"] - least]
+    return np.flatnonzero(ask)
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, least_words: int = 20, mean: int = 24) -> DataFrame:
-    """Passages of over min_words words that occur in two documents or more.
+
+def spans_of(rows: DataFrame, runs: DataFrame, least: int) -> DataFrame:
+    """(a, b, id, word): two digests of the `least` words from each word that the runs ask about."""
+    names = ["a", "b", "id", "word"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, number, word = [], [], [], []
+            for key, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                data, ends = words_of(text.as_py())
+                if len(ends) < least:
+                    continue
+                chosen = window_starts(len(ends), found, cuts(data, ends), least)
+                first = np.where(chosen > 0, ends[chosen - 1] + 1, 0).tolist()
+                both = [xxhash.xxh3_128_intdigest(data[s:e]) for s, e in zip(first, ends[chosen + least - 1].tolist(), strict=True)]
+                a += [x >> 64 for x in both]
+                b += [x & 0xFFFFFFFFFFFFFFFF for x in both]
+                number += [key] * len(both)
+                word += chosen.tolist()
+            columns = [pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), pa.array(number, pa.int64()), pa.array(word, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    size = runs.agg(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
+    narrow = size[0] <= 200_000 and size[1] <= 1_000_000
+    return rows.join(F.broadcast(runs) if narrow else runs, "id").select("id", "text", "runs").mapInArrow(run, "a long, b long, id long, word int")
+
+
+def repeated_words(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(id, word, first_id, first_word, last_id): each run of min_words + 1 words, from `word`, that occurs at another place, with its first and last."""
+    least = min_words + 1
+    if least < BEFORE + AFTER + 1:
+        raise ValueError(f"passages of {BEFORE + AFTER} words or more can be found")
+    rows = keyed(docs, id_col, text_col)
+    spans = spans_of(rows, materialize(regions(rows, least)), least)
+    place = F.struct("id", "word")
+    seen = spans.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
+    return spans.join(seen, ["a", "b"]).select("id", "word", F.col("first.id").alias("first_id"), F.col("first.word").alias("first_word"), F.col("last.id").alias("last_id"))
+
+
+def united(found: DataFrame, least: int, *least_of: Column) -> DataFrame:
+    """(id, start_word, end_word, ...): found's runs of `least` words from `word` united where they overlap."""
+    before = Window.partitionBy("id").orderBy("word")
+    new = F.coalesce(F.col("word") - F.lag("word").over(before) > least, F.lit(True))
+    rows = found.withColumn("part", F.sum(new.cast("int")).over(before))
+    return rows.groupBy("id", "part").agg(F.min("word").alias("start_word"), (F.max("word") + least).alias("end_word"), *least_of)
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, within: bool = False) -> DataFrame:
+    """Passages of over min_words words that occur in two documents or more; with `within`, twice in one as well.
 
     One row for each document and passage: (doc_id, start_word, end_word, n_words,
-    first_doc_id), where words are runs other than ASCII white space, end_word is exclusive,
-    and first_doc_id is the smallest doc_id that holds a part of the passage (the row's own
-    where it is the first). A passage's ends lie within the chunks around the run of repeated
-    pairs: rows are returned if that outer extent is over min_words and the run itself has
-    least_words or more.
-
-    Null and empty texts have no passages; rows with a null doc_id are not considered; rows
-    that repeat a doc_id count as one document; an empty table gives no rows; other columns
-    aren't read.
+    first_doc_id), where words are runs other than ASCII white space, compared with A-Z
+    lower-cased, end_word is exclusive, and first_doc_id is the smallest doc_id that holds a
+    part of the passage (the row's own where it is the first). Passages that overlap or touch
+    are one row; ends are exact to the word.
+
+    Null and empty texts have no passages. Rows that repeat a doc_id count as one document;
+    rows with a null doc_id are documents of their own, equal texts among them one, and their
+    ids are null in both columns. An empty table gives no rows; other columns aren't read.
+    """
+    least = min_words + 1
+    found = repeated_words(docs, id_col, text_col, min_words)
+    found = found if within else found.where("first_id <> last_id")
+    found = found.groupBy("id", "word").agg(F.min("first_id").alias("first_id"))
+    runs = united(found, least, F.min("first_id").alias("first"))
+    known = lambda c: F.when(F.col(c) > NO_ID, F.col(c))
+    return runs.select(known("id").alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).cast("long").alias("n_words"), known("first").alias("first_doc_id"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
+    """docs with every repeated passage left only at its first place, by (doc_id, word); same columns.
+
+    Words that go take the white space after them along. Each word that goes stands at an
+    earlier place in a passage of over min_words equal words. Rows that repeat a doc_id fare
+    alike (they are one document here); of rows without an id, which come first, copies fare
+    alike too. Null texts stay null; a text that is a copy of an earlier one is empty.
     """
-    emitted = chunk_pairs(docs, id_col, text_col, mean)
-    seen = emitted.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
-    repeats = emitted.join(seen, "key").drop("key")
-    start = F.col("at").bitwiseAND(0xFFFFFFFF).cast("int")
-    end = start + F.shiftright("extent", 16).bitwiseAND(0xFFFF).cast("int")
-    before, after = start - F.shiftright("extent", 32).cast("int"), end + F.col("extent").bitwiseAND(0xFFFF).cast("int")
-    repeats = repeats.select("id", "first", F.shiftright("at", 32).cast("int").alias("i"), start.alias("start"), end.alias("end"), before.alias("before"), after.alias("after"))
-    order = Window.partitionBy("id").orderBy("i")
-    run = F.col("i") - F.dense_rank().over(order)
-    runs = repeats.withColumn("run", run).groupBy("id", "run").agg(
-        F.min("before").alias("before"), F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.max("after").alias("after"), F.min("first").alias("first_doc_id")
-    )
-    size = F.col("end_word") - F.col("start_word")
-    return runs.where((F.col("after") - F.col("before") > min_words) & (size >= least_words)).select(
-        F.col("id").alias("doc_id"), "start_word", "end_word", size.cast("long").alias("n_words"), "first_doc_id"
-    )
+    least = min_words + 1
+    later = repeated_words(docs, id_col, text_col, min_words).where("id <> first_id or word <> first_word").select("id", "word").distinct()
+    gone = united(later, least).groupBy("id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("gone"))  # one text's passages
+    key, spans = unused("_key", docs), unused("_gone", docs)
+    rows = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) - F.pmod(F.xxhash64(text_col), F.lit(1 << 61))))
+    rows = rows.join(gone.select(F.col("id").alias(key), F.col("gone").alias(spans)), key, "left")
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([cut_words(t, [] if s is None else [(r["start_word"], r["end_word"]) for r in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
+
+    text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col(spans)))
+    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+
+
+def cut_words(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    """The text without the words of the spans and the white space after each span."""
+    if text is None or not spans:
+        return text
+    data = text.encode("utf-8", "surrogatepass")
+    space = np.isin(np.frombuffer(data, np.uint8), (9, 10, 11, 12, 13, 32))
+    starts = np.append(np.flatnonzero(~space & np.concatenate(([True], space[:-1]))), len(data))
+    out, at = [], 0
+    for first, last in sorted(spans):
+        out.append(data[at : starts[first]])
+        at = int(starts[last])
+    return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
 
 
 def substring_query(spark, sf_dir: str) -> DataFrame:

@@ -147,3 +147,28 @@ def quality(text: str | None) -> tuple[int, int, int, int, int, bool]:
     covered = {p for at in windows.values() if len(at) > 1 for i in at for p in (i, i + 1, i + 2)}
     failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), failed
+
+
+def repeated_passages(docs: list[tuple[int, str | None]], least: int = 51, within: bool = False) -> set[tuple[int, int, int]]:
+    """(doc_id, start, end) of the united runs of `least` words that occur at another place."""
+    words = {i: [w for w in WORD.findall(ascii_lower(t or ""))] for i, t in docs}
+    places: dict[tuple, list] = {}
+    for i, w in words.items():
+        for k in range(len(w) - least + 1):
+            places.setdefault(tuple(w[k : k + least]), []).append((i, k))
+    starts: dict[int, list[int]] = {}
+    for at in places.values():
+        if len(at) > 1 and (within or len({i for i, _ in at}) > 1):
+            for i, k in at:
+                starts.setdefault(i, []).append(k)
+    found = set()
+    for i, ks in starts.items():
+        ks.sort()
+        low = high = ks[0]
+        for k in ks[1:]:
+            if k > high + least:
+                found.add((i, low, high + least))
+                low = k
+            high = k
+        found.add((i, low, high + least))
+    return found
