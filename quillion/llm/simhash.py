@@ -1,11 +1,12 @@
 """SimHash near-deduplication by tiled exact comparison.
 
 Fingerprints are majority votes over the XXH64 values of word shingles. Distinct fingerprints
-are dealt into tiles of one population count each; two tiles are compared only where their
-population counts differ by no more than the radius, since fingerprints that differ in r bits
-differ in population count by r at most. A tile pair is one Spark group of bounded size, and
-within it numpy compares blocks by exclusive-or and bit counts. A tile pair returns a spanning
-forest of its links instead of the links, so that large groups of near copies stay linear.
+are dealt into tiles by the population counts of their low and high halves; a fingerprint meets
+a tile only if that holds counts that differ from its own by no more than the radius, over both
+halves, since fingerprints that differ in r bits differ in these counts by r at most. A tile pair
+is one Spark group of bounded size, and within it numpy compares blocks by exclusive-or and bit
+counts. A tile pair returns a spanning forest of its links instead of the links, so that large
+groups of near copies stay linear.
 """
 
 from __future__ import annotations
@@ -122,21 +123,62 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
+def tiles_of(counts: dict[int, int], tile: int) -> tuple[list[int], list[int], int]:
+    """(first tile, number of tiles) of each class low * 33 + high, and the number of tiles.
+
+    Classes fill tiles of about `tile` rows in order; one that is larger has tiles of its own.
+    """
+    first, parts, at, room = [], [], 0, tile
+    for code in range(33 * 33):
+        n = counts.get(code, 0)
+        if n > tile:
+            at += room < tile
+            first.append(at)
+            parts.append(-(-n // tile))
+            at, room = at + parts[-1], tile
+            continue
+        if n > room:
+            at, room = at + 1, tile
+        first.append(at)
+        parts.append(1)
+        room -= n
+    return first, parts, at + 1
+
+
+def reach_of(first: list[int], parts: list[int], radius: int) -> list[list[tuple[int, int]]]:
+    """The ranges of tiles (first, last) that each class has to meet: those of the classes within the radius."""
+    reach = []
+    for low in range(33):
+        for high in range(33):
+            ranges: list[tuple[int, int]] = []
+            for other in range(max(0, low - radius), min(32, low + radius) + 1):
+                rest = radius - abs(low - other)
+                start, end = other * 33 + max(0, high - rest), other * 33 + min(32, high + rest)
+                span = (first[start], first[end] + parts[end] - 1)
+                if ranges and span[0] <= ranges[-1][1] + 1:
+                    ranges[-1] = (ranges[-1][0], max(ranges[-1][1], span[1]))
+                else:
+                    ranges.append(span)
+            reach.append(ranges)
+    return reach
+
+
 def links(values: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """Edges (a, b) that connect whatever distinct fingerprints are linked by the radius.
 
-    values: distinct fingerprints, in a column of that name. Each goes to the tile pairs of
-    its neighbourhood in population count; a tile holds about `tile` rows however many there are.
+    values: distinct fingerprints, in a column of that name. Each goes to the pairs of its own
+    tile and each tile in its reach; a tile holds about `tile` rows however many there are.
     """
-    counts = dict(values.groupBy(F.bit_count("fingerprint").cast("int").alias("p")).count().collect())  # 65 rows at most
-    split = [max(1, -(-counts.get(p, 0) // tile)) for p in range(65)]
-    first = [sum(split[:p]) for p in range(66)]
-    low = F.array(*[F.lit(first[max(0, p - radius)]) for p in range(65)])
-    high = F.array(*[F.lit(first[min(64, p + radius) + 1] - 1) for p in range(65)])
-    start, parts = F.array(*map(F.lit, first[:65])), F.array(*map(F.lit, split))
-    p = F.bit_count("fingerprint").cast("int")
-    own = F.get(start, p) + F.pmod(F.xxhash64("fingerprint"), F.get(parts, p)).cast("int")
-    dealt = values.select("fingerprint", own.alias("own"), F.explode(F.sequence(F.get(low, p), F.get(high, p))).alias("other"))
+    low = F.bit_count(F.col("fingerprint").bitwiseAND(0xFFFFFFFF)).cast("int")
+    code = low * 33 + F.bit_count("fingerprint").cast("int") - low
+    counts = dict(values.groupBy(code.alias("c")).count().collect())  # 1089 rows at most
+    first, parts, n = tiles_of(counts, tile)
+    reach = reach_of(first, parts, radius)
+    used = {c for c, k in counts.items() if k}
+    table = F.array(*[F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for s, e in (r if c in used else r[:1])]) for c, r in enumerate(reach)])
+    own = F.get(F.array(*map(F.lit, first)), code) + F.pmod(F.xxhash64("fingerprint"), F.get(F.array(*map(F.lit, parts)), code)).cast("int")
+    others = F.array_distinct(F.flatten(F.transform(F.get(table, code), lambda r: F.sequence(r["s"], r["e"]))))
+    dealt = values.select("fingerprint", own.alias("own"), F.explode(others).alias("other"))
     dealt = dealt.select("fingerprint", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("right"))
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -149,7 +191,9 @@ def links(values: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
             a, b = forest(value[~right], value[right], radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return dealt.groupBy("x", "y").applyInPandas(compare, "a long, b long")
+    # Work, not bytes, makes these tasks: each has a few tile pairs at most.
+    tasks = min(n * (n + 1) // 2, 4096)
+    return dealt.repartition(tasks, "x", "y").groupBy("x", "y").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
