@@ -31,15 +31,16 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64("line", F.lit(1))})
 
 
-def half_keys(rows: DataFrame, min_near_chars: int) -> DataFrame:
-    """Occurrences with the keys of their halves: as a line of its length, and of one more."""
-    n = F.length("line").alias("n")
-    halves = {}
-    for name, m in (("own", "n"), ("probe", "n + 1")):
-        halves[f"{name}0"] = F.xxhash64(F.lit(0), F.expr(m), _part("line", "1", f"int(({m}) div 2)"))
-        halves[f"{name}1"] = F.xxhash64(F.lit(1), F.expr(m), F.expr(f"right(line, int(({m}) - ({m}) div 2))"))
-    keys = F.array(*[F.struct(c.alias("half"), F.lit(k.startswith("own")).alias("own")) for k, c in halves.items()])
-    return rows.select("doc_id", "pos", "line", "k1", "k2", n).select("doc_id", "pos", "k1", "k2", F.when(F.col("n") >= min_near_chars, keys).alias("halves"))
+HALVES = ("own0", "own1", "probe0", "probe1")
+
+
+def half_keys() -> dict[str, Column]:
+    """Keys of a line's halves: as a line of its length, and of one more."""
+    keys = {}
+    for name, m in (("own", "length(line)"), ("probe", "length(line) + 1")):
+        keys[f"{name}0"] = F.xxhash64(F.lit(0), F.expr(m), _part("line", "1", f"int(({m}) div 2)"))
+        keys[f"{name}1"] = F.xxhash64(F.lit(1), F.expr(m), F.expr(f"right(line, int(({m}) - ({m}) div 2))"))
+    return keys
 
 
 def variants(lines: DataFrame) -> DataFrame:
@@ -79,20 +80,25 @@ def near_lines(lines: DataFrame) -> DataFrame:
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near_chars: int = 16) -> DataFrame:
     """(doc_id, pos) of the lines that stay: first of their class, and no earlier near line."""
     rows = line_rows(docs, id_col, text_col)
-    keyed = materialize(half_keys(rows, min_near_chars))
     first = F.min(F.struct("doc_id", "pos")).alias("first")
-    classes = materialize(keyed.groupBy("k1", "k2").agg(first))
+    halves = {k: F.when(F.length("line") >= min_near_chars, v) for k, v in half_keys().items()}
+    classes = rows.select("doc_id", "pos", "k1", "k2", *[v.alias(k) for k, v in halves.items()])
+    classes = materialize(classes.groupBy("k1", "k2").agg(first, *[F.any_value(k).alias(k) for k in HALVES]))
 
-    halves = keyed.where("halves is not null").select("k1", "k2", F.explode("halves").alias("h")).select("k1", "k2", "h.half", "h.own")
+    # Halves of distinct lines: a line that is repeated a million times is one row here.
+    each = F.array(*[F.struct(F.col(k).alias("half"), F.lit(k.startswith("own")).alias("own")) for k in HALVES])
+    halves = classes.where("own0 is not null").select("k1", "k2", "first", F.explode(each).alias("h")).select("k1", "first", "h.half", "h.own")
     own, probe = F.when(F.col("own"), F.col("k1")), F.when(~F.col("own"), F.col("k1"))
     groups = halves.groupBy("half").agg(F.min(own).alias("low"), F.max(own).alias("high"), F.min(probe).alias("probe"))
     groups = groups.select("half", (F.col("low") < F.col("high")).alias("sub"), (F.col("low").isNotNull() & F.col("probe").isNotNull()).alias("mixed"))
     groups = materialize(groups.where("sub or mixed"))
     shared = join_by_size(halves, groups, ["half"])
-    roles = shared.groupBy("k1", "k2").agg(F.max(F.expr("own and sub")).alias("sub"), F.max(F.expr("own and mixed")).alias("long"), F.max(F.expr("not own and mixed")).alias("short"))
-    roles = materialize(roles.where("sub or long or short").join(classes, ["k1", "k2"]))
-    lines = join_by_size(rows.select("doc_id", "pos", "line", "k1", "k2"), roles, ["k1", "k2"])
-    lines = materialize(lines.where(F.struct("doc_id", "pos").eqNullSafe(F.col("first"))).select("first", "line", "sub", "long", "short").dropDuplicates(["first"]))
+    roles = shared.groupBy("k1", "first").agg(F.max(F.expr("own and sub")).alias("sub"), F.max(F.expr("own and mixed")).alias("long"), F.max(F.expr("not own and mixed")).alias("short"))
+    roles = materialize(roles.where("sub or long or short"))
+    # By place: of each line only the first occurrence is joined, whatever the number of the others.
+    lines = join_by_size(rows.select("k1", F.struct("doc_id", "pos").alias("first"), "line"), roles, ["k1", "first"])
+    lines = lines.groupBy("first").agg(F.min(F.struct("line", "sub", "long", "short")).alias("x"))  # rows that repeat an id
+    lines = materialize(lines.select("first", "x.*"))
 
     gone = near_lines(lines).select(F.col("first").alias("gone"))
     return classes.join(gone, F.col("first") == F.col("gone"), "left_anti").select("first.doc_id", "first.pos")
