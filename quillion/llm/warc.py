@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillion.llm.common import join_by_size, materialize, shared_dir
+from quillion.llm.common import materialize, shared_dir
 
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -123,6 +123,19 @@ class Part:
         self.files.move(self.first, self.last)
 
 
+def with_first(rows: DataFrame, same: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """rows with `first`, the response's page_id, for those of a repeated payload. same: (sha, first).
+
+    Beyond max_rows repeated payloads, page numbers and digests alone are joined by digest; the
+    payloads follow by page number and digest, so that no task gets all copies of a page.
+    """
+    if same.limit(max_rows + 1).count() <= max_rows:
+        return rows.join(F.broadcast(same), "sha", "left")
+    narrow = rows.where("sha is not null").select("page_id", "sha").join(same, "sha").distinct()
+    narrow = narrow.select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha"), "first")
+    return rows.join(narrow, rows["page_id"].eqNullSafe(F.col("_page")) & (rows["sha"] == F.col("_sha")), "left")
+
+
 def write_archives(pages: DataFrame, path: str, min_payload: int = 0, file_bytes: int = 1 << 30, level: int = 4) -> DataFrame:
     """Write a record for each row of pages (page_id, url, html) below path; (page_id, key, file, offset, length) of each.
 
@@ -133,7 +146,7 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, file_bytes
     rows = rows.withColumn("sha", F.when(F.length("payload") >= min_payload, F.sha1("payload")))
     same = rows.where("sha is not null").groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     same = materialize(same.where("n > 1 and first is not null").select("sha", "first"))
-    tagged = join_by_size(rows, same, ["sha"], "left").select("page_id", "url", "payload", "first")
+    tagged = with_first(rows, same).select("page_id", "url", "payload", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = None, 0
@@ -158,8 +171,11 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 0, file_bytes
     return materialize(tagged.mapInArrow(write, CAPTURE))
 
 
-def write_index(captures: DataFrame, path: str, block_lines: int = 1000) -> DataFrame:
-    """Sort the captures by key into compressed blocks below path; the sparse directory: a row for each block."""
+def write_index(captures: DataFrame, path: str, block_lines: int = 1000, task_lines: int = 100_000) -> DataFrame:
+    """Sort the captures by key into compressed blocks below path; the sparse directory: a row for each block.
+
+    Each task sorts about task_lines captures and writes them to a file of its own.
+    """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, lines, blocks = None, [], []
@@ -183,16 +199,17 @@ def write_index(captures: DataFrame, path: str, block_lines: int = 1000) -> Data
         yield pd.DataFrame(blocks, columns=["first_key", "last_key", "file", "offset", "length", "n_lines"])
 
     folder(path)[0].create_dir(folder(path)[1], recursive=True)
-    ordered = captures.select("key", "file", "offset", "length").repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset")
+    ordered = captures.select("key", "file", "offset", "length").repartitionByRange(max(1, -(-captures.count() // task_lines)), "key", "file", "offset").sortWithinPartitions("key", "file", "offset")
     return materialize(ordered.mapInPandas(write, BLOCK))
 
 
-def lookup(queries: DataFrame, directory: DataFrame, path: str, with_payload: bool = False, max_blocks: int = 200_000) -> DataFrame:
+def lookup(queries: DataFrame, directory: DataFrame, path: str, with_payload: bool = False, max_blocks: int = 200_000, task_queries: int = 5_000) -> DataFrame:
     """The captures for each query: all whose key starts with it.
 
     queries: one string column; "<url key> " finds a URL's captures, a whole capture key one of
     them. The directory is sent to the tasks in slices of max_blocks blocks, each with the
-    queries of its key range.
+    queries of its key range in tasks of about task_queries; of several slices each is read to
+    the shared folder, and released, before the next.
     """
     n = directory.count()
     names = [c.split(" ")[0] for c in FOUND.split(", ")]
@@ -251,8 +268,13 @@ def lookup(queries: DataFrame, directory: DataFrame, path: str, with_payload: bo
                 frame = pd.DataFrame(out, columns=names + ["payload"] * with_payload)
                 yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-        sorted_queries = queries.where(mine).repartitionByRange("query").sortWithinPartitions("query")
-        parts.append(sorted_queries.mapInPandas(find, FOUND + ", payload binary" * with_payload))
+        wanted = queries.where(mine)
+        tasks = max(1, -(-wanted.count() // task_queries))
+        part = wanted.repartitionByRange(tasks, "query").sortWithinPartitions("query").mapInPandas(find, FOUND + ", payload binary" * with_payload)
+        if slices > 1:
+            part = materialize(part)
+            shared.unpersist()
+        parts.append(part)
     found = parts[0]
     for part in parts[1:]:
         found = found.union(part)
