@@ -17,7 +17,7 @@ from __future__ import annotations
 import functools
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillion.llm.common import bind, materialize, unused
@@ -227,20 +227,29 @@ def shards(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFra
     return rows.repartition("shard").sortWithinPartitions("shard", place).drop(mixed_id, place)
 
 
+def dealt(copies: str = "copies") -> list[Column]:
+    """taken, and each copy's shard and its place in the shard's shuffled order."""
+    return [
+        (F.col("size") * F.size(copies)).alias("taken"),
+        F.transform(copies, lambda c: c["shard"]).alias("shards"),
+        F.transform(copies, lambda c: c["place"]).alias("places"),
+    ]
+
+
 def mix_query(spark, sf_dir: str) -> DataFrame:
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    taken = (F.col("size") * F.size("copies")).alias("taken")
-    return mixed.select("doc_id", "size", "source_size", "target", taken, F.transform("copies", lambda c: c["shard"]).alias("shards"))
+    return mixed.select("doc_id", "size", "source_size", "target", *dealt())
 
 
-def mixed_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with size, source_size, target, taken and shards (one entry for each copy); untaken ones too.
+def mixed_documents(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """docs with size, source_size, target, taken, shards and places (an entry for each copy); untaken ones too.
 
-    Rows that repeat an id get the copies of one of them.
+    Sorted by place, a shard's copies are in its shuffled order. Rows that repeat an id and a
+    source all get the copies of the largest of them, and of equal sizes the greatest copies.
     """
-    rows = docs.drop("size", "source_size", "target", "taken", "shards")
-    mixed_id = unused("_id", rows)
-    added = mixed.select(
-        F.col("doc_id").alias(mixed_id), "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), F.transform("copies", lambda c: c["shard"]).alias("shards")
-    ).dropDuplicates([mixed_id])
-    return rows.join(added, F.col(id_col).eqNullSafe(F.col(mixed_id))).drop(mixed_id)
+    names = ("size", "source_size", "target", "taken", "shards", "places")
+    rows = docs.drop(*[c for c in names if c not in (id_col, source_col)])
+    mixed_id, mixed_source = unused("_id", rows), unused("_source", rows)
+    one = mixed.groupBy(F.col("doc_id").alias(mixed_id), F.col("source").alias(mixed_source)).agg(F.max(F.struct("size", "source_size", "target", "copies")).alias("m"))
+    added = one.select(mixed_id, mixed_source, "m.*").select(mixed_id, mixed_source, "size", "source_size", "target", *dealt())
+    return rows.join(added, F.col(id_col).eqNullSafe(F.col(mixed_id)) & F.col(source_col).eqNullSafe(F.col(mixed_source))).drop(mixed_id, mixed_source)
