@@ -1,9 +1,10 @@
 """SimHash near-deduplication by tiled exact comparison.
 
 Fingerprints are majority votes over the XXH64 values of word shingles. Distinct fingerprints
-are dealt into tiles by the population counts of their low and high halves; a fingerprint meets
-a tile only if that holds counts that differ from its own by no more than the radius, over both
-halves, since fingerprints that differ in r bits differ in these counts by r at most. A tile pair
+are dealt into tiles by the population counts of their low and high halves, in cells of two by
+two counts; a fingerprint meets a tile only if the cell has counts that differ from its own by no
+more than the radius, over both halves, since fingerprints that differ in r bits differ in these
+counts by r at most. A tile pair
 is one Spark group of bounded size, and within it numpy compares blocks by exclusive-or and bit
 counts. A tile pair returns a spanning forest of its links instead of the links, so that large
 groups of near copies stay linear.
@@ -25,6 +26,8 @@ from quillion.llm.common import connected_components, materialize, unused
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 LANES = np.uint64(0x0101010101010101)
 TILE = 32768
+#: Cells of population counts of the halves (0 to 32): WIDE counts each way, CELLS cells.
+WIDE, CELLS = 2, 17
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -123,44 +126,26 @@ def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = up
 
 
-def tiles_of(counts: dict[int, int], tile: int) -> tuple[list[int], list[int], int]:
-    """(first tile, number of tiles) of each class low * 33 + high, and the number of tiles.
+def tiles_of(counts: dict[int, int], tile: int) -> tuple[list[int], list[int]]:
+    """(first tile, number of tiles) of each cell: one tile, or as many as keep it at about `tile` rows."""
+    parts = [max(1, -(-counts.get(cell, 0) // tile)) for cell in range(CELLS * CELLS)]
+    return [sum(parts[:cell]) for cell in range(CELLS * CELLS)], parts
 
-    Classes fill tiles of about `tile` rows in order; one that is larger has tiles of its own.
-    """
-    first, parts, at, room = [], [], 0, tile
-    for code in range(33 * 33):
-        n = counts.get(code, 0)
-        if n > tile:
-            at += room < tile
-            first.append(at)
-            parts.append(-(-n // tile))
-            at, room = at + parts[-1], tile
+
+def reach_of(low: int, high: int, first: list[int], parts: list[int], radius: int) -> list[tuple[int, int]]:
+    """The ranges of tiles (first, last) that fingerprints of these counts have to meet: cells with counts within the radius."""
+    ranges: list[tuple[int, int]] = []
+    for row in range(CELLS):
+        rest = radius - max(0, WIDE * row - low, low - WIDE * row - WIDE + 1)
+        if rest < 0:
             continue
-        if n > room:
-            at, room = at + 1, tile
-        first.append(at)
-        parts.append(1)
-        room -= n
-    return first, parts, at + 1
-
-
-def reach_of(first: list[int], parts: list[int], radius: int) -> list[list[tuple[int, int]]]:
-    """The ranges of tiles (first, last) that each class has to meet: those of the classes within the radius."""
-    reach = []
-    for low in range(33):
-        for high in range(33):
-            ranges: list[tuple[int, int]] = []
-            for other in range(max(0, low - radius), min(32, low + radius) + 1):
-                rest = radius - abs(low - other)
-                start, end = other * 33 + max(0, high - rest), other * 33 + min(32, high + rest)
-                span = (first[start], first[end] + parts[end] - 1)
-                if ranges and span[0] <= ranges[-1][1] + 1:
-                    ranges[-1] = (ranges[-1][0], max(ranges[-1][1], span[1]))
-                else:
-                    ranges.append(span)
-            reach.append(ranges)
-    return reach
+        start, end = row * CELLS + max(0, high - rest) // WIDE, row * CELLS + min(32, high + rest) // WIDE
+        span = (first[start], first[end] + parts[end] - 1)
+        if ranges and span[0] <= ranges[-1][1] + 1:
+            ranges[-1] = (ranges[-1][0], span[1])
+        else:
+            ranges.append(span)
+    return ranges
 
 
 def links(values: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
@@ -170,15 +155,20 @@ def links(values: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     tile and each tile in its reach; a tile holds about `tile` rows however many there are.
     """
     low = F.bit_count(F.col("fingerprint").bitwiseAND(0xFFFFFFFF)).cast("int")
-    code = low * 33 + F.bit_count("fingerprint").cast("int") - low
-    counts = dict(values.groupBy(code.alias("c")).count().collect())  # 1089 rows at most
-    first, parts, n = tiles_of(counts, tile)
-    reach = reach_of(first, parts, radius)
-    used = {c for c, k in counts.items() if k}
-    table = F.array(*[F.array(*[F.struct(F.lit(s).alias("s"), F.lit(e).alias("e")) for s, e in (r if c in used else r[:1])]) for c, r in enumerate(reach)])
-    own = F.get(F.array(*map(F.lit, first)), code) + F.pmod(F.xxhash64("fingerprint"), F.get(F.array(*map(F.lit, parts)), code)).cast("int")
-    others = F.array_distinct(F.flatten(F.transform(F.get(table, code), lambda r: F.sequence(r["s"], r["e"]))))
-    dealt = values.select("fingerprint", own.alias("own"), F.explode(others).alias("other"))
+    high = F.bit_count("fingerprint").cast("int") - low
+    cell = F.floor(low / WIDE).cast("int") * CELLS + F.floor(high / WIDE).cast("int")
+    counts = dict(values.groupBy(cell.alias("c")).count().collect())  # 289 rows at most
+    first, parts = tiles_of(counts, tile)
+    table = []  # one row for each pair of counts
+    for x in range(33):
+        for y in range(33):
+            own = x // WIDE * CELLS + y // WIDE
+            table.append((x, y, first[own], parts[own], reach_of(x, y, first, parts, radius)))
+    known = values.sparkSession.createDataFrame(table, "low int, high int, first int, parts int, reach array<struct<s:int,e:int>>")
+    placed = values.select("fingerprint", low.alias("low"), high.alias("high")).join(F.broadcast(known), ["low", "high"])
+    own = F.col("first") + F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")
+    others = F.flatten(F.transform("reach", lambda r: F.sequence(r["s"], r["e"])))
+    dealt = placed.select("fingerprint", own.alias("own"), F.explode(others).alias("other"))
     dealt = dealt.select("fingerprint", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("right"))
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -191,8 +181,8 @@ def links(values: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
             a, b = forest(value[~right], value[right], radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    # Work, not bytes, makes these tasks: each has a few tile pairs at most.
-    tasks = min(n * (n + 1) // 2, 4096)
+    # Work, not bytes, makes these tasks.
+    tasks = min(4096, 32 + sum(p * p for p in parts) // 64)
     return dealt.repartition(tasks, "x", "y").groupBy("x", "y").applyInPandas(compare, "a long, b long")
 
 
