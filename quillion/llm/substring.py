@@ -2,13 +2,14 @@
 
 A gear hash of a text's last 16 bytes is taken at each word's end, and the text is cut where it
 is smallest within some run of WINDOW words. Cuts move with the content, an insertion changes the
-chunks around it only, and any two equal passages of least words have two equal chunks in a row.
+chunks around it only, and any two equal passages of `least` words have two equal chunks in a row.
 
-1. Two neighbouring chunks make one digest; digests that occur twice nominate their places.
-   Runs of such pairs make up regions.
-2. Within the regions, and as far around them as a passage can reach beyond the chunks that it
-   shares, digests of `least` words are compared: at every word in the first text that holds a
-   run; in later ones at the run's ends and cuts. So the passages' ends are exact to the word.
+1. Two neighbouring chunks make one digest; digests that occur twice nominate their places. The
+   first text that holds a digest is what the others are compared with: pairs that follow one
+   another there and here make up a run, and a run of `least` words or more is repeated for sure.
+2. Around the runs' ends, as far as a passage can reach beyond the chunks that it shares, here
+   and in the first text, digests of `least` words are compared. So passages that share less
+   than a whole run with the first text are found, and all ends are exact to the word.
 
 Only digests and places are dealt between tasks, never texts; those that occur often are summed
 before they are, and joined in parts.
@@ -32,9 +33,13 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 GEAR = np.array([xxhash.xxh64_intdigest(bytes([c]), 7) & 0xFFFF for c in range(256)], np.uint16)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 WINDOW = 9
-#: Words by which a passage may begin before, and end after, the chunk pairs that it shares: the
-#: hash sees 8 words at most, WINDOW - 1 words' cuts may depend on what is around, the next is a cut.
-BEFORE, AFTER = 8 + 2 * WINDOW - 1, 2 * WINDOW - 1
+#: A passage's first words at which cuts may depend on what is before it (the hash sees 8 words at
+#: most, and runs of WINDOW words begin outside), and its last ones; between must be three cuts.
+BEFORE, AFTER = 8 + WINDOW - 1, WINDOW - 1
+SHORTEST = BEFORE + 3 * WINDOW + AFTER
+#: A run of a text that is later than the first, of the first itself, of a second place in the
+#: first text, and a place about which another text asks.
+LATER, FIRST, SECOND, ASKED = range(4)
 #: Keys of rows without an id lie below this number.
 NO_ID = -(1 << 62)
 
@@ -89,7 +94,8 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def chunk_pairs(rows: DataFrame, least: int) -> DataFrame:
     """(key, id, at) of each pair of neighbouring chunks of the texts of `least` words or more.
 
-    at: the pair's number in the text in 27 bits, its first word's in 31, and its number of words in 5.
+    at: the pair's number in the text in 23 bits, its first word's in 26, its number of words in
+    5, and the words of the chunks before and after in 4 each (texts of up to 67 million words).
     """
     names = ["key", "id", "at"]
 
@@ -101,9 +107,12 @@ def chunk_pairs(rows: DataFrame, least: int) -> DataFrame:
                 data, ends = words_of(text.as_py())
                 if len(ends) < least:
                     continue
+                if len(ends) >> 26:
+                    raise ValueError(f"the text of {number} has over 67 million words")
                 key, at = pairs(data, ends)
+                size = np.concatenate(([0], np.diff(at), [0]))
                 i = np.arange(len(key))
-                parts.append([key, np.full(len(key), number), i << 36 | at[:-2] << 5 | (at[2:] - at[:-2])])
+                parts.append([key, np.full(len(key), number), i << 39 | at[:-2] << 13 | (at[2:] - at[:-2]) << 8 | size[i] << 4 | size[i + 3]])
                 n_rows += len(key)
                 if n_rows > 50_000:
                     yield pack(parts)
@@ -117,50 +126,58 @@ def chunk_pairs(rows: DataFrame, least: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, id long, at long")
 
 
-def regions(rows: DataFrame, least: int) -> DataFrame:
-    """(id, runs): each text's runs of repeated chunk pairs, array<struct<start, end, later>> in words, end exclusive.
+def unpacked(at: str, name: str) -> list[Column]:
+    """number, start, end, low and high of a pair's place: low and high bound a passage that has no chunk pair beyond it."""
+    bits = lambda shift, n: F.shiftright(at, shift).bitwiseAND((1 << n) - 1).cast("int")
+    start, size = bits(13, 26), bits(8, 5)
+    low, high = start - bits(4, 4) - BEFORE, start + size + bits(0, 4) + (AFTER - 1)
+    return [F.shiftright(at, 39).cast("int").alias(f"{name}i"), start.alias(f"{name}start"), (start + size).alias(f"{name}end"), low.alias(f"{name}low"), high.alias(f"{name}high")]
 
-    A run's pairs follow one another, and so do their first places, in a text with a smaller id
-    (`later`); or they are the first places themselves.
+
+def regions(rows: DataFrame, least: int, within: bool) -> DataFrame:
+    """(id, kind, start, end, low, high, of): runs of repeated chunk pairs in words, end exclusive.
+
+    A run's pairs follow one another, and so do their places in the first text (`of`) that holds
+    them. low, high: where a passage around the run may begin and end at most. Not `within`:
+    pairs that one text alone holds are left out.
     """
     emitted = chunk_pairs(rows, least)
-    place = F.struct("id", "at")
-    seen = emitted.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("key", "first")
-    repeats = emitted.join(seen, "key").select("id", "at", F.when(F.col("first.id") != F.col("id"), F.col("first")).alias("other"))
-    number = lambda at: F.shiftright(at, 36)
-    start = F.shiftright("at", 5).bitwiseAND((1 << 31) - 1).cast("int")
-    repeats = repeats.select("id", number("at").alias("i"), start.alias("start"), (start + F.col("at").bitwiseAND(31).cast("int")).alias("end"), F.col("other.id").alias("of"), (number("other.at") - number("at")).alias("shift"))
-    repeats = repeats.distinct()  # rows that repeat an id
+    # Numbers alone, so that they are summed in place before the shuffle. Of several places in the first text any will do.
+    seen = emitted.groupBy("key").agg(F.count("*").alias("n") if within else F.max("id").alias("last"), F.min("id").alias("of"), F.min_by("at", "id").alias("of_at"))
+    seen = seen.where("n > 1" if within else "of < last").select("key", "of", "of_at")
+    repeats = emitted.join(seen, "key").select("id", *unpacked("at", ""), "of", *unpacked("of_at", "of_"))
+    repeats = repeats.withColumn("shift", F.col("of_i") - F.col("i"))
     order = Window.partitionBy("id").orderBy("i", "start", "of", "shift")
     near = F.coalesce(F.col("i") - F.lag("i").over(order) <= 1, F.lit(False))
-    follows = near & F.col("of").eqNullSafe(F.lag("of").over(order)) & F.col("shift").eqNullSafe(F.lag("shift").over(order))
+    follows = near & (F.col("of") == F.lag("of").over(order)) & (F.col("shift") == F.lag("shift").over(order))
     numbered = repeats.withColumn("part", F.sum((~near).cast("int")).over(order)).withColumn("run", F.sum((~follows).cast("int")).over(order))
-    runs = numbered.groupBy("id", "part", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(F.col("of").isNotNull()).alias("later"))
-    parts = runs.groupBy("id", "part").agg(F.min("start").alias("low"), F.max("end").alias("high"), F.collect_list(F.struct("start", "end", "later")).alias("runs"))
-    parts = parts.where(F.col("high") - F.col("low") >= least - BEFORE - AFTER)
-    return parts.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"))  # one text's runs
-
-
-def window_starts(n: int, runs: list[dict], at: np.ndarray, least: int) -> np.ndarray:
-    """Word numbers at which `least` words are to be compared.
-
-    Runs that overlap make up a part of the text; all words in and around it are asked about,
-    but of those within one run that follows an earlier text, its first, last and cuts alone:
-    the others are repeated for sure, and the first text that holds them asks about them all.
-    """
-    ask, cut = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
-    cut[at] = True
-    parts: list[list[int]] = []
+    least_of, most_of = ("start", "low", "of_start"), ("end", "high", "of_end", "of", "shift")
+    runs = numbered.groupBy("id", "part", "run").agg(*[F.min(c).alias(c) for c in least_of], *[F.max(c).alias(c) for c in most_of])
+    part = Window.partitionBy("id", "part")
+    runs = runs.withColumns({"part_low": F.min("low").over(part), "part_high": F.max("high").over(part)}).where(F.col("part_high") - F.col("part_low") >= least)
+    runs = materialize(runs)
+    kind = F.when(F.col("of") != F.col("id"), LATER).when(F.col("shift") == 0, FIRST).otherwise(SECOND)
+    mine = runs.select("id", kind.alias("kind"), "start", "end", F.col("part_low").alias("low"), F.col("part_high").alias("high"), "of")
+    # What is near the ends of a run is compared in the first text, too: its own runs may say nothing of it.
+    asked = runs.where((F.col("of") != F.col("id")) & (F.col("high") - F.col("low") >= least)).groupBy("of", "of_start", "of_end").agg(F.max(F.col("start") - F.col("low")).alias("b"), F.max(F.col("high") - F.col("end")).alias("a"))
+    asked = asked.select(F.col("of").alias("id"), F.lit(ASKED).alias("kind"), F.col("of_start").alias("start"), F.col("of_end").alias("end"), (F.col("of_start") - F.col("b")).alias("low"), (F.col("of_end") + F.col("a")).alias("high"), "of")
+    return mine.union(asked)
+
+
+def window_starts(n: int, runs: list[dict], least: int) -> np.ndarray:
+    """Word numbers at which `least` words are to be compared: around runs and the places asked about, but not inside runs."""
+    ask = np.zeros(n + 1, bool)
     for r in runs:
-        if parts and r["start"] < parts[-1][1]:
-            parts[-1][1] = max(parts[-1][1], r["end"])
-        else:
-            parts.append([r["start"], r["end"]])
-    for low, high in parts:
-        ask[max(0, low - BEFORE) : max(0, min(n, high + AFTER) - least + 1)] = True
+        if r["kind"] != ASKED:
+            ask[max(0, r["low"]) : max(0, min(n, r["high"]) - least + 1)] = True
     for r in runs:
-        if r["later"] and r["end"] - least > r["start"]:
-            ask[r["start"] + 1 : r["end"] - least] &= cut[r["start"] + 1 : r["end"] - least]
+        if r["kind"] in (LATER, FIRST):
+            ask[r["start"] : max(r["start"], r["end"] - least + 1)] = False
+    for r in runs:
+        if r["kind"] == ASKED:
+            low, high = max(0, r["low"]), max(0, min(n, r["high"]) - least + 1)
+            ask[low : min(r["start"], high)] = True
+            ask[max(low, r["end"] - least + 1) : high] = True
     return np.flatnonzero(ask)
 
 
@@ -171,11 +188,11 @@ def spans_of(rows: DataFrame, runs: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, number, word = [], [], [], []
-            for key, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for key, text, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 data, ends = words_of(text.as_py())
                 if len(ends) < least:
                     continue
-                chosen = window_starts(len(ends), found, cuts(data, ends), least)
+                chosen = window_starts(len(ends), found.as_py(), least)
                 first = np.where(chosen > 0, ends[chosen - 1] + 1, 0).tolist()
                 both = [xxhash.xxh3_128_intdigest(data[s:e]) for s, e in zip(first, ends[chosen + least - 1].tolist(), strict=True)]
                 a += [x >> 64 for x in both]
@@ -185,29 +202,42 @@ def spans_of(rows: DataFrame, runs: DataFrame, least: int) -> DataFrame:
             columns = [pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), pa.array(number, pa.int64()), pa.array(word, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    size = runs.agg(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
+    # A run with no room for a passage around it asks nothing.
+    around = (F.col("low") < F.col("start")) | (F.col("high") > F.col("end")) | (F.col("end") - F.col("start") < least)
+    of_text = runs.where(around).groupBy("id").agg(F.collect_list(F.struct("kind", "start", "end", "low", "high")).alias("runs"))  # one text's runs
+    of_text = materialize(of_text)
+    size = of_text.agg(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
     narrow = size[0] <= 200_000 and size[1] <= 1_000_000
-    return rows.join(F.broadcast(runs) if narrow else runs, "id").select("id", "text", "runs").mapInArrow(run, "a long, b long, id long, word int")
+    return rows.join(F.broadcast(of_text) if narrow else of_text, "id").select("id", "text", "runs").mapInArrow(run, "a long, b long, id long, word int")
+
 
+def repeats_of(docs: DataFrame, id_col: str, text_col: str, min_words: int, within: bool) -> DataFrame:
+    """(id, start, end, first_id, across, later): words that are repeated, in runs of more than min_words.
 
-def repeated_words(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, word, first_id, first_word, last_id): each run of min_words + 1 words, from `word`, that occurs at another place, with its first and last."""
+    across: another text holds them; later: this is not their first place. Not `within`: those
+    across texts alone.
+    """
     least = min_words + 1
-    if least < BEFORE + AFTER + 1:
-        raise ValueError(f"passages of {BEFORE + AFTER} words or more can be found")
+    if least < SHORTEST:
+        raise ValueError(f"passages of {SHORTEST} words or more can be found")
     rows = keyed(docs, id_col, text_col)
-    spans = spans_of(rows, materialize(regions(rows, least)), least)
+    runs = regions(rows, least, within)
+    sure = runs.where(F.col("kind").isin(LATER, ASKED) & (F.col("end") - F.col("start") >= least))
+    sure = sure.select("id", "start", "end", F.col("of").alias("first_id"), F.lit(True).alias("across"), (F.col("kind") == LATER).alias("later"))
+    spans = spans_of(rows, runs, least)
     place = F.struct("id", "word")
     seen = spans.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    return spans.join(seen, ["a", "b"]).select("id", "word", F.col("first.id").alias("first_id"), F.col("first.word").alias("first_word"), F.col("last.id").alias("last_id"))
+    found = spans.join(seen, ["a", "b"]).select("id", F.col("word").alias("start"), (F.col("word") + least).alias("end"), F.col("first.id").alias("first_id"), (F.col("first.id") != F.col("last.id")).alias("across"), (place != F.col("first")).alias("later"))
+    return sure.union(found)
 
 
-def united(found: DataFrame, least: int, *least_of: Column) -> DataFrame:
-    """(id, start_word, end_word, ...): found's runs of `least` words from `word` united where they overlap."""
-    before = Window.partitionBy("id").orderBy("word")
-    new = F.coalesce(F.col("word") - F.lag("word").over(before) > least, F.lit(True))
-    rows = found.withColumn("part", F.sum(new.cast("int")).over(before))
-    return rows.groupBy("id", "part").agg(F.min("word").alias("start_word"), (F.max("word") + least).alias("end_word"), *least_of)
+def united(found: DataFrame, *kept: Column) -> DataFrame:
+    """(id, start_word, end_word, ...): found's (id, start, end) united where they overlap or touch."""
+    before = Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    rows = found.withColumn("new", F.coalesce(F.col("start") > F.max("end").over(before), F.lit(True)).cast("int"))
+    rows = rows.withColumn("part", F.sum("new").over(order))
+    return rows.groupBy("id", "part").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), *kept)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, within: bool = False) -> DataFrame:
@@ -223,11 +253,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows with a null doc_id are documents of their own, equal texts among them one, and their
     ids are null in both columns. An empty table gives no rows; other columns aren't read.
     """
-    least = min_words + 1
-    found = repeated_words(docs, id_col, text_col, min_words)
-    found = found if within else found.where("first_id <> last_id")
-    found = found.groupBy("id", "word").agg(F.min("first_id").alias("first_id"))
-    runs = united(found, least, F.min("first_id").alias("first"))
+    found = repeats_of(docs, id_col, text_col, min_words, within)
+    runs = united(found if within else found.where("across"), F.min("first_id").alias("first"))
     known = lambda c: F.when(F.col(c) > NO_ID, F.col(c))
     return runs.select(known("id").alias("doc_id"), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).cast("long").alias("n_words"), known("first").alias("first_doc_id"))
 
@@ -240,9 +267,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alike (they are one document here); of rows without an id, which come first, copies fare
     alike too. Null texts stay null; a text that is a copy of an earlier one is empty.
     """
-    least = min_words + 1
-    later = repeated_words(docs, id_col, text_col, min_words).where("id <> first_id or word <> first_word").select("id", "word").distinct()
-    gone = united(later, least).groupBy("id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("gone"))  # one text's passages
+    later = repeats_of(docs, id_col, text_col, min_words, within=True).where("later")
+    gone = united(later).groupBy("id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("gone"))  # one text's passages
     key, spans = unused("_key", docs), unused("_gone", docs)
     rows = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) - F.pmod(F.xxhash64(text_col), F.lit(1 << 61))))
     rows = rows.join(gone.select(F.col("id").alias(key), F.col("gone").alias(spans)), key, "left")
