@@ -37,9 +37,9 @@ WINDOW = 9
 #: most, and runs of WINDOW words begin outside), and its last ones; between must be three cuts.
 BEFORE, AFTER = 8 + WINDOW - 1, WINDOW - 1
 SHORTEST = BEFORE + 3 * WINDOW + AFTER
-#: A run of a text that is later than the first, of the first itself, of a second place in the
-#: first text, and a place about which another text asks.
-LATER, FIRST, SECOND, ASKED = range(4)
+#: A part of a text about which it asks, a run of a text that is later than the first, one of the
+#: first itself, and a place about which another text asks.
+PART, LATER, FIRST, ASKED = range(4)
 #: Keys of rows without an id lie below this number.
 NO_ID = -(1 << 62)
 
@@ -130,15 +130,18 @@ def unpacked(at: str, name: str) -> list[Column]:
     """number, start, end, low and high of a pair's place: low and high bound a passage that has no chunk pair beyond it."""
     bits = lambda shift, n: F.shiftright(at, shift).bitwiseAND((1 << n) - 1).cast("int")
     start, size = bits(13, 26), bits(8, 5)
-    low, high = start - bits(4, 4) - BEFORE, start + size + bits(0, 4) + (AFTER - 1)
+    before, after = bits(4, 4), bits(0, 4)  # 0: the text's first or last pair
+    low, high = start - before - F.when(before > 0, BEFORE).otherwise(0), start + size + after + F.when(after > 0, AFTER - 1).otherwise(0)
     return [F.shiftright(at, 39).cast("int").alias(f"{name}i"), start.alias(f"{name}start"), (start + size).alias(f"{name}end"), low.alias(f"{name}low"), high.alias(f"{name}high")]
 
 
 def regions(rows: DataFrame, least: int, within: bool) -> DataFrame:
-    """(id, kind, start, end, low, high, of): runs of repeated chunk pairs in words, end exclusive.
+    """(id, kind, start, end, low, high, of, ask): where texts are repeated for sure, and where that is to be found out.
 
     A run's pairs follow one another, and so do their places in the first text (`of`) that holds
-    them. low, high: where a passage around the run may begin and end at most. Not `within`:
+    them: LATER and FIRST runs of `least` words are repeated as a whole (if another text follows
+    FIRST there), from word `start` to `end`. Passages around and across runs lie from `low` to
+    `high` of a PART, or of the place in the first text about which a run ASKED. Not `within`:
     pairs that one text alone holds are left out.
     """
     emitted = chunk_pairs(rows, least)
@@ -154,21 +157,27 @@ def regions(rows: DataFrame, least: int, within: bool) -> DataFrame:
     least_of, most_of = ("start", "low", "of_start"), ("end", "high", "of_end", "of", "shift")
     runs = numbered.groupBy("id", "part", "run").agg(*[F.min(c).alias(c) for c in least_of], *[F.max(c).alias(c) for c in most_of])
     part = Window.partitionBy("id", "part")
-    runs = runs.withColumns({"part_low": F.min("low").over(part), "part_high": F.max("high").over(part)}).where(F.col("part_high") - F.col("part_low") >= least)
-    runs = materialize(runs)
-    kind = F.when(F.col("of") != F.col("id"), LATER).when(F.col("shift") == 0, FIRST).otherwise(SECOND)
-    mine = runs.select("id", kind.alias("kind"), "start", "end", F.col("part_low").alias("low"), F.col("part_high").alias("high"), "of")
+    runs = runs.withColumns({"part_low": F.min("low").over(part), "part_high": F.max("high").over(part), "n": F.count("*").over(part)}).where(F.col("part_high") - F.col("part_low") >= least)
+    later, long = F.col("of") != F.col("id"), F.col("end") - F.col("start") >= least
+    sure = long & (later | (F.col("shift") == 0))
+    # A part that is one run from end to end, such as a copy of a text, asks nothing.
+    ask = ~((F.col("n") == 1) & sure & (F.col("part_low") == F.col("start")) & (F.col("part_high") == F.col("end")))
+    runs = materialize(runs.withColumns({"later": later, "sure": sure, "ask": ask}))
+    none = F.lit(0)
+    parts = runs.where("ask").groupBy("id", "part").agg(F.min("part_low").alias("low"), F.max("part_high").alias("high"))
+    parts = parts.select("id", F.lit(PART).alias("kind"), none.alias("start"), none.alias("end"), "low", "high", F.col("id").alias("of"), F.lit(True).alias("ask"))
+    mine = runs.where("sure").select("id", F.when(F.col("later"), LATER).otherwise(FIRST).alias("kind"), "start", "end", F.col("start").alias("low"), F.col("end").alias("high"), "of", "ask")
     # What is near the ends of a run is compared in the first text, too: its own runs may say nothing of it.
-    asked = runs.where((F.col("of") != F.col("id")) & (F.col("high") - F.col("low") >= least)).groupBy("of", "of_start", "of_end").agg(F.max(F.col("start") - F.col("low")).alias("b"), F.max(F.col("high") - F.col("end")).alias("a"))
+    asked = runs.where(F.col("later") & (F.col("high") - F.col("low") >= least)).groupBy("of", "of_start", "of_end").agg(F.max(F.col("start") - F.col("low")).alias("b"), F.max(F.col("high") - F.col("end")).alias("a"))
     asked = asked.select(F.col("of").alias("id"), F.lit(ASKED).alias("kind"), F.col("of_start").alias("start"), F.col("of_end").alias("end"), (F.col("of_start") - F.col("b")).alias("low"), (F.col("of_end") + F.col("a")).alias("high"), "of")
-    return mine.union(asked)
+    return parts.union(mine).union(asked.withColumn("ask", (F.col("high") - F.col("low") > F.col("end") - F.col("start")) | (F.col("end") - F.col("start") < least)))
 
 
 def window_starts(n: int, runs: list[dict], least: int) -> np.ndarray:
-    """Word numbers at which `least` words are to be compared: around runs and the places asked about, but not inside runs."""
+    """Word numbers at which `least` words are to be compared: of parts, but not inside runs that are sure, and of places asked about."""
     ask = np.zeros(n + 1, bool)
     for r in runs:
-        if r["kind"] != ASKED:
+        if r["kind"] == PART:
             ask[max(0, r["low"]) : max(0, min(n, r["high"]) - least + 1)] = True
     for r in runs:
         if r["kind"] in (LATER, FIRST):
@@ -202,9 +211,7 @@ def spans_of(rows: DataFrame, runs: DataFrame, least: int) -> DataFrame:
             columns = [pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64)), pa.array(number, pa.int64()), pa.array(word, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    # A run with no room for a passage around it asks nothing.
-    around = (F.col("low") < F.col("start")) | (F.col("high") > F.col("end")) | (F.col("end") - F.col("start") < least)
-    of_text = runs.where(around).groupBy("id").agg(F.collect_list(F.struct("kind", "start", "end", "low", "high")).alias("runs"))  # one text's runs
+    of_text = runs.where("ask").groupBy("id").agg(F.collect_list(F.struct("kind", "start", "end", "low", "high")).alias("runs"))  # one text's runs
     of_text = materialize(of_text)
     size = of_text.agg(F.count("*"), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
     narrow = size[0] <= 200_000 and size[1] <= 1_000_000
