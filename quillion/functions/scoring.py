@@ -143,3 +143,55 @@ def urgency(trust: Column, feedback: Column, days: Column) -> Column:
 
 def recommended_action(trust: Column, feedback: Column, days: Column) -> Column:
     return F.when((feedback >= 3) & (trust < 0.3), "discard").when((feedback == 0) & (trust < 0.5) & (days > 7), "reinforce").otherwise("review")
+
+
+def predicted_strength(confidence: Column, days: Column, ahead: float = 30.0, kind: str = "linear") -> Column:
+    """struct<now, then, delta>: confidence by decay with age, now and `ahead` days later."""
+    decay = (lambda d: F.when(d > 90, 0.1).otherwise(clamp(1 - 0.005 * d, 0.1, 1.0))) if kind == "linear" else (lambda d: clamp(F.exp(-F.pow(d / 30.0, F.lit(0.8))), 0.05, 1.0))
+    now, then = confidence * decay(days), confidence * decay(days + ahead)
+    return F.struct(now.alias("now"), then.alias("then"), (then - now).alias("delta"))
+
+
+def cramming(confidence: Column, days: Column, reviews: tuple[int, ...] = (1, 7, 30), horizon: int = 90) -> Column:
+    """struct<plain, reviewed, boost>: strength after `horizon` days without reviews, and with them on the given days.
+
+    A review raises the strength by .3 of what it lacks, as a share of itself; reviewed memories
+    decay half as fast, from the first day on. Each memory has all of the reviews.
+    """
+    plain = confidence * F.when(days + horizon > 90, 0.1).otherwise(clamp(1 - 0.005 * (days + horizon), 0.1, 1.0))
+    strength = F.aggregate(F.array(*[F.lit(d) for d in sorted(reviews) if d <= horizon]), confidence, lambda s, _: F.least(F.lit(1.0), s * (1.0 + 0.3 * (1.0 - s))))
+    reviewed = strength * (0.1 if horizon > 90 else max(0.1, 1 - 0.0025 * horizon))
+    return F.struct(plain.alias("plain"), reviewed.alias("reviewed"), (reviewed - plain).alias("boost"))
+
+
+def card_step(card: Column, grade: Column, now: Column) -> Column:
+    """The next state struct<ef, reps, lapses, interval, next> of a card; times in seconds.
+
+    Grades of 0 to 2 are lapses, retried after 600 seconds: a card never recalled starts anew
+    with its easiness, another counts a lapse. Higher grades: 1 day, 6 days, then the last interval times
+    the easiness.
+    """
+    q = 5 - grade
+    ef = F.greatest(F.lit(1.3), card["ef"] + (0.1 - q * (0.08 + q * 0.02)))
+    lapsed, new = grade <= 2, card["reps"] == 0
+    reps = card["reps"] + 1
+    days = F.when(reps <= 1, 1.0).when(reps == 2, 6.0).otherwise(F.greatest(F.lit(1.0), card["interval"] * ef))
+    return F.struct(
+        F.when(lapsed & new, card["ef"]).otherwise(ef).alias("ef"),
+        F.when(lapsed, F.lit(0).cast("long")).otherwise(reps).alias("reps"),
+        (card["lapses"] + (lapsed & ~new).cast("long")).alias("lapses"),
+        F.when(lapsed, 0.0).otherwise(days).alias("interval"),
+        (now + F.when(lapsed, 600).otherwise(F.floor(days * 86400))).cast("long").alias("next"),
+    )
+
+
+def card_fold(reviews: Column) -> Column:
+    """The state after reviews array<struct<at, grade>> (seconds) in order, from a new card's."""
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(2.5).alias("ef"), zero.alias("reps"), zero.alias("lapses"), F.lit(0.0).alias("interval"), zero.alias("next"))
+    return F.aggregate(reviews, start, lambda card, r: card_step(card, r["grade"], r["at"]))
+
+
+def add_days(now: Column, days: Column) -> Column:
+    """A time `days` days on, in microseconds."""
+    return now + days * DAY

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,63 +130,32 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return state
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component): the smallest id of the nodes that edges connect."""
-    links = saved(oriented(edges).select("a", "b").where("a <> b").distinct())
-    state = saved(links.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, component): the smallest id of the nodes that edges connect.
+
+    Alternates large-star and small-star rounds: neighbours of a node are tied to the least of
+    them, which is found by a sum before the shuffle; rounds grow with the logarithm of a
+    component's width. An error where the rounds end first.
+    """
+    rows = edges.select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b")).where("a is not null and b is not null")
+    alone = rows.where("a = b").select(F.col("a").alias("id"))
+    links = saved(rows.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    mark = None
     for _ in range(rounds):
-        near = links.join(state.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = state.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("old"))
-        # A label's own label is a shortcut: chains halve each round.
-        up = step.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = saved(step.join(up, "component", "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component"), "old"))
-        moved = new.where("component <> old").limit(1).count()
-        state = new.drop("old")
-        if not moved:
+        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark:
             break
-    return state
-
-
-def louvain(edges: DataFrame, by: str | None = None, resolution: float = 1.0, passes: int = 10) -> DataFrame:
-    """(id, community) by local moves of modularity, for each workspace's graph (one graph fits a task) or the whole table."""
-    key = by or "_all"
-    rows = edges.withColumn("_all", F.lit(1)).select(key, F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b"), (F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)).alias("w"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, codes = np.unique(np.concatenate([pdf["a"], pdf["b"]]).astype(str), return_inverse=True)
-        a, b = codes[: len(pdf)], codes[len(pdf) :]
-        near: list[dict[int, float]] = [{} for _ in names]
-        for x, y, w in zip(a.tolist(), b.tolist(), pdf["w"].tolist(), strict=True):
-            near[x][y] = near[x].get(y, 0.0) + w
-            if x != y:
-                near[y][x] = near[y].get(x, 0.0) + w
-        degree = [sum(n.values()) for n in near]
-        whole = sum(degree) or 1.0
-        label, total = list(range(len(names))), list(degree)
-        for _ in range(passes):
-            moved = False
-            for v in sorted(range(len(names)), key=lambda i: (-degree[i], i)):
-                weight: dict[int, float] = {}
-                for u, w in near[v].items():
-                    if u != v:
-                        weight[label[u]] = weight.get(label[u], 0.0) + w
-                total[label[v]] -= degree[v]
-                gain = lambda c: weight.get(c, 0.0) - resolution * total[c] * degree[v] / whole  # noqa: B023, E731
-                best = min(weight, key=lambda c: (-gain(c), c), default=label[v])
-                if gain(best) <= gain(label[v]) + 1e-12:
-                    best = label[v]
-                moved |= best != label[v]
-                label[v] = best
-                total[best] += degree[v]
-            if not moved:
-                break
-        first: dict[int, str] = {}
-        for v, c in enumerate(label):
-            first.setdefault(c, names[v])
-        return pd.DataFrame({key: pdf[key].iloc[0], "id": names, "community": [first[c] for c in label]})
-
-    out = rows.groupBy(key).applyInPandas(solve, f"{key} {rows.schema[key].dataType.simpleString()}, id string, community string")
-    return out if by else out.drop("_all")
+        mark = now
+        both = links.union(links.select("v", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = saved(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    found = links.select(F.col("u").alias("id"), F.col("v").alias("component")).union(links.select("v", "v")).distinct()
+    return found.union(alone.distinct().join(found, "id", "left_anti").select("id", F.col("id").alias("component")))
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:

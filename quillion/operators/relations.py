@@ -78,7 +78,7 @@ def sessions_by_shared_peers(hits: DataFrame, participants: DataFrame, factor: f
     return hits.select("session_id", "score").unionByName(hop).groupBy("session_id").agg(F.max("score").alias("score"))
 
 
-def near_duplicates(df: DataFrame, text_col: str = "content", created: str = "created_at", most: float = 0.3, tile_rows: int = 2_000) -> DataFrame:
+def near_duplicates(df: DataFrame, text_col: str = "content", created: str = "created_at", most: float = 0.3, tile_rows: int = 2_000, by: str | None = None) -> DataFrame:
     """(older, newer, ratio): all pairs of different texts within an edit ratio (`most`, under 1), and copies.
 
     Rows of one text form a class, which its earliest row stands for: other rows of the class
@@ -86,21 +86,22 @@ def near_duplicates(df: DataFrame, text_col: str = "content", created: str = "cr
     expanded into all pairs. Every pair of classes whose lengths allow the ratio is verified;
     at 0.3, q-grams rule out next to no pair of prose (of n characters, 0.1 n shared trigrams
     do). Classes meet by level of length, in tiles of tile_rows or so, which are dealt out in pairs.
+    With `by`, rows of one group are compared alone.
     """
-    rows = df.select("id", F.col(created).alias("created"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    classes = rows.groupBy("text").agg(F.min(F.struct("created", "id")).alias("first"))
-    copies = rows.join(classes, "text").where(F.struct("created", "id") != F.col("first")).select(F.col("first.id").alias("older"), F.col("id").alias("newer"), F.lit(0.0).alias("ratio"))
-    sized = classes.select("first", "text", F.length("text").alias("n")).where("n > 0")
+    rows = df.select("id", F.col(created).alias("created"), F.col(text_col).alias("text"), (F.col(by) if by else F.lit(0)).alias("of")).where(F.col("text").isNotNull())
+    classes = rows.groupBy("of", "text").agg(F.min(F.struct("created", "id")).alias("first"))
+    copies = rows.join(classes, ["of", "text"]).where(F.struct("created", "id") != F.col("first")).select(F.col("first.id").alias("older"), F.col("id").alias("newer"), F.lit(0.0).alias("ratio"))
+    sized = classes.select("of", "first", "text", F.length("text").alias("n")).where("n > 0")
     tiles = max(1, math.ceil(sized.count() / tile_rows))
     # A longer text that the ratio allows is of the same level or the next; the margin covers rounding.
     level = F.floor(F.log("n") / F.lit(1e-9 - math.log(1 - most)))
     sized = sized.withColumn("level", level).withColumn("tile", F.pmod(F.xxhash64("text"), F.lit(tiles)))
     every = F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))
-    shorter = sized.select(F.col("first").alias("x"), F.col("text").alias("s"), F.col("n").alias("x_n"), "level", F.col("tile").alias("x_tile"), F.explode(every).alias("y_tile"))
+    shorter = sized.select("of", F.col("first").alias("x"), F.col("text").alias("s"), F.col("n").alias("x_n"), "level", F.col("tile").alias("x_tile"), F.explode(every).alias("y_tile"))
     longer = sized.withColumn("level", F.explode(F.array(F.col("level"), F.col("level") - 1)))
-    longer = longer.select(F.col("first").alias("y"), F.col("text").alias("t"), F.col("n").alias("y_n"), "level", F.explode(every).alias("x_tile"), F.col("tile").alias("y_tile"))
+    longer = longer.select("of", F.col("first").alias("y"), F.col("text").alias("t"), F.col("n").alias("y_n"), "level", F.explode(every).alias("x_tile"), F.col("tile").alias("y_tile"))
     ordered = (F.col("x_n") < F.col("y_n")) | (F.col("x_n") == F.col("y_n")) & (F.col("x") < F.col("y"))
-    pairs = shorter.join(longer.hint("shuffle_hash"), ["level", "x_tile", "y_tile"]).where(ordered & (F.col("y_n") - F.col("x_n") <= F.ceil(F.lit(most) * F.col("y_n"))))
+    pairs = shorter.join(longer.hint("shuffle_hash"), ["of", "level", "x_tile", "y_tile"]).where(ordered & (F.col("y_n") - F.col("x_n") <= F.ceil(F.lit(most) * F.col("y_n"))))
     # -1: beyond the bound, which is rounded up; the ratio decides.
     apart = pairs.select(F.least("x", "y")["id"].alias("older"), F.greatest("x", "y")["id"].alias("newer"), "y_n", F.expr(f"levenshtein(s, t, cast(ceil({most!r}D * y_n) as int))").alias("edits"))
     near = apart.where((F.col("edits") >= 0) & (F.col("edits") / F.col("y_n") <= most)).select("older", "newer", (F.col("edits") / F.col("y_n")).alias("ratio"))
@@ -149,10 +150,19 @@ def without_newer(df: DataFrame, pairs: DataFrame) -> DataFrame:
     return df.join(pairs.select(F.col("newer").alias("id")).distinct(), "id", "left_anti")
 
 
-def budget_pack(df: DataFrame, budget: int, size: Column, order: list[Column], by: str | None = None) -> DataFrame:
-    """The rows in order whose running size stays within the budget; the first row always stays. Adds `used`."""
+def budget_pack(df: DataFrame, budget: int, size: Column, order: list[Column], by: str | None = None, least: int = 1) -> DataFrame:
+    """The rows in order whose running size stays within the budget; the first row always stays. Adds `used`.
+
+    least: what the size of a row is at least; so no more than budget / least rows of a group
+    can stay, and the others are dropped before rows are gathered by group. least 0: any size.
+    """
+    most = budget // least + 1 if least else None
     w = Window.partitionBy(by).orderBy(*order) if by else Window.orderBy(*order)
-    rows = df.withColumn("used", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_n", F.row_number().over(w))
+    if most and not by:
+        df = df.orderBy(*order).limit(most)  # bounded by the budget, so one window may hold them
+    rows = df.withColumn("_n", F.row_number().over(w))
+    rows = rows.where(F.col("_n") <= most) if most else rows
+    rows = rows.withColumn("used", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     return rows.where((F.col("used") <= budget) | (F.col("_n") == 1)).drop("_n")
 
 
@@ -162,10 +172,16 @@ def context_pack(memories: DataFrame, budget: int) -> DataFrame:
     return budget_pack(memories.where("is_active"), budget, text.token_estimate(F.col("content")), order, "workspace_id")
 
 
-def compressed(results: DataFrame, budget: int, strategy: str = "combined") -> DataFrame:
-    """Results within a budget of characters (100 more for each), by score, by time or by both."""
-    keys = {"importance": F.desc("score"), "recency": F.desc("created_at"), "combined": F.desc(0.5 * F.col("score") + 0.5 * F.percent_rank().over(Window.orderBy("created_at")))}
-    return budget_pack(results, budget, F.length("content") + 100, [keys[strategy], F.col("id")])
+def compressed(results: DataFrame, budget: int, strategy: str = "combined", by: str | None = None) -> DataFrame:
+    """Results within a budget of characters (100 more for each), by score, by time or by both; with `by`, those of each group.
+
+    By both: a result's rank in time counts among the results of its group (a search's hits).
+    """
+    newest = Window.partitionBy(by).orderBy("created_at") if by else Window.orderBy("created_at")
+    if strategy == "combined":
+        results = results.withColumn("_both", 0.5 * F.col("score") + 0.5 * F.percent_rank().over(newest))
+    keys = {"importance": "score", "recency": "created_at", "combined": "_both"}
+    return budget_pack(results, budget, F.length("content") + 100, [F.desc(keys[strategy]), F.col("id")], by, least=100).drop("_both")
 
 
 def delta_pack(memories: DataFrame, since: int) -> DataFrame:
@@ -206,3 +222,10 @@ def edge_contradictions(edges: DataFrame, opposites: list[tuple[str, str]] = OPP
     both = [f"{min(p)}|{max(p)}" for p in opposites]
     out = rows.select("source_node_id", "target_node_id", F.explode(pairs).alias("p")).select("source_node_id", "target_node_id", "p.*")
     return out.withColumn("kind", F.when(F.concat_ws("|", "relation_a", "relation_b").isin(both), "opposite").otherwise("potential"))
+
+
+def invalidated(edges: DataFrame, listed: DataFrame, now: int) -> DataFrame:
+    """edges of which the listed ones (id) that are current end now."""
+    hit = listed.select("id", F.lit(True).alias("_hit")).distinct()
+    ends = F.col("_hit") & (F.col("invalid_at") == 0)
+    return edges.join(hit, "id", "left").withColumn("invalid_at", F.when(ends, F.lit(now)).otherwise(F.col("invalid_at"))).select(*edges.columns)

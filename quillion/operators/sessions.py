@@ -162,3 +162,19 @@ def intents(queries: DataFrame, column: str = "query") -> DataFrame:
         F.when(low == "", 0.0).when(F.size("_f") > 0, F.round(-best["s"], 4)).when(short, 0.6).otherwise(0.3).alias("confidence"),
         F.transform(F.filter(F.slice("_f", 2, 10), lambda x: x["s"] < -0.2), lambda x: x["intent"]).alias("secondary"),
     )
+
+
+# The strategy and reranker that a query's intent names.
+STRATEGY_OF = {
+    "factual": "semantic", "temporal": "recency_boosted", "procedural": "hybrid", "exploratory": "diverse", "social": "entity_focused",
+    "summarization": "keyword", "comparison": "exact_phrase", "causal": "semantic_graph",
+}
+RERANKER_OF = {"exploratory": "mmr"}
+
+
+def routed(query: str, hits: DataFrame) -> DataFrame:
+    """hits with the query's intent, and the strategy and reranker that it names."""
+    one = intents(hits.sparkSession.createDataFrame([(query,)], "query string")).select("intent")
+    named = lambda values, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("intent")), F.lit(other))
+    one = one.select("intent", named(STRATEGY_OF, "hybrid").alias("strategy"), named(RERANKER_OF, "").alias("reranker"))
+    return hits.crossJoin(F.broadcast(one))  # one row

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillion.functions import text
-from quillion.operators import entities, filters, graph, notes, patterns, relations
+from quillion.operators import communities, entities, filters, graph, notes, patterns, relations
 from quillion.plans.registry import Tables, query
 from quillion.plans.retrieval import rounded
 from quillion.sources import io
+from quillion.sources.shared import new_folder
 from quillion.streaming import changes
 
 PT = "list_filter(regexp_extract_all(lower({c}), '[a-z0-9_]+'), lambda t: length(t) >= 3)"
@@ -142,10 +141,10 @@ def snippets(t: Tables) -> DataFrame:
     return t.documents.select(F.col("doc_id").alias("id"), text.snippet(F.col("text"), "idiot").alias("snippet"))
 
 
-@query("SELECT id, replace(replace(content, ' thand ', '&'), ' the ', '=') AS content FROM memory WHERE num % 3 = 0", "memory")
+@query("SELECT id, replace(replace(content, ' thand ', '&'), ' the ', '=') AS content FROM memory", "memory")
 def dialect_compression(t: Tables) -> DataFrame:
     rules = {" the ": "=", " thand ": "&"}
-    return t.memory.where("num % 3 = 0").select("id", text.substitute(F.col("content"), rules).alias("content"))
+    return t.memory.select("id", text.substitute(F.col("content"), rules).alias("content"))
 
 
 @query()
@@ -212,13 +211,13 @@ def label_propagation(t: Tables) -> DataFrame:
 
 @query()
 def louvain_communities(t: Tables) -> DataFrame:
-    return graph.louvain(t.kg_edge)
+    return communities.louvain(t.kg_edge)
 
 
 @query()
 def community_modularity(t: Tables) -> DataFrame:
     edges = t.kg_edge
-    return rounded(graph.modularity(edges, graph.louvain(edges)), "modularity")
+    return rounded(graph.modularity(edges, communities.louvain(edges)), "modularity")
 
 
 @query(f"WITH RECURSIVE {BOTH}, f(id, root) AS (SELECT a, a FROM o UNION SELECT o.b, f.root FROM f JOIN o ON f.id = o.a) SELECT id, min(root) AS component FROM f GROUP BY id", "kg_edge")
@@ -304,12 +303,15 @@ def jaccard_pairs(t: Tables) -> DataFrame:
     return rounded(relations.jaccard_pairs(t.memory, 0.7), "jaccard")
 
 
-@query("SELECT a.p_partkey AS a, b.p_partkey AS b, round(levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6) AS ratio FROM (SELECT p_partkey, p_name, p_brand FROM part) a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) <= 0.3 AND a.p_name <> b.p_name")
+@query("""
+  WITH c AS (SELECT p_brand, p_name, min(p_partkey) AS id FROM part GROUP BY 1, 2)
+  SELECT least(a.id, b.id) AS older, greatest(a.id, b.id) AS newer, round(levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 6) AS ratio
+  FROM c a JOIN c b ON a.p_brand = b.p_brand AND a.id < b.id WHERE levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) <= 0.3
+  UNION ALL SELECT c.id, p.p_partkey, 0.0 FROM c JOIN part p USING (p_brand, p_name) WHERE p.p_partkey <> c.id""")
 def near_duplicates_levenshtein(t: Tables) -> DataFrame:
-    a = t.part.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x"), "p_brand")
-    b = t.part.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("y"), "p_brand")
-    ratio = text.edit_ratio(F.col("x"), F.col("y"))
-    return rounded(a.join(b, "p_brand").where("a < b AND x <> y").select("a", "b", ratio.alias("ratio")).where("ratio <= 0.3"), "ratio")
+    """Parts of a brand with names of up to 0.3 edits a character; parts of one name are linked to the first."""
+    rows = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("content"), F.lit(0).alias("created_at"), "p_brand")
+    return rounded(relations.near_duplicates(rows, by="p_brand"), "ratio")
 
 
 @query("SELECT source_id, target_id FROM (SELECT c_custkey AS source_id, c_custkey + 1 AS target_id FROM customer) WHERE target_id IN (SELECT c_custkey FROM customer)")
@@ -356,29 +358,35 @@ def session_windows(t: Tables) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def streaming_windows(t: Tables) -> DataFrame:
-    """The daily window counts of a stream over the events file, run to its end."""
-    events = t.events
-    folder = tempfile.mkdtemp(prefix="quillion-stream-")
+    """The daily window counts of a stream over the events file, run to its end; windows are written as they close."""
+    events, folder = t.events, new_folder(t.spark, "stream")
     rows = t.spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(t._sf_dir)
     found = changes.windowed(rows, "1 day", late="40 days").select("start", "event_type", "n")
-    name = f"windows_{abs(hash(folder))}"
-    found.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination()
-    return t.spark.table(name)
+    last: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out-{number}")
+        last.append(number)
+
+    found.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out-{max(last)}")
 
 
-@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS content FROM customer WHERE c_custkey < 50")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS content FROM customer")
 def export_import(t: Tables) -> DataFrame:
-    """Memories written as JSON and read again."""
-    folder = tempfile.mkdtemp(prefix="quillion-export-") + "/out"
-    rows = t.customer.where("c_custkey < 50").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("content"))
+    """Memories written as JSON to the shared folder and read again."""
+    folder = new_folder(t.spark, "export")
+    rows = t.customer.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("content"))
     io.export_memories(rows, folder)
     return io.import_memories(t.spark, folder).select("id", "content")
 
 
-@query("SELECT id, bool_or(fresh) AS fresh FROM (SELECT c_custkey AS id, false AS fresh FROM customer WHERE c_custkey < 30 UNION ALL SELECT c_custkey, true FROM customer WHERE c_custkey BETWEEN 20 AND 39) GROUP BY id")
+@query("SELECT c_custkey AS id, c_custkey % 3 = 0 AS fresh FROM customer UNION ALL SELECT -s_suppkey - 1, true FROM supplier")
 def bundle_replace(t: Tables) -> DataFrame:
-    current = t.customer.where("c_custkey < 30").select(F.col("c_custkey").alias("id"), F.lit(False).alias("fresh"))
-    incoming = t.customer.where("c_custkey between 20 and 39").select(F.col("c_custkey").alias("id"), F.lit(True).alias("fresh"))
+    """All customers, of which a bundle brings every third anew, and suppliers that weren't there."""
+    current = t.customer.select(F.col("c_custkey").alias("id"), F.lit(False).alias("fresh"))
+    incoming = t.customer.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.lit(True).alias("fresh"))
+    incoming = incoming.unionByName(t.supplier.select((-F.col("s_suppkey") - 1).alias("id"), F.lit(True).alias("fresh")))
     return io.merge_import(current, incoming, "replace")
 
 
@@ -388,17 +396,11 @@ def rss_connector(t: Tables) -> DataFrame:
     return io.rss_items(t.pages.select(xml.alias("xml"))).select(F.col("link").cast("long").alias("id"), "title")
 
 
-@query("SELECT n_nationkey * 2 + k AS position, CASE WHEN k = 0 THEN n_name ELSE 'sub ' || n_name END AS title, k + 1 AS level FROM nation, (SELECT unnest([0, 1]) AS k)")
+@query("SELECT n_nationkey AS id, k + 1 AS position, CASE WHEN k = 0 THEN n_name ELSE 'sub ' || n_name END AS title, k + 1 AS level, CASE WHEN k = 0 THEN 'tag' ELSE '' END AS tags FROM nation, (SELECT unnest([0, 1]) AS k)")
 def org_connector(t: Tables) -> DataFrame:
-    body = t.nation.select(F.concat(F.lit("* "), "n_name", F.lit(" :tag:\nbody\n** sub "), "n_name", F.lit("\nmore")).alias("value"), "n_nationkey")
-    rows = io.org_sections(body.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "value"))), lambda x: x["value"]), "\n").alias("value")))  # one text
-    return rows.select((F.col("position") - F.min("position").over(_all())).alias("position"), "title", "level")
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.orderBy("position").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    """Sections of one org text for each nation."""
+    texts = t.nation.select(F.col("n_nationkey").alias("id"), F.concat(F.lit("* "), "n_name", F.lit(" :tag:\nbody\n** sub "), "n_name", F.lit("\nmore")).alias("value"))
+    return io.org_sections(texts, keep=["id"]).select("id", "position", "title", "level", F.array_join("tags", ",").alias("tags"))
 
 
 @query("SELECT id, sum(v) AS impacted FROM (SELECT n_nationkey AS id, 1 AS v FROM nation WHERE n_regionkey < 3 AND n_nationkey % 5 <> 0) GROUP BY id")

@@ -149,7 +149,7 @@ def strength_histogram(t: Tables) -> DataFrame:
 
 
 @query("""
-  WITH RECURSIVE g AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id % 6 AS grade FROM events WHERE user_id < 40),
+  WITH RECURSIVE g AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id % 6 AS grade FROM events),
   s AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 2.5::DOUBLE AS ef, 0::BIGINT AS interval_days, 0::BIGINT AS reps FROM g
     UNION ALL SELECT s.user_id, g.i, greatest(1.3, ef + 0.1 - (5.0 - grade) * (0.08 + (5.0 - grade) * 0.02)),
       CASE WHEN grade < 2 OR reps = 0 THEN 1 WHEN reps = 1 THEN 6 ELSE greatest(1, floor(interval_days * ef + 0.5)) END::BIGINT, CASE WHEN grade >= 2 THEN reps + 1 ELSE 0 END
@@ -157,7 +157,7 @@ def strength_histogram(t: Tables) -> DataFrame:
   SELECT user_id, round(max_by(ef, i), 6) AS ef, max_by(interval_days, i) AS interval_days, max_by(reps, i) AS reps FROM s GROUP BY user_id""")
 def sm2_fold(t: Tables) -> DataFrame:
     grades = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda x: x["event_id"] % 6)
-    rows = t.events.where("user_id < 40").groupBy("user_id").agg(grades.alias("g"))
+    rows = t.events.groupBy("user_id").agg(grades.alias("g"))
     state = rows.select("user_id", scoring.sm2_fold(F.col("g")).alias("s"))
     return state.select("user_id", F.round("s.ef", 6).alias("ef"), F.col("s.interval").alias("interval_days"), F.col("s.reps").alias("reps"))
 
@@ -205,12 +205,15 @@ def update_with_revision(t: Tables) -> DataFrame:
     return maintenance.update(current, updates, 0)[0].select("id", "tier", "version")
 
 
-@query("SELECT CASE WHEN num % 50 < 2 THEN 'consolidated' ELSE 'other' END AS kind, count(*) AS n FROM (SELECT num, num % 50 AS k FROM memory UNION ALL SELECT DISTINCT num // 50 * 50, 0 FROM memory WHERE num % 50 < 2 AND false) GROUP BY 1", "memory")
+@query("""
+  WITH g AS (SELECT num // 50 AS g, workspace_id, string_agg(content, chr(10) ORDER BY id) AS content, max(confidence) AS confidence FROM memory WHERE num % 50 < 2 GROUP BY 1, 2)
+  SELECT id, NOT num % 50 < 2 AND is_active AS is_active, sha256(content) AS digest, confidence FROM memory
+  UNION ALL SELECT 'consolidated-' || g, true, sha256(content), confidence FROM g""", "memory")
 def consolidation_members(t: Tables) -> DataFrame:
+    """The first two memories of each fifty go into one of their workspace."""
     memories = t.memory
     groups = memories.where(F.col("num") % 50 < 2).select(F.floor(F.col("num") / 50).alias("group_id"), "id")
-    gone = maintenance.deactivate(memories, groups, 0)
-    return gone.join(groups, "id", "left").groupBy(F.when(F.col("group_id").isNotNull() & ~F.col("is_active"), "consolidated").otherwise("other").alias("kind")).agg(F.count("*").alias("n"))
+    return maintenance.consolidate(memories, groups, 0).select("id", "is_active", F.sha2("content", 256).alias("digest"), "confidence")
 
 
 @query("SELECT id, used FROM (SELECT id, workspace_id, sum(greatest(octet_length(encode(content)) // 4, 1)) OVER w AS used, row_number() OVER w AS n FROM memory WHERE is_active WINDOW w AS (PARTITION BY workspace_id ORDER BY tier, confidence DESC, strength DESC, id)) WHERE used <= 20000 OR n = 1", "memory")
@@ -218,10 +221,10 @@ def token_budget_pack(t: Tables) -> DataFrame:
     return relations.context_pack(t.memory, 20000).select("id", "used")
 
 
-@query("SELECT id, used FROM (SELECT id, sum(length(content) + 100) OVER w AS used, row_number() OVER w AS n FROM memory WHERE is_active AND workspace_id = 'es' WINDOW w AS (ORDER BY created_at DESC, id)) WHERE used <= 30000 OR n = 1", "memory")
+@query("SELECT id, used FROM (SELECT id, sum(length(content) + 100) OVER w AS used, row_number() OVER w AS n FROM memory WHERE is_active WINDOW w AS (PARTITION BY workspace_id ORDER BY created_at DESC, id)) WHERE used <= 30000 OR n = 1", "memory")
 def character_budget_pack(t: Tables) -> DataFrame:
-    rows = t.memory.where("is_active AND workspace_id = 'es'").withColumn("score", F.col("confidence"))
-    return relations.compressed(rows, 30000, "recency").select("id", "used")
+    rows = t.memory.where("is_active").withColumn("score", F.col("confidence"))
+    return relations.compressed(rows, 30000, "recency", "workspace_id").select("id", "used")
 
 
 @query(f"SELECT id, CASE WHEN is_active THEN 'changed' ELSE 'removed' END AS change FROM memory WHERE updated_at > {NOW_SQL} - 10 * 86400000000", "memory")
@@ -324,10 +327,15 @@ def unsynced_status(t: Tables) -> DataFrame:
     return changes.unsynced(log, log.where("id % 4 = 0")).withColumnRenamed("peer_id", "peer")
 
 
-@query()
+@query("""
+  WITH RECURSIVE e AS (SELECT DISTINCT user_id, epoch_us(ts) AS t FROM events),
+  n AS (SELECT a.user_id, a.t, min(b.t) AS up FROM e a JOIN e b ON a.user_id = b.user_id AND b.t >= a.t + 86400000000 GROUP BY a.user_id, a.t),
+  k AS (SELECT user_id, min(t) AS t FROM e GROUP BY user_id UNION ALL SELECT k.user_id, n.up FROM k JOIN n ON k.user_id = n.user_id AND k.t = n.t)
+  SELECT CAST(user_id AS VARCHAR) AS dedup_key, t AS created_at FROM k""")
 def debounced_jobs(t: Tables) -> DataFrame:
-    jobs = t.events.select(F.col("event_type").alias("dedup_key"), F.col("event_id").cast("string").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("created_at"))
-    return changes.debounced(jobs, DAY).groupBy("dedup_key").agg(F.count("*").alias("n"))
+    """Events as jobs of their user, one a day at most."""
+    jobs = t.events.select(F.col("user_id").cast("string").alias("dedup_key"), F.col("event_id").cast("string").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("created_at"))
+    return changes.debounced(jobs, DAY).select("dedup_key", "created_at")
 
 
 @query("SELECT o_orderkey AS id, o_orderpriority FROM orders WHERE o_orderstatus = 'O' ORDER BY 5 - CAST(left(o_orderpriority, 1) AS INT) DESC, o_orderdate, o_orderkey LIMIT 10")

@@ -246,9 +246,9 @@ def lexical_scores(t: Tables) -> DataFrame:
     return t.memory.select("id", textquery.lexical_score(F.col("content"), '"of the" idiot -scum').alias("score")).where("score > 0")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), '^part.*1.$')")
+@query("SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), '^.*e.*b.lt$')")
 def glob_get(t: Tables) -> DataFrame:
-    return t.part.where(text.glob_match(F.col("p_name"), "*A*1?")).select("p_partkey", "p_name")
+    return t.part.where(text.glob_match(F.col("p_name"), "*E*b?lt")).select("p_partkey", "p_name")
 
 
 @query("SELECT id FROM memory WHERE is_active AND confidence >= 0.5 AND created_at >= " + NOW_SQL + " - 20 * 86400000000 AND memory_type NOT IN ('src3', 'src4')", "memory")
@@ -269,12 +269,12 @@ def retrieval_quality(t: Tables) -> DataFrame:
     return textquery.retrieval_quality(results, expected)
 
 
-SESSIONS = "ses AS (SELECT session_id AS id, min_by(text, turn)[:60] AS name, max_by(text, turn) AS summary, concat('{\"turns\":\"', CAST(count(*) AS VARCHAR), '\"}') AS metadata, 1704067200000000 + CAST(session_id AS BIGINT) * 3600000000 AS created_at FROM session_turn GROUP BY session_id)"
+SESSIONS = "ses AS (SELECT session_id AS id, min_by(text, turn) AS name, max_by(text, turn) AS summary, concat('{\"turns\":\"', CAST(count(*) AS VARCHAR), '\"}') AS metadata, 1704067200000000 + CAST(session_id AS BIGINT) * 3600000000 AS created_at FROM session_turn GROUP BY session_id)"
 
 
 def session_table(t: Tables) -> DataFrame:
     return t.session_turn.groupBy(F.col("session_id").alias("id")).agg(
-        F.substring(F.min_by("text", "turn"), 1, 60).alias("name"), F.max_by("text", "turn").alias("summary"), F.concat(F.lit('{"turns":"'), F.count("*").cast("string"), F.lit('"}')).alias("metadata"),
+        F.min_by("text", "turn").alias("name"), F.max_by("text", "turn").alias("summary"), F.concat(F.lit('{"turns":"'), F.count("*").cast("string"), F.lit('"}')).alias("metadata"),
         (F.lit(1704067200000000) + F.first("session_id").cast("long") * 3600000000).alias("created_at"),
     )
 
@@ -409,13 +409,15 @@ def entity_search(t: Tables) -> DataFrame:
     return nodes.where(F.col("node_type") == "customer").select("id", "label")
 
 
-@query(f"WITH {bm25_sql('mean')} SELECT id, round(score, 6) AS score FROM b WHERE score >= 2.5", "memory")
-def near_duplicate_lookup(t: Tables) -> DataFrame:
-    return rounded(search.bm25(t.memory, TERMS).where("score >= 2.5"), "score")
+@query("SELECT id, ((lower(content) LIKE '%stupid trash%') OR (lower(content) LIKE '%idiot trash%'))::INT + ((lower(content) LIKE '%stupid garbage%') OR (lower(content) LIKE '%idiot garbage%'))::INT AS phrases, (lower(content) LIKE '%stupid%')::INT + (lower(content) LIKE '%idiot%')::INT AS words FROM memory WHERE lower(content) LIKE '%stupid%' OR lower(content) LIKE '%idiot%'", "memory")
+def synonym_expansion(t: Tables) -> DataFrame:
+    """Memories that hold a variant of the words of a query, and how many."""
+    hay = F.lower("content")
+    held = lambda variants: sum((F.contains(hay, F.lit(v)).cast("int") for v in variants), F.lit(0))
+    words = textquery.synonym_variants("stupid", {"stupid": ["idiot"]})
+    phrases = textquery.synonym_variants("stupid trash", {"stupid": ["idiot"], "trash": ["garbage"]})
+    by_last = [[p for p in phrases if p.endswith(last)] for last in ("trash", "garbage")]
+    found = t.memory.select("id", sum((F.least(held(p), F.lit(1)) for p in by_last), F.lit(0)).alias("phrases"), held(words).alias("words"))
+    return found.where("words > 0")
 
 
-@query("SELECT doc_id AS id, count(*) AS variants FROM documents, (SELECT unnest(['big dog', 'large dog', 'big hound', 'large hound']) AS v) WHERE doc_id < 3 GROUP BY doc_id")
-def synonym_expansion(t: Tables) -> DataFrame:
-    variants = textquery.synonym_variants("big dog", {"big": ["large"], "dog": ["hound"]})
-    rows = t.documents.where("doc_id < 3").select(F.col("doc_id").alias("id"), F.explode(text.strings(variants)))
-    return rows.groupBy("id").agg(F.count("*").alias("variants"))

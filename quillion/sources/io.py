@@ -86,12 +86,13 @@ def poll_all(sources: dict[str, DataFrame]) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
-def org_sections(files: DataFrame, text_col: str = "value") -> DataFrame:
-    """Sections of org-mode texts: (level, title, tags, body, position)."""
+def org_sections(files: DataFrame, text_col: str = "value", keep: list[str] = ()) -> DataFrame:
+    """Sections of org-mode texts: (position, level, title, tags, body), after the columns to keep of each text."""
     parts = F.split(F.concat(F.lit("\n"), F.col(text_col)), r"\n(?=\*+ )")
-    rows = files.select(F.posexplode(parts).alias("position", "part")).where(F.col("part").rlike(r"^\*+ "))
+    rows = files.select(*keep, F.posexplode(parts).alias("position", "part")).where(F.col("part").rlike(r"^\*+ "))
     head = F.regexp_extract("part", r"^(\*+) ([^\n]*)", 2)
     return rows.select(
+        *keep,
         "position",
         F.length(F.regexp_extract("part", r"^(\*+) ", 1)).alias("level"),
         F.trim(F.regexp_replace(head, r"\s+(:[\w@:]+:)\s*$", "")).alias("title"),

@@ -31,3 +31,10 @@ def saved(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read from there: for loops, in which the constraints that a checkpoint keeps would double each round."""
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

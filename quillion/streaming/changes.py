@@ -104,16 +104,25 @@ def unsynced(log: DataFrame, acknowledged: DataFrame) -> DataFrame:
 
 
 def debounced(jobs: DataFrame, window: int) -> DataFrame:
-    """Jobs (dedup_key, created_at) that come `window` or more microseconds after the last one of their key that was kept."""
-    grouped = jobs.groupBy("dedup_key").agg(F.array_sort(F.collect_list(F.struct("created_at", "id"))).alias("x"))
-    first = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<created_at:bigint,id:string>>").alias("kept"))
+    """Jobs (dedup_key, created_at, id) that come `window` or more microseconds after the last one of their key that was kept.
 
-    def step(acc, x):
-        free = acc["last"].isNull() | (x["created_at"] - acc["last"] >= window)
-        return F.when(free, F.struct(x["created_at"].alias("last"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
+    Whether a job is kept depends on all kept before it, so a key's jobs pass one task in order
+    of time, in Arrow batches: it holds a batch and, for its keys, the last time kept.
+    """
 
-    kept = grouped.select("dedup_key", F.explode(F.aggregate("x", first, step, lambda acc: acc["kept"])).alias("k"))
-    return kept.select("dedup_key", "k.created_at", "k.id")
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, None
+        for rows in batches:
+            stay = []
+            for k, at in zip(rows["dedup_key"].tolist(), rows["created_at"].tolist(), strict=True):
+                new = k != key or last is None or at - last >= window
+                if new:
+                    key, last = k, at
+                stay.append(new)
+            yield rows[stay]
+
+    ordered = jobs.select("dedup_key", "created_at", "id").repartition("dedup_key").sortWithinPartitions("dedup_key", "created_at", "id")
+    return ordered.mapInPandas(keep, ordered.schema)
 
 
 def next_jobs(jobs: DataFrame, n: int) -> DataFrame:
