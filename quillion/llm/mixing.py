@@ -7,9 +7,10 @@ without replacement, block by block, so that each half's counts by source follow
 multivariate hypergeometric distribution and add up exactly. A leaf's counts give a shard
 disjoint ranges of each source's permuted blocks; rows of a shard are then ordered by a hash.
 
-The tree works on counts alone. Their number is bounded by max_blocks and the number of
-sources; documents are only touched by a projection, a prefix sum within narrow hash buckets,
-and a join with the table of blocks, whose size max_blocks bounds.
+The tree works on counts alone. Blocks and shards are of one size whatever the input: with more
+than tree_blocks blocks, the first level shares quotas and shards out in even parts, and each
+part has a tree of its own, in a task of its own. Documents are only touched by a projection, a
+prefix sum within narrow hash buckets, and a join with the table of blocks by source and block.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from quillion.llm.common import bind, materialize, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A prime over any number of blocks, so that multiplying by it permutes them.
+PRIME = 4_294_967_291
 SCALE = float(2**53)
 
 
@@ -113,7 +116,7 @@ def draw_left(seed: int, level: int):
     """A fold over a node's counts that draws, block by block, how many of each go left."""
 
     def one_block(state, _):
-        left = uniform(F.lit(seed), F.lit(level), F.col("low"), state["rest"]) * state["rest"] < state["want"]
+        left = uniform(F.lit(seed), F.lit(level), F.col("base") + F.col("low"), state["rest"]) * state["rest"] < state["want"]
         return F.struct((state["rest"] - 1).alias("rest"), (state["want"] - left.cast("long")).alias("want"))
 
     def source(acc, count):
@@ -124,24 +127,33 @@ def draw_left(seed: int, level: int):
     return source
 
 
-def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
+def split_quotas(quotas: DataFrame, shards: int, seed: int, tree_blocks: int = 1 << 16) -> DataFrame:
     """(source, shard, first, last): each shard's blocks of each source, as places in its permuted blocks.
 
     quotas: (source, blocks). A node is a row with its range of shards and an array of counts,
     one for each source; a level of the tree splits all its nodes. Block after block is drawn
     for the left half with probability (wanted on the left) / (blocks left), which makes the
-    split exact and multivariate hypergeometric.
+    split exact and multivariate hypergeometric. A tree has tree_blocks blocks or so: beyond
+    that, sources and shards are first shared out evenly among several trees.
     """
+    trees = min(shards, max(1, -(-(quotas.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]) // tree_blocks)))
     one = quotas.agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("none"), "source", "blocks"))).alias("q"))  # bounded by the sources
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)
-    nodes = one.select(F.transform("q", lambda x: x["source"]).alias("sources"), F.transform("q", lambda x: x["blocks"]).alias("counts"), F.lit(0).alias("low"), F.lit(shards).alias("high"))
-    nodes = nodes.withColumn("all", total)
-    step = math.ceil(math.log2(shards)) if shards > 1 else 0
+    part = lambda whole: F.floor(whole * (F.col("tree") + 1) / F.lit(trees)) - F.floor(whole * F.col("tree") / F.lit(trees))
+    roots = one.select("q", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    nodes = roots.select(
+        F.transform("q", lambda x: x["source"]).alias("sources"), F.transform("q", lambda x: part(x["blocks"]).cast("long")).alias("counts"),
+        F.floor(F.lit(shards) * F.col("tree") / F.lit(trees)).cast("int").alias("base"), F.lit(0).alias("low"), part(F.lit(shards)).cast("int").alias("high"),
+    )
+    nodes = nodes.withColumns({"own": F.col("high"), "all": total})
+    nodes = nodes.repartition(min(trees, 4096), "base") if trees > 1 else nodes
+    widest = -(-shards // trees)
+    step = math.ceil(math.log2(widest)) if widest > 1 else 0
     for level in range(step):
         middle = ((F.col("low") + F.col("high")) / 2).cast("int")
 
         def edge(x):
-            return F.floor(x * F.col("all") / F.lit(shards))
+            return F.floor(x * F.col("all") / F.col("own"))
 
         want = edge(middle) - edge(F.col("low"))
 
@@ -150,12 +162,38 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
         right = F.zip_with("counts", "left", lambda c, x: c - x)
         whole = F.array(F.struct(F.col("low").alias("low"), F.col("high").alias("high"), F.col("counts").alias("counts")))
         both = F.array(F.struct(F.col("low").alias("low"), middle.alias("high"), F.col("left").alias("counts")), F.struct(middle.alias("low"), F.col("high").alias("high"), right.alias("counts")))
-        nodes = halves.select("sources", "all", F.explode(F.when(F.col("high") - F.col("low") > 1, both).otherwise(whole)).alias("n")).select("sources", "all", "n.*")
-    leaves = nodes.select(F.col("low").alias("shard"), F.explode(F.arrays_zip("sources", "counts")).alias("x")).select("shard", F.col("x.sources").alias("source"), F.col("x.counts").alias("n"))
+        kept = ["sources", "base", "own", "all"]
+        nodes = halves.select(*kept, F.explode(F.when(F.col("high") - F.col("low") > 1, both).otherwise(whole)).alias("n")).select(*kept, "n.*")
+    leaves = nodes.select((F.col("base") + F.col("low")).alias("shard"), F.explode(F.arrays_zip("sources", "counts")).alias("x")).select("shard", F.col("x.sources").alias("source"), F.col("x.counts").alias("n"))
     last = F.sum("n").over(Window.partitionBy("source").orderBy("shard"))
     return leaves.where("n > 0").select("source", "shard", (last - F.col("n")).alias("first"), last.alias("last"))
 
 
+def dealt_blocks(quotas: DataFrame, ranges: DataFrame, seed: int) -> DataFrame:
+    """(source, block, shard): the blocks at the places of each range, by a permutation of the source's blocks."""
+    places = ranges.select(F.col("source").alias("_of"), "shard", F.explode(F.sequence("first", F.col("last") - 1)).alias("place"))
+    block = F.pmod(F.col("place") * F.lit(PRIME) + F.shiftrightunsigned(F.xxhash64("source", F.lit(seed)), 33), F.col("blocks"))
+    return places.join(quotas, F.col("source").eqNullSafe(F.col("_of"))).select("source", block.alias("block"), "shard")
+
+
+def with_shards(rows: DataFrame, blocks: DataFrame, n_blocks: int, narrow: int) -> DataFrame:
+    """rows (source, epochs, ...) with `shards`, the shard of each entry of epochs (its `block`).
+
+    Up to `narrow` blocks are sent to all tasks; beyond, entries and blocks meet by source and block.
+    """
+    if n_blocks <= narrow:
+        table = blocks.groupBy(F.col("source").alias("_source")).agg(F.map_from_entries(F.collect_list(F.struct("block", "shard"))).alias("_shards"))  # n_blocks in all
+        joined = rows.join(F.broadcast(materialize(table)), F.col("source").eqNullSafe(F.col("_source")), "left")
+        found = F.transform("epochs", lambda e: F.coalesce(F.element_at(F.col("_shards"), e["block"]), F.lit(0)))
+        return joined.withColumn("shards", found).drop("_source", "_shards")
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
+    entries = rows.select("_row", F.col("source").alias("_source"), F.posexplode("epochs").alias("_at", "_e")).withColumn("_block", F.col("_e.block"))
+    met = entries.join(blocks, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_block") == F.col("block")), "left")
+    lists = met.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("shard", F.lit(0)).alias("shard")))).alias("_l"))
+    shards = F.coalesce(F.transform("_l", lambda x: x["shard"]), F.array().cast("array<int>"))
+    return rows.join(lists, "_row", "left").withColumn("shards", shards).drop("_row", "_l")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -165,7 +203,8 @@ def mix(
     most_epochs: int = 3,
     shard_words: int = 1 << 20,
     block_words: int = 1 << 14,
-    max_blocks: int = 1 << 16,
+    tree_blocks: int = 1 << 16,
+    narrow_blocks: int = 1 << 16,
     bucket_rows: int = 20_000,
     seed: int = 42,
 ) -> DataFrame:
@@ -184,18 +223,12 @@ def mix(
     words = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
     sizes = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size")))
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    block = max(block_words, math.ceil(total / max_blocks))
+    block = block_words
     shards = max(1, math.ceil(total / max(shard_words, block)))
     targets = materialize(source_targets(sizes, weights, most_epochs))
-    quotas = targets.select("source", F.ceil(F.col("target") / block).cast("long").alias("blocks"))
-    ranges = split_quotas(quotas, shards, seed)
-
-    # Which shard has which block: the blocks of a source are permuted, and the ranges cut that order.
-    numbered = quotas.where("blocks > 0").select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("source", "block", F.lit(seed)), "block")) - 1
-    dealt = numbered.withColumn("place", place).alias("n").join(ranges.alias("r"), F.col("n.source").eqNullSafe(F.col("r.source")) & (F.col("n.place") >= F.col("r.first")) & (F.col("n.place") < F.col("r.last")))
-    blocks = dealt.groupBy(F.col("n.source").alias("_source")).agg(F.map_from_entries(F.collect_list(F.struct("block", "shard"))).alias("_shards"))  # max_blocks and the sources bound it
-    blocks = materialize(blocks)
+    quotas = materialize(targets.select("source", F.ceil(F.col("target") / block).cast("long").alias("blocks")).where("blocks > 0"))
+    n_blocks = quotas.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    blocks = dealt_blocks(quotas, split_quotas(quotas, shards, seed, tree_blocks), seed)
     goal = targets.withColumnRenamed("source", "_source")
 
     rows = permuted(sizes, seed, bucket_rows).join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -205,16 +238,11 @@ def mix(
     epochs = F.filter(F.sequence(F.lit(0), F.lit(most_epochs - 1)), taken)
     rows = materialize(rows.withColumn("epochs", F.transform(epochs, lambda e: F.struct(e.alias("epoch"), middle(e).cast("double").alias("at")))))
     # A document that crosses the target leaves a gap before it, whatever its length; smaller ones fill it.
-    rows = filled(rows, most_epochs).join(F.broadcast(blocks), F.col("source").eqNullSafe(F.col("_source")), "left")
-    last_block = F.greatest(F.ceil(F.col("target") / block).cast("long") - 1, F.lit(0))
-    copies = F.transform(
-        "epochs",
-        lambda e: F.struct(
-            e["epoch"].alias("epoch"),
-            F.coalesce(F.element_at(F.col("_shards"), F.least(F.floor(e["at"] / block), last_block).cast("long")), F.lit(0)).alias("shard"),
-            F.xxhash64("doc_id", e["epoch"], F.lit(seed + 2)).alias("place"),
-        ),
-    )
+    last_block = F.greatest(F.ceil(F.col("target") / block).cast("long") - 1, F.lit(0).cast("long"))
+    entry = lambda e: F.struct(e["epoch"].alias("epoch"), F.least(F.floor(e["at"] / block), last_block).cast("long").alias("block"))
+    rows = filled(rows, most_epochs).withColumn("epochs", F.transform("epochs", entry))
+    rows = with_shards(rows, blocks, n_blocks, narrow_blocks)
+    copies = F.zip_with("epochs", "shards", lambda e, s: F.struct(e["epoch"].alias("epoch"), s.alias("shard"), F.xxhash64("doc_id", e["epoch"], F.lit(seed + 2)).alias("place")))
     return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 

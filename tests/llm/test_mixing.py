@@ -13,7 +13,7 @@ def rows():
     return out + [(1000, "rare", "a b c", 5), (1001, "empty", "", 5), (1002, "empty", None, 5), (1003, "hot", "y " * 5000, 5)]
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_words": 500, "block_words": 64, "bucket_rows": 50}])
+@pytest.mark.parametrize("options", [{}, {"shard_words": 500, "block_words": 64, "bucket_rows": 50}, {"shard_words": 300, "block_words": 32, "tree_blocks": 20, "narrow_blocks": 0}])
 def test_targets_and_bounds(spark, options):
     docs = spark.createDataFrame(rows(), SCHEMA)
     got = mixing.mix(docs, **options).collect()
@@ -38,14 +38,22 @@ def test_targets_and_bounds(spark, options):
 
 def test_tree_deals_each_block_once(spark):
     quotas = spark.createDataFrame([("a", 100), ("b", 37), (None, 5)], "source string, blocks long")
-    got = mixing.split_quotas(quotas, 5, 1).collect()
+    assert mixing.split_quotas(quotas.limit(0), 5, 1).count() == 0
+    for tree_blocks in (1 << 16, 30):
+        check_tree(quotas, mixing.split_quotas(quotas, 5, 1, tree_blocks).collect())
+
+
+def check_tree(quotas, got):
     for source, blocks in (("a", 100), ("b", 37), (None, 5)):
         ranges = sorted((r.first, r.last) for r in got if r.source == source)
         assert ranges[0][0] == 0 and ranges[-1][1] == blocks and all(x[1] == y[0] for x, y in zip(ranges, ranges[1:], strict=False))
     each = Counter()
     for r in got:
         each[r.shard] += r.last - r.first
-    assert max(each.values()) - min(each.values()) <= 1
+    assert sum(each.values()) == 142 and max(each.values()) - min(each.values()) <= 1 + len(each)
+    blocks = mixing.dealt_blocks(quotas, quotas.sparkSession.createDataFrame(got), 1).collect()
+    assert Counter((r.source, r.block) for r in blocks) == Counter((s, b) for s, n in (("a", 100), ("b", 37), (None, 5)) for b in range(n))
+    assert Counter(r.shard for r in blocks) == each
 
 
 def test_shards_and_empty(spark):
@@ -69,3 +77,21 @@ def test_no_unused_document_fits_the_gap(spark, options):
         assert gap >= -1e-6
         assert all(r.size > gap for r in of if r.size and len(r.copies) < 3)
         assert all(sorted(c.epoch for c in r.copies) == list(range(len(r.copies))) for r in of)
+
+
+def test_both_ways_to_the_blocks_agree(spark):
+    docs = spark.createDataFrame(rows(), SCHEMA)
+    one, other = ([str(r) for r in mixing.mix(docs, shard_words=500, block_words=64, narrow_blocks=n).sort("doc_id").collect()] for n in (1 << 16, 0))
+    assert one == other
+
+
+def test_repeated_ids_get_copies_by_rule(spark):
+    """Rows of one id with different sources and texts; reruns in another layout agree, and nothing is lost."""
+    rows = [(1, "a", "x " * 9, 1, 2), (1, "a", "y " * 4, 1, 2), (1, "b", "z " * 5, 1, 2), (None, None, None, 1, 2), (2, "b", "w " * 30, 1, 2), (2, "b", "w " * 30, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, size int, _id int")
+    first = sorted(map(str, mixing.mixed_documents(docs, mixing.mix(docs)).collect()))
+    again = sorted(map(str, mixing.mixed_documents(docs.repartition(4), mixing.mix(docs.repartition(2))).collect()))
+    assert first == again and len(first) == len(rows)
+    got = mixing.mixed_documents(docs, mixing.mix(docs))
+    assert got.columns == ["doc_id", "source", "text", "_id", "size", "source_size", "target", "taken", "shards", "places"]
+    assert all(len(r.shards) == len(r.places) and len(set(r.places)) == len(r.places) for r in got.collect())
