@@ -11,7 +11,7 @@ from quillion.operators import communities, dreams, maintenance, relations, sear
 from quillion.plans.governance import log_of
 from quillion.plans.registry import Tables, query
 from quillion.plans.retrieval import COS, LEGS_SQL, NOW_SQL, TERMS, VEC, WORDS, bm25_sql, now_of, probe, rounded, vectors
-from quillion.sources import io
+from quillion.sources import connectors, io
 from quillion.sources.shared import new_folder
 from quillion.streaming import changes
 
@@ -393,3 +393,29 @@ def parsed_vectors(t: Tables) -> DataFrame:
 
     index = vectors(t).select("id", vector.parse(F.to_json("embedding")).alias("embedding"))
     return rounded(search.semantic(index, probe(t), least=0.2), "score")
+
+
+@query("SELECT 'slack' AS memory_type, text AS content, role AS peer_id, CAST(conv_id AS VARCHAR) AS session_id FROM conversations WHERE trim(text) <> '' UNION ALL SELECT 'github', 'page' || chr(10) || url, 'bot', 'a/b' FROM pages")
+def connector_events(t: Tables) -> DataFrame:
+    """Payloads of two services made of the tables, and read as events."""
+    slack = t.conversations.select(F.to_json(F.struct("text", F.col("role").alias("user"), F.col("conv_id").cast("string").alias("channel"))).alias("value"))
+    user, repository = F.struct(F.lit("bot").alias("login")), F.struct(F.lit("a/b").alias("full_name"))
+    github = t.pages.select(F.to_json(F.struct(F.lit("page").alias("title"), F.col("url").alias("body"), user.alias("user"), repository.alias("repository"))).alias("value"))
+    both = io.poll_all({"slack": connectors.events(slack, "slack", "w"), "github": connectors.events(github, "github", "w")})
+    return both.select("memory_type", "content", "peer_id", "session_id")
+
+
+@query("""WITH f AS (SELECT p_partkey AS k FROM part) SELECT 'src/m' || k || '.py' AS source_node_id, 'src/m' || k || '.py#f' || k AS target_node_id, 'defines' AS relation FROM f
+  UNION ALL SELECT 'src/m' || k || '.py', 'src/m' || k || '.py#C', 'defines' FROM f UNION ALL SELECT 'src/m' || k || '.py', 'pkg.m' || (k + 1), 'imports' FROM f""")
+def code_ingest(t: Tables) -> DataFrame:
+    """A source file for each part, and what it defines and imports."""
+    k = F.col("p_partkey").cast("string")
+    body = F.concat(F.lit("from pkg.m"), (F.col("p_partkey") + 1).cast("string"), F.lit(" import x\n\nasync def f"), k, F.lit("(a):\n    return a\n\nclass C:\n    y = 'def no'\n"))
+    return connectors.code_graph(t.part.select(F.concat(F.lit("src/m"), k, F.lit(".py")).alias("path"), body.alias("content")))[1]
+
+
+@query()
+def source_ingest(t: Tables) -> DataFrame:
+    """Entity pages of all documents."""
+    texts = t.documents.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
+    return connectors.source_pages(texts)[2]

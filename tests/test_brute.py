@@ -1,5 +1,6 @@
 """Operators that have no SQL, against plain versions on small tables."""
 
+import json
 import math
 import random
 import re
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillion.functions import scoring, text
 from quillion.operators import communities, dreams, graph, notes, patterns, relations, search, sessions, store
+from quillion.sources import connectors
 from quillion.streaming import changes
 
 WORDS = "river stone lamp winter garden paper window silver music bread travel engine harbour quiet orange letter market forest cloud bridge".split()
@@ -308,3 +310,29 @@ def test_note_blocks(spark):
     body = "# Head\n\nplain text\n\n- [x] done\n- [ ] open\n- item\n\n> said\n\n```\ncode\n```\n"
     got = [(r.type, r.state) for r in notes.note_blocks(spark.createDataFrame([("1", body), ("2", "")], "id string, content string")).collect()]
     assert {t for t, _ in got} >= {"heading", "paragraph", "todo", "list_item", "quote", "code_block"} and len(got) >= 7
+
+
+def test_code_of_each_language(spark):
+    files = [("a/x.py", "import os\nfrom a.b import c\ndef f():\n  class G: pass\n"), ("b.ts", "import {x} from './y'\nexport async function go() {}\nclass K {}"), ("C.java", "import java.util.List;\npublic final class C {}"), ("d.go", 'import "fmt"\nfunc (s *S) Run() {}\ntype S struct'), ("e.rs", "use std::io;\npub fn main() {}"), ("f.txt", "def no(): pass"), ("g.py", None)]
+    nodes, edges = connectors.code_graph(spark.createDataFrame(files, "path string, content string"))
+    got = {(r.source_node_id, r.target_node_id) for r in edges.collect()}
+    assert got == {("a/x.py", "os"), ("a/x.py", "a.b"), ("a/x.py", "a/x.py#f"), ("a/x.py", "a/x.py#G"), ("b.ts", "./y"), ("b.ts", "b.ts#go"), ("b.ts", "b.ts#K"), ("C.java", "java.util.List"), ("C.java", "C.java#C"), ("d.go", "fmt"), ("d.go", "d.go#Run"), ("d.go", "d.go#S"), ("e.rs", "std::io"), ("e.rs", "e.rs#main")}
+    assert nodes.where("node_type = 'file'").count() == len(files)
+
+
+@pytest.mark.parametrize("kind", sorted(connectors.PATHS))
+def test_payloads_become_events(spark, kind):
+    def payload(values):
+        out = {}
+        for path, value in values.items():
+            at, keys = out, path.removeprefix("$.").split(".")
+            for k in keys[:-1]:
+                at = at.setdefault(k, {})
+            at[keys[-1]] = value
+        return json.dumps(out)
+
+    body, author, thread, link = connectors.PATHS[kind]
+    first = body.split("|")[0]
+    rows = [payload({first: " hello ", author: "ann", thread: "t1", link: "l"}), payload({author: "ann"}), "no json", None]
+    got = connectors.events(spark.createDataFrame([(r,) for r in rows], "value string"), kind, "w").collect()
+    assert [(r.content, r.peer_id, r.session_id, r.memory_type, json.loads(r.metadata)) for r in got] == [("hello", "ann", "t1", kind, {"source": kind, "link": "l"})]
