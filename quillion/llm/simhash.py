@@ -204,15 +204,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fingerprint").select("id", "fingerprint", "component_id")
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """docs with one document of each component, the one with the smallest doc_id; same columns.
 
     Rows that repeat the kept id all stay. Rows without an id stay only in components in which
     no row has one.
     """
-    kept_id = unused("_kept_id", docs)
-    found = near_duplicates(docs, **options).where("id <=> component_id").select(F.col("id").alias(kept_id)).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
+    kept_id, print_of, alone_print = unused("_kept_id", docs), unused("_print", docs), unused("_alone", docs)
+    found = near_duplicates(docs, id_col, text_col, words, radius)
+    kept = found.where("id = component_id").select(F.col("id").alias(kept_id)).distinct()
+    named = docs.join(kept, F.col(id_col).cast("long") == F.col(kept_id), "left_semi")
+
+    @F.pandas_udf("long")
+    def fingerprint_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
+
+    alone = found.where("id is null and component_id is null").select(F.col("fingerprint").alias(alone_print)).distinct()
+    nameless = docs.where(F.col(id_col).isNull()).withColumn(print_of, fingerprint_of(F.col(text_col)))
+    nameless = nameless.join(alone, F.col(print_of) == F.col(alone_print), "left_semi").drop(print_of)
+    return named.unionByName(nameless)
 
 
 def simhash_query(spark, sf_dir: str) -> DataFrame:

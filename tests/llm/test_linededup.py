@@ -29,3 +29,19 @@ def test_odd_tables(spark):
     out = linededup.dedup_lines(docs)
     assert out.columns == ["doc_id", "text", "_kept", "_all", "n_lines", "n_removed"]
     assert {(r.doc_id, r.text, r._kept, r.n_removed) for r in out.collect()} == {(None, "a\nb", 1, 0), (1, "\n", 1, 2), (2, None, 1, 0)}
+
+
+def test_lines_repeated_thousands_of_times(spark):
+    """A line that most documents hold, near lines of it, and a very long line with a near copy."""
+    hot, long = "This very common line stands in each of the documents of the table.", "word " * 8000
+    rows = [(i, f"{hot}\nline of its own, number {i:04d}{i * 7919 % 10007:05d}{i * 104729 % 99991:05d}\n{hot}") for i in range(2000)]
+    rows += [(5000, hot + "!"), (5001, hot.replace("very", "vary")), (5002, long), (5003, long.replace("word", "ward", 1)), (5004, long + "more and more")]
+    got = result(spark, rows)
+    assert got[0] == rows[0][1].rsplit("\n", 1)[0] and all(got[i] == rows[i][1].split("\n")[1] for i in range(1, 2000))
+    assert (got[5000], got[5001], got[5002], got[5003], got[5004]) == ("", "", long, "", rows[-1][1])
+
+
+def test_rows_that_repeat_an_id(spark):
+    rows = [(1, "the first text of the id one, long enough"), (1, "another text of the same id, long enough"), (2, "the first text of the id one, long enough!")]
+    got = [(r.doc_id, r.text) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == 3 and {t for i, t in got if i == 2} == {""}

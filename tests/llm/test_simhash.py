@@ -42,3 +42,6 @@ def test_empty_repeated_and_null_rows(spark):
     kept = simhash.deduplicate(spark.createDataFrame(rows, schema))
     assert kept.columns == ["doc_id", "text", "_kept_id"]
     assert [tuple(r) for r in kept.where("doc_id is not null").collect()] == [(1, "a b c d e", 7)] * 2
+    # Of equal texts one with an id stays; texts that no row with an id has stay without one.
+    null = [tuple(r) for r in kept.where("doc_id is null").collect()]
+    assert null == [(None, "q r s t u v", 9)]

@@ -60,3 +60,25 @@ def test_least_payload_and_empty(spark, tmp_path):
     assert got in ({}, {1: "response", 2: "response", 3: "response", 4: "revisit"})
     _, none = warc.archive(pages.limit(0), f"file://{tmp_path}/b")
     assert none.count() == 0 and warc.lookup(keys, none, f"file://{tmp_path}/b").count() == 0
+
+
+def test_copies_beyond_the_broadcast_bound(spark):
+    """Joined by digest in narrow rows and by page number: the same firsts, null numbers and repeated rows included."""
+    rows = [(i, f"u{i}", f"payload {i % 3}") for i in range(30)] + [(None, "n", "payload 0"), (7, "u7", "payload 1"), (99, "x", "alone"), (100, "y", None), (101, "z", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    from pyspark.sql import functions as F
+
+    pages = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("sha", F.sha1("payload"))
+    same = pages.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
+    plain = lambda df: sorted(str((r.page_id, r.url, r.first)) for r in df.collect())
+    one, other = plain(warc.with_first(pages, same)), plain(warc.with_first(pages, same, max_rows=0))
+    assert one == other and len(one) == len(rows)
+
+
+def test_very_long_payload(spark, tmp_path):
+    text = "<p>ünï & so on</p>" * 400_000
+    pages = spark.createDataFrame([(1, "http://long.example/", text), (2, "http://other.example/", text)], "page_id long, url string, html string")
+    _, directory = warc.archive(pages, f"file://{tmp_path}/a", file_bytes=1 << 12)
+    keys = spark.createDataFrame([("example,long)/",), ("example,other)/",)], "query string")
+    got = {r.page_id: r for r in warc.lookup(keys, directory, f"file://{tmp_path}/a", with_payload=True).collect()}
+    assert bytes(got[1].payload).decode() == text and got[2].refers_to == 1 and got[2].payload_bytes == len(text.encode())
