@@ -70,14 +70,15 @@ def peak_hour(t: Tables) -> DataFrame:
     return patterns.peak_hour(t.memory)
 
 
-EVENT_TEXT = "CASE turn % 4 WHEN 0 THEN 'We DECIDED it' WHEN 1 THEN 'todo: look?' WHEN 2 THEN 'what now?' ELSE 'fine' END"
+def cue_sql(cues: list[str]) -> str:
+    return "(" + " OR ".join("contains(lower(text), '" + c.replace("'", "''") + "')" for c in cues) + ")"
 
 
 @query(f"""
-  WITH m AS (SELECT session_id, turn, {EVENT_TEXT} AS x FROM session_turn)
-  SELECT session_id, turn, 'question' AS event, 0.9 AS confidence FROM m WHERE x LIKE '%?%' UNION ALL SELECT session_id, turn, 'decision', 0.7 FROM m WHERE lower(x) LIKE '%decided%' UNION ALL SELECT session_id, turn, 'action_item', 0.6 FROM m WHERE lower(x) LIKE '%todo%'""", "session_turn")
+  SELECT session_id, turn, 'question' AS event, 0.9 AS confidence FROM session_turn WHERE contains(text, '?') UNION ALL SELECT session_id, turn, 'decision', 0.7 FROM session_turn WHERE {cue_sql(patterns.DECISION_CUES)}
+  UNION ALL SELECT session_id, turn, 'action_item', 0.6 FROM session_turn WHERE {cue_sql(patterns.ACTION_CUES)}""", "session_turn")
 def message_events(t: Tables) -> DataFrame:
-    return patterns.message_events(t.session_turn.withColumn("x", F.expr(EVENT_TEXT)), "x").select("session_id", "turn", "event", "confidence")
+    return patterns.message_events(t.session_turn, "text").select("session_id", "turn", "event", "confidence")
 
 
 @query(r"""
@@ -93,10 +94,14 @@ def extractive_summary(t: Tables) -> DataFrame:
     return patterns.extractive_summary(t.memory, most=3)
 
 
-@query("SELECT doc_id AS id, len(regexp_extract_all(text, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){2,}\\b')) > 0 AS named FROM documents")
+@query("""
+  WITH f AS (SELECT doc_id AS id, list_transform(regexp_extract_all(text, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+){2,}\\b'), lambda x: lower(trim(x))) AS o, list_transform(regexp_extract_all(text, '#(\\w{2,})', 1), lambda x: lower(trim(x))) AS c FROM documents)
+  SELECT id, list_sort(list_distinct(o)) AS organizations, list_sort(list_distinct(c)) AS concepts FROM f""")
 def quick_entities(t: Tables) -> DataFrame:
-    found = text.quick_entities(F.col("text"))
-    return t.documents.select(F.col("doc_id").alias("id"), F.exists(found, lambda e: e["type"] == "organization").alias("named"))
+    """Names of runs of capitalised words, and tags."""
+    found = t.documents.select(F.col("doc_id").alias("id"), text.quick_entities(F.col("text")).alias("e"))
+    named = lambda kind: F.array_sort(F.transform(F.filter("e", lambda x: x["type"] == kind), lambda x: F.lower(x["name"])))
+    return found.select("id", named("organization").alias("organizations"), named("concept").alias("concepts"))
 
 
 @query()
@@ -320,10 +325,13 @@ def note_backlinks(t: Tables) -> DataFrame:
     return relations.backlinks(rows).select("source_id", "target_id")
 
 
-@query("WITH c AS (SELECT * FROM (VALUES ('/', false, 1), ('/a', false, 2), ('a/b/', false, 3), ('/a/bc', false, 9), ('x', true, 0)) v(path, is_global, priority)) SELECT path FROM c WHERE is_global OR path IN ('/', '/a', 'a/b/')")
+@query("SELECT path FROM (SELECT '/r' || n_regionkey || '/n' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '/' ELSE '' END AS path, n_nationkey % 7 = 6 AS is_global FROM nation UNION ALL SELECT '/r' || r_regionkey, false FROM region) WHERE is_global OR path IN ('/r1', '/r1/', '/r1/n1', '/r1/n1/')")
 def path_contexts(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("/", False, 1), ("/a", False, 2), ("a/b/", False, 3), ("/a/bc", False, 9), ("x", True, 0)], "path string, is_global boolean, priority int")
-    return filters.path_contexts(rows, "/a/b/c").select("path")
+    """Contexts of regions and nations that hold for a path below one of them, and the global ones."""
+    number = F.col("n_nationkey")
+    nations = t.nation.select(F.concat(F.lit("/r"), F.col("n_regionkey").cast("string"), F.lit("/n"), number.cast("string"), F.when(number % 2 == 0, "/").otherwise("")).alias("path"), (number % 7 == 6).alias("is_global"), number.cast("int").alias("priority"))
+    regions = t.region.select(F.concat(F.lit("/r"), F.col("r_regionkey").cast("string")).alias("path"), F.lit(False).alias("is_global"), F.lit(0).alias("priority"))
+    return filters.path_contexts(nations.unionByName(regions), "/r1/n1/x").select("path")
 
 
 @query("SELECT * FROM (VALUES ('1', 'warning', 'unknown property z'), ('2', 'error', 'unknown type alien')) v(id, severity, issue)")

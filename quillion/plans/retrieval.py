@@ -258,15 +258,14 @@ def pipeline_filter(t: Tables) -> DataFrame:
 
 
 @query("""
-  WITH r AS (SELECT * FROM (VALUES ('a', '1'), ('a', '2'), ('a', '3'), ('b', '4'), ('c', '9')) x(q, id)), e AS (SELECT * FROM (VALUES ('a', '1'), ('a', '2'), ('b', '5'), ('d', '7')) x(q, id)),
-  k AS (SELECT q FROM r UNION SELECT q FROM e),
-  s AS (SELECT q, (SELECT count(*) FROM r JOIN e USING (q, id) WHERE r.q = k.q) AS tp, (SELECT count(*) FROM r WHERE r.q = k.q) AS n, (SELECT count(*) FROM e WHERE e.q = k.q) AS m FROM k),
-  f AS (SELECT CASE WHEN n > 0 THEN tp / n ELSE 0 END AS p, CASE WHEN m > 0 THEN tp / m ELSE 0 END AS r FROM s)
+  WITH r AS (SELECT label AS q, vec_id AS id FROM embeddings WHERE vec_id % 2 = 0 AND label % 4 <> 3), e AS (SELECT label AS q, vec_id AS id FROM embeddings WHERE vec_id % 3 = 0 AND label % 5 <> 4),
+  k AS (SELECT q FROM r UNION SELECT q FROM e), n AS (SELECT q, count(*) AS n FROM r GROUP BY q), m AS (SELECT q, count(*) AS m FROM e GROUP BY q), b AS (SELECT q, count(*) AS tp FROM r JOIN e USING (q, id) GROUP BY q),
+  f AS (SELECT coalesce(tp / n, 0) AS p, coalesce(tp / m, 0) AS r FROM k LEFT JOIN n USING (q) LEFT JOIN m USING (q) LEFT JOIN b USING (q))
   SELECT round(avg(p), 4) AS precision, round(avg(r), 4) AS recall, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 4) AS f1 FROM f""")
 def retrieval_quality(t: Tables) -> DataFrame:
-    results = t.spark.createDataFrame([("a", "1"), ("a", "2"), ("a", "3"), ("b", "4"), ("c", "9")], "query string, id string")
-    expected = t.spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "5"), ("d", "7")], "query string, id string")
-    return textquery.retrieval_quality(results, expected)
+    """Every second vector as a result of its label, every third as expected."""
+    rows = t.embeddings.select(F.col("label").cast("string").alias("query"), F.col("vec_id").cast("string").alias("id"), "vec_id", "label")
+    return textquery.retrieval_quality(rows.where("vec_id % 2 = 0 and label % 4 <> 3").select("query", "id"), rows.where("vec_id % 3 = 0 and label % 5 <> 4").select("query", "id"))
 
 
 SESSIONS = "ses AS (SELECT session_id AS id, min_by(text, turn) AS name, max_by(text, turn) AS summary, concat('{\"turns\":\"', CAST(count(*) AS VARCHAR), '\"}') AS metadata, 1704067200000000 + CAST(session_id AS BIGINT) * 3600000000 AS created_at FROM session_turn GROUP BY session_id)"
@@ -367,12 +366,16 @@ def approximate_nearest(t: Tables) -> DataFrame:
     return rounded(search.approximate_nearest(vectors(t), probe(t), 10), "score")
 
 
-@query("""
-  WITH q AS (SELECT unnest(['how to set up the steps', 'why did it fail', 'compare a versus b', 'blue', '', 'summary of recent history']) AS query)
-  SELECT query, CASE query WHEN '' THEN 'unknown' WHEN 'blue' THEN 'exploratory' WHEN 'why did it fail' THEN 'causal' WHEN 'compare a versus b' THEN 'comparison' WHEN 'how to set up the steps' THEN 'procedural' ELSE 'temporal' END AS intent FROM q""")
+INTENT_SCORES = ", ".join(
+    "(-least(1.0, " + str(weight) + " * (" + " + ".join(f"contains(low, '{c}')::INT" for c in cues.split("|")) + f")), {k}, '{name}')" for k, (name, (weight, cues)) in enumerate(sessions.INTENTS.items())
+)
+
+
+@query(f"""
+  WITH q AS (SELECT conv_id, turn, trim(lower(text)) AS low FROM conversations), s AS (SELECT conv_id, turn, low, list_sort(list_filter([{INTENT_SCORES}], lambda x: x[1] < 0)) AS f FROM q)
+  SELECT conv_id, turn, CASE WHEN low = '' THEN 'unknown' WHEN len(f) > 0 THEN f[1][3] ELSE 'exploratory' END AS intent FROM s""")
 def intent_classifier(t: Tables) -> DataFrame:
-    queries = t.spark.createDataFrame([(x,) for x in ("how to set up the steps", "why did it fail", "compare a versus b", "blue", "", "summary of recent history")], "query string")
-    return sessions.intents(queries).select("query", "intent")
+    return sessions.intents(t.conversations.select("conv_id", "turn", "text"), "text").select("conv_id", "turn", "intent")
 
 
 @query("""
