@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillion.functions import text, vector
+from quillion.sources.shared import saved
 
 SCHEMA = "strategy string, source_ids array<string>, score double, content string, confidence double"
 
@@ -21,12 +22,18 @@ def tokened(memories: DataFrame) -> DataFrame:
     return memories.where("content <> ''").withColumn("t", F.array_distinct(text.tokens("content")))
 
 
+def hashed(rows: DataFrame) -> DataFrame:
+    """rows with 64-bit hashes in place of the tokens, for comparing only."""
+    return rows.withColumn("t", F.array_distinct(F.transform("t", lambda w: F.xxhash64(w))))
+
+
 def first_pairs(rows: DataFrame, fits: Callable[[DataFrame], DataFrame], most: int, head: int = 8) -> DataFrame:
     """The first `most` pairs a < b of rows, by (a, b), that `fits` keeps; it gets all pairs of a head with columns a_... and b_...
 
     The head is a set of queries against all rows; it grows eightfold until the finds are enough
     or it is the whole table.
     """
+    rows = saved(rows)
     n, done = rows.count(), 0
     found = None
     left = lambda df: df.select(*[F.col(c).alias(f"a_{c}") for c in rows.columns])
@@ -46,9 +53,15 @@ def first_pairs(rows: DataFrame, fits: Callable[[DataFrame], DataFrame], most: i
         head *= 8
 
 
-def jaccard() -> Column:
-    both = F.size(F.array_intersect("a_t", "b_t"))
-    return both / F.greatest(F.size("a_t") + F.size("b_t") - both, F.lit(1))
+def overlap(pairs: DataFrame) -> DataFrame:
+    """pairs with score: the share of both rows' tokens that they have in common."""
+    both = pairs.withColumn("_n", F.size(F.array_intersect("a_t", "b_t")))
+    return both.withColumn("score", F.col("_n") / F.greatest(F.size("a_t") + F.size("b_t") - F.col("_n"), F.lit(1))).drop("_n")
+
+
+def alike(least: float) -> Column:
+    """Whether two rows' numbers of tokens leave an overlap of `least` possible."""
+    return (F.size("a_t") >= least * F.size("b_t")) & (F.size("b_t") >= least * F.size("a_t"))
 
 
 def short(column: str, n: int = 120) -> Column:
@@ -57,15 +70,15 @@ def short(column: str, n: int = 120) -> Column:
 
 def connections(memories: DataFrame, most: int = 5) -> DataFrame:
     """Related memories that are neither far nor the same: token overlap, .4 of it and .6 of the cosine where both have vectors, from .15 to .85."""
-    rows = tokened(memories)
+    rows = hashed(tokened(memories))
     rows = rows.select("id", "content", "t", *(["embedding"] if "embedding" in rows.columns else []))
 
     def fits(pairs: DataFrame) -> DataFrame:
-        like = jaccard()
-        if "embedding" in rows.columns:
-            cosine = F.coalesce(vector.cosine(F.col("a_embedding"), F.col("b_embedding")), F.lit(0.0))
-            like = F.when(cosine > 0, 0.4 * like + 0.6 * cosine).otherwise(like)
-        return pairs.withColumn("score", like).where(F.col("score").between(0.15, 0.85))
+        if "embedding" not in rows.columns:
+            return overlap(pairs.where(alike(0.15))).where(F.col("score").between(0.15, 0.85))
+        cosine = F.coalesce(vector.cosine(F.col("a_embedding"), F.col("b_embedding")), F.lit(0.0))
+        like = F.when(cosine > 0, 0.4 * F.col("score") + 0.6 * cosine).otherwise(F.col("score"))
+        return overlap(pairs).withColumn("score", like).where(F.col("score").between(0.15, 0.85))
 
     found = first_pairs(rows, fits, most)
     content = F.concat(F.lit("Connection: '"), short("a_content"), F.lit("' is related to '"), short("b_content"), F.lit("' (relevance="), F.format_number("score", 2), F.lit(")"))
@@ -74,8 +87,8 @@ def connections(memories: DataFrame, most: int = 5) -> DataFrame:
 
 def contrasts(memories: DataFrame, most: int = 5) -> DataFrame:
     """Memories of one topic that may differ: token overlap from .2 to .6; the more their confidence differs the surer."""
-    rows = tokened(memories).select("id", "content", "t", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
-    found = first_pairs(rows, lambda p: p.withColumn("score", jaccard()).where(F.col("score").between(0.2, 0.6)), most)
+    rows = hashed(tokened(memories)).select("id", "content", "t", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
+    found = first_pairs(rows, lambda p: overlap(p.where(alike(0.2))).where(F.col("score").between(0.2, 0.6)), most)
     content = F.concat(F.lit("Contrast detected: '"), short("a_content"), F.lit("' and '"), short("b_content"), F.lit("' share topic overlap (jaccard="), F.format_number("score", 2), F.lit(") but may represent different perspectives or contradictions"))
     return made(found, "contrast", F.array("a_id", "b_id"), F.col("score"), content, F.least(F.lit(0.8), 0.3 + F.abs(F.col("a_confidence") - F.col("b_confidence"))))
 

@@ -166,7 +166,10 @@ def scheduled_days(t: Tables) -> DataFrame:
 
 
 TOKENS = r"list_distinct(list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda t: octet_length(encode(t)) >= 2 AND t NOT IN (" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + ")))"
-PAIRS = f"d AS (SELECT id, confidence, {TOKENS} AS t FROM memory WHERE content <> ''), p AS (SELECT a.id AS a, b.id AS b, abs(a.confidence - b.confidence) AS apart, len(list_intersect(a.t, b.t)) / greatest(len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)), 1) AS j FROM d a JOIN d b ON a.id < b.id)"
+PAIRS = (
+    f"d AS (SELECT id, confidence, {TOKENS} AS t FROM memory WHERE content <> ''), i AS (SELECT a.id AS a, b.id AS b, abs(a.confidence - b.confidence) AS apart, len(a.t) + len(b.t) AS n, len(list_intersect(a.t, b.t)) AS k"
+    " FROM d a JOIN d b ON a.id < b.id AND len(a.t) >= 0.15 * len(b.t) AND len(b.t) >= 0.15 * len(a.t)), p AS (SELECT a, b, apart, k / greatest(n - k, 1) AS j FROM i)"
+)
 
 
 @query(f"WITH {PAIRS} SELECT [a, b] AS source_ids, round(j, 6) AS score, round(least(0.9, 0.4 + 0.5 * j), 6) AS confidence FROM p WHERE j BETWEEN 0.15 AND 0.85 ORDER BY a, b LIMIT 5", "memory")
