@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from quillion.plans.governance import log_of
 from quillion.plans.registry import Tables, query
 from quillion.plans.retrieval import COS, LEGS_SQL, NOW_SQL, TERMS, VEC, WORDS, bm25_sql, now_of, probe, rounded, vectors
 from quillion.sources import connectors, io
+from quillion.sources.catalog import Catalog
 from quillion.sources.shared import new_folder
 from quillion.streaming import changes
 
@@ -422,3 +425,19 @@ def source_ingest(t: Tables) -> DataFrame:
     """Entity pages of all documents."""
     texts = t.documents.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
     return connectors.source_pages(texts)[2]
+
+
+@query("""SELECT 'memories' AS scan, count(*) AS n FROM memory WHERE is_active AND workspace_id = 'en' UNION ALL SELECT 'l1', count(*) FROM memory WHERE tier = 'L1' AND access_count = 31 UNION ALL SELECT 'nodes', count(*) FROM kg_node WHERE node_type = 'supplier'
+  UNION ALL SELECT 'edges', count(*) FROM kg_edge WHERE weight = 1.0 AND relation = 'lives_in' UNION ALL SELECT 'permitted', count(*) FROM memory WHERE workspace_id IN ('de', 'fr') UNION ALL SELECT 'sql', count(*) FROM memory WHERE strength > 0.5""", "memory", "kg_node", "kg_edge")
+def catalog_scans(t: Tables) -> DataFrame:
+    """Scans of registered tables: by workspace, typed equalities, an account's workspaces, and SQL with parameters."""
+    known = Catalog(t.spark)
+    for name in ("memory", "kg_node", "kg_edge"):
+        known.register(name, getattr(t, name))
+    known.register("space_permission", t.spark.createDataFrame([("de", "ann"), ("fr", "ann"), ("en", "bob")], "workspace_id string, account_id string"))
+    scans = {
+        "memories": known.memories("en"), "l1": known.table("memory", filters={"tier": "L1", "access_count": "31"}, columns=["id"]), "nodes": known.table("kg_node", filters={"node_type": "supplier"}),
+        "edges": known.table("kg_edge", filters={"weight": "1.0", "relation": "lives_in"}), "permitted": known.permitted(known.table("memory"), "ann"), "sql": known.sql("SELECT id FROM memory WHERE strength > :least", {"least": 0.5}),
+    }
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("scan"), "n") for name, df in scans.items()]
+    return functools.reduce(DataFrame.union, counts)

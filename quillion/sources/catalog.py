@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ EPSILON = 2.220446049250313e-16
 def equals(df: DataFrame, name: str, value) -> Column:
     """A typed equality: text for a boolean or number column is read as one; doubles match within epsilon.
 
-    A column that df lacks, and text that can't be read, match nothing.
+    A column that df lacks, and text that can't be read, match nothing. The column is compared
+    as it is, so that the comparison reaches the scan.
     """
     if name not in df.columns:
         return F.lit(False)
@@ -30,10 +32,12 @@ def equals(df: DataFrame, name: str, value) -> Column:
         return F.lit(False) if value is None else F.col(name) == F.lit(bool(value))
     if isinstance(kind, T.NumericType):
         try:
-            value = float(value)
-        except (TypeError, ValueError):
+            number = Decimal(str(value))
+        except (TypeError, InvalidOperation):
             return F.lit(False)
-        return F.abs(F.col(name).cast("double") - value) <= EPSILON
+        if isinstance(kind, T.IntegralType):
+            return F.col(name) == F.lit(int(number)) if number.is_finite() and number % 1 == 0 and abs(number) < 1 << 63 else F.lit(False)
+        return F.col(name).between(float(number) - EPSILON, float(number) + EPSILON) if number.is_finite() else F.lit(False)
     return F.col(name) == F.lit(value)
 
 
