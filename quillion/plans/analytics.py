@@ -259,9 +259,11 @@ def co_mention_edges(t: Tables) -> DataFrame:
     return graph.co_mention_edges(mentions, none).select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b"))
 
 
-@query("WITH RECURSIVE d AS (SELECT id, CASE WHEN id = 0 THEN NULL ELSE (id - 1) // 3 END AS parent_id FROM (SELECT unnest(range(0, 121)) AS id)), x(id, depth) AS (SELECT id, 0 FROM d WHERE id = 1 UNION ALL SELECT d.id, depth + 1 FROM x JOIN d ON d.parent_id = x.id WHERE depth < 10) SELECT CAST(id AS VARCHAR) AS id, depth FROM x")
+@query("WITH RECURSIVE d AS (SELECT p_partkey AS id, CASE WHEN p_partkey > 0 THEN (p_partkey - 1) // 3 END AS parent_id FROM part), x(id, depth) AS (SELECT id, 0 FROM d WHERE id = 1 UNION ALL SELECT d.id, depth + 1 FROM x JOIN d ON d.parent_id = x.id WHERE depth < 10) SELECT CAST(id AS VARCHAR) AS id, depth FROM x")
 def directory_tree(t: Tables) -> DataFrame:
-    rows = t.spark.range(121).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") > 0, F.floor((F.col("id") - 1) / 3).cast("string")).alias("parent_id"), F.concat(F.lit("d"), F.col("id").cast("string")).alias("name"))
+    """Parts as a tree of directories, three below each."""
+    number = F.col("p_partkey")
+    rows = t.part.select(number.cast("string").alias("id"), F.when(number > 0, F.floor((number - 1) / 3).cast("string")).alias("parent_id"), F.col("p_name").alias("name"))
     return graph.directory_tree(rows, "1").select("id", "depth")
 
 
@@ -334,10 +336,17 @@ def path_contexts(t: Tables) -> DataFrame:
     return filters.path_contexts(nations.unionByName(regions), "/r1/n1/x").select("path")
 
 
-@query("SELECT * FROM (VALUES ('1', 'warning', 'unknown property z'), ('2', 'error', 'unknown type alien')) v(id, severity, issue)")
+@query("""
+  WITH n AS (SELECT id, node_type, p FROM (SELECT id, node_type, unnest(CASE WHEN num % 4 = 0 THEN ['name', 'age', 'z'] WHEN num % 4 = 1 THEN ['name'] ELSE ['age', 'rank'] END) AS p FROM (SELECT 'c' || c_custkey AS id, c_custkey AS num, CASE c_custkey % 3 WHEN 0 THEN 'thing' WHEN 1 THEN 'person' ELSE 'alien' END AS node_type FROM customer)))
+  SELECT DISTINCT id, 'error' AS severity, 'unknown type alien' AS issue FROM n WHERE node_type = 'alien'
+  UNION ALL SELECT id, 'warning', 'unknown property ' || p FROM n WHERE node_type = 'thing' AND p <> 'name' OR node_type = 'person' AND p NOT IN ('name', 'age')""")
 def ontology_validation(t: Tables) -> DataFrame:
+    """Customers as nodes of three types, one undeclared, with properties that their type or its parent may lack."""
     types = t.spark.createDataFrame([("thing", ["name"], None), ("person", ["age"], "thing")], "name string, properties array<string>, parent string")
-    rows = t.spark.createDataFrame([("1", "person", {"name": "a", "age": "1", "z": "2"}), ("2", "alien", {"q": "1"}), ("3", "thing", {"name": "x"})], "id string, node_type string, properties map<string,string>")
+    number = F.col("c_custkey")
+    held = F.when(number % 4 == 0, text.strings(["name", "age", "z"])).when(number % 4 == 1, text.strings(["name"])).otherwise(text.strings(["age", "rank"]))
+    kind = F.when(number % 3 == 0, "thing").when(number % 3 == 1, "person").otherwise("alien")
+    rows = t.customer.select(F.concat(F.lit("c"), number.cast("string")).alias("id"), kind.alias("node_type"), F.map_from_arrays(held, F.transform(held, lambda x: F.lit("1"))).alias("properties"))
     return filters.ontology_issues(rows, types)
 
 
