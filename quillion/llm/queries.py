@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quillion.llm.audit import AUDIT_SQL, audit_query
 from quillion.llm.decontaminate import decontaminate_query
 from quillion.llm.extract import extract_query
 from quillion.llm.linededup import LINE_DEDUP_SQL, line_dedup_query
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_toxicity": toxicity_query,
     "op9_pii": pii_query,
     "op10_linededup": line_dedup_query,
+    "op11_audit": audit_query,
 }
 ORACLES: dict[str, str] = {
     "op3_quality": QUALITY_SQL,
     "op10_linededup": LINE_DEDUP_SQL,
+    "op11_audit": AUDIT_SQL,
 }
