@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillion.llm.audit import AUDIT_SQL, audit_query
+from quillion.llm.classifier import classify_query
 from quillion.llm.crosstok import align_query
 from quillion.llm.decontaminate import decontaminate_query
 from quillion.llm.extract import extract_query
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_pii": pii_query,
     "op10_linededup": line_dedup_query,
     "op11_audit": audit_query,
+    "op12_classifier": classify_query,
     "op13_crosstok": align_query,
 }
 ORACLES: dict[str, str] = {
