@@ -12,6 +12,7 @@ for each document and group.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -56,8 +57,11 @@ class Encoders:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
         byte = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(others)}
-        self.a_bytes: dict[int, bytes] = {i: bytes(byte[c] for c in token) for token, i in vocab.items() if i not in special}
-        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={v: k for k, v in self.a_bytes.items()}, special_tokens={}).encode_ordinary
+        ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if i not in special}
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        for token, i in ranks.items():
+            self.a_bytes[i] = token
         model = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
@@ -68,13 +72,15 @@ class Encoders:
 
     def groups(self, parts: list[str]) -> list[list[tuple[tuple, tuple]] | None]:
         """The groups of each part (which starts with a space or a line break); None where bytes differ."""
-        found = []
+        found, a_token, b_token = [], self.a_bytes.__getitem__, self.b_bytes.__getitem__
         for part, b in zip(parts, self.b([p[1:] if p[0] == " " else p for p in parts]), strict=True):
             a, b = self.a(part), b if part[0] == " " else b[1:]  # a line break doesn't merge with the space that B puts before it
             b = b or [self.lead]  # B puts none before an empty text
-            x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            raw = part.encode()
-            found.append(paired(a, b, list(map(len, x)), list(map(len, y))) if b"".join(x) == raw == b"".join(y) else None)
+            x, y = list(map(a_token, a)), list(map(b_token, b))
+            if x == y:  # the same tokens
+                found.append(list(zip(zip(a), zip(b), strict=True)) if b"".join(x) == part.encode() else None)
+            else:
+                found.append(paired(a, b, list(map(len, x)), list(map(len, y))) if b"".join(x) == part.encode() == b"".join(y) else None)
         return found
 
 
@@ -142,7 +148,7 @@ class Block:
         self.extra_size = 0
 
     def full(self) -> bool:
-        return len(self.known) + len(self.spaced) > 300_000 or len(self.keys) > 200_000
+        return len(self.known) + len(self.spaced) > 150_000 or len(self.keys) > 100_000
 
     def intern(self, group: tuple[tuple, tuple]) -> int:
         if (n := self.number.get(group)) is None:
@@ -197,7 +203,7 @@ class Block:
         for links in self.repeated(gids):
             self.extra.append(links)
             self.extra_size += len(links)
-        if self.extra_size > 4_000_000:
+        if self.extra_size > 1_000_000:
             self.fold()
         digest = hashlib.sha256(";".join(map(self.keys.__getitem__, order)).encode()).hexdigest()
         sums = int((n_a * times).sum()), int((n_b * times).sum()), len(order), int((n_a * n_b * times).sum())
@@ -254,6 +260,7 @@ def encode_blocks(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, b
         names = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "gids", "times")
         return rows(0, len(ids), {"doc_id": ids} | dict(zip(names, zip(*block.read(texts), strict=True), strict=True)))
 
+    gc.disable()  # many tuples and no cycles: looking for cycles took a third of the time
     for batch in batches:
         ids, texts, held = [], [], 0
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -273,6 +280,7 @@ def encode_blocks(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, b
             yield counted(ids, texts)
             chars += held
     yield from ended()
+    gc.enable()
 
 
 def encoded(docs: DataFrame, a_path: str, b_path: str, text_col: str, block_chars: int) -> DataFrame:
@@ -318,7 +326,7 @@ def link_counts(blocks: DataFrame, links: DataFrame) -> DataFrame:
     return each.groupBy("a", "b").agg(F.sum("docs").alias("n_docs"), F.sum("links").alias("n_links"))
 
 
-def pair_table(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH, text_col: str = "text", block_chars: int = 1 << 25) -> DataFrame:
+def pair_table(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH, text_col: str = "text", block_chars: int = 1 << 23) -> DataFrame:
     """(a, b, n_docs, n_links): the id pairs that the corpus links, by documents and by occurrences."""
     blocks = encoded(docs, a_path, b_path, text_col, block_chars)
     return link_counts(blocks, dictionary(blocks))
@@ -338,7 +346,7 @@ def attach(docs: pa.Table, values: pa.Table) -> pa.Table:
     return pa.table([*[docs.column(n) for n in names], pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64()), docs.column("groups_sha256")], names=[*names, "n_best", "count_sum", "groups_sha256"])
 
 
-def align(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH, text_col: str = "text", block_chars: int = 1 << 25) -> DataFrame:
+def align(docs: DataFrame, a_path: str = A_PATH, b_path: str = B_PATH, text_col: str = "text", block_chars: int = 1 << 23) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row.
 
     The tokenizers' paths must be readable on every executor. Texts that are null or empty, or
