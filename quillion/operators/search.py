@@ -272,10 +272,13 @@ def approximate_nearest(index: DataFrame, query: list[float], k: int, bucket: fl
     return model.approxNearestNeighbors(rows, Vectors.dense(query), k, distCol="d").select("id", (1 / (1 + F.col("d"))).alias("score"))
 
 
-def hybrid(memories: DataFrame, index: DataFrame, query: str, query_vector: list[float], now: int, limit: int = 20, weights: dict[str, float] | None = None, graph: DataFrame | None = None) -> DataFrame:
-    """(id, score): keyword, semantic, recency and, if given, graph legs, fused by reciprocal rank or by weights."""
+def hybrid(memories: DataFrame, index: DataFrame, query: str, query_vector: list[float], now: int, limit: int = 20, weights: dict[str, float] | None = None, graph: DataFrame | None = None, keyword_hits: DataFrame | None = None) -> DataFrame:
+    """(id, score): keyword, semantic, recency and, if given, graph legs, fused by reciprocal rank or by weights.
+
+    keyword_hits: the keyword leg, if a full-text index gave it; otherwise all texts are scanned.
+    """
     named = {
-        "keyword": keyword(memories, query, limit),
+        "keyword": keyword(memories, query, limit) if keyword_hits is None else keyword_hits,
         "semantic": top(semantic(index, query_vector, memories, now), limit),
         "temporal": temporal_leg(memories, now, limit),
     }

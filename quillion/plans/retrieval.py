@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillion.functions import text, vector
+from quillion.functions import scoring, text, vector
 from quillion.operators import filters, search, sessions, textquery
 from quillion.plans import recipes
+from quillion.operators.textindex import TextIndex
 from quillion.plans.registry import Tables, query
 from quillion.sources.catalog import matching
+from quillion.sources.shared import new_folder
 
 WORDS = "stupid trash worthless"
 TERMS = WORDS.split()
@@ -57,11 +59,43 @@ def bm25_sql(mean: str) -> str:
       FROM p JOIN f USING (term) CROSS JOIN n WHERE tf > 0 GROUP BY id)"""
 
 
-@query(f"WITH {bm25_sql('mean')} SELECT id, round(score, 6) AS score FROM b ORDER BY b.score DESC, id LIMIT 20", "memory")
+INDEXES: dict[tuple[str, str], TextIndex] = {}
+
+
+def text_index(t: Tables) -> TextIndex:
+    """The table's index, built by the first query of a session that needs it; the tables of a folder are taken not to change meanwhile."""
+    key = t.spark.sparkContext.applicationId, t._sf_dir
+    if key not in INDEXES:
+        INDEXES[key] = TextIndex.build(t.memory, new_folder(t.spark, "textindex"))
+    return INDEXES[key]
+
+
+BM25_TOPK_SQL = f"WITH {bm25_sql('mean')} SELECT id, round(score, 6) AS score FROM b ORDER BY b.score DESC, id LIMIT 20"
+
+
+@query(f"WITH tok AS (SELECT id, unnest({tokens_sql('content')}) AS term FROM memory) SELECT term, count(*) AS n, count(DISTINCT id) AS df FROM tok GROUP BY term", "memory")
+def text_index_terms(t: Tables) -> DataFrame:
+    return text_index(t).terms()
+
+
+@query(BM25_TOPK_SQL, "memory")
 def bm25_topk(t: Tables) -> DataFrame:
+    return rounded(text_index(t).search(TERMS, 20), "score")
+
+
+@query(BM25_TOPK_SQL, "memory")
+def bm25_scan_topk(t: Tables) -> DataFrame:
     return rounded(search.top(search.bm25(t.memory, TERMS), 20), "score")
 
 
+@query(
+    "WITH w AS (SELECT id, regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+') AS t FROM memory)"
+    " SELECT id, len(list_filter(range(1, len(t)), lambda i: t[i] = 'apache' AND t[i + 1] = 'license'))::BIGINT AS n FROM w WHERE n > 0", "memory",
+)
+def indexed_phrase(t: Tables) -> DataFrame:
+    return text_index(t).phrase(["apache", "license"])
+
+
 @query(f"WITH {bm25_sql('(SELECT sum(len) * 1.0 / sum(df) FROM f)')} SELECT id, round(score, 6) AS score FROM b", "memory")
 def bm25_scores_posting_mode(t: Tables) -> DataFrame:
     return rounded(search.bm25(t.memory, TERMS, avgdl_mode="posting"), "score")
@@ -119,10 +153,14 @@ tem AS (SELECT 'temporal' AS strategy, id, greatest(1 - 0.5 * greatest(({NOW_SQL
 legs AS (SELECT * FROM kw UNION ALL SELECT * FROM sem UNION ALL SELECT * FROM tem)"""
 
 
+def keyword_leg(t: Tables) -> DataFrame:
+    return text_index(t).search(search.query_tokens(WORDS), 20).select("id", scoring.clamp(F.col("score")).alias("score"))
+
+
 def _legs(t: Tables) -> DataFrame:
     memories = t.memory
     now = now_of(memories)
-    return search.legs(keyword=search.keyword(memories, WORDS, 20), semantic=search.top(search.semantic(vectors(t), probe(t), memories, now), 20), temporal=search.temporal_leg(memories, now, 20))
+    return search.legs(keyword=keyword_leg(t), semantic=search.top(search.semantic(vectors(t), probe(t), memories, now), 20), temporal=search.temporal_leg(memories, now, 20))
 
 
 @query(
@@ -131,7 +169,7 @@ def _legs(t: Tables) -> DataFrame:
 )
 def hybrid_search(t: Tables) -> DataFrame:
     memories = t.memory
-    return rounded(search.hybrid(memories, vectors(t), WORDS, probe(t), now_of(memories)), "score")
+    return rounded(search.hybrid(memories, vectors(t), WORDS, probe(t), now_of(memories), keyword_hits=keyword_leg(t)), "score")
 
 
 @query(f"WITH {LEGS_SQL}, r AS (SELECT id, 1.0 / (60 + row_number() OVER (PARTITION BY strategy ORDER BY score DESC, id) - 1) AS s FROM legs) SELECT id, round(sum(s), 6) AS score FROM r GROUP BY id", "memory")
