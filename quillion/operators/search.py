@@ -261,17 +261,6 @@ def nearest(index: DataFrame, query: list[float], k: int) -> DataFrame:
     return top(index.select("id", vector.euclidean_similarity(F.col("embedding"), F.array(*map(F.lit, query))).alias("score")), k)
 
 
-def approximate_nearest(index: DataFrame, query: list[float], k: int, bucket: float = 1.0, tables: int = 5, seed: int = 7) -> DataFrame:
-    """(id, score) by random-projection hashing: an approximate mode of nearest()."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    rows = index.select("id", array_to_vector("embedding").alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
-    return model.approxNearestNeighbors(rows, Vectors.dense(query), k, distCol="d").select("id", (1 / (1 + F.col("d"))).alias("score"))
-
-
 def hybrid(memories: DataFrame, index: DataFrame, query: str, query_vector: list[float], now: int, limit: int = 20, weights: dict[str, float] | None = None, graph: DataFrame | None = None, keyword_hits: DataFrame | None = None) -> DataFrame:
     """(id, score): keyword, semantic, recency and, if given, graph legs, fused by reciprocal rank or by weights.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillion.functions import scoring, text, vector
 from quillion.operators import filters, search, sessions, textquery
 from quillion.plans import recipes
+from quillion.operators.annindex import VectorIndex
 from quillion.operators.textindex import TextIndex
 from quillion.plans.registry import Tables, query
 from quillion.sources.catalog import matching
@@ -399,9 +400,48 @@ def recipe_search(t: Tables) -> DataFrame:
     return rounded(recipes.run(recipes.resolve("diverse"), strategies, {"mmr": recipes.mmr_reranker(20, 0.5)}).select("id", "score"), "score")
 
 
+VECTOR_INDEXES: dict[tuple[str, str], VectorIndex] = {}
+
+
+def vector_index(t: Tables) -> VectorIndex:
+    """The embeddings' index, built once a session like the text index."""
+    key = t.spark.sparkContext.applicationId, t._sf_dir
+    if key not in VECTOR_INDEXES:
+        VECTOR_INDEXES[key] = VectorIndex.build(vectors(t), new_folder(t.spark, "vectorindex"))
+    return VECTOR_INDEXES[key]
+
+
+def twentieth(t: Tables) -> DataFrame:
+    """The set of queries of a search: rows whose id is divisible by 20."""
+    return vectors(t).where(F.col("id").cast("long") % 20 == 0)
+
+
 @query()
 def approximate_nearest(t: Tables) -> DataFrame:
-    return rounded(search.approximate_nearest(vectors(t), probe(t), 10), "score")
+    index = vector_index(t)
+    return rounded(index.nearest(probe(t), 10, probes_of(index)), "score")
+
+
+def probes_of(index: VectorIndex) -> int:
+    """Two thirds of the cells: the tables' vectors have next to no clusters, so fewer miss neighbours (16 of 45: recall 0.78; 28: 0.94)."""
+    return max(8, 2 * len(index.model.coarse) // 3)
+
+
+@query()
+def approximate_neighbours(t: Tables) -> DataFrame:
+    index = vector_index(t)
+    return rounded(index.nearest_all(twentieth(t), 10, probes_of(index)), "score")
+
+
+@query(
+    "WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS id, vec_id, embedding::DOUBLE[] AS e FROM embeddings),"
+    " p AS (SELECT a.id AS query, b.id, list_distance(a.e, b.e) AS d FROM v a JOIN v b ON a.id <> b.id WHERE a.vec_id % 20 = 0),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS place FROM p) SELECT query, id, round(1 / (1 + d), 6) AS score FROM r WHERE place <= 10"
+)
+def nearest_neighbours(t: Tables) -> DataFrame:
+    """The index's exact setting: all cells probed, whole blocks compared."""
+    index = vector_index(t)
+    return rounded(index.nearest_all(twentieth(t), 10, probes=len(index.model.coarse), refine=1 << 20), "score")
 
 
 INTENT_SCORES = ", ".join(

@@ -204,18 +204,6 @@ def test_similar_clusters(spark, tile_rows):
     assert got == {i: min(g) for i, g in group.items() if len(g) > 1}
 
 
-def test_approximate_nearest_recall(spark):
-    draw = random.Random(8)
-    rows = [(f"v{i:03d}", [draw.gauss(0, 1) for _ in range(8)]) for i in range(400)]
-    index = spark.createDataFrame(rows, "id string, embedding array<double>")
-    hit = total = 0
-    for q in range(0, 400, 20):
-        exact = {r.id for r in search.nearest(index, rows[q][1], 10).collect()}
-        found = {r.id for r in search.approximate_nearest(index, rows[q][1], 10, bucket=4.0).collect()}
-        hit, total = hit + len(exact & found), total + len(exact)
-    assert hit / total >= 0.9
-
-
 def test_best_matches_and_store(spark):
     draw = random.Random(6)
     rows = [(f"m{i:02d}", [draw.gauss(0, 1) for _ in range(3)]) for i in range(60)] + [("zero", [0.0] * 3), ("null", None)]
