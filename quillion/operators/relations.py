@@ -140,16 +140,6 @@ def jaccard_pairs(df: DataFrame, least: float, text_col: str = "content") -> Dat
     return near.unionByName(copies)
 
 
-def merge_suggestions(pairs: DataFrame) -> DataFrame:
-    """(source, target, ratio, status): the newer row of each pair is to go into the older."""
-    return pairs.select(F.col("newer").alias("source"), F.col("older").alias("target"), "ratio", F.lit("pending").alias("status"))
-
-
-def without_newer(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    """df without the newer rows of near-duplicate pairs."""
-    return df.join(pairs.select(F.col("newer").alias("id")).distinct(), "id", "left_anti")
-
-
 def budget_pack(df: DataFrame, budget: int, size: Column, order: list[Column], by: str | None = None, least: int = 1) -> DataFrame:
     """The rows in order whose running size stays within the budget; the first row always stays. Adds `used`.
 
