@@ -1,18 +1,22 @@
 """Main-text extraction by tree scoring.
 
-A page is read into a light tree. Parts that are page furniture by tag, role or name are cut;
-a name counts only if all its words tell of furniture ("cookie-notice", but not "market-share"),
-and nothing that holds the page's article or most of its text is cut. Each remaining block with
-some text of its own has points for its length and its commas; they go to the block's parent in
-full, to the grandparent by half and to the next ancestor by a third. An ancestor's score is
-discounted by its share of link text. The best container is kept whole, with those of its
-siblings that score or read like it.
+A page is read into a light tree, in time linear in its length. Parts that are furniture by tag,
+role or state are cut. Each remaining block with some text of its own has points for its length
+and its commas; they go to the block's parent in full, to the grandparent by half and to the
+next ancestor by a third. An ancestor's score is discounted by its share of link text. The best
+container is kept whole, and at each level above it those siblings that hold scores or read like
+it: an article in several parts, a headline and its lead in a box of their own. Names (class and
+id) are a weight: a part is cut by name only if all words of a name tell of furniture
+("cookie-notice", not "market-share"), and a name that can also be that of a topic ("search",
+"login") doesn't cut text that scores as an article's does.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -36,13 +40,17 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CUT_TAGS = frozenset("head nav footer aside form button fieldset dialog menu search object canvas audio video label select datalist".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tooltip".split())
 #: Words of names that tell of furniture, wherever it stands.
-FURNITURE = frozenset(
+STRONG = frozenset(
     """ad ads adbox adsense advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos
-    promotion banner cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription
-    signup signin login sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar
-    comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations
-    toolbar pager pagination search form skip tags taglist""".split()
+    cookie cookies consent gdpr newsletter sidebar nav navbar navigation breadcrumb breadcrumbs masthead topbar
+    comment comments commentlist disqus replies toolbar pager pagination taglist""".split()
 )
+#: Words that do so unless the part reads like an article: they name topics and places of layout, too.
+WEAK = frozenset(
+    """promotion banner notice notification popup modal overlay subscribe subscription signup signin login widget widgets
+    menu footer reply respond share sharing social related recommended recommendations search form skip tags""".split()
+)
+FURNITURE = STRONG | WEAK
 #: Words that may stand beside those in a name.
 BESIDE = frozenset(
     """site page main global top bottom left right primary secondary inner outer box bar area wrapper wrap container
@@ -52,10 +60,13 @@ BESIDE = frozenset(
 )
 COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 KEPT_TAGS = frozenset("html body article main".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 COMMAS = re.compile("[,،、，]")
+SENTENCES = re.compile("[,،、，.。!?]")
+#: From here on a text can be an article's whatever its box is called.
+PROSE_CHARS = 140
 
 
 @dataclass(eq=False, slots=True)
@@ -67,25 +78,70 @@ class Node:
     score: float = 0.0
     text: int = 0
     linked: int = 0
+    closed: bool = False
+    above: frozenset = frozenset()  # of WATCHED elements around it
+
+
+WATCHED = frozenset("article main blockquote pre code".split())
 
 
 def attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(node.attributes)} if node.attributes.strip() else {}
 
 
+class Open:
+    """The open elements of a page, with the places of each tag, so that no end tag looks through all of them."""
+
+    def __init__(self):
+        self.stack = [Node("#root", None)]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def pop_to(self, place: int, closed: bool = False) -> None:
+        """End the element at a place and what is open in it; `closed`: its end tag was there."""
+        self.stack[place].closed = closed
+        while len(self.stack) > place:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag: inline elements don't end the block they stand in, and a stray one ends nothing."""
+        if (found := self.places.get(tag)) and (tag in BLOCK or not self.blocks or self.blocks[-1] < found[-1]):
+            self.pop_to(found[-1], True)
+
+    def close_paragraph(self) -> None:
+        if (found := self.places.get("p")) and self.blocks[-1] == found[-1]:
+            self.pop_to(found[-1])
+
+    def close_within(self, tags: tuple[str, ...], scope: tuple[str, ...]) -> None:
+        """End the outermost of the tags that is open within the innermost element of the scope."""
+        least = max((self.places[t][-1] for t in scope if self.places.get(t)), default=0)
+        inner = [found[k] for t in tags if (found := self.places.get(t)) and (k := bisect_right(found, least)) < len(found)]
+        if inner:
+            self.pop_to(min(inner))
+
+
 def parse(page: str) -> Node:
     """The tree of a page; unclosed and stray tags are mended as browsers do in the plain cases.
 
-    An element of raw text ends at its end tag or with the page, an empty <svg/> at once, and
-    an open <select> at the first start tag that can't be in it.
+    An element of raw text ends at its end tag or with the page, an empty <svg/> at once, an
+    open <select> at the first start tag that can't be in it, and an open <a> at the next one.
     """
-    root = Node("#root", None)
-    top, at, size = root, 0, len(page)
+    opened, at, size = Open(), 0, len(page)
+    ends: dict[str, re.Pattern] = {}
     while at < size:
         m = TAG.search(page, at)
         end = m.start() if m else size
         if end > at:
-            top.children.append(page[at:end])
+            opened.stack[-1].children.append(page[at:end])
         if not m:
             break
         at = m.end()
@@ -93,53 +149,34 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            top = close(top, tag)
+            opened.close(tag)
             continue
-        if top.tag in SELECT and tag not in SELECT and tag not in RAW and tag not in ("hr", "b", "i", "span"):
-            top = close(top, "select")
+        if opened.stack[-1].tag in SELECT and tag not in SELECT and tag not in RAW and tag not in ("hr", "b", "i", "span"):
+            opened.close("select")
         if tag in BLOCK:
-            top = close_paragraph(top)
+            opened.close_paragraph()
+        if tag == "a" and opened.places.get("a") and (not opened.blocks or opened.blocks[-1] < opened.places["a"][-1]):
+            opened.pop_to(opened.places["a"][-1])
         if tag in CLOSES:
-            top = close_open(top, CLOSES[tag], SCOPE.get(tag, ()))
-        node = Node(tag, top, m[3])
+            opened.close_within(CLOSES[tag], SCOPE.get(tag, ()))
+        top = opened.stack[-1]
+        node = Node(tag, top, m[3], above=top.above | {top.tag} if top.tag in WATCHED else top.above)
         top.children.append(node)
         empty = m[3].endswith("/")
         if tag in RAW:
             if not (empty and tag == "svg"):
-                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                if tag not in ends:
+                    ends[tag] = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I)
+                stop = ends[tag].search(page, at)
                 at = stop.end() if stop else size
         elif tag not in VOID and (not empty or tag in BLOCK):
-            top = node
-    return root
-
+            opened.push(node)
+    return opened.stack[0]
 
-def close(top: Node, tag: str) -> Node:
-    node = top
-    while node.parent is not None:
-        if node.tag == tag:
-            return node.parent
-        if node.tag in BLOCK and tag not in BLOCK:
-            return top
-        node = node.parent
-    return top
 
-
-def close_paragraph(top: Node) -> Node:
-    node = top
-    while node.parent is not None and (node.tag not in BLOCK or node.tag == "p"):
-        if node.tag == "p":
-            return node.parent
-        node = node.parent
-    return top
-
-
-def close_open(top: Node, tags: tuple[str, ...], scope: tuple[str, ...]) -> Node:
-    node, last = top, top
-    while node.parent is not None and node.tag not in scope:
-        if node.tag in tags:
-            last = node.parent
-        node = node.parent
-    return last
+def links(node: Node) -> bool:
+    """Whether an element is a link: an <a> without href is a place, not a link."""
+    return node.tag == "a" and "href" in attributes(node)
 
 
 def furniture_name(names: str) -> set[str]:
@@ -161,6 +198,7 @@ class Page:
     articles: int
     text: int
     of: dict[Node, tuple[int, int, int]]
+    marks: dict[Node, int]  # commas and ends of sentences outside links
 
     def holds_article(self, node: Node, most: bool = True) -> bool:
         """Whether a node holds the page's article or main element, its headline, or most of its text."""
@@ -176,27 +214,28 @@ def surveyed(root: Node) -> Page:
         node = stack.pop()
         order.append(node)
         stack.extend(c for c in node.children if not isinstance(c, str))
-    of: dict[Node, list[int]] = {n: [0, 0, 0] for n in order}
+    of: dict[Node, list[int]] = {n: [0, 0, 0, 0] for n in order}
     for node in reversed(order):
         mine = of[node]
         if node.tag in ("article", "main"):
             mine[0] += 1
         elif node.tag == "h1":
             mine[1] += 1
-        if node.tag not in RAW and node.tag != "a":
-            mine[2] += sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        if node.tag not in RAW and not (node.closed and links(node)):
+            own = [c for c in node.children if isinstance(c, str)]
+            mine[2] += sum(len(" ".join(c.split())) for c in own)
+            mine[3] += sum(len(SENTENCES.findall(c)) for c in own)
         else:
-            mine[2] = 0
+            mine[2] = mine[3] = 0
         if node.parent is not None:
             of[node.parent] = [x + y for x, y in zip(of[node.parent], mine, strict=True)]
-    return Page(of[root][0], of[root][2], {n: tuple(x) for n, x in of.items()})
+    return Page(of[root][0], of[root][2], {n: tuple(x[:3]) for n, x in of.items()}, {n: x[3] for n, x in of.items()})
 
 
-def inside(node: Node, *tags: str) -> bool:
-    up = node.parent
-    while up is not None and up.tag not in tags:
-        up = up.parent
-    return up is not None
+def prose(node: Node, page: Page) -> bool:
+    """Whether a part reads like an article's: a long text outside links, with sentences."""
+    _, _, text = page.of[node]
+    return text >= PROSE_CHARS and page.marks[node] * 200 >= text
 
 
 def furniture(node: Node, page: Page) -> bool:
@@ -205,12 +244,12 @@ def furniture(node: Node, page: Page) -> bool:
     if tag in RAW:
         return True
     if tag in CUT_TAGS:
-        if tag == "footer" and inside(node, "blockquote"):
+        if tag == "footer" and "blockquote" in node.above:
             return False
         return tag not in ("form", "fieldset", "label") or not page.holds_article(node)
     found = attributes(node)
     if tag == "header":
-        if inside(node, "article", "main"):
+        if not node.above.isdisjoint(("article", "main")):
             return False
         return bool(page.articles) or not page.of[node][1] or node.parent is None or node.parent.tag in ("body", "html", "#root")
     if not found or tag in ("html", "body"):
@@ -221,10 +260,12 @@ def furniture(node: Node, page: Page) -> bool:
         return False
     if found.get("role", "").lower() in CUT_ROLES or found.get("itemprop", "") == "comment":
         return not page.holds_article(node)
-    if tag not in BLOCK and tag not in ("span", "ins") or tag in HEADINGS or inside(node, "pre", "code"):
+    if tag not in BLOCK and tag not in ("span", "ins") or tag in HEADINGS or not node.above.isdisjoint(("pre", "code")):
         return False
     words = furniture_name(f"{found.get('class', '')} {found.get('id', '')}")
-    if "header" in words and len(words) == 1 and inside(node, "article", "main"):
+    if "header" in words and len(words) == 1 and not node.above.isdisjoint(("article", "main")):
+        return False
+    if not words & STRONG and prose(node, page):
         return False
     return bool(words) and not page.holds_article(node, most=not words & COMMENTS)
 
@@ -239,17 +280,16 @@ def measured(root: Node) -> list[Node]:
         node.children = [c for c in node.children if isinstance(c, str) or not furniture(c, page)]
         stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
     own: dict[Node, list[str]] = {}
+    block_of: dict[Node, Node] = {}
     for node in order:
-        block = node
-        while block.tag not in BLOCK and block.parent is not None:
-            block = block.parent
+        block = block_of[node] = node if node.tag in BLOCK or node.parent is None else block_of[node.parent]
         for child in node.children:
             if isinstance(child, str):
                 node.text += len(" ".join(child.split()))
                 own.setdefault(block, []).append(child)
     for node in reversed(order):
-        if node.tag == "a":
-            node.linked = node.text
+        if links(node):
+            node.linked = node.text if node.closed else unclosed_link(node)
         if node.parent is not None:
             node.parent.text += node.text
             node.parent.linked += node.linked
@@ -265,40 +305,84 @@ def measured(root: Node) -> list[Node]:
     return order
 
 
+def unclosed_link(node: Node) -> int:
+    """The link text of a link without an end tag: it ends at the first block in it."""
+    n = 0
+    for child in node.children:
+        if not isinstance(child, str) and child.tag in BLOCK:
+            break
+        n += len(" ".join(child.split())) if isinstance(child, str) else child.text
+    return n
+
+
 def density(node: Node) -> float:
     return node.linked / node.text if node.text else 0.0
 
 
+@dataclass(slots=True)
+class Scores:
+    """Final scores of blocks; the best score in each node, and whether a headline is in it."""
+
+    final: dict[Node, float]
+    best_in: dict[Node, float]
+    headline: dict[Node, bool]
+
+
+def scored(order: list[Node]) -> Scores:
+    base = {"article": 10.0, "main": 8.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "td": 3.0, "ul": -3.0, "ol": -3.0, "li": -3.0, "dl": -3.0}
+    final = {n: (n.score + base.get(n.tag, 0.0)) * (1 - density(n)) for n in order if n.tag in BLOCK and n.score > 0}
+    best_in, headline = {}, {}
+    for node in reversed(order):
+        inner = [c for c in node.children if not isinstance(c, str)]
+        best_in[node] = max([final.get(node, 0.0), *[best_in[c] for c in inner]])
+        headline[node] = node.tag == "h1" or any(headline[c] for c in inner)
+    return Scores(final, best_in, headline)
+
+
 def containers(root: Node) -> list[Node]:
-    """The best container and the siblings that belong to it, in page order."""
+    """The best container and what belongs to it at its own level and at those above, in page order.
+
+    At the container's level a page without an article element keeps headings and what isn't
+    links; further up a part has to score, to be another article, or to hold the headline that
+    what is kept so far lacks.
+    """
     order = measured(root)
     blocks = [n for n in order if n.tag in BLOCK]
-    base = {"article": 10.0, "main": 8.0, "div": 5.0, "section": 5.0, "blockquote": 3.0, "td": 3.0, "ul": -3.0, "ol": -3.0, "li": -3.0, "dl": -3.0}
-    final = {n: (n.score + base.get(n.tag, 0.0)) * (1 - density(n)) for n in blocks if n.score > 0}
-    if not final:
+    s = scored(order)
+    if not s.final:
         for tag in ("article", "main", "body"):
             if found := [n for n in blocks if n.tag == tag and n.text]:
                 return found[:1]
         return [root] if root.text else []
-    best = max(final, key=lambda n: final[n])
-    up = best
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.parent
-    best = up or best
-    if best.parent is None or best.tag in ("body", "html"):
-        return [best]
-    least = max(10.0, 0.2 * final.get(best, 0.0))
-    family = runs(best.parent)
-    place = family.index(best)
-    kept = []
-    for k, other in enumerate(family):
-        scores = final.get(other, 0.0) >= least or other.tag == "p" and other.text > 80 and density(other) < 0.25
-        if up is not None:  # the page names its article: others must read like it, and a headline may stand before it
-            alike = scores or other.tag in HEADINGS and k + 1 == place
-        else:
-            alike = scores if other.tag == "article" else scores or other.tag in HEADINGS or density(other) < 0.5
-        if other is best or alike and other.text:
-            kept.append(other)
+    best = max(s.final, key=lambda n: s.final[n])
+    named = best
+    while named is not None and named.tag not in ("article", "main"):
+        named = named.parent
+    least = max(10.0, 0.2 * s.final[best])
+    path = named or best
+    if path.parent is None or path.tag in ("body", "html"):
+        return [path]
+    kept, lowest, headline = [path], True, s.headline[path]
+    while path.parent is not None and path.tag not in ("body", "html"):
+        family = runs(path.parent)
+        place = family.index(path)
+        before, after = [], []
+        for k, other in enumerate(family):
+            if other is path or not other.text:
+                continue
+            linked = density(other)
+            alike = s.best_in.get(other, 0.0) >= least and linked < 0.5 or other.tag == "p" and other.text > 80 and linked < 0.25
+            alike |= other.tag == "article" and linked < 0.25
+            if k < place and not headline and s.headline.get(other, False) and linked < 0.5:
+                alike, headline = True, True
+            if named is not None:  # the page names its article: a heading may stand right before it
+                alike |= other.tag in HEADINGS and k + 1 == place and lowest
+            elif lowest and other.tag != "article":
+                alike |= other.tag in HEADINGS or linked < 0.5
+            if alike:
+                (before if k < place else after).append(other)
+        kept = before + kept + after
+        path, lowest = path.parent, False
     return kept
 
 

@@ -1,3 +1,5 @@
+from html.parser import HTMLParser
+
 from quillion.llm import extract
 
 ARTICLE = ["A title", "The first paragraph, with commas, is long enough to count as prose on any page.", "The second one & its entity, <b>, tells more of the same story, at some length too.", "A third closes the piece, with a link inside, and nothing more to say about it."]
@@ -92,3 +94,113 @@ def test_pages_without_an_article_element():
 def test_very_long_page():
     parts = [BODY.format(k) for k in range(40_000)]
     assert extract.main_text(article("".join(f"<p>{p}</p>" for p in parts))).split("\n")[2:-1] == parts
+
+
+def paragraphs(*numbers: int) -> tuple[str, list[str]]:
+    return "".join(f"<p>{BODY.format(n)}</p>" for n in numbers), [BODY.format(n) for n in numbers]
+
+
+def text_of(body: str) -> list[str]:
+    return extract.main_text(f"<html><body><nav><a href=/>Home</a><a href=/x>More</a></nav>{body}<footer>Imprint</footer></body></html>").split("\n")
+
+
+def test_articles_in_several_parts():
+    one, a = paragraphs(1, 2, 3)
+    two, b = paragraphs(4, 5)
+    three, c = paragraphs(6)
+    part = "<div class=part><div class=inner>{}</div></div>"
+    assert text_of(f"<div id=content>{part.format(one)}{part.format(two)}</div>") == a + b
+    assert text_of(f"<div id=content>{part.format(two)}{part.format(one)}</div>") == b + a
+    assert text_of(f"<div id=content>{part.format(one)}{part.format(one)}</div>") == a + a
+    for wrap in ("<main>{}</main>", "{}", "<div>{}</div>"):
+        assert text_of(wrap.format(f"<article>{one}</article><article><p>Short.</p></article>")) == [*a, "Short."]
+        assert text_of(wrap.format(f"<article>{three}</article><article>{one}</article>")) == c + a
+    cards = "<article><a href=/1>A card, with a teaser of another story</a></article>" * 3
+    assert text_of(f"<article>{one}</article>{cards}") == a
+
+
+def test_headline_and_lead_in_their_own_box():
+    one, a = paragraphs(1, 2, 3)
+    hero = "<div class=hero><div><h1>Head</h1><p>The lead.</p></div></div>"
+    assert text_of(f"{hero}<div class=body><div>{one}</div></div>") == ["Head", "The lead.", *a]
+    assert text_of(f"<div id=page>{hero}<div class=body><div>{one}</div></div></div>") == ["Head", "The lead.", *a]
+    assert text_of(f"<main>{hero}<article>{one}</article></main>") == ["Head", "The lead.", *a]
+    assert text_of(f"<h1>Head</h1><div><div>{one}</div></div>") == ["Head", *a]
+
+
+def test_anchors_without_href_and_links_without_end():
+    one, a = paragraphs(1, 2, 3)
+    assert text_of(f"<div><a name=top>{one}</div>") == a
+    assert text_of(f"<a id=top>{one}") == a
+    assert text_of(f"<div><p>See <a href=/x>this</p>{one}</div>") == ["See this", *a]
+    assert text_of(f"<div><a href=/x>Top{one}</div>")[-3:] == a
+    assert text_of(f"<article><p><a href=/a>one<a href=/b>two</a> {BODY.format(9)}</p>{one}</article>") == [f"onetwo {BODY.format(9)}", *a]
+
+
+def test_names_are_a_weight_inside_the_article():
+    one, a = paragraphs(1, 2)
+    long = f"{BODY.format(7)} {BODY.format(8)}"
+    for opened, closed in (("<section id=search>", "</section>"), ("<div class=form>", "</div>"), ("<div class='related'>", "</div>"), ("<div class=banner>", "</div>"), ("<section class=login>", "</section>")):
+        assert text_of(f"<article>{one}{opened}<p>{long}</p>{closed}</article>") == [*a, long], opened
+        assert text_of(f"<article>{one}{opened}<p>Short, too.</p>{closed}</article>") == a, opened
+    assert text_of(f"<article>{one}<p id=login>{long}</p></article>") == [*a, long]
+    for name in ("comments", "ad-box", "newsletter", "cookie-notice"):
+        assert text_of(f"<article>{one}<div class={name}><p>{long}</p></div></article>") == a, name
+
+
+def test_tag_soup_takes_linear_time():
+    import time
+
+    soups = [
+        lambda n: "<span>" * n + "</p>" * n + "text", lambda n: "<b><div>" + "<span>" * n + "</b>" * n + "text", lambda n: "<div class=x>" * n + "text" + "</div>" * n, lambda n: "<div class=ad-slot><span>x" * n,
+        lambda n: "<a href=1><p>x" * n, lambda n: "<li>x" * n, lambda n: "<table><tr><td>x" * n, lambda n: "<span>y" * n, lambda n: "<p " + "'" * n, lambda n: "<select><option>" * n, lambda n: "</div></b>" * n,
+    ]
+    for k, soup in enumerate(soups):
+        seconds = []
+        for n in (5_000, 40_000):
+            began = time.process_time()
+            extract.main_text(soup(n))
+            seconds.append(time.process_time() - began)
+        assert seconds[1] < 24 * max(seconds[0], 0.02), k
+
+
+class PlainReader(HTMLParser):
+    """The blocks of a page's article element by the standard library's parser; enough for the driver's pages."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skip, self.blocks, self.parts = False, False, [], []
+
+    def flush(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.blocks.append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        self.skip = tag in ("script", "style")
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag in extract.BLOCK:
+            self.flush()
+
+    def handle_endtag(self, tag):
+        self.skip = False
+        if tag in extract.BLOCK:
+            self.flush()
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.parts.append(data)
+
+
+def test_driver_pages_match_a_plain_reader(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in extract.extract(pages).collect()}
+    for page in pages.collect():
+        reader = PlainReader()
+        reader.feed(page.html or "")
+        reader.close()
+        reader.flush()
+        assert got[page.page_id].split("\n") == (reader.blocks or [""]), page.page_id
