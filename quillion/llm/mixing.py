@@ -2,36 +2,39 @@
 
 Each source is a stream of its documents in a permuted order, epoch after epoch, cut into
 blocks of equal words; a source's quota is the number of blocks that its target needs. A
-splitting tree deals the quotas to the output shards: a node's blocks are halved by drawing
-without replacement, block by block, so that each half's counts by source follow the
-multivariate hypergeometric distribution and add up exactly. A leaf's counts give a shard
+splitting tree deals the quotas to the output shards: at every node the blocks are split among a
+few children by drawing without replacement, so that their counts by source follow the
+multivariate hypergeometric distribution and add up exactly. A count is one draw of the hypergeometric
+distribution given the sources before it, whatever its size. A leaf's counts give a shard
 disjoint ranges of each source's permuted blocks; rows of a shard are then ordered by a hash.
 
-The tree works on counts alone. Blocks and shards are of one size whatever the input: with more
-than tree_blocks blocks, the first level shares quotas and shards out in even parts, and each
-part has a tree of its own, in a task of its own. Documents are only touched by a projection, a
-prefix sum within narrow hash buckets, and a join with the table of blocks by source and block.
+The tree works on counts alone, and its nodes are dealt anew to tasks every other level. Blocks and
+shards are of one size whatever the input. Documents are only touched by a projection, a prefix
+sum within narrow hash buckets, and a join with the table of blocks by source and block.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillion.llm.common import bind, materialize, unused
+from quillion.llm.hypergeometric import hypergeometric
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A prime over any number of blocks, so that multiplying by it permutes them.
 PRIME = 4_294_967_291
-SCALE = float(2**53)
+#: Rows of a few numbers that are broadcast at most; they are counted first.
+NARROW_ROWS = 200_000
 
 
-def uniform(*columns) -> F.Column:
-    """A repeatable draw from [0, 1) for the columns."""
-    return F.shiftrightunsigned(F.xxhash64(*columns), 11) / F.lit(SCALE)
+def narrow(df: DataFrame) -> DataFrame:
+    """df, which should be materialized, marked for broadcast if it has NARROW_ROWS at most."""
+    return F.broadcast(df) if df.limit(NARROW_ROWS + 1).count() <= NARROW_ROWS else df
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_epochs: int = 3) -> DataFrame:
@@ -87,7 +90,7 @@ def filled(rows: DataFrame, most_epochs: int) -> DataFrame:
     """
     same = lambda other: F.col("source").eqNullSafe(F.col(other))
     words = rows.groupBy(F.col("source").alias("_source")).agg((F.max("target") - F.sum(F.col("size") * F.size("epochs"))).alias("gap"))
-    rows = rows.join(F.broadcast(materialize(words)), same("_source")).drop("_source")
+    rows = rows.join(narrow(materialize(words)), same("_source")).drop("_source")
     fits = (F.col("size") > 0) & (F.size("epochs") < most_epochs) & (F.col("size") <= F.col("gap"))
     columns, done, open_rows = rows.columns, [rows.where(~fits)], rows.where(fits)
     while not open_rows.isEmpty():
@@ -96,7 +99,7 @@ def filled(rows: DataFrame, most_epochs: int) -> DataFrame:
         sums = open_rows.groupBy(*keys).agg(F.sum("size").alias("words"))
         before = Window.partitionBy("source").orderBy("used", "large", "bucket").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-        based = open_rows.join(F.broadcast(materialize(sums)), same("_source") & (F.col("used") == F.col("_used")) & (F.col("large") == F.col("_large")) & (F.col("bucket") == F.col("_bucket")))
+        based = open_rows.join(narrow(materialize(sums)), same("_source") & (F.col("used") == F.col("_used")) & (F.col("large") == F.col("_large")) & (F.col("bucket") == F.col("_bucket")))
         reached = F.col("base") < F.col("gap")
         within = Window.partitionBy(*keys).orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
         near = based.where(reached).withColumn("first", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
@@ -106,65 +109,60 @@ def filled(rows: DataFrame, most_epochs: int) -> DataFrame:
         far = based.where(~reached).withColumn("added", F.lit(0).cast("long"))
         moved = materialize(near.select(*columns, "added").unionByName(far.select(*columns, "added")))
         gained = materialize(moved.groupBy(F.col("source").alias("_source")).agg(F.sum("added").alias("gained")))
-        moved = moved.join(F.broadcast(gained), same("_source")).withColumn("gap", F.col("gap") - F.col("gained")).select(*columns)
+        moved = moved.join(narrow(gained), same("_source")).withColumn("gap", F.col("gap") - F.col("gained")).select(*columns)
         done.append(moved.where(~fits))
         open_rows = moved.where(fits)
     return functools.reduce(DataFrame.unionByName, done)
 
 
-def draw_left(seed: int, level: int):
-    """A fold over a node's counts that draws, block by block, how many of each go left."""
+def drawn(counts: Column, want: Column, *keys) -> Column:
+    """How many of each of `counts` are among `want` blocks drawn without replacement: each given those before it."""
+    rest = F.aggregate(counts, F.lit(0).cast("long"), lambda a, c: a + c)
+    start = F.struct(rest.alias("rest"), want.cast("long").alias("want"), F.array().cast("array<long>").alias("taken"))
 
-    def one_block(state, _):
-        left = uniform(F.lit(seed), F.lit(level), F.col("base") + F.col("low"), state["rest"]) * state["rest"] < state["want"]
-        return F.struct((state["rest"] - 1).alias("rest"), (state["want"] - left.cast("long")).alias("want"))
+    def source(acc: Column, count: Column) -> Column:
+        hit = hypergeometric(count, acc["rest"], acc["want"], *keys, F.size(acc["taken"]))
+        return bind(hit, lambda x: F.struct((acc["rest"] - count).alias("rest"), (acc["want"] - x).alias("want"), F.concat(acc["taken"], F.array(x)).alias("taken")))
 
-    def source(acc, count):
-        blocks = F.when(count > 0, F.sequence(F.lit(1).cast("long"), count)).otherwise(F.array().cast("array<long>"))
-        after = F.aggregate(blocks, F.struct(acc["rest"].alias("rest"), acc["want"].alias("want")), one_block)
-        return bind(after, lambda s: F.struct(s["rest"].alias("rest"), s["want"].alias("want"), F.concat(acc["left"], F.array(acc["want"] - s["want"])).alias("left")))
+    return F.aggregate(counts, start, source, lambda acc: acc["taken"])
 
-    return source
 
+def child(seed: int, level: int, width: int, edge: Callable[[Column], Column]):
+    """A fold over the first shards of a node's children that takes each child's blocks from those left."""
 
-def split_quotas(quotas: DataFrame, shards: int, seed: int, tree_blocks: int = 1 << 16) -> DataFrame:
+    def take(acc: Column, low: Column) -> Column:
+        high = F.least(low + width, F.col("high"))
+        taken = drawn(acc["rest"], edge(high) - edge(low), F.lit(seed), F.lit(level), low)
+        part = lambda t: F.array(F.struct(low.alias("low"), high.alias("high"), t.alias("counts")))
+        return bind(taken, lambda t: F.struct(F.zip_with(acc["rest"], t, lambda c, x: c - x).alias("rest"), F.concat(acc["parts"], part(t)).alias("parts")))
+
+    return take
+
+
+def split_quotas(quotas: DataFrame, shards: int, seed: int, fan: int = 16) -> DataFrame:
     """(source, shard, first, last): each shard's blocks of each source, as places in its permuted blocks.
 
     quotas: (source, blocks). A node is a row with its range of shards and an array of counts,
-    one for each source; a level of the tree splits all its nodes. Block after block is drawn
-    for the left half with probability (wanted on the left) / (blocks left), which makes the
-    split exact and multivariate hypergeometric. A tree has tree_blocks blocks or so: beyond
-    that, sources and shards are first shared out evenly among several trees.
+    one for each source. A level of the tree splits every node among `fan` children or fewer,
+    one child's blocks drawn after the other from those left, each child getting its share of
+    the blocks by its share of the shards. After two levels nodes go to other tasks.
     """
-    trees = min(shards, max(1, -(-(quotas.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]) // tree_blocks)))
     one = quotas.agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("none"), "source", "blocks"))).alias("q"))  # bounded by the sources
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)
-    part = lambda whole: F.floor(whole * (F.col("tree") + 1) / F.lit(trees)) - F.floor(whole * F.col("tree") / F.lit(trees))
-    roots = one.select("q", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    nodes = roots.select(
-        F.transform("q", lambda x: x["source"]).alias("sources"), F.transform("q", lambda x: part(x["blocks"]).cast("long")).alias("counts"),
-        F.floor(F.lit(shards) * F.col("tree") / F.lit(trees)).cast("int").alias("base"), F.lit(0).alias("low"), part(F.lit(shards)).cast("int").alias("high"),
-    )
-    nodes = nodes.withColumns({"own": F.col("high"), "all": total})
-    nodes = nodes.repartition(min(trees, 4096), "base") if trees > 1 else nodes
-    widest = -(-shards // trees)
-    step = math.ceil(math.log2(widest)) if widest > 1 else 0
-    for level in range(step):
-        middle = ((F.col("low") + F.col("high")) / 2).cast("int")
-
-        def edge(x):
-            return F.floor(x * F.col("all") / F.col("own"))
-
-        want = edge(middle) - edge(F.col("low"))
-
-        start = F.struct(total.alias("rest"), want.cast("long").alias("want"), F.array().cast("array<long>").alias("left"))
-        halves = nodes.withColumn("left", F.aggregate("counts", start, draw_left(seed, level), lambda acc: acc["left"]))
-        right = F.zip_with("counts", "left", lambda c, x: c - x)
-        whole = F.array(F.struct(F.col("low").alias("low"), F.col("high").alias("high"), F.col("counts").alias("counts")))
-        both = F.array(F.struct(F.col("low").alias("low"), middle.alias("high"), F.col("left").alias("counts")), F.struct(middle.alias("low"), F.col("high").alias("high"), right.alias("counts")))
-        kept = ["sources", "base", "own", "all"]
-        nodes = halves.select(*kept, F.explode(F.when(F.col("high") - F.col("low") > 1, both).otherwise(whole)).alias("n")).select(*kept, "n.*")
-    leaves = nodes.select((F.col("base") + F.col("low")).alias("shard"), F.explode(F.arrays_zip("sources", "counts")).alias("x")).select("shard", F.col("x.sources").alias("source"), F.col("x.counts").alias("n"))
+    nodes = one.select(F.transform("q", lambda x: x["source"]).alias("sources"), F.transform("q", lambda x: x["blocks"]).alias("counts"), F.lit(0).alias("low"), F.lit(shards).alias("high")).withColumn("all", total)
+    edge = lambda x: F.floor(x.cast("decimal(20,0)") * F.col("all") / F.lit(shards)).cast("long")
+    levels = 0
+    while fan**levels < shards:
+        levels += 1
+    for level in range(levels):
+        if level and level % 2 == 0:
+            nodes = nodes.repartition(min(fan**level, 4096), "low")
+        width = fan ** (levels - 1 - level)
+
+        start = F.struct(F.col("counts").alias("rest"), F.array().cast("array<struct<low:int,high:int,counts:array<bigint>>>").alias("parts"))
+        parts = F.aggregate(F.sequence(F.col("low"), F.col("high") - 1, F.lit(width)), start, child(seed, level, width, edge), lambda acc: acc["parts"])
+        nodes = nodes.select("sources", "all", F.explode(parts).alias("n")).select("sources", "all", "n.*")
+    leaves = nodes.select(F.col("low").alias("shard"), F.explode(F.arrays_zip("sources", "counts")).alias("x")).select("shard", F.col("x.sources").alias("source"), F.col("x.counts").alias("n"))
     last = F.sum("n").over(Window.partitionBy("source").orderBy("shard"))
     return leaves.where("n > 0").select("source", "shard", (last - F.col("n")).alias("first"), last.alias("last"))
 
@@ -182,9 +180,10 @@ def with_shards(rows: DataFrame, blocks: DataFrame, n_blocks: int, narrow: int)
     Up to `narrow` blocks are sent to all tasks; beyond, entries and blocks meet by source and block.
     """
     if n_blocks <= narrow:
-        table = blocks.groupBy(F.col("source").alias("_source")).agg(F.map_from_entries(F.collect_list(F.struct("block", "shard"))).alias("_shards"))  # n_blocks in all
+        of = F.transform(F.array_sort(F.collect_list(F.struct("block", "shard"))), lambda x: x["shard"])  # a source's blocks are numbered from 0 without gaps
+        table = blocks.groupBy(F.col("source").alias("_source")).agg(of.alias("_shards"))  # n_blocks in all
         joined = rows.join(F.broadcast(materialize(table)), F.col("source").eqNullSafe(F.col("_source")), "left")
-        found = F.transform("epochs", lambda e: F.coalesce(F.element_at(F.col("_shards"), e["block"]), F.lit(0)))
+        found = F.transform("epochs", lambda e: F.coalesce(F.get("_shards", e["block"].cast("int")), F.lit(0)))
         return joined.withColumn("shards", found).drop("_source", "_shards")
     rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
     entries = rows.select("_row", F.col("source").alias("_source"), F.posexplode("epochs").alias("_at", "_e")).withColumn("_block", F.col("_e.block"))
@@ -203,7 +202,6 @@ def mix(
     most_epochs: int = 3,
     shard_words: int = 1 << 20,
     block_words: int = 1 << 14,
-    tree_blocks: int = 1 << 16,
     narrow_blocks: int = 1 << 16,
     bucket_rows: int = 20_000,
     seed: int = 42,
@@ -228,10 +226,10 @@ def mix(
     targets = materialize(source_targets(sizes, weights, most_epochs))
     quotas = materialize(targets.select("source", F.ceil(F.col("target") / block).cast("long").alias("blocks")).where("blocks > 0"))
     n_blocks = quotas.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
-    blocks = dealt_blocks(quotas, split_quotas(quotas, shards, seed, tree_blocks), seed)
+    blocks = dealt_blocks(quotas, split_quotas(quotas, shards, seed), seed)
     goal = targets.withColumnRenamed("source", "_source")
 
-    rows = permuted(sizes, seed, bucket_rows).join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = permuted(sizes, seed, bucket_rows).join(narrow(goal), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     whole = lambda e: e * F.col("source_size") + F.col("start") + F.col("size") <= F.col("target")
     taken = lambda e: F.when(F.col("size") > 0, whole(e)).otherwise((e + 1) * F.col("source_size") <= F.col("target"))
     middle = lambda e: e * F.col("source_size") + F.col("start") + F.col("size") / 2

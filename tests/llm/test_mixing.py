@@ -1,3 +1,4 @@
+import math
 from collections import Counter
 
 import brute
@@ -13,7 +14,7 @@ def rows():
     return out + [(1000, "rare", "a b c", 5), (1001, "empty", "", 5), (1002, "empty", None, 5), (1003, "hot", "y " * 5000, 5)]
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_words": 500, "block_words": 64, "bucket_rows": 50}, {"shard_words": 300, "block_words": 32, "tree_blocks": 20, "narrow_blocks": 0}])
+@pytest.mark.parametrize("options", [{}, {"shard_words": 500, "block_words": 64, "bucket_rows": 50}, {"shard_words": 300, "block_words": 32, "narrow_blocks": 0}])
 def test_targets_and_bounds(spark, options):
     docs = spark.createDataFrame(rows(), SCHEMA)
     got = mixing.mix(docs, **options).collect()
@@ -39,8 +40,24 @@ def test_targets_and_bounds(spark, options):
 def test_tree_deals_each_block_once(spark):
     quotas = spark.createDataFrame([("a", 100), ("b", 37), (None, 5)], "source string, blocks long")
     assert mixing.split_quotas(quotas.limit(0), 5, 1).count() == 0
-    for tree_blocks in (1 << 16, 30):
-        check_tree(quotas, mixing.split_quotas(quotas, 5, 1, tree_blocks).collect())
+    for fan in (16, 2):
+        check_tree(quotas, mixing.split_quotas(quotas, 5, 1, fan).collect())
+
+
+def test_splits_follow_the_distribution_whatever_their_size(spark):
+    """Shares of sources stay within six deviations of a draw without replacement; test_hypergeometric has the distribution itself."""
+    for factor in (1, 100_000):
+        sizes = {"a": 90 * factor, "b": 30 * factor, "c": 8 * factor}
+        quotas = spark.createDataFrame(list(sizes.items()), "source string, blocks long")
+        total, shards = sum(sizes.values()), 4
+        for seed in range(2):
+            got = mixing.split_quotas(quotas, shards, seed).collect()
+            for shard in range(shards):
+                n = {r.source: r.last - r.first for r in got if r.shard == shard}
+                assert sum(n.values()) == total // shards
+                for s, size in sizes.items():
+                    p = size / total
+                    assert abs(n.get(s, 0) - total / shards * p) < 6 * math.sqrt(total / shards * p * (1 - p) * (1 - 1 / shards) * total / (total - 1))
 
 
 def check_tree(quotas, got):
