@@ -53,17 +53,6 @@ def resolve_exact(names: DataFrame, entities: DataFrame) -> DataFrame:
     return names.withColumn("key", text.normalise_name(F.col("name"))).join(known, "key", "left").drop("key")
 
 
-def signature(body: Column, hashes: int = 64, n: int = 3) -> Column:
-    """MinHash minima over character n-grams."""
-    grams = F.transform(text.shingles(F.lower(body), n), lambda g: F.xxhash64(g))
-    return F.transform(F.sequence(F.lit(1), F.lit(hashes)), lambda i: F.array_min(F.transform(grams, lambda g: F.xxhash64(g, i))))
-
-
-def signature_likeness(a: Column, b: Column) -> Column:
-    """The share of equal minima, an estimate of Jaccard likeness."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.size(a)
-
-
 def duplicate_pairs(entities: DataFrame, least: float = 0.85, n: int = 3) -> DataFrame:
     """(a, b, likeness): entities with equal normalised names (1), and names whose character n-grams overlap (Jaccard) by `least` or more.
 

@@ -63,6 +63,33 @@ def bfs(edges: DataFrame, start: str, depth: int = 2) -> DataFrame:
     return seen
 
 
+def distances(edges: DataFrame, sources: DataFrame, depth: int = 3, hub: int = 10_000) -> DataFrame:
+    """(source, id, depth): steps from each of the sources (id) to the nodes within `depth` undirected steps, all sources at once.
+
+    A node keeps its least depth for each source. Edges of a node with more than `hub` of them
+    are dealt to several keys, and a front that reaches it goes to each.
+    """
+    links = oriented(edges).select("a", "b").where("a <> b").distinct()
+    parts = saved(links.groupBy("a").agg(F.ceil(F.count("*") / hub).cast("int").alias("parts")))
+    links = saved(links.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b"))
+    start = sources.select(F.col("id").alias("source"), "id").where("id is not null").distinct().withColumn("depth", F.lit(0))
+    seen = front = saved(start)
+    for d in range(1, depth + 1):
+        reached = front.select("source", F.col("id").alias("a")).join(parts, "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        step = reached.join(links, ["a", "part"]).select("source", F.col("b").alias("id")).distinct()
+        front = saved(step.join(seen, ["source", "id"], "left_anti").withColumn("depth", F.lit(d)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def distance_scores(hits: DataFrame, edges: DataFrame, sources: DataFrame, depth: int = 3, most: float = 5.0) -> DataFrame:
+    """hits with score 1 - steps / most from the nearest of the query's nodes (sources); 0 where none is within depth."""
+    near = distances(edges, sources, depth).groupBy("id").agg(F.min("depth").alias("_steps"))
+    return hits.drop("score").join(near, "id", "left").withColumn("score", F.greatest(F.lit(0.0), 1 - F.coalesce("_steps", F.lit(most)) / F.lit(float(most)))).drop("_steps")
+
+
 def shortest_path(edges: DataFrame, start: str, end: str, hops: int = 6) -> DataFrame:
     """(position, id) of the nodes on a shortest undirected path of at most `hops` (1 to 12); no rows if there is none.
 

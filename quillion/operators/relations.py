@@ -108,8 +108,8 @@ def near_duplicates(df: DataFrame, text_col: str = "content", created: str = "cr
     return near.unionByName(copies)
 
 
-def jaccard_pairs(df: DataFrame, least: float, text_col: str = "content") -> DataFrame:
-    """(a, b, jaccard): pairs of rows whose distinct pattern tokens overlap by `least` or more; a < b.
+def jaccard_pairs(df: DataFrame, least: float, text_col: str = "content", tokens: Column | None = None) -> DataFrame:
+    """(a, b, jaccard): pairs of rows whose distinct pattern tokens (or other `tokens`) overlap by `least` or more; a < b.
 
     Rows of equal token sets form a class, which its smallest id stands for: the others are
     linked to that one (1.0), and only classes are compared. Prefix filtering with places: of n
@@ -118,7 +118,8 @@ def jaccard_pairs(df: DataFrame, least: float, text_col: str = "content") -> Dat
     for. Candidates are ids and places only; the sets, as 64-bit hashes of their tokens, are
     joined to the distinct ones. Rows without tokens match nothing.
     """
-    tokens = F.array_sort(F.array_distinct(F.transform(text.pattern_tokens(text_col), lambda w: F.xxhash64(w))))
+    words = text.pattern_tokens(text_col) if tokens is None else tokens
+    tokens = F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
     rows = df.select("id", tokens.alias("t")).where(F.size("t") > 0).withColumn("key", F.sha2(F.to_json(F.struct("t")), 256))
     rows = saved(rows)
     classes = saved(rows.groupBy("key").agg(F.min("id").alias("id"), F.any_value("t").alias("t")))

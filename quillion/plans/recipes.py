@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillion.operators import search
-from quillion.operators.graph import bfs
+from quillion.operators.graph import distance_scores
 
 Reranker = Callable[[DataFrame], DataFrame]
 
@@ -53,9 +53,9 @@ def mmr_reranker(k: int, lam: float = 0.7) -> Reranker:
     return lambda df: search.mmr(df, k, lam).where("mmr_rank is not null").withColumn("score", 1 / F.col("mmr_rank")).drop("mmr_rank")
 
 
-def node_distance_reranker(edges: DataFrame, centre: str, depth: int = 3) -> Reranker:
-    """Rows nearer to a node of the graph first: 1 / (1 + hops); out of reach: 0."""
-    return lambda df: df.join(bfs(edges, centre, depth), "id", "left").withColumn("score", F.coalesce(1 / (1 + F.col("depth")), F.lit(0.0))).drop("depth")
+def node_distance_reranker(edges: DataFrame, sources: DataFrame, depth: int = 3, most: float = 5.0) -> Reranker:
+    """Rows nearer to one of the query's nodes of the graph first."""
+    return lambda df: distance_scores(df, edges, sources, depth, most)
 
 
 def cross_encoder_reranker(scorer: Callable[[DataFrame], DataFrame]) -> Reranker:
