@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillion.schemas import SCHEMAS
 
@@ -68,25 +67,6 @@ def current_state(changes: DataFrame) -> DataFrame:
     return last.where("operation <> 'delete'").select("table_name", "record_id", "data_json", "created_at")
 
 
-def current_state_stream(changes: DataFrame) -> DataFrame:
-    """current_state as a stream: (table_name, record_id, operation, data_json, created_at, id), a row whenever a record changes."""
-    schema = "table_name string, record_id string, operation string, data_json string, created_at long, id string"
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterable[pd.DataFrame]:
-        best = tuple(state.get) if state.exists else None
-        for rows in batches:
-            row = rows.sort_values(["created_at", "id"]).iloc[-1]
-            mine = (row["operation"], row["data_json"], int(row["created_at"]), row["id"])
-            if best is None or (mine[2], mine[3]) > (best[2], best[3]):
-                best = mine
-        if best is not None:
-            state.update(best)
-            yield pd.DataFrame([(*key, *best)], columns=["table_name", "record_id", "operation", "data_json", "created_at", "id"])
-
-    rows = changes.select("table_name", "record_id", "operation", "data_json", "created_at", "id")
-    return rows.groupBy("table_name", "record_id").applyInPandasWithState(fold, schema, "operation string, data_json string, created_at long, id string", "update", GroupStateTimeout.NoTimeout)
-
-
 def replicate(local: DataFrame, remote: DataFrame, key: str = "id") -> DataFrame:
     """local after remote changes (operation, key, updated_at and values): the last writer wins, an equal time keeps the local row."""
     values = [c for c in local.columns if c != key]
