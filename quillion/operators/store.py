@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillion.functions import text
@@ -79,10 +79,13 @@ def upsert_index(index: DataFrame, terms: DataFrame, changed: DataFrame, removed
     return rows, terms.join(gone, "id", "left_anti").unionByName(search.postings(changed))
 
 
-def cross_links(memories: DataFrame, edges: DataFrame, recent: int = 50, least_chars: int = 20) -> DataFrame:
-    """(source_node_id, target_node_id, relation): the `recent` newest memories, and those that hold their first 100 characters, without an edge yet."""
+def cross_links(memories: DataFrame, edges: DataFrame, recent: int = 50, least_chars: int = 20, head_chars: int | None = 100) -> DataFrame:
+    """(source_node_id, target_node_id, relation): the `recent` newest memories, and those that hold their first head_chars characters (None: all of them), without an edge yet.
+
+    The newest memories are a bounded set of queries, which every memory is compared with.
+    """
     heads = memories.where(F.length("content") >= least_chars).orderBy(F.desc("created_at"), "id").limit(recent)
-    heads = heads.select(F.col("id").alias("source_node_id"), F.lower(F.substring("content", 1, 100)).alias("head"))
+    heads = heads.select(F.col("id").alias("source_node_id"), F.lower(F.substring("content", 1, head_chars) if head_chars else F.col("content")).alias("head"))
     hits = memories.join(F.broadcast(heads), F.contains(F.lower("content"), F.col("head")) & (F.col("id") != F.col("source_node_id")))  # `recent` rows
     both = hits.select("source_node_id", F.col("id").alias("target_node_id"), F.lit("semantic_link").alias("relation"))
     one = both.groupBy(F.least("source_node_id", "target_node_id").alias("x"), F.greatest("source_node_id", "target_node_id").alias("y")).agg(F.min(F.struct(*both.columns)).alias("e"))
@@ -90,14 +93,30 @@ def cross_links(memories: DataFrame, edges: DataFrame, recent: int = 50, least_c
     return one.join(known, ["x", "y"], "left_anti").select("e.*")
 
 
-def suggested_links(edges: DataFrame, least: int = 2, hub: int = 1000) -> DataFrame:
-    """(a, b, shared): nodes that share `least` neighbours or more and have no edge; neighbours with over `hub` edges say nothing of a pair and aren't counted."""
-    links = graph.oriented(edges).where("a <> b").select("a", "b").distinct()
-    plain = links.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") <= hub).select("b")
-    ends = links.join(plain, "b")
-    x, y = ends.select(F.col("a").alias("x"), "b"), ends.select(F.col("a").alias("y"), "b")
-    pairs = x.join(y, "b").where("x < y").groupBy("x", "y").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    return pairs.join(links.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b"), "shared")
+def suggested_links(edges: DataFrame, least: int = 2, hub: int = 5_000) -> DataFrame:
+    """(a, b, shared): nodes that share `least` neighbours or more and have no edge.
+
+    Where no node has over `hub` edges, pairs are counted by their shared neighbours. Else only
+    rare neighbours bring pairs together: a pair that shares `least` neighbours shares one of each
+    node's n - least + 1 rarest ones, so hubs, being the most frequent, make hardly any pair, and
+    what a candidate pair shares is then counted over all neighbours. Both ways give the same.
+    """
+    links = saved(graph.oriented(edges).where("a <> b").select("a", "b").distinct())
+    counts = saved(links.groupBy("b").agg(F.count("*").alias("df")))
+    if (counts.agg(F.max("df")).first()[0] or 0) <= hub:
+        x, y = links.select(F.col("a").alias("x"), "b"), links.select(F.col("a").alias("y"), "b")
+        pairs = x.join(y, "b").where("x < y").groupBy("x", "y").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+        return pairs.join(links.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").select(F.col("x").alias("a"), F.col("y").alias("b"), "shared")
+    place = F.row_number().over(Window.partitionBy("a").orderBy("df", "b"))  # one node's neighbours
+    sizes = links.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    kept = saved(links.join(counts, "b").join(sizes, "a").withColumn("place", place).where(F.col("place") <= F.col("n") - least + 1).select("a", "b"))
+    x, y = kept.select(F.col("a").alias("x"), "b"), kept.select(F.col("a").alias("y"), "b")
+    met = x.join(y, "b").where("x < y").select("x", "y").distinct()
+    met = met.join(links.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti")
+    sets = links.join(sizes.select("a"), "a").groupBy("a").agg(F.collect_set("b").alias("s"))
+    side = lambda c: sets.select(F.col("a").alias(c), F.col("s").alias(f"{c}_s"))
+    both = met.join(side("x"), "x").join(side("y"), "y").select(F.col("x").alias("a"), F.col("y").alias("b"), F.size(F.array_intersect("x_s", "y_s")).cast("long").alias("shared"))
+    return both.where(F.col("shared") >= least)
 
 
 def lint(nodes: DataFrame, edges: DataFrame) -> DataFrame:

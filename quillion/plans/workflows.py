@@ -198,7 +198,7 @@ def dream_generalisations(t: Tables) -> DataFrame:
     return dreams.generalisations(t.memory).select("source_ids", "score", "content")
 
 
-@query("SELECT a, b, count(*) AS shared FROM (SELECT x.l_partkey AS a, y.l_partkey AS b, x.l_suppkey FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) x JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) y ON x.l_suppkey = y.l_suppkey AND x.l_partkey < y.l_partkey WHERE x.l_suppkey IN (SELECT l_suppkey FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) GROUP BY 1 HAVING count(*) <= 1000)) GROUP BY a, b HAVING count(*) >= 4")
+@query("SELECT a, b, count(*) AS shared FROM (SELECT x.l_partkey AS a, y.l_partkey AS b, x.l_suppkey FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) x JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) y ON x.l_suppkey = y.l_suppkey AND x.l_partkey < y.l_partkey) GROUP BY a, b HAVING count(*) >= 4")
 def suggested_links(t: Tables) -> DataFrame:
     """Parts with four suppliers in common."""
     edges = t.lineitem.select(F.col("l_partkey").alias("source_node_id"), (-F.col("l_suppkey") - 1).alias("target_node_id"))
