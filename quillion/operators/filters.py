@@ -55,6 +55,11 @@ def property_test(json: Column, name: str, op: str, value) -> Column:
     return F.coalesce(tests[op](), F.lit(False))
 
 
+def all_properties(json: Column, wanted: dict) -> Column:
+    """Whether a JSON object has all of the properties with these values; malformed text has none."""
+    return functools.reduce(operator.and_, [property_test(json, k, "eq", v) for k, v in wanted.items()], F.lit(True))
+
+
 def structured(df: DataFrame, labels: list[str] = (), edge_types: list[str] = (), after: int | None = None, before: int | None = None, properties: list[tuple[str, str, object]] = (), memory_types: list[str] = (), ids: list[str] = ()) -> Column:
     """The filter DSL as one condition; parts for columns that df lacks are ignored."""
     parts: list[Column] = []

@@ -37,5 +37,5 @@ def query(sql: str | None = None, *views: str) -> Callable:
     return register
 
 
-for _module in ("retrieval", "governance", "analytics", "workflows", "joins", "versioned"):
+for _module in ("retrieval", "governance", "analytics", "workflows", "joins", "versioned", "further"):
     importlib.import_module(f"quillion.plans.{_module}")
