@@ -9,6 +9,7 @@ from quillion.functions import scoring, text
 from quillion.operators import filters, patterns, search, sessions, textquery
 from quillion.plans.registry import Tables, query
 from quillion.plans.retrieval import COS, HAY, SESSIONS, VEC, probe, rounded, session_table, tokens_sql, vectors
+from quillion.sources import turtle
 
 
 @query(
@@ -75,3 +76,16 @@ def property_equalities(t: Tables) -> DataFrame:
     """All of the given equalities on a JSON object's properties."""
     events = t.events.withColumn("entities_json", F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), F.col("event_type").alias("kind"))))
     return events.where(filters.all_properties(F.col("entities_json"), {"k": 69, "kind": "error"})).select("event_id")
+
+
+@query(
+    "SELECT CAST(n_regionkey AS VARCHAR) AS document, 'http://x/n' || n_nationkey AS subject, unnest(['http://x/key', 'http://x/in', 'http://x/seen']) AS predicate,"
+    " unnest([CAST(n_nationkey AS VARCHAR), 'the \"' || r_name || '\"', 'http://x/' || n_name]) AS object, unnest(['http://www.w3.org/2001/XMLSchema#integer', NULL, NULL]) AS datatype, unnest([NULL, 'en', NULL]) AS lang"
+    " FROM nation JOIN region ON n_regionkey = r_regionkey"
+)
+def turtle_import(t: Tables) -> DataFrame:
+    """A Turtle document for each region, with a statement for each of its nations."""
+    joined = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    statement = F.concat(F.lit("x:n"), F.col("n_nationkey").cast("string"), F.lit(" x:key "), F.col("n_nationkey").cast("string"), F.lit(' ; x:in "the \\"'), "r_name", F.lit('\\""@en ; <seen> <'), "n_name", F.lit("> ."))
+    documents = joined.groupBy(F.col("n_regionkey").alias("id")).agg(F.concat(F.lit("@prefix x: <http://x/> .\n@base <http://x/> .\n"), F.array_join(F.collect_list(statement), "\n")).alias("content"))
+    return turtle.turtle(documents).select("document", "subject", "predicate", "object", "datatype", "lang")
