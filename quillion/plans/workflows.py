@@ -349,13 +349,14 @@ def retained_changes(t: Tables) -> DataFrame:
     return changes.retained(log, changes.latest_cursor(log).first()[0] - 5 * DAY).select("id")
 
 
-@query("SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'part', count(*) FROM part")
+@query("SELECT 'nation' AS name, CAST(n_nationkey AS VARCHAR) AS id, n_name AS label FROM nation UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR), p_name FROM part")
 def backup_restore(t: Tables) -> DataFrame:
     folder = new_folder(t.spark, "backup")
     io.backup({"nation": t.nation, "part": t.part}, folder)
     tables = io.restore(t.spark, folder)
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()]
-    return counts[0].union(counts[1])
+    rows = {"nation": ("n_nationkey", "n_name"), "part": ("p_partkey", "p_name")}
+    parts = [tables[name].select(F.lit(name).alias("name"), F.col(key).cast("string").alias("id"), F.col(label).alias("label")) for name, (key, label) in rows.items()]
+    return parts[0].union(parts[1])
 
 
 @query("SELECT CAST(id AS VARCHAR) AS id, sha256(content) AS digest FROM memory WHERE workspace_id = 'es'", "memory")
@@ -411,12 +412,14 @@ def connector_events(t: Tables) -> DataFrame:
     return both.select("memory_type", "content", "peer_id", "session_id")
 
 
-@query("""WITH f AS (SELECT p_partkey AS k FROM part) SELECT 'src/m' || k || '.py' AS source_node_id, 'src/m' || k || '.py#f' || k AS target_node_id, 'defines' AS relation FROM f
-  UNION ALL SELECT 'src/m' || k || '.py', 'src/m' || k || '.py#C', 'defines' FROM f UNION ALL SELECT 'src/m' || k || '.py', 'pkg.m' || (k + 1), 'imports' FROM f""")
+@query("""WITH f AS (SELECT p_partkey AS k, p_name AS n FROM part) SELECT 'src/m' || k || '.py' AS source_node_id, 'src/m' || k || '.py#f' || k AS target_node_id, 'defines' AS relation FROM f
+  UNION ALL SELECT 'src/m' || k || '.py', 'src/m' || k || '.py#C', 'defines' FROM f
+  UNION ALL SELECT 'src/m' || a.k || '.py', CASE WHEN b.k IS NULL THEN 'src.m' || (a.k + 1) ELSE 'src/m' || b.k || '.py' END, 'imports' FROM f a LEFT JOIN f b ON b.k = a.k + 1""")
 def code_ingest(t: Tables) -> DataFrame:
-    """A source file for each part, and what it defines and imports."""
+    """A source file for each part, with its name in a docstring full of traps, and what the file defines and imports."""
     k = F.col("p_partkey").cast("string")
-    body = F.concat(F.lit("from pkg.m"), (F.col("p_partkey") + 1).cast("string"), F.lit(" import x\n\nasync def f"), k, F.lit("(a):\n    return a\n\nclass C:\n    y = 'def no'\n"))
+    trap = F.concat(F.lit('"""\nimport '), F.translate("p_name", " ", "_"), F.lit('\ndef no():\n  # "\n"""\n# import nothing\n'))
+    body = F.concat(trap, F.lit("from src.m"), (F.col("p_partkey") + 1).cast("string"), F.lit(" import x\n\nasync def f"), k, F.lit("(a):\n    return '#'\n\nclass C:\n    y = 'def no'  # \"\n    z = \"\\\"\\n\"\n"))
     return connectors.code_graph(t.part.select(F.concat(F.lit("src/m"), k, F.lit(".py")).alias("path"), body.alias("content")))[1]
 
 

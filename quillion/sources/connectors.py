@@ -51,21 +51,65 @@ CODE = {
 ENDINGS = {"ts": "js", "tsx": "js", "jsx": "js", "mjs": "js", "pyi": "py"}
 
 
+# Patterns of a language's strings and comments, for one pass from left to right: what begins first counts, so a comment's
+# mark in a string is none, and the other way about.
+_SHORT = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|\'[^\'\\\n]*+(?:\\.[^\'\\\n]*+)*+\''
+_SLASHES = r"//[^\n]*|/\*(?s:.*?)\*/"
+TRAPS = {
+    "py": r'(?s:""".*?"""|\'\'\'.*?\'\'\')|' + _SHORT + r"|#[^\n]*",
+    "js": r"`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`|" + _SHORT + "|" + _SLASHES,
+    "java": r'(?s:""".*?""")|' + _SHORT + "|" + _SLASHES,
+    "go": r"`[^`]*`|" + _SHORT + "|" + _SLASHES,
+    "rs": r'r#"(?s:.*?)"#|"[^"\\]*+(?:\\(?s:.)[^"\\]*+)*+"|\'(?:\\.[^\']*|[^\'\\\n])\'|//[^\n]*|/\*(?s:(?:(?!/\*|\*/).|/\*.*?\*/)*?)\*/',
+}
+#: Strings that an import consists of; they are kept.
+IMPORTED = {"js": r"(?:\bfrom|\brequire\(|\bimport)\s*(?:\"[^\"\n]*\"|'[^'\n]*')", "go": r'(?m:^[ \t]*(?:import[ \t]+)?(?:[\w.]+[ \t]+)?"[^"\n]*"[ \t]*$)'}
+
+
+def lexed(language: Column, code: Column) -> Column:
+    """Code without its strings and comments, but with the strings that name imports."""
+    out = code
+    for name, traps in TRAPS.items():
+        kept = IMPORTED.get(name)
+        bare = F.regexp_replace(code, f"({kept})|{traps}", "$1 ") if kept else F.regexp_replace(code, traps, " ")
+        out = F.when(language == name, bare).otherwise(out)
+    return out
+
+
 def code_graph(files: DataFrame, path_col: str = "path", text_col: str = "content") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of source files (path, content): a node for each file and definition, `defines` and `imports` edges.
 
-    nodes: (id, node_type, label); edges: (source_node_id, target_node_id, relation). Files of
-    other endings are nodes without edges.
+    nodes: (id, node_type, label); edges: (source_node_id, target_node_id, relation). What strings
+    and comments say defines and imports nothing. An import goes to the file whose path ends
+    with it, the first of several; one without such a file keeps its name. Files of other
+    endings are nodes without edges.
     """
     ending = F.lower(F.regexp_extract(path_col, r"\.(\w+)$", 1))
     language = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ENDINGS.items() for x in kv]), ending), ending)
-    found = lambda which: F.array_distinct(_by_language(language, text_col, which))
-    rows = files.select(F.col(path_col).alias("path"), found(0).alias("defined"), found(1).alias("used"))
+    rows = files.select(F.col(path_col).alias("path"), language.alias("language"), lexed(language, F.col(text_col)).alias("code"))
+    found = lambda which: F.array_distinct(_by_language(F.col("language"), "code", which))
+    rows = rows.select("path", "language", found(0).alias("defined"), found(1).alias("used"))
     defined = rows.select("path", F.explode("defined").alias("name"))
     nodes = rows.select(F.col("path").alias("id"), F.lit("file").alias("node_type"), F.regexp_extract("path", r"([^/]+)$", 1).alias("label"))
     nodes = nodes.union(defined.select(F.concat_ws("#", "path", "name"), F.lit("code"), "name"))
     edges = defined.select(F.col("path").alias("source_node_id"), F.concat_ws("#", "path", "name").alias("target_node_id"), F.lit("defines").alias("relation"))
-    return nodes, edges.union(rows.select("path", F.explode("used"), F.lit("imports")))
+    used = rows.select("path", "language", F.explode("used").alias("name"))
+    parts = F.split(F.regexp_replace("path", r"\.\w+$", ""), "/")
+    endings = rows.select(F.col("path").alias("file"), F.col("language").alias("file_language"), parts.alias("p"))
+    endings = endings.select("file", "file_language", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_join(F.slice("p", i, F.size("p")), "/"))).alias("key"))
+    known = endings.groupBy("file_language", "key").agg(F.min("file").alias("file"))
+    asked = used.withColumn("key", import_key(F.col("language"), F.col("path"), F.col("name")))
+    resolved = asked.join(known, (F.col("language") == F.col("file_language")) & (asked["key"] == known["key"]), "left")
+    return nodes, edges.union(resolved.select("path", F.coalesce("file", "name"), F.lit("imports")).distinct())
+
+
+def import_key(language: Column, path: Column, name: Column) -> Column:
+    """The end of the path, without its ending, that an import names; relative ones are taken from the importing file's folder."""
+    folder = F.split(F.regexp_replace(path, r"/?[^/]*$", ""), "/")
+    up = lambda at, step: F.when(step == "..", F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0)))).when(step == ".", at).otherwise(F.concat(at, F.array(step)))
+    relative = F.array_join(F.filter(F.aggregate(F.split(F.regexp_replace(name, r"\.(?:[jt]sx?|mjs)$", ""), "/"), folder, up), lambda x: x != ""), "/")
+    dotted = F.translate(name, ".", "/")
+    return F.when(language.isin("py", "java"), dotted).when(language == "rs", F.regexp_replace(name, "::", "/")).when(name.startswith("."), relative).otherwise(name)
 
 
 def _by_language(language: Column, text_col: str, which: int) -> Column:
