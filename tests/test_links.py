@@ -3,6 +3,8 @@
 import random
 from collections import defaultdict
 
+import pandas as pd
+
 from quillion.operators import store
 
 
@@ -32,3 +34,22 @@ def test_cross_links_with_whole_texts(spark):
     assert pairs(store.cross_links(memories, none)) == {("a", "b"), ("a", "c"), ("b", "c")}
     assert pairs(store.cross_links(memories, none, head_chars=None)) == {("a", "c")}
     assert pairs(store.cross_links(memories, spark.createDataFrame([("c", "a")], "source_node_id string, target_node_id string"), head_chars=None)) == set()
+
+
+def test_pairs_are_counted_by_tiles(spark):
+    draw = random.Random(9)
+    near = defaultdict(set)
+    for _ in range(900):
+        near[draw.randrange(60)].add(100 + draw.randrange(40))
+    links = spark.createDataFrame([(a, b) for a in near for b in near[a]], "a long, b long")
+    want = {(a, b): len(near[a] & near[b]) for a in near for b in near if a < b and len(near[a] & near[b]) >= 3}
+    for tile_links in (2_000_000, 60):
+        got = store.pairs_by_tiles(links, 3, tile_links).collect()
+        assert len(got) == len(want) and {(r.x, r.y): r.shared for r in got} == want
+
+
+def test_pairs_are_counted_for_some_nodes_at_a_time():
+    lists = pd.Series([["a", "b", "c"], ["a", "b"], ["b", "c"], ["d"]])
+    for most in (1, 4, 1_000):
+        x, y, shared = store.counted_pairs(lists, lists, True, 2, most)
+        assert {tuple(sorted(p)) for p in zip(x, y, strict=True)} == {("a", "b"), ("b", "c")} and list(shared) == [2, 2]
