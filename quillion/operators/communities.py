@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillion.operators import graph
+from quillion.operators.graph import sent
 from quillion.sources.shared import saved, stored
 
 
@@ -18,7 +19,7 @@ def _links(edges: DataFrame) -> DataFrame:
 
 
 def _modularity(links: DataFrame, state: DataFrame, total: float, resolution: float) -> float:
-    ends = links.join(state.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(state.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b")
+    ends = links.join(sent(state.select(F.col("id").alias("a"), F.col("community").alias("ca"))), "a").join(sent(state.select(F.col("id").alias("b"), F.col("community").alias("cb"))), "b")
     inside = ends.agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("w")))).first()[0] or 0.0
     squares = ends.groupBy("ca").agg(F.sum("w").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0.0
     return inside / total - resolution * squares / total**2
@@ -26,12 +27,12 @@ def _modularity(links: DataFrame, state: DataFrame, total: float, resolution: fl
 
 def _moved(links: DataFrame, degrees: DataFrame, state: DataFrame, total: float, resolution: float, turn: int) -> DataFrame:
     """One round of moves to the neighbouring community of most gain: nodes of one half of a hash take their turn, so that no two swap for ever."""
-    rows = state.join(degrees, "id")
+    rows = state.join(sent(degrees), "id")
     volume = rows.groupBy("community").agg(F.sum("k").alias("volume"))
-    near = links.where("a <> b").join(state.select(F.col("id").alias("b"), "community"), "b").groupBy(F.col("a").alias("id"), "community").agg(F.sum("w").alias("w"))
+    near = links.where("a <> b").join(sent(state.select(F.col("id").alias("b"), "community")), "b").groupBy(F.col("a").alias("id"), "community").agg(F.sum("w").alias("w"))
     own = rows.select("id", "community", F.lit(0.0).alias("w"))
     offers = near.unionByName(own).groupBy("id", "community").agg(F.sum("w").alias("w"))
-    offers = offers.join(volume, "community").join(rows.select("id", F.col("community").alias("old"), "k"), "id")
+    offers = offers.join(sent(volume), "community").join(sent(rows.select("id", F.col("community").alias("old"), "k")), "id")
     rest = F.col("volume") - F.when(F.col("community") == F.col("old"), F.col("k")).otherwise(0.0)
     offers = offers.withColumn("gain", F.round(F.col("w") - resolution * rest * F.col("k") / total, 9))
     best = offers.groupBy("id").agg(
@@ -68,28 +69,28 @@ def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, levels:
             state = new.drop("moved")
             if idle == 2:
                 break
-        members = stored(members.join(state.select(F.col("id").alias("community"), F.col("community").alias("up")), "community").select("id", F.col("up").alias("community")))
+        members = stored(members.join(sent(state.select(F.col("id").alias("community"), F.col("community").alias("up"))), "community").select("id", F.col("up").alias("community")))
         now = _modularity(whole, members, total, resolution)
         if now > score + 1e-12:
             best, score = members, now
         if not changed:
             break
         named = state.select(F.col("id").alias("a"), F.col("community").alias("ca"))
-        both = base.join(named, "a").join(named.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b")
+        both = base.join(sent(named), "a").join(sent(named.select(F.col("a").alias("b"), F.col("ca").alias("cb"))), "b")
         base = stored(both.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
     if least_size > 1:
         best = _without_small(whole, best, least_size)
     names = best.groupBy("community").agg(F.min("id").alias("name"))
-    return best.join(names, "community").select("id", F.col("name").alias("community"))
+    return best.join(sent(names), "community").select("id", F.col("name").alias("community"))
 
 
 def _without_small(links: DataFrame, state: DataFrame, least: int) -> DataFrame:
     sizes = state.groupBy("community").agg(F.count("*").alias("n"))
     small, large = sizes.where(F.col("n") < least).select("community"), sizes.where(F.col("n") >= least).select(F.col("community").alias("to"))
-    ends = links.join(state.select(F.col("id").alias("a"), "community"), "a").join(state.select(F.col("id").alias("b"), F.col("community").alias("to")), "b")
-    ties = ends.join(small, "community", "left_semi").join(large, "to", "left_semi").groupBy("community", "to").agg(F.sum("w").alias("w"))
+    ends = links.join(sent(state.select(F.col("id").alias("a"), "community")), "a").join(sent(state.select(F.col("id").alias("b"), F.col("community").alias("to"))), "b")
+    ties = ends.join(sent(small), "community", "left_semi").join(sent(large), "to", "left_semi").groupBy("community", "to").agg(F.sum("w").alias("w"))
     into = ties.groupBy("community").agg(F.min_by("to", F.struct(-F.col("w"), "to")).alias("to"))
-    return saved(state.join(into, "community", "left").select("id", F.coalesce("to", "community").alias("community")))
+    return saved(state.join(sent(into), "community", "left").select("id", F.coalesce("to", "community").alias("community")))
 
 
 def seeded(nodes: DataFrame, edges: DataFrame) -> DataFrame:

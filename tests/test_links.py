@@ -53,3 +53,14 @@ def test_pairs_are_counted_for_some_nodes_at_a_time():
     for most in (1, 4, 1_000):
         x, y, shared = store.counted_pairs(lists, lists, True, 2, most)
         assert {tuple(sorted(p)) for p in zip(x, y, strict=True)} == {("a", "b"), ("b", "c")} and list(shared) == [2, 2]
+
+
+def test_communities_join_without_broadcasts(spark):
+    """Neither the rounds nor the last joins collect a side in the driver."""
+    from quillion.operators import communities, graph
+
+    edges = spark.createDataFrame([(f"a{k % 7}", f"b{k}", 1.0) for k in range(60)], "source_node_id string, target_node_id string, weight double")
+    found = graph.modularity(edges, communities.louvain(edges, rounds=2, levels=1))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
