@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +14,6 @@ from quillion.functions import text
 from quillion.operators import relations
 from quillion.sources.shared import saved
 
-LOWEST = -(1 << 63)
-
 
 class Automaton:
     """The suffix automaton of a string: its states are its distinct blocks' classes, each with the place where its blocks first end."""
@@ -145,20 +145,22 @@ def signature(body: Column, hashes: int = 128, n: int = 3) -> Column:
 
     Texts are lower-cased and trimmed, short ones padded with spaces; an empty text has zeros.
     """
-    plain = F.trim(F.lower(F.coalesce(body, F.lit(""))))
-    padded = F.when(F.length(plain) < n, F.rpad(plain, n, " ")).otherwise(plain)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n))))
-
-    def hashed(gram: Column) -> Column:
-        digest = F.sha2(gram, 256)
-        return F.conv(F.concat(*[F.substring(digest, 2 * k + 1, 2) for k in range(7, -1, -1)]), 16, -10).cast("long")
+    wanted = np.array(seeds(hashes), np.int64).view(np.uint64)
 
-    def minima(values: Column) -> Column:
-        least = lambda seed: F.array_min(F.transform(values, lambda v: v.bitwiseXOR(seed).bitwiseXOR(F.lit(LOWEST))))
-        return F.transform(F.array(*[F.lit(s) for s in seeds(hashes)]), lambda seed: least(seed).bitwiseXOR(F.lit(LOWEST)))
+    def minima(texts: pd.Series) -> pd.Series:
+        out = np.zeros((len(texts), hashes), np.uint64)
+        for k in range(0, len(texts), 500):
+            grams = [{t[i : i + n] for i in range(len(t) - n + 1)} or {t.ljust(n)} for t in texts.iloc[k : k + 500]]
+            digest = {g: hashlib.sha256(g.encode()).digest()[:8] for g in set().union(*grams)}
+            values = np.frombuffer(b"".join(digest[g] for own in grams for g in own), "<u8")
+            size = np.array([len(own) for own in grams])
+            begin = np.cumsum(size) - size
+            for j, seed in enumerate(wanted):
+                out[k : k + 500, j] = np.minimum.reduceat(values ^ seed, begin)
+        out[(texts == "").to_numpy()] = 0
+        return pd.Series(list(out.view(np.int64)))
 
-    zeros = F.array_repeat(F.lit(0).cast("long"), hashes)
-    return F.when(plain == "", zeros).otherwise(F.get(F.transform(F.array(F.transform(grams, hashed)), minima), F.lit(0)))
+    return F.pandas_udf(minima, "array<long>")(F.trim(F.lower(F.coalesce(body, F.lit("")))))
 
 
 def signature_likeness(a: Column, b: Column) -> Column:
@@ -166,6 +168,20 @@ def signature_likeness(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.size(a)
 
 
+def gram_likeness(a: Column, b: Column, n: int = 3) -> Column:
+    """The Jaccard likeness of the n-grams of two texts, short ones padded with spaces."""
+
+    def likeness(x: pd.Series, y: pd.Series) -> pd.Series:
+        @functools.lru_cache(10_000)
+        def grams(t: str) -> frozenset[str]:
+            return frozenset(t[i : i + n] for i in range(len(t) - n + 1)) or frozenset([t.ljust(n)])
+
+        shared = [(len(s & t), len(s) + len(t)) for s, t in zip(map(grams, x), map(grams, y), strict=True)]
+        return pd.Series([k / (total - k) for k, total in shared], dtype="float64")
+
+    return F.pandas_udf(likeness, "double")(a, b)
+
+
 def banded_pairs(df: DataFrame, least: float = 0.85, text_col: str = "name", hashes: int = 128, band: int = 8, most_bucket: int = 200) -> DataFrame:
     """(a, b, likeness): pairs of rows, a < b, that share a band of minima and whose n-grams overlap by `least` or more.
 
@@ -187,5 +203,5 @@ def banded_pairs(df: DataFrame, least: float = 0.85, text_col: str = "name", has
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.next") == F.col("y.next"))).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     side = lambda c: classes.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text"))
     both = met.join(side("a"), "a").join(side("b"), "b")
-    like = both.select("a", "b", text.jaccard(text.shingles(F.rpad("a_text", F.greatest(F.length("a_text"), F.lit(3)), F.lit(" "))), text.shingles(F.rpad("b_text", F.greatest(F.length("b_text"), F.lit(3)), F.lit(" ")))).alias("likeness"))
+    like = both.select("a", "b", gram_likeness(F.col("a_text"), F.col("b_text")).alias("likeness"))
     return like.where(F.col("likeness") >= least).unionByName(copies)

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillion.functions import text
 from quillion.operators import graph, matching
 from quillion.plans import recipes
 
@@ -131,3 +132,11 @@ def test_distances_from_several_nodes(spark):
     assert got == {n: pytest.approx(max(0, 1 - least(n) / 5)) for n in ("n1", "hub", "nowhere", "alone")}
     blended = recipes.fusion_reranker([(recipes.node_distance_reranker(df, sources), 1.0), (lambda rows: rows, 0.5)])(hits).collect()
     assert {r.id for r in blended} == {"n1", "hub", "nowhere", "alone"} and max(blended, key=lambda r: r.score).id in ("n1", "alone")
+
+
+def test_gram_likeness_is_the_expressions(spark):
+    texts = ["", "a", "ab", "abc", "customer#000000123", "customer#000000124", "naïve 🙂 text", "aaaaaaa"]
+    frame = spark.createDataFrame([(a, b) for a in texts for b in texts if a and b], "a string, b string")
+    padded = lambda c: text.shingles(F.rpad(c, F.greatest(F.length(c), F.lit(3)), F.lit(" ")))
+    rows = frame.select(matching.gram_likeness(F.col("a"), F.col("b")).alias("got"), text.jaccard(padded("a"), padded("b")).alias("want")).collect()
+    assert all(abs(r.got - r.want) < 1e-12 for r in rows) and len(rows) == 49
