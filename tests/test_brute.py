@@ -324,3 +324,33 @@ def test_payloads_become_events(spark, kind):
     rows = [payload({first: " hello ", author: "ann", thread: "t1", link: "l"}), payload({author: "ann"}), "no json", None]
     got = connectors.events(spark.createDataFrame([(r,) for r in rows], "value string"), kind, "w").collect()
     assert [(r.content, r.peer_id, r.session_id, r.memory_type, json.loads(r.metadata)) for r in got] == [("hello", "ann", "t1", kind, {"source": kind, "link": "l"})]
+
+
+@pytest.mark.parametrize("head", [16, 64])
+def test_pairs_of_heads_equal_all_pairs(spark, head):
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(f"{i}", " ".join(draw.sample(words, draw.randrange(1, 12)))) for i in range(90)] + [(None, "w1 w2"), ("7x", ""), ("90", "w1 " * 5)]
+    tokens = {i: set(t.split()) for i, t in rows if i and t}
+    score = lambda a, b: len(tokens[a] & tokens[b]) / len(tokens[a] | tokens[b])
+    want = [(a, b) for a in sorted(tokens) for b in sorted(tokens) if a < b and 0.3 <= score(a, b) <= 0.6]
+    frame = dreams.hashed(spark.createDataFrame(rows, "id string, content string")).repartition(5)
+    for most in (1, len(want) + 5):
+        found = dreams.first_pairs(frame, dreams.sharing(dreams.between(0.3, 0.6), most), most, head, 2 * head).orderBy("a_id", "b_id")
+        assert [(r.a_id, r.b_id) for r in found.collect()] == want[:most]
+
+
+def test_a_third_beyond_the_first_memories_counts(spark):
+    rows = [("1", "river stone lamp cloud"), ("2", "lamp cloud"), ("3", "river stone"), ("4", "river stone"), ("5", "river stone"), ("6", "lamp cloud")]
+    frame = spark.createDataFrame(rows, "id string, content string")
+    for head in (4, 5):
+        got = [tuple(r.source_ids) for r in dreams.generalisations(frame, 2, head).collect()]
+        assert got == [("1", "2", "6"), ("1", "3", "4")]
+    assert [tuple(r.source_ids) for r in dreams.generalisations(frame, 1, 5).collect()] == [("1", "2", "6")]
+
+
+def test_dreams_compare_in_tasks(spark):
+    frame = spark.createDataFrame([("1", "river stone lamp", 0.9), ("2", "river stone cloud", 0.2)], "id string, content string, confidence double")
+    rows = dreams.hashed(frame).select("id", "t")
+    plan = dreams.sharing(dreams.between(0.2, 0.6), 5)(rows, rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
