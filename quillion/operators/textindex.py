@@ -1,7 +1,7 @@
 """A persisted full-text index: positional postings in blocks, each with a bound of its scores.
 
 An index is a folder of segments. A segment numbers its documents and cuts the numbers into ranges
-of `span`; a block is the postings of one term in one range: numbers, frequencies, lengths and
+of `span`; a block is the postings of one term in one range, or in a part of one with very many words: numbers, frequencies, lengths and
 positions as arrays, and what bounds their scores. Blocks lie in folders by a hash of the term,
 sorted by (term, range) across files, so that a query opens its terms' folders only and Parquet
 skips the row groups of other terms. Search reads the bounds first, scores the most promising
@@ -16,8 +16,12 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +32,21 @@ from quillion.sources.shared import saved
 K1, B = 1.2, 0.75
 DOCS = "doc long, id string, length long"
 BLOCKS = "bucket int, term string, range long, n long, most_tf long, least_length long, docs array<long>, tfs array<long>, lengths array<long>, places array<array<int>>"
+#: What tasks write: blocks, and in rows without a term the ids and lengths of a range's documents.
+STAGED = "term string, range long, n long, most_tf long, least_length long, docs array<int>, tfs array<int>, lengths array<int>, places array<array<int>>, ids array<string>"
+
+_INTS = pa.list_(pa.int32())
+_STAGED_TYPES = pa.schema([
+    pa.field("term", pa.string()), pa.field("range", pa.int64()), pa.field("n", pa.int64()), pa.field("most_tf", pa.int64()), pa.field("least_length", pa.int64()),
+    pa.field("docs", _INTS), pa.field("tfs", _INTS), pa.field("lengths", _INTS), pa.field("places", pa.list_(_INTS)), pa.field("ids", pa.list_(pa.string())),
+])
 
 
 class TextIndex:
     """An index in a folder that driver and executors share."""
 
+    part = 2_000_000  # words from which a range's blocks are given in parts
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
@@ -58,33 +72,25 @@ class TextIndex:
     def add(self, df: DataFrame, files: int | None = None) -> None:
         """A new segment of (id, text) rows; numbers follow the rows' order in their partitions.
 
-        Documents are numbered in a written table, so that a lost task can't number them anew.
+        A range's documents lie in one partition, so that each task makes its blocks by itself from
+        its texts, which are split once; only blocks are shuffled. Numbers are written with the blocks
+        and read from there, so that a lost task can't number documents anew.
         """
         o, name = self.options, uuid.uuid4().hex
-        numbered = df.select(F.monotonically_increasing_id().alias("doc"), F.col("id").cast("string").alias("id"), F.col(o["text_col"]).alias("text"))
+        parts = F.split(F.lower(F.coalesce(F.col(o["text_col"]), F.lit(""))), r"[^\p{L}\p{N}]+")
+        numbered = df.select(F.monotonically_increasing_id().alias("doc"), F.col("id").cast("string").alias("id"), parts.alias("parts"))
+        stop, span, most = o["stop"], o["span"], self.part
         staged = f"{self.path}/staged/{name}"
-        numbered.write.parquet(staged)
-        rows = self.spark.read.parquet(staged)
-        parts = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+")
-        rows = rows.select("doc", "id", F.size(text.tokens("text", o["stop"])).cast("long").alias("length"), parts.alias("parts"))
-        rows.select("doc", "id", "length").sortWithinPartitions("doc").write.parquet(f"{self.path}/docs/segment={name}")
+        numbered.mapInArrow(lambda batches: staged_blocks(batches, stop, span, most), STAGED).write.option("compression", "zstd").parquet(staged)
+        rows = self.spark.read.schema(STAGED).parquet(staged)
+        docs = rows.where("term is null").select("range", F.explode(F.arrays_zip("docs", "ids", "lengths")).alias("d"))
+        docs.select((F.col("range") * span + F.col("d.docs")).alias("doc"), F.col("d.ids").alias("id"), F.col("d.lengths").cast("long").alias("length")).sortWithinPartitions("doc").write.parquet(f"{self.path}/docs/segment={name}")
         self.sum_lengths(name)
-        # One shuffle of occurrences by block: both groupings below keep to it.
-        seen = rows.select("doc", "length", F.posexplode("parts").alias("place", "term")).where(F.octet_length("term") >= 2).where(~F.col("term").isin(o["stop"]) if o["stop"] else F.lit(True))
-        seen = seen.withColumn("range", F.floor(F.col("doc") / o["span"]).cast("long")).repartition("term", "range")
-        postings = seen.groupBy("term", "range", "doc", "length").agg(F.array_sort(F.collect_list("place")).alias("places"))
-        posting = F.struct("doc", F.size("places").cast("long").alias("tf"), "length", "places")
-        blocks = postings.groupBy("term", "range").agg(F.array_sort(F.collect_list(posting)).alias("p"))
-        field = lambda x: F.transform("p", lambda p: p[x])
-        base = F.col("range") * o["span"]
-        blocks = blocks.select(
-            F.pmod(F.xxhash64("term"), F.lit(o["buckets"])).cast("int").alias("bucket"), "term", "range", F.size("p").cast("long").alias("n"), F.array_max(field("tf")).alias("most_tf"), F.array_min(field("length")).alias("least_length"),
-            F.transform("p", lambda p: p["doc"] - base).alias("docs"), field("tf").alias("tfs"), field("length").alias("lengths"),
-            F.transform("p", lambda p: F.transform(p["places"], lambda x, i: F.when(i == 0, x).otherwise(x - F.get(p["places"], i - 1)))).alias("places"),
-        )
+        blocks = rows.where("term is not null").drop("ids").select(F.pmod(F.xxhash64("term"), F.lit(o["buckets"])).cast("int").alias("bucket"), "*")
         order = ["bucket", "term", "range"]
         dealt = blocks.repartitionByRange(files, *order) if files else blocks.repartitionByRange(*order)
-        dealt.sortWithinPartitions(*order).write.option("compression", "zstd").option("parquet.block.size", 4 << 20).partitionBy("bucket").parquet(f"{self.path}/blocks/segment={name}")
+        longs = {c: F.col(c).cast("array<long>") for c in ("docs", "tfs", "lengths")}
+        dealt.sortWithinPartitions(*order).withColumns(longs).write.option("compression", "zstd").option("parquet.block.size", 4 << 20).partitionBy("bucket").parquet(f"{self.path}/blocks/segment={name}")
 
     def sum_lengths(self, name: str) -> None:
         docs = self.spark.read.schema(DOCS).parquet(f"{self.path}/docs/segment={name}").where("length > 0")
@@ -206,6 +212,64 @@ class TextIndex:
         return new
 
 
+def staged_blocks(batches: Iterator[pa.RecordBatch], stop: list[str], span: int, most: int) -> Iterator[pa.RecordBatch]:
+    """STAGED rows of (doc, id, parts) in order of doc; a range of over `most` words is given in several parts."""
+    held, words, of = [], 0, None  # slices of one range
+    for batch in batches:
+        docs = batch.column("doc").to_numpy()
+        ends = np.concatenate([[0], np.cumsum(batch.column("parts").value_lengths().to_numpy())])
+        lo = 0
+        while lo < len(docs):
+            own = docs[lo] // span
+            if held and (own != of or words >= most):
+                yield from range_blocks(held, of, stop, span)
+                held, words = [], 0
+            of = own
+            hi = min(int(np.searchsorted(docs, (own + 1) * span, "left")), max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, "right")) - 1))
+            held.append(batch.slice(lo, hi - lo))
+            words += int(ends[hi] - ends[lo])
+            lo = hi
+    if held:
+        yield from range_blocks(held, of, stop, span)
+
+
+def range_blocks(held: list[pa.RecordBatch], number: int, stop: list[str], span: int) -> Iterator[pa.RecordBatch]:
+    """STAGED rows of documents of one range."""
+    docs = np.concatenate([b.column("doc").to_numpy() for b in held]) - number * span
+    sizes = np.concatenate([b.column("parts").value_lengths().to_numpy() for b in held])
+    terms = pa.chunked_array([b.column("parts").flatten() for b in held], pa.string()).combine_chunks().dictionary_encode()
+    if isinstance(terms, pa.ChunkedArray):
+        terms = terms.unify_dictionaries().combine_chunks()
+    known, code = terms.dictionary, terms.indices.to_numpy()
+    counts = pc.and_(pc.greater_equal(pc.binary_length(known), 2), pc.invert(pc.is_in(known, pa.array(stop, pa.string())))).to_numpy(zero_copy_only=False).astype(bool)
+    kept = np.flatnonzero(counts[code])
+    at = np.repeat(np.arange(len(docs)), sizes)  # each word's document, and its place there
+    place = (np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[kept]
+    at, code = at[kept], code[kept]
+    lengths = np.bincount(at, minlength=len(docs)).astype(np.int32)
+    ids = pa.chunked_array([b.column("id") for b in held], pa.string()).to_pylist()
+    yield pa.RecordBatch.from_pylist([{"range": int(number), "docs": docs, "lengths": lengths, "ids": ids}], _STAGED_TYPES)
+    if not len(code):
+        return
+    order = np.argsort(code, kind="stable")  # by term, document and place
+    code, at, place = code[order], at[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(code) != 0) | (np.diff(at) != 0)]))  # of each posting
+    gaps = np.diff(place, prepend=0)
+    gaps[first] = place[first]
+    tf, doc = np.diff(np.append(first, len(code))), at[first]
+    block = np.flatnonzero(np.diff(code[first], prepend=-1))
+    offsets = pa.array(np.append(block, len(first)).astype(np.int32))
+    listed = lambda values: pa.ListArray.from_arrays(offsets, values)
+    postings = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)).astype(np.int32)), pa.array(gaps.astype(np.int32)))
+    n = len(block)
+    columns = [
+        known.take(pa.array(code[first][block])), pa.array(np.full(n, number, np.int64)), pa.array(np.diff(np.append(block, len(first))).astype(np.int64)),
+        pa.array(np.maximum.reduceat(tf, block).astype(np.int64)), pa.array(np.minimum.reduceat(lengths[doc], block)), listed(pa.array(docs[doc].astype(np.int32))), listed(pa.array(tf.astype(np.int32))), listed(pa.array(lengths[doc])), listed(postings),
+        pa.nulls(n, pa.list_(pa.string())),
+    ]
+    yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, _STAGED_TYPES.types, strict=True)], schema=_STAGED_TYPES)
+
+
 def weight(term: Column, idf: dict[str, float]) -> Column:
     """A query term's idf: a chain as long as the query."""
     chain = F.lit(0.0)

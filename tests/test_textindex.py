@@ -1,12 +1,14 @@
 """The persisted full-text index against full scans."""
 
+import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quillion.operators import search
-from quillion.operators.textindex import TextIndex
+from quillion.operators.textindex import TextIndex, staged_blocks
 
 WORDS = "river stone lamp winter garden paper window silver music bread travel engine harbour quiet orange letter market forest cloud bridge".split()
 
@@ -116,3 +118,45 @@ def test_segments_deletes_and_merge(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     ix = TextIndex.build(spark.createDataFrame([], "id string, content string"), str(tmp_path / "e"), files=1)
     assert ix.search(["river"], 5).count() == 0 and ix.terms().count() == 0
+
+
+def test_blocks_are_made_in_tasks(spark, tmp_path):
+    draw = random.Random(4)
+    texts = [" ".join(draw.choice([*WORDS, "the", "x", "Ärger"]) for _ in range(draw.randrange(0, 60))) for _ in range(90)]
+    lists = [t.lower().split() for t in texts]
+    docs = [*range(40), *range(8, 58)]  # two partitions' numbers: the second one's begin at 2^33
+    docs = [d if i < 40 else d + (1 << 33) for i, d in enumerate(docs)]
+    stop = ["the"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(docs[i:j], pa.int64()), pa.array([f"d{x}" for x in range(i, j)], pa.string()), pa.array(lists[i:j], pa.list_(pa.string()))], ["doc", "id", "parts"]) for i, j in ((0, 3), (3, 40), (40, 40), (40, 90))]
+    want = {(t, d): [p for p, w in enumerate(words) if w == t] for d, words in zip(docs, lists, strict=True) for t in set(words) if len(t.encode()) >= 2 and t not in stop}
+    for most in (1, 100, 2_000_000):
+        got, lengths, blocks = {}, {}, 0
+        for row in (r for b in staged_blocks(iter(batches), stop, 16, most) for r in b.to_pylist()):
+            if row["term"] is None:
+                lengths |= {row["range"] * 16 + d: (i, n) for d, i, n in zip(row["docs"], row["ids"], row["lengths"], strict=True)}
+                continue
+            blocks += 1
+            assert row["n"] == len(row["docs"]) and row["most_tf"] == max(row["tfs"]) and row["least_length"] == min(row["lengths"])
+            for d, tf, gaps in zip(row["docs"], row["tfs"], row["places"], strict=True):
+                got[row["term"], row["range"] * 16 + d] = list(itertools.accumulate(gaps))
+                assert tf == len(gaps)
+        assert got == want
+        assert lengths == {d: (f"d{i}", sum(len(w.encode()) >= 2 and w not in stop for w in words)) for i, (d, words) in enumerate(zip(docs, lists, strict=True))}
+        assert most < 2_000_000 or blocks == len({(t, d // 16) for t, d in want})
+
+
+def test_a_build_shuffles_blocks_only(spark, tmp_path):
+    frame = spark.createDataFrame([(str(i), "river stone " * 2000) for i in range(40)], "id string, content string").repartition(4)
+    ix = TextIndex.build(frame, str(tmp_path / "s"), files=2)
+    staged = spark.read.parquet(f"{ix.path}/staged/*")
+    assert staged.where("term is not null").count() == ix.blocks().count() == 8 and "text" not in staged.columns  # not a row an occurrence
+    assert ix.terms().where("n = 80000").count() == 2
+
+
+def test_ranges_in_parts_give_the_same_hits(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame(rows(200), "id string, content string").repartition(3, "id")
+    monkeypatch.setattr(TextIndex, "part", 50)
+    ix = TextIndex.build(df, str(tmp_path / "p"), buckets=4, span=64, files=2)
+    assert ix.blocks(["river"]).count() > ix.blocks(["river"]).select("range").distinct().count()
+    for first in (1, 64):
+        close(ix.search(["comet", "river"], 20, first).collect(), search.top(search.bm25(df, ["comet", "river"]), 20).collect())
