@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillion.functions import text
+from quillion.sources.shared import stored
 
 
 def with_tokens(df: DataFrame, text_col: str = "content") -> DataFrame:
@@ -50,14 +54,24 @@ def top_co_occurrence(df: DataFrame, items: Column, k: int) -> DataFrame:
 
 
 def topics(df: DataFrame, text_col: str = "content", k: int = 15, least: int = 2, terms_each: int = 5) -> DataFrame:
-    """(topic, n, mean_confidence, top_terms) of the k most common terms: what rows that hold one are about."""
-    rows = with_tokens(df, text_col).select("id", "confidence", "tokens", "terms")
-    best = term_df(df, text_col, least, k).select(F.col("term").alias("topic"))
-    held = rows.select("id", "confidence", "tokens", F.explode("terms").alias("topic")).join(F.broadcast(best), "topic")  # k rows
-    general = held.groupBy("topic").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 3).alias("mean_confidence"))
-    counts = held.select("topic", F.explode("tokens").alias("term")).groupBy("topic", "term").agg(F.count("*").alias("tf"))
-    rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("tf"), "term"))
-    words = counts.withColumn("r", rank).where(F.col("r") <= terms_each).groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("r", "term"))).alias("x"))
+    """(topic, n, mean_confidence, top_terms) of the k most common terms: what rows that hold one are about.
+
+    One pass over the tokens has a sum a topic, so that a task sends a row a term. Rows under names
+    that no token has count the documents and their confidence.
+    """
+    best = [r["term"] for r in term_df(df, text_col, least, k).collect()]  # k rows
+    if not best:
+        return df.sparkSession.createDataFrame([], "topic string, n long, mean_confidence double, top_terms array<string>")
+    held = [F.col(f"h{i}") for i in range(len(best))]
+    rows = df.select("confidence", text.pattern_tokens(text_col).alias("tokens")).select("*", *[F.array_contains("tokens", t).alias(f"h{i}") for i, t in enumerate(best)]).where(functools.reduce(operator.or_, held))
+    each = rows.select("confidence", *held, F.explode(F.concat("tokens", text.strings(["-n", "-known", "-sum"]))).alias("term"))
+    worth = F.when(F.col("term") == "-sum", F.coalesce(F.col("confidence").cast("double"), F.lit(0.0))).when((F.col("term") == "-known") & F.col("confidence").isNull(), 0.0).otherwise(1.0)
+    sums = each.withColumn("worth", worth).groupBy("term").agg(*[F.sum(F.when(h, F.col("worth")).otherwise(0.0)).alias(f"s{i}") for i, h in enumerate(held)])
+    counts = sums.select("term", F.explode(F.array(*[F.struct(F.lit(t).alias("topic"), F.col(f"s{i}").alias("tf")) for i, t in enumerate(best)])).alias("c")).select("term", "c.*").where(F.col("tf") > 0)
+    counts = stored(counts.withColumn("told", F.col("term").startswith("-")).withColumn("r", F.row_number().over(Window.partitionBy("topic", "told").orderBy(F.desc("tf"), "term"))).where(F.col("r") <= max(terms_each, 3)))
+    of = lambda name: F.max(F.when(F.col("term") == name, F.col("tf")))
+    general = counts.where("told").groupBy("topic").agg(of("-n").cast("long").alias("n"), F.round(F.when(of("-known") > 0, F.coalesce(of("-sum"), F.lit(0.0)) / of("-known")), 3).alias("mean_confidence"))
+    words = counts.where((~F.col("told")) & (F.col("r") <= terms_each)).groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("r", "term"))).alias("x"))
     return general.join(words, "topic").select("topic", "n", "mean_confidence", F.transform("x", lambda s: s["term"]).alias("top_terms"))
 
 
