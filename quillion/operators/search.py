@@ -29,18 +29,34 @@ def postings(df: DataFrame, text_col: str = "content", stop: list[str] = text.ST
     return rows.groupBy("term", "id", "doc_length").agg(F.count("*").alias("tf"))
 
 
-def bm25(df: DataFrame, terms: list[str], text_col: str = "content", avgdl_mode: str = "doc", stop: list[str] = text.STOP_WORDS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def term_counts(df: DataFrame, text_col: str = "content", stop: list[str] = text.STOP_WORDS) -> DataFrame:
+    """(term, n, df): occurrences and documents of each term.
+
+    A row's tokens and its distinct ones are counted where they are, so that a task sends a row a
+    term. Only where an id repeats are its rows put together first.
+    """
+    if not df.groupBy("id").count().where((F.col("count") > 1) & F.col("id").isNotNull()).isEmpty():
+        each = df.select("id", F.explode(text.tokens(text_col, stop)).alias("term")).groupBy("term", "id").agg(F.count("*").alias("n"))
+        return each.groupBy("term").agg(F.sum("n").alias("n"), F.count("id").alias("df"))
+    rows = df.select("id", text.tokens(text_col, stop).alias("t"))
+    each = rows.select("id", F.posexplode(F.array("t", F.array_distinct("t"))).alias("distinct", "t")).select("id", "distinct", F.explode("t").alias("term"))
+    return each.groupBy("term").agg(F.count_if(F.col("distinct") == 0).alias("n"), F.count_if((F.col("distinct") == 1) & F.col("id").isNotNull()).alias("df"))
+
+
+def bm25(df: DataFrame, terms: list[str], text_col: str = "content", avgdl_mode: str = "doc", stop: list[str] = text.STOP_WORDS, k1: float = 1.2, b: float = 0.75, likely: DataFrame | None = None) -> DataFrame:
     """(id, score) of the documents that hold a query term.
 
     Statistics need the length of every document, so one pass splits all texts, once each, and
     keeps five or so numbers a row; texts without a query term in them are counted, not scored.
+    likely: df without some rows that hold no query term, where these are known.
     avgdl_mode: mean length over documents, or ("posting") over the matched postings.
     """
     terms = list(dict.fromkeys(terms))
     hits = [F.col(f"tf{i}") for i in range(len(terms))]
-    counted = lambda t: F.struct(F.size(t).cast("long").alias("doc_length"), *[F.size(F.filter(t, _equals(x))).cast("long").alias(f"tf{i}") for i, x in enumerate(terms)])
+    counted = lambda t: F.struct(F.size(t).cast("long").alias("doc_length"), (F.filter(t, lambda x: x.isin(terms)) if terms else F.array().cast("array<string>")).alias("held"))
+    each = [F.size(F.filter("held", _equals(x))).cast("long").alias(f"tf{i}") for i, x in enumerate(terms)]
     # A one-element array binds the tokens: otherwise each count would split the text again.
-    rows = df.select("id", F.explode(F.transform(F.array(text.tokens(text_col, stop)), counted)).alias("c")).select("id", "c.*")
+    rows = df.select("id", F.explode(F.transform(F.array(text.tokens(text_col, stop)), counted)).alias("c")).select("id", "c.*").select("id", "doc_length", *each)
     any_hit = sum((h for h in hits), F.lit(0)) > 0
     stats = rows.agg(
         F.count(F.when(F.col("doc_length") > 0, 1)).alias("n"),
@@ -53,8 +69,8 @@ def bm25(df: DataFrame, terms: list[str], text_col: str = "content", avgdl_mode:
         mean = F.try_divide(total, sum((F.col(f"df{i}") for i in range(len(terms))), F.lit(0)))
     else:
         mean = F.try_divide("words", "n")
-    found = df.where(F.exists(text.strings(terms), lambda x: F.contains(F.lower(F.col(text_col)), x)))
-    found = found.select("id", F.explode(F.transform(F.array(text.tokens(text_col, stop)), counted)).alias("c")).select("id", "c.*")
+    found = (df if likely is None else likely).where(F.exists(text.strings(terms), lambda x: F.contains(F.lower(F.col(text_col)), x)))
+    found = found.select("id", F.explode(F.transform(F.array(text.tokens(text_col, stop)), counted)).alias("c")).select("id", "c.*").select("id", "doc_length", *each)
     scored = found.crossJoin(F.broadcast(stats.withColumn("mean", F.coalesce(mean, F.lit(1.0)))))  # one row
     score = sum((scoring.bm25_idf(F.col(f"df{i}"), F.col("n")) * scoring.bm25_tf(h.cast("double"), F.col("doc_length"), F.col("mean"), k1, b) for i, h in enumerate(hits)), F.lit(0.0))
     return scored.where(any_hit).select("id", score.alias("score"))

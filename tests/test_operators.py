@@ -1,12 +1,13 @@
 """Operators against small tables with known results."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillion.functions import text
-from quillion.operators import entities, graph, relations, search, textquery
+from quillion.operators import entities, graph, patterns, relations, search, store, textquery
 from quillion.plans import registry
 from quillion.streaming import changes
 
@@ -127,3 +128,45 @@ def test_duplicate_pairs_find_every_pair(spark, least):
                 want[of[x][0], of[y][0]] = likeness
     got = entities.duplicate_pairs(frame, least).collect()
     assert len(got) == len(want) and {(r.a, r.b): r.likeness for r in got} == pytest.approx(want)
+
+
+def test_words_are_split_once_for_all_chunks(spark):
+    """Each chunk used to split the whole text again."""
+    word = "ab " * 5
+    frame = spark.createDataFrame([(word,), ("",), ("  ",), (None,)], "t string")
+    got = [r.c for r in frame.select(text.word_chunks(F.col("t"), 3, 1).alias("c")).collect()]
+    assert got == [["ab ab ab", "ab ab ab"], [], [], []]
+    assert frame.select(text.word_chunks(F.col("t")).alias("c"))._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_term_counts(spark):
+    rows = [("1", "river river stone the"), ("2", "stone x lamp"), ("3", None), ("4", "")]
+    for more in ([], [("1", "river cloud")], [(None, "river")]):
+        frame = spark.createDataFrame(rows + more, "id string, content string")
+        want = {}
+        for i, t in rows + more:
+            for w in (t or "").split():
+                if len(w) > 1 and w != "the":
+                    n, ids = want.get(w, (0, frozenset()))
+                    want[w] = (n + 1, ids | ({i} if i else set()))
+        assert {r.term: (r.n, r.df) for r in search.term_counts(frame).collect()} == {w: (n, len(ids)) for w, (n, ids) in want.items()}
+    plan = search.term_counts(spark.createDataFrame(rows, "id string, content string"))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(term#\d+, \d+", plan) and not re.search(r"hashpartitioning\(term#\d+, id#", plan)
+
+
+def test_topics_sum_in_tasks(spark, monkeypatch):
+    rows = [("1", "river stone stone x1y", 0.2), ("2", "river stone lamp", None), ("3", "lamp cloud", 0.5), ("4", None, 0.9), ("5", "river", 0.6)]
+    frame = spark.createDataFrame(rows, "id string, content string, confidence double")
+    got = {r.topic: (r.n, r.mean_confidence, r.top_terms) for r in patterns.topics(frame, k=3, terms_each=2).collect()}
+    assert got == {"river": (3, 0.4, ["river", "stone"]), "stone": (2, 0.2, ["stone", "river"]), "lamp": (2, 0.5, ["lamp", "cloud"])}
+    assert patterns.topics(frame.where("id = '4'")).collect() == []
+    plans = []
+    monkeypatch.setattr(patterns, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    assert patterns.topics(frame, k=3).count() == 3
+    assert "hashpartitioning(term#" in plans[0] and not re.search(r"hashpartitioning\(topic#\d+, term#", plans[0])  # tokens aren't repeated for each topic
+
+
+def test_document_search_makes_likely_chunks_only_again(spark):
+    frame = spark.createDataFrame([("a", "x " * 300 + "Trash can"), ("b", "trash " * 3), ("c", "nothing here"), ("d", None)], "id string, content string")
+    got = store.document_search(frame, ["trash"], 5)
+    assert [(r.id, r.chunk) for r in got.collect()] == [("b", 0), ("a", 1)]
