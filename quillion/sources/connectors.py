@@ -89,18 +89,23 @@ def code_graph(files: DataFrame, path_col: str = "path", text_col: str = "conten
     rows = files.select(F.col(path_col).alias("path"), language.alias("language"), lexed(language, F.col(text_col)).alias("code"))
     found = lambda which: F.array_distinct(_by_language(F.col("language"), "code", which))
     rows = rows.select("path", "language", found(0).alias("defined"), found(1).alias("used"))
-    defined = rows.select("path", F.explode("defined").alias("name"))
+    # An inner explode would filter by the list's size first, and find it twice.
+    defined = rows.select("path", F.explode_outer("defined").alias("name")).where("name is not null")
     nodes = rows.select(F.col("path").alias("id"), F.lit("file").alias("node_type"), F.regexp_extract("path", r"([^/]+)$", 1).alias("label"))
     nodes = nodes.union(defined.select(F.concat_ws("#", "path", "name"), F.lit("code"), "name"))
     edges = defined.select(F.col("path").alias("source_node_id"), F.concat_ws("#", "path", "name").alias("target_node_id"), F.lit("defines").alias("relation"))
-    used = rows.select("path", "language", F.explode("used").alias("name"))
-    parts = F.split(F.regexp_replace("path", r"\.\w+$", ""), "/")
-    endings = rows.select(F.col("path").alias("file"), F.col("language").alias("file_language"), parts.alias("p"))
-    endings = endings.select("file", "file_language", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_join(F.slice("p", i, F.size("p")), "/"))).alias("key"))
+    used = rows.select("path", "language", F.explode_outer("used").alias("name")).where("name is not null")
+    # Paths are dealt out before their endings are sorted, so that a task that reads a large file doesn't sort all of its.
+    dealt = files.select(F.col(path_col).alias("file"), language.alias("file_language")).repartition("file")
+    parts = F.split(F.regexp_replace("file", r"\.\w+$", ""), "/")
+    endings = dealt.select("file", "file_language", parts.alias("p"))
+    endings = endings.select("file", "file_language", F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_join(F.slice("p", i, F.size("p")), "/"))).alias("key"))
     known = endings.groupBy("file_language", "key").agg(F.min("file").alias("file"))
     asked = used.withColumn("key", import_key(F.col("language"), F.col("path"), F.col("name")))
-    resolved = asked.join(known, (F.col("language") == F.col("file_language")) & (asked["key"] == known["key"]), "left")
-    return nodes, edges.union(resolved.select("path", F.coalesce("file", "name"), F.lit("imports")).distinct())
+    # A side of a row an ending isn't broadcast. Imports are only sent where they are read, and made distinct after they are dealt out.
+    resolved = asked.join(known.hint("merge"), (F.col("language") == F.col("file_language")) & (asked["key"] == known["key"]), "left")
+    resolved = resolved.select("path", F.coalesce("file", "name").alias("target"), F.lit("imports").alias("relation"))
+    return nodes, edges.union(resolved.repartition("path", "target").distinct())
 
 
 def import_key(language: Column, path: Column, name: Column) -> Column:

@@ -22,3 +22,30 @@ def test_traps_and_resolved_imports(spark):
     want = [(f, f"{f}#{n}", "defines") for f, names in defines.items() for n in names] + [(f, n, "imports") for f, names in imports.items() for n in names]
     assert got == sorted(want)
     assert nodes.where("node_type = 'file'").count() == len(FILES) + 1
+
+
+def test_tasks_that_read_files_hold_no_rows(spark, tmp_path):
+    """Up to the first exchange above a scan nothing is sorted or grouped, lists aren't found twice for a filter by their size, and no side passes the driver."""
+    files = [(f"p{i:02}/util.py", "import util\nimport p01.util\ndef f(): pass\n") for i in range(40)]
+    spark.createDataFrame(files, "path string, content string").write.parquet(str(tmp_path / "files"))
+    edges = connectors.code_graph(spark.read.parquet(str(tmp_path / "files")))[1]
+    plan, above, scans = edges._jdf.queryExecution().executedPlan().toString(), [], 0
+    for line in plan.splitlines():
+        node = line.lstrip(" :+-")
+        depth = len(line) - len(node)
+        above = [x for x in above if x[0] < depth] + [(depth, node)]
+        if node.startswith("FileScan"):
+            scans += 1
+            names = [x[1] for x in reversed(above)]
+            sent = next((i for i, x in enumerate(names) if x.startswith("Exchange")), len(names))
+            assert not [x for x in names[:sent] if x.startswith(("Sort", "HashAggregate", "ObjectHashAggregate", "Filter (size", "Filter ((size"))]
+    assert scans and "Broadcast" not in plan
+    got = sorted((r.source_node_id, r.target_node_id, r.relation) for r in edges.collect())
+    want = [(f, f"{f}#f", "defines") for f, _ in files] + [(f, t, "imports") for f, _ in files for t in ("p00/util.py", "p01/util.py")]
+    assert got == sorted(want)
+
+
+def test_imports_of_one_file_are_one_edge(spark):
+    files = [("a.py", "import lib.b\nimport b\nimport b"), ("lib/b.py", ""), ("lib/c.py", "from b import x")]
+    edges = connectors.code_graph(spark.createDataFrame(files, "path string, content string"))[1]
+    assert sorted(r.source_node_id + " " + r.target_node_id for r in edges.collect()) == ["a.py lib/b.py", "lib/c.py lib/b.py"]
