@@ -95,7 +95,7 @@ def code_graph(files: DataFrame, path_col: str = "path", text_col: str = "conten
     nodes = nodes.union(defined.select(F.concat_ws("#", "path", "name"), F.lit("code"), "name"))
     edges = defined.select(F.col("path").alias("source_node_id"), F.concat_ws("#", "path", "name").alias("target_node_id"), F.lit("defines").alias("relation"))
     used = rows.select("path", "language", F.explode_outer("used").alias("name")).where("name is not null")
-    # Paths are dealt out before their endings are sorted, so that a task that reads a large file doesn't sort all of its.
+    # Paths are dealt out before their endings are sorted, so that a task that reads many of them doesn't sort them all.
     dealt = files.select(F.col(path_col).alias("file"), language.alias("file_language")).repartition("file")
     parts = F.split(F.regexp_replace("file", r"\.\w+$", ""), "/")
     endings = dealt.select("file", "file_language", parts.alias("p"))
