@@ -182,26 +182,33 @@ def gram_likeness(a: Column, b: Column, n: int = 3) -> Column:
     return F.pandas_udf(likeness, "double")(a, b)
 
 
+def by_shuffle(side: DataFrame) -> DataFrame:
+    """A side of a join that isn't broadcast: signatures are far larger than Spark takes them to be, and would go through the driver."""
+    return side.hint("merge")
+
+
 def banded_pairs(df: DataFrame, least: float = 0.85, text_col: str = "name", hashes: int = 128, band: int = 8, most_bucket: int = 200) -> DataFrame:
     """(a, b, likeness): pairs of rows, a < b, that share a band of minima and whose n-grams overlap by `least` or more.
 
-    Rows of equal signatures are a class: its other rows are linked to the smallest id. A bucket
+    Rows of equal signatures are a class: its other rows are linked to the smallest id; rows of one
+    text have one signature, which is made once. A bucket
     of more than most_bucket classes is split by the band after it, so a hot band makes no square
     of pairs; pairs that only such buckets hold are missed with the chance that the bands tell.
     entities.duplicate_pairs is the exact way.
     """
     rows = df.select("id", F.trim(F.lower(F.coalesce(text_col, F.lit("")))).alias("text")).where("text <> ''")
-    rows = saved(rows.withColumn("s", signature(F.col("text"), hashes)))
-    classes = saved(rows.groupBy("s").agg(F.min(F.struct("id", "text")).alias("r")).select("s", "r.id", "r.text"))
-    copies = rows.select(F.col("id").alias("b"), "s").join(classes.select(F.col("id").alias("a"), "s"), "s").where("a <> b").select("a", "b", F.lit(1.0).alias("likeness"))
+    texts = saved(rows.groupBy("text").agg(F.min("id").alias("id")).withColumn("s", signature(F.col("text"), hashes)))
+    classes = saved(texts.groupBy("s").agg(F.min(F.struct("id", "text")).alias("r")).select("s", "r.id", "r.text"))
+    named = texts.select("text", "s").join(by_shuffle(classes.select(F.col("id").alias("a"), "s")), "s").select("text", "a")
+    copies = rows.select(F.col("id").alias("b"), "text").join(by_shuffle(named), "text").where("a <> b").select("a", "b", F.lit(1.0).alias("likeness"))
     n = hashes // band
     part = lambda k: F.xxhash64(k, F.slice("s", k * band + 1, band))
     keyed = classes.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(part(k).alias("key"), part((k + 1) % n).alias("next")))).alias("k")).select("id", "k.*")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    sized = saved(keyed.join(sizes, "key").withColumn("next", F.when(F.col("size") > most_bucket, F.col("next")).otherwise(F.lit(0).cast("long"))))
-    x, y = sized.alias("x"), sized.alias("y")
+    sized = saved(keyed.join(by_shuffle(sizes), "key").withColumn("next", F.when(F.col("size") > most_bucket, F.col("next")).otherwise(F.lit(0).cast("long"))))
+    x, y = sized.alias("x"), by_shuffle(sized).alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.next") == F.col("y.next"))).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    side = lambda c: classes.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text"))
+    side = lambda c: by_shuffle(classes.select(F.col("id").alias(c), F.col("text").alias(f"{c}_text")))
     both = met.join(side("a"), "a").join(side("b"), "b")
     like = both.select("a", "b", gram_likeness(F.col("a_text"), F.col("b_text")).alias("likeness"))
     return like.where(F.col("likeness") >= least).unionByName(copies)

@@ -140,3 +140,11 @@ def test_gram_likeness_is_the_expressions(spark):
     padded = lambda c: text.shingles(F.rpad(c, F.greatest(F.length(c), F.lit(3)), F.lit(" ")))
     rows = frame.select(matching.gram_likeness(F.col("a"), F.col("b")).alias("got"), text.jaccard(padded("a"), padded("b")).alias("want")).collect()
     assert all(abs(r.got - r.want) < 1e-12 for r in rows) and len(rows) == 49
+
+
+def test_banded_pairs_send_no_side_through_the_driver(spark):
+    rows = spark.createDataFrame([(f"n{i:02d}", f"name of the {i % 9}th thing") for i in range(40)], "id string, name string")
+    found = matching.banded_pairs(rows, 0.5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and plan.count("SortMergeJoin") >= 4
+    assert {(r.a, r.b) for r in found.where("likeness = 1").collect()} >= {(f"n{i % 9:02d}", f"n{i:02d}") for i in range(9, 40)}
